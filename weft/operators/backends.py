@@ -67,20 +67,29 @@ class FingerprintBackend(Backend):
     rendered in ``response_format`` ('indexed', 'items' or 'json').  Items whose
     md5 starts with one of ``omit_prefixes`` are left out of the pack answer, to
     exercise missing-answer reconciliation; prompts whose md5 starts with one of
-    ``fail_prefixes`` raise on the first ``fail_attempts`` calls, to exercise retry.
+    ``fail_prefixes`` raise on the first ``fail_attempts`` calls, to exercise retry;
+    prompts in ``dead_prefixes`` always fail; a pack holding an item whose md5 starts
+    with one of ``poison_item_prefixes`` always fails (to exercise the row fallback).
     """
 
     def __init__(self, response_format: str = "indexed", omit_prefixes: str = "", fail_prefixes: str = "",
-                 fail_attempts: int = 0, fail_message: str = "HTTP 429 Too Many Requests"):
+                 fail_attempts: int = 0, fail_message: str = "HTTP 429 Too Many Requests", dead_prefixes: str = "",
+                 poison_item_prefixes: str = ""):
         self.response_format = response_format
         self.omit_prefixes = tuple(omit_prefixes)
         self.fail_prefixes = tuple(fail_prefixes)
         self.fail_attempts = fail_attempts
         self.fail_message = fail_message
+        self.dead_prefixes = tuple(dead_prefixes)
+        self.poison_item_prefixes = tuple(poison_item_prefixes)
         self._calls: dict[str, int] = {}
 
     def generate_one(self, prompt, items):
         key = _md5(prompt)
+        if self.dead_prefixes and key.startswith(self.dead_prefixes):
+            raise RuntimeError("Connection error: service unavailable")
+        if items is not None and self.poison_item_prefixes and any(_md5(t).startswith(self.poison_item_prefixes) for t in items):
+            raise RuntimeError("Timeout: request took too long")
         if self.fail_prefixes and key.startswith(self.fail_prefixes):
             n = self._calls.get(key, 0)
             self._calls[key] = n + 1

@@ -60,3 +60,61 @@ def enrich_single(spark, sf_dir):
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
     out = enrich(docs, spec)
     return out.select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+# ---------------------------------------------------------------------------
+# packs: documents -> bucketed packs of 5 -> one request per pack -> keyed answers
+# ---------------------------------------------------------------------------
+N_BUCKETS = 16
+PACK = 5
+
+
+def _pack_cte(src: str, key: str, text_sql: str, size: int = PACK, n_buckets: int | None = N_BUCKETS, has_sql: str | None = None) -> str:
+    """Oracle CTEs ``b`` (bucket, has), ``p`` (rank, batch_no, item_id, batch_id) for a packed table."""
+    has = has_sql or f"({text_sql} IS NOT NULL AND {S.clean(text_sql)} <> '')"
+    bucket = f"CAST({key} % {n_buckets} AS INTEGER)" if n_buckets else "0"
+    return f"""b AS (SELECT *, {bucket} AS bucket, {has} AS has FROM {src}),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket, has ORDER BY {key}) - 1 AS rk FROM b),
+p AS (SELECT *, rk // {size} AS batch_no, CAST(rk % {size} + 1 AS INTEGER) AS item_id,
+             CAST(bucket AS BIGINT) * 4294967296 + rk // {size} AS batch_id FROM r)"""
+
+
+def _packed_spec(fmt: str, **kw) -> EnrichSpec:
+    backend = FingerprintBackend(response_format=fmt, omit_prefixes=kw.pop("omit", "f"), **kw.pop("backend_kw", {}))
+    return EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=backend, pack_size=PACK,
+                      pack_format=fmt, n_buckets=N_BUCKETS, policy=NO_SLEEP, **kw)
+
+
+def _packed_query(fmt: str):
+    def q(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        out = enrich(docs, _packed_spec(fmt))
+        return out.select("doc_id", "batch_id", "item_id", F.col("result.status").alias("status"),
+                          F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+    return q
+
+
+def _packed_oracle(fmt: str) -> str:
+    h = f"md5({S.clean('text')})"
+    missing = {"indexed": fixed.PACK_PARSE_MISSING_SYNC, "items": fixed.PACK_PARSE_MISSING_ASYNC,
+               "json": fixed.JSON_OBJECT_MISSING}[fmt]
+    answer = f"""'{{"answer":"' || {h} || '"}}'""" if fmt == "json" else h
+    # 'items' answers are read only when at least 70 % of a pack's items are present
+    unparsed = "n_present < 0.7 * n_items" if fmt == "items" else "false"
+    return f"""WITH {_pack_cte('documents', 'doc_id', 'text')},
+q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
+             count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
+SELECT doc_id,
+  CASE WHEN has THEN batch_id END AS batch_id,
+  CASE WHEN has THEN item_id END AS item_id,
+  CASE WHEN NOT has THEN 'NO_DATA' WHEN n_present = 0 OR {unparsed} OR {h} LIKE 'f%' THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN NOT has THEN {S.lit(fixed.NO_DATA)}
+       WHEN n_present = 0 THEN 'Batch error: {fixed.EMPTY_RESPONSE}'
+       WHEN {unparsed} THEN 'UNPARSED'
+       WHEN {h} LIKE 'f%' THEN {S.lit(missing)}
+       ELSE {answer} END AS ai_result
+FROM q"""
+
+
+for _fmt in ("indexed", "items", "json"):
+    register(f"enrich_packed_{_fmt}", _packed_oracle(_fmt))(_packed_query(_fmt))

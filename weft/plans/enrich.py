@@ -122,7 +122,8 @@ def item_text(spec: EnrichSpec) -> Column:
                                for c in spec.columns])
 
 
-def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
+def pack_requests(df: DataFrame, spec: EnrichSpec) -> DataFrame:
+    """One row per pack: ``bucket, _has, batch_no, batch_id, n_items, items, _prompt, _item_texts``."""
     cols = df.columns
     base = df.withColumn("_has", _has(spec))
     # rows with nothing to send sit in their own (never sent) packs: same scan, same exchange
@@ -132,7 +133,12 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
         payload.append(as_item(spec.columns).alias("values"))
     reqs = _collect(packed, spec, payload, cols)
     reqs = reqs.withColumn("_prompt", F.when(F.col("_has"), _pack_prompt(spec, F.col("items"))))
-    reqs = reqs.withColumn("_item_texts", F.transform("items", lambda x: x["text"]))
+    return reqs.withColumn("_item_texts", F.transform("items", lambda x: x["text"]))
+
+
+def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
+    cols = df.columns
+    reqs = pack_requests(df, spec)
     answered = call_model(reqs, spec.backend, "_prompt", "_item_texts", policy=spec.policy, out="_resp")
     if spec.land:
         answered = land(answered)
