@@ -118,3 +118,296 @@ FROM q"""
 
 for _fmt in ("indexed", "items", "json"):
     register(f"enrich_packed_{_fmt}", _packed_oracle(_fmt))(_packed_query(_fmt))
+
+
+# ---------------------------------------------------------------------------
+# projections, filters, predicates (PRJ / FLT)
+# ---------------------------------------------------------------------------
+from . import derived as D  # noqa: E402
+from ..functions import prompts as PR  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from .enrich import pack_requests  # noqa: E402
+
+
+def _messy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("t"))
+
+
+_MESSY_SQL = f"(SELECT doc_id, {D.MESSY_TEXT} AS t FROM documents)"
+
+
+@register("clean_text", f"""SELECT doc_id, md5({S.clean('t')}) AS clean_md5, CAST(length({S.clean('t')}) AS BIGINT) AS clean_len
+FROM {_MESSY_SQL}""")
+def q_clean_text(spark, sf_dir):
+    c = TX.clean_text("t")
+    return _messy(spark, sf_dir).select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("long").alias("clean_len"))
+
+
+@register("tag_no_data", f"""SELECT doc_id, {_has_sql('t')} AS has_data,
+  CASE WHEN {_has_sql('t')} THEN 'PENDING' ELSE 'NO_DATA' END AS status FROM {_MESSY_SQL}""")
+def q_tag_no_data(spark, sf_dir):
+    h = TX.has_data("t")
+    return _messy(spark, sf_dir).select("doc_id", h.alias("has_data"), F.coalesce(TX.tag_no_data(h), F.lit("PENDING")).alias("status"))
+
+
+_LEGACY_SQL = f"(SELECT doc_id, text, lang, source, {D.LEGACY_RESULT} AS ai_result FROM documents)"
+
+
+def _legacy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.expr(D.LEGACY_RESULT).alias("ai_result"))
+
+
+@register("pending_rows", f"SELECT doc_id FROM {_LEGACY_SQL} WHERE ai_result IS NULL OR ai_result = ''")
+def q_pending(spark, sf_dir):
+    return _legacy(spark, sf_dir).filter(TX.pending("ai_result")).select("doc_id")
+
+
+_CONV_MESSY = """(SELECT conv_id, turn,
+  CASE WHEN conv_id % 5 = 0 THEN NULL ELSE role END AS role,
+  CASE WHEN turn % 3 = 0 THEN chr(9) || chr(10) WHEN turn % 3 = 1 THEN NULL ELSE text END AS text
+FROM conversations)"""
+
+
+def _conv_messy(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn",
+                    F.expr("CASE WHEN conv_id % 5 = 0 THEN NULL ELSE role END").alias("role"),
+                    F.expr("CASE WHEN turn % 3 = 0 THEN chr(9) || chr(10) WHEN turn % 3 = 1 THEN NULL ELSE text END").alias("text"))
+
+
+@register("has_any_data", f"""SELECT conv_id, turn,
+  ((role IS NOT NULL AND {S.strip('role')} <> '') OR (text IS NOT NULL AND {S.strip('text')} <> '')) AS has_any
+FROM {_CONV_MESSY}""")
+def q_has_any(spark, sf_dir):
+    return _conv_messy(spark, sf_dir).select("conv_id", "turn", TX.has_any_data(["role", "text"]).alias("has_any"))
+
+
+@register("preview_text", """SELECT doc_id, substr(text, 1, 100) || '...' AS prompt_preview,
+  CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS sample FROM documents""")
+def q_preview(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.preview("text", 100).alias("prompt_preview"), TX.preview("text", 50, always_ellipsis=False).alias("sample"))
+
+
+@register("as_item", f"""SELECT conv_id, turn, md5('role=' || coalesce(role, 'N/A') || '|text=' || coalesce(text, 'N/A')) AS item_md5
+FROM {_CONV_MESSY}""")
+def q_as_item(spark, sf_dir):
+    item = TX.as_item(["role", "text"])
+    rendered = F.array_join(F.transform(item, lambda x: F.concat(x["name"], F.lit("="), x["value"])), "|")
+    return _conv_messy(spark, sf_dir).select("conv_id", "turn", F.md5(rendered).alias("item_md5"))
+
+
+_PROFILE_COLS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+
+
+def _profile_sql() -> str:
+    parts = []
+    for c in _PROFILE_COLS:
+        v = f"CAST(arg_min({c}, c_custkey) FILTER (WHERE {c} IS NOT NULL) AS VARCHAR)"
+        parts.append(f"""SELECT '{c}' AS column_name, count(*) AS n_rows,
+  coalesce(CASE WHEN length({v}) > 50 THEN substr({v}, 1, 50) || '...' ELSE {v} END, 'N/A') AS sample FROM customer""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("profile_columns", _profile_sql())
+def q_profile(spark, sf_dir):
+    from ..operators.columns import profile_columns
+
+    return profile_columns(table(spark, sf_dir, "customer"), "c_custkey", _PROFILE_COLS)
+
+
+# ---------------------------------------------------------------------------
+# prompts (PRM)
+# ---------------------------------------------------------------------------
+_TEMPLATE_NAMES = list(fixed.TEMPLATES)
+
+
+def _template_case_sql(key: str) -> str:
+    whens = " ".join(f"WHEN {key} % {len(_TEMPLATE_NAMES)} = {i} THEN {S.lit(fixed.TEMPLATES[n])}" for i, n in enumerate(_TEMPLATE_NAMES))
+    return f"(CASE {whens} END)"
+
+
+@register("validate_prompt", f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN chr(32) || chr(9)
+  WHEN doc_id % 4 = 2 THEN lang || ' ok' ELSE text END AS p FROM documents)
+SELECT doc_id, CASE WHEN {S.strip('p')} = '' THEN false WHEN length({S.strip('p')}) < 10 THEN false ELSE true END AS ok,
+  CASE WHEN {S.strip('p')} = '' THEN 'Prompt không được để trống' WHEN length({S.strip('p')}) < 10 THEN 'Prompt quá ngắn (tối thiểu 10 ký tự)'
+  ELSE 'Prompt hợp lệ' END AS message FROM c""")
+def q_validate_prompt(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.expr("CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN chr(32) || chr(9) "
+                         "WHEN doc_id % 4 = 2 THEN lang || ' ok' ELSE text END").alias("p"))
+    v = PR.validate_prompt("p")
+    return d.select("doc_id", v["ok"].alias("ok"), v["message"].alias("message"))
+
+
+@register("prompt_single", f"""SELECT doc_id, md5({_template_case_sql('doc_id')} || {S.lit(chr(10) * 2 + fixed.CONTENT_HEADER + chr(10))}
+  || {S.clean('text')} || {S.lit(chr(10) * 2 + fixed.RESULT_FOOTER)}) AS prompt_md5 FROM documents""")
+def q_prompt_single(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    names = F.array(*[F.lit(PR.template(n)) for n in _TEMPLATE_NAMES])
+    tpl = F.element_at(names, (F.pmod(F.col("doc_id"), F.lit(len(_TEMPLATE_NAMES))) + 1).cast("int"))
+    return d.select("doc_id", F.md5(PR.prompt_single(tpl, TX.clean_text("text"))).alias("prompt_md5"))
+
+
+_MULTI_COLS = ["role", "turn", "text"]
+_MPROMPT = fixed.TEMPLATES["custom"]
+
+
+def _defs_sql(cols) -> str:
+    return chr(10).join(f"- {fixed.COLUMN_WORD} {i} ({c}): {c}" for i, c in enumerate(cols, 1))
+
+
+def _multi_sync_sql(double: bool) -> str:
+    data = " || chr(10) || ".join(f"'{i}. {c}: ' || {S.clean(f'coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})')}"
+                                  for i, c in enumerate(_MULTI_COLS, 1))
+    head = S.lit(chr(10) + _MPROMPT + chr(10) * 2 + fixed.COLUMNS_HEADER + chr(10) + _defs_sql(_MULTI_COLS) + chr(10) * 2 + fixed.DATA_HEADER + chr(10))
+    full = f"{head} || {data} || {S.lit(chr(10) * 2 + fixed.RESULT_FOOTER)}"
+    if double:
+        full = f"{full} || {S.lit(chr(10) * 2 + fixed.CONTENT_HEADER + chr(10) + chr(10) * 2 + fixed.RESULT_FOOTER)}"
+    return f"SELECT conv_id, turn, md5({full}) AS prompt_md5 FROM {_CONV_MESSY}"
+
+
+@register("prompt_multi_sync", _multi_sync_sql(False))
+def q_prompt_multi_sync(spark, sf_dir):
+    return _conv_messy(spark, sf_dir).select("conv_id", "turn", F.md5(PR.prompt_multi_sync(_MPROMPT, _MULTI_COLS)).alias("prompt_md5"))
+
+
+@register("prompt_multi_sync_legacy", _multi_sync_sql(True))
+def q_prompt_multi_sync_legacy(spark, sf_dir):
+    p = PR.prompt_multi_sync(_MPROMPT, _MULTI_COLS, legacy_double_wrap=True)
+    return _conv_messy(spark, sf_dir).select("conv_id", "turn", F.md5(p).alias("prompt_md5"))
+
+
+def _multi_async_sql() -> str:
+    data = " || chr(10) || ".join(f"'{i}. {c}: ' || coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})" for i, c in enumerate(_MULTI_COLS, 1))
+    full = f"{S.lit(_MPROMPT + chr(10) * 2 + fixed.DATA_HEADER + chr(10))} || {data} || {S.lit(chr(10) * 2 + fixed.RESULT_FOOTER)}"
+    return f"SELECT conv_id, turn, md5({full}) AS prompt_md5 FROM {_CONV_MESSY}"
+
+
+@register("prompt_multi", _multi_async_sql())
+def q_prompt_multi(spark, sf_dir):
+    return _conv_messy(spark, sf_dir).select("conv_id", "turn", F.md5(PR.prompt_multi(_MPROMPT, _MULTI_COLS)).alias("prompt_md5"))
+
+
+# pack prompts ------------------------------------------------------------------
+
+
+def _pack_prompt_query(fmt: str, multi: bool):
+    def q(spark, sf_dir):
+        if multi:
+            src = _conv_keyed(spark, sf_dir)
+            spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", backend=FingerprintBackend(),
+                              pack_size=PACK, pack_format=fmt, n_buckets=N_BUCKETS)
+        else:
+            src = table(spark, sf_dir, "documents").select("doc_id", "text")
+            spec = _packed_spec(fmt)
+        reqs = pack_requests(src, spec).filter("_has")
+        return reqs.select("batch_id", "n_items", F.md5("_prompt").alias("prompt_md5"))
+    return q
+
+
+def _conv_keyed(spark, sf_dir):
+    return _conv_messy(spark, sf_dir).withColumn("row_key", F.col("conv_id") * 100000 + F.col("turn"))
+
+
+_CONV_KEYED_SQL = f"(SELECT *, conv_id * 100000 + turn AS row_key FROM {_CONV_MESSY})"
+
+
+def _fill_sql(text: str, n: str = "CAST(count(*) AS VARCHAR)") -> str:
+    parts = text.replace("{{", "{").replace("}}", "}").split("{n}")
+    out = [S.lit(parts[0])]
+    for p in parts[1:]:
+        out += [n, S.lit(p)]
+    return " || ".join(out)
+
+
+def _pack_prompt_oracle(fmt: str, multi: bool) -> str:
+    nl2 = f"{S.NL} || {S.NL}"
+    if multi:
+        cols = _MULTI_COLS
+        vals_clean = " || chr(10) || ".join(
+            f"'  {j}. {c}: ' || {S.clean(f'coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})')}" for j, c in enumerate(cols, 1))
+        vals_raw = " || chr(10) || ".join(f"'  {c}: ' || coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})" for c in cols)
+        has = "(" + " OR ".join(f"({c} IS NOT NULL AND {S.strip(f'CAST({c} AS VARCHAR)')} <> '')" for c in cols) + ")"
+        cte = _pack_cte(_CONV_KEYED_SQL, "row_key", "text", has_sql=has)
+        block_idx = f"'[' || item_id || ']' || chr(10) || {vals_clean}"
+        block_items = f"'Item ' || item_id || ':' || chr(10) || {vals_raw}"
+        prompt = _MPROMPT
+    else:
+        cte = _pack_cte("documents", "doc_id", "text")
+        block_idx = f"'[' || item_id || '] ' || {S.clean('text')}"
+        block_items = f"'Item ' || item_id || ': ' || {S.clean('text')}"
+        prompt = PROMPT
+    if fmt == "indexed":
+        head = S.lit(prompt + chr(10) * 2 + (fixed.COLUMNS_HEADER + chr(10) + _defs_sql(_MULTI_COLS) + chr(10) * 2 if multi else "")
+                     + fixed.BATCH_GUIDE_HEADER + chr(10))
+        guide = _fill_sql(fixed.BATCH_GUIDE_COUNT + chr(10))
+        if multi:
+            guide += " || " + S.lit(fixed.BATCH_GUIDE_COLUMNS.replace("{c}", str(len(_MULTI_COLS))) + chr(10))
+        guide += " || " + S.lit(fixed.BATCH_GUIDE_ORDER + chr(10) + fixed.BATCH_GUIDE_FORMAT + chr(10) * 2 + fixed.DATA_HEADER + chr(10))
+        body = f"string_agg({block_idx}, {nl2} ORDER BY item_id)"
+        full = f"{head} || {guide} || {body} || {S.lit(chr(10) * 2 + fixed.RESULT_FOOTER_UPPER)}"
+    else:
+        head = f"{S.lit(prompt + chr(10) * 2)} || {_fill_sql(fixed.ITEMS_HEADER + chr(10))}"
+        body = f"string_agg({block_items}, {nl2} ORDER BY item_id)"
+        if fmt == "json":
+            tail = _fill_sql(fixed.ITEMS_JSON_INSTRUCTION)
+        else:
+            tail = f"{_fill_sql(fixed.ITEMS_TEXT_INSTRUCTION)} || {S.lit(chr(10) * 2 + fixed.RESULT_FOOTER)}"
+        full = f"{head} || {body} || {S.lit(chr(10) * 2)} || {tail}"
+    return f"""WITH {cte}
+SELECT batch_id, CAST(count(*) AS INTEGER) AS n_items, md5({full}) AS prompt_md5 FROM p WHERE has GROUP BY batch_id"""
+
+
+for _fmt, _multi, _name in [("indexed", False, "prompt_pack_indexed"), ("indexed", True, "prompt_pack_indexed_multi"),
+                            ("items", False, "prompt_pack_items"), ("json", False, "prompt_pack_items_json"),
+                            ("items", True, "prompt_pack_items_multi")]:
+    register(_name, _pack_prompt_oracle(_fmt, _multi))(_pack_prompt_query(_fmt, _multi))
+
+
+# request bodies ------------------------------------------------------------------
+
+
+@register("payload_gemini", f"""SELECT doc_id, md5({S.prompt_single(PROMPT, S.clean('text'))}) AS text_md5, '40' AS top_k,
+  '0.8' AS top_p, '30000' AS max_tokens, 'BLOCK_NONE' AS last_threshold FROM documents""")
+def q_payload_gemini(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    body = PR.payload_gemini(PR.prompt_single(PROMPT, TX.clean_text("text")))
+    g = lambda p: F.get_json_object(body, p)
+    return d.select("doc_id", F.md5(g("$.contents[0].parts[0].text")).alias("text_md5"), g("$.generationConfig.topK").alias("top_k"),
+                    g("$.generationConfig.topP").alias("top_p"), g("$.generationConfig.maxOutputTokens").alias("max_tokens"),
+                    g("$.safetySettings[3].threshold").alias("last_threshold"))
+
+
+@register("payload_openai", f"""SELECT doc_id, md5({S.prompt_single(PROMPT, S.clean('text'))}) AS content_md5, 'gpt-4.1-mini' AS model,
+  'user' AS role, '0.3' AS temperature, '10000' AS max_tokens FROM documents""")
+def q_payload_openai(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    body = PR.payload_openai("gpt-4.1-mini", PR.prompt_single(PROMPT, TX.clean_text("text")))
+    g = lambda p: F.get_json_object(body, p)
+    return d.select("doc_id", F.md5(g("$.messages[0].content")).alias("content_md5"), g("$.model").alias("model"),
+                    g("$.messages[0].role").alias("role"), g("$.temperature").alias("temperature"), g("$.max_tokens").alias("max_tokens"))
+
+
+# fine-tuned context templates (registry rows derived per document)
+_CTX_TEMPLATE = "(CASE WHEN doc_id % 3 = 0 THEN 'Input: {input_text}' || chr(10) || 'Ctx: {context_info}' " \
+                "WHEN doc_id % 3 = 1 THEN '{message} / {metadata} / {content} / {input_data} / {additional_context} / {context_data}' ELSE '' END)"
+_CTX_REQUIRES = "(doc_id % 4 <> 3)"
+
+
+def _ctx_sql() -> str:
+    out = _CTX_TEMPLATE
+    t = S.clean("text")
+    for name in fixed.TEXT_PLACEHOLDERS:
+        out = f"replace({out}, '{{{name}}}', {t})"
+    for name in fixed.PROMPT_PLACEHOLDERS:
+        out = f"replace({out}, '{{{name}}}', {S.lit(PROMPT)})"
+    return out
+
+
+@register("prompt_from_context", f"""SELECT doc_id, md5(CASE WHEN {_CTX_REQUIRES} AND {_CTX_TEMPLATE} <> '' THEN {_ctx_sql()}
+  ELSE {S.prompt_single(PROMPT, S.clean('text'))} END) AS prompt_md5 FROM documents""")
+def q_prompt_from_context(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_CTX_TEMPLATE).alias("tpl"), F.expr(_CTX_REQUIRES).alias("req"))
+    p = PR.prompt_with_registry("tpl", "req", TX.clean_text("text"), PROMPT)
+    return d.select("doc_id", F.md5(p).alias("prompt_md5"))
