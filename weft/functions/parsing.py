@@ -20,6 +20,14 @@ from .text import _col, py_strip
 ANSWER_T = "array<struct<n:int,t:string>>"
 
 
+def _ns(*pairs) -> Column:
+    """A struct with explicit field names (aliases inside lambdas can be trimmed by the analyzer)."""
+    args = []
+    for name, c in pairs:
+        args += [F.lit(name), c]
+    return F.named_struct(*args)
+
+
 def _empty_answers() -> Column:
     return F.expr(f"cast(array() as {ANSWER_T})")
 
@@ -30,7 +38,7 @@ def _nonempty_lines(text: Column) -> Column:
 
 def _positional(parts: Column, expected: Column) -> Column:
     """First ``expected`` parts keyed 1..expected."""
-    return F.transform(F.slice(parts, 1, F.greatest(expected, F.lit(1))), lambda p, i: F.struct((i + 1).cast("int").alias("n"), p.alias("t")))
+    return F.transform(F.slice(parts, 1, F.greatest(expected, F.lit(1))), lambda p, i: _ns(("n", (i + 1).cast("int")), ("t", p)))
 
 
 # ---------------------------------------------------------------------------
@@ -45,9 +53,9 @@ def parse_indexed(text: str | Column) -> Column:
     blocks = F.split(joined, r"\n(?=\[\s*[+-]?\d+\s*\])")
     parsed = F.transform(
         F.filter(blocks, lambda b: b.rlike(INDEXED_HEADER)),
-        lambda b: F.struct(
-            F.regexp_extract(b, INDEXED_HEADER, 1).try_cast("int").alias("n"),
-            py_strip(F.replace(F.regexp_replace(b, r"^\[[^\]]*\]", ""), F.lit("\n"), F.lit(" "))).alias("t"),
+        lambda b: _ns(
+            ("n", F.regexp_extract(b, INDEXED_HEADER, 1).try_cast("int")),
+            ("t", py_strip(F.replace(F.regexp_replace(b, r"^\[[^\]]*\]", ""), F.lit("\n"), F.lit(" ")))),
         ),
     )
     return F.filter(parsed, lambda x: (x["n"] > 0) & (x["t"] != F.lit("")))
@@ -63,9 +71,9 @@ def _numbered(text: Column, split_re: str, header_re: str) -> Column:
     blocks = F.split(text, split_re)
     parsed = F.transform(
         F.filter(blocks, lambda b: b.rlike(header_re)),
-        lambda b: F.struct(
-            F.regexp_extract(b, header_re, 1).try_cast("int").alias("n"),
-            py_strip(F.regexp_replace(py_strip(F.regexp_replace(b, header_re, "")), _PREFIX_RE, "")).alias("t"),
+        lambda b: _ns(
+            ("n", F.regexp_extract(b, header_re, 1).try_cast("int")),
+            ("t", py_strip(F.regexp_replace(py_strip(F.regexp_replace(b, header_re, "")), _PREFIX_RE, ""))),
         ),
     )
     return F.filter(parsed, lambda x: x["n"].isNotNull() & (x["t"] != F.lit("")))
@@ -101,7 +109,7 @@ def _keyed_objects(objs: Column, expected: Column) -> Column:
     ids = F.transform(objs, lambda o: F.get_json_object(o, "$.item_id").try_cast("int"))
     all_ids = F.forall(ids, lambda i: i.isNotNull())
     keyed = F.filter(
-        F.transform(objs, lambda o: F.struct(F.get_json_object(o, "$.item_id").try_cast("int").alias("n"), _drop_item_id(o).alias("t"))),
+        F.transform(objs, lambda o: _ns(("n", F.get_json_object(o, "$.item_id").try_cast("int")), ("t", _drop_item_id(o)))),
         lambda x: x["n"] <= expected,
     )
     positional = _positional(F.transform(objs, _drop_item_id), expected)
@@ -182,8 +190,8 @@ def parse_pack(text: str | Column, expected: str | Column, style: str = "auto")
     exp = _col(expected) if not isinstance(expected, int) else F.lit(expected)
     if style == "indexed":
         ans = parse_indexed(t)
-        return F.struct(F.when(t == "", F.lit("empty")).otherwise(F.lit("indexed")).alias("method"),
-                        F.when(t == "", _empty_answers()).otherwise(ans).alias("answers"))
+        return _ns(("method", F.when(t == "", F.lit("empty")).otherwise(F.lit("indexed"))),
+                   ("answers", F.when(t == "", _empty_answers()).otherwise(ans)))
     arr = parse_json_array(t, exp)
     objs = parse_json_objects(t, exp)
     num = parse_numbered(t, exp)
@@ -208,7 +216,7 @@ def parse_pack(text: str | Column, expected: str | Column, style: str = "auto")
         .when(F.size(dlm) > 0, dlm)
         .otherwise(sen)
     )
-    return F.struct(method.alias("method"), answers.alias("answers"))
+    return _ns(("method", method), ("answers", answers))
 
 
 def answer_for(answers: Column, item_id: Column) -> Column:
@@ -238,14 +246,14 @@ def brace_span(text: str | Column) -> Column:
     t = _col(text)
     start = F.instr(t, "{")
     s = F.substr(t, start)
-    acc0 = F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("e"))
+    acc0 = _ns(("d", F.lit(0)), ("i", F.lit(0)), ("e", F.lit(0)))
     folded = F.aggregate(
         F.split(s, ""),
         acc0,
-        lambda acc, c: F.struct(
-            F.when(acc["e"] > 0, acc["d"]).when(c == "{", acc["d"] + 1).when(c == "}", acc["d"] - 1).otherwise(acc["d"]).alias("d"),
-            (acc["i"] + 1).alias("i"),
-            F.when(acc["e"] > 0, acc["e"]).when((c == "}") & (acc["d"] - 1 == 0), acc["i"] + 1).otherwise(F.lit(0)).alias("e"),
+        lambda acc, c: _ns(
+            ("d", F.when(acc["e"] > 0, acc["d"]).when(c == "{", acc["d"] + 1).when(c == "}", acc["d"] - 1).otherwise(acc["d"])),
+            ("i", acc["i"] + 1),
+            ("e", F.when(acc["e"] > 0, acc["e"]).when((c == "}") & (acc["d"] - 1 == 0), acc["i"] + 1).otherwise(F.lit(0))),
         ),
     )
     end = folded["e"]
@@ -355,9 +363,9 @@ def parse_response(text: str | Column, use_json: bool = False) -> Column:
     raw = _col(text)
     empty = raw.isNull() | (raw == F.lit(""))
     if not use_json:
-        return F.struct(
-            F.when(empty, F.lit(fixed.NO_RESPONSE)).otherwise(py_strip(raw)).alias("value"),
-            F.when(empty, F.lit("empty")).otherwise(F.lit("text")).alias("method"),
+        return _ns(
+            ("value", F.when(empty, F.lit(fixed.NO_RESPONSE)).otherwise(py_strip(raw))),
+            ("method", F.when(empty, F.lit("empty")).otherwise(F.lit("text"))),
         )
     obj = parse_json_text(raw)
     v = F.try_parse_json(obj)
@@ -375,7 +383,7 @@ def parse_response(text: str | Column, use_json: bool = False) -> Column:
         .when(mt.isNotNull() & (mt != F.lit("```json")), F.lit("text_fallback"))
         .otherwise(F.lit("failed"))
     )
-    return F.struct(value.alias("value"), method.alias("method"))
+    return _ns(("value", value), ("method", method))
 
 
 # ---------------------------------------------------------------------------
@@ -385,7 +393,7 @@ def parse_response(text: str | Column, use_json: bool = False) -> Column:
 def split_fields(result: str | Column, names: list[str], delimiter: str = fixed.RESULT_DELIMITER) -> Column:
     """``a|b|c`` -> struct of named fields (missing trailing fields are NULL)."""
     parts = F.split(_col(result), re.escape(delimiter))
-    return F.struct(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])
+    return _ns(*[(n, F.get(parts, i)) for i, n in enumerate(names)])
 
 
 def parse_labelled(result: str | Column) -> Column:
@@ -403,7 +411,7 @@ def response_text(body: str | Column, provider: str = "gemini") -> Column:
     if provider == "openai":
         txt = F.get_json_object(b, "$.choices[0].message.content")
         err = F.when(txt.isNull(), F.lit("Parse error: 'choices'")).when(py_strip(txt) == "", F.lit(fixed.EMPTY_RESPONSE))
-        return F.struct(F.when(err.isNull(), txt).alias("text"), err.alias("error"))
+        return _ns(("text", F.when(err.isNull(), txt)), ("error", err))
     cands = F.get_json_object(b, "$.candidates")
     content = F.get_json_object(b, "$.candidates[0].content")
     parts = F.get_json_object(b, "$.candidates[0].content.parts")
@@ -417,4 +425,124 @@ def response_text(body: str | Column, provider: str = "gemini") -> Column:
         .when(txt.isNull(), F.lit("Parse error: 'text'"))
         .when(py_strip(txt) == "", F.lit(fixed.EMPTY_RESPONSE))
     )
-    return F.struct(F.when(err.isNull(), txt).alias("text"), err.alias("error"))
+    return _ns(("text", F.when(err.isNull(), txt)), ("error", err))
+
+
+# ---------------------------------------------------------------------------
+# staged DataFrame forms: each intermediate is its own projection column, so a
+# large sub-expression is evaluated once per row (CollapseProject keeps a
+# projection apart when an expensive column is referenced more than once)
+# ---------------------------------------------------------------------------
+
+def _lit_or_col(x) -> Column:
+    return F.lit(x) if isinstance(x, int) else _col(x)
+
+
+def with_pack_answers(df, text: str | Column, expected, out: str = "_parsed", style: str = "auto"):
+    """Add ``out`` = struct<method, answers> (see ``parse_pack``), computed in stages."""
+    exp = _lit_or_col(expected)
+    df = df.withColumn("_pk_t", py_strip(F.coalesce(_col(text), F.lit(""))))
+    t = F.col("_pk_t")
+    if style == "indexed":
+        return df.withColumn(out, parse_pack(t, exp, style="indexed")).drop("_pk_t")
+    spans = F.regexp_extract_all(t, F.lit(r"(?s)\[\s*\{.*?\}\s*\]"), 0)
+    arrays = F.filter(F.transform(spans, lambda s: F.from_json(s, "array<string>")), lambda a: a.isNotNull() & (F.size(a) >= exp))
+    obj_spans = F.regexp_extract_all(t, F.lit(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), 0)
+    item_hdr = r"(?isU)^\s*Item\s*(\d+)\s*[:\-]\s*"
+    df = (
+        df.withColumn("_pk_arr0", F.get(arrays, 0))
+        .withColumn("_pk_obj0", F.transform(obj_spans, lambda s: F.when(_json_valid(s), s).otherwise(
+            F.regexp_replace(F.regexp_replace(py_strip(s), r",(\s*[}\]])", "$1"), r"'([^']*)':", "\"$1\":"))))
+        .withColumn("_pk_n1", _numbered(t, r"(?iU)\n(?=\s*Item\s*\d+\s*[:\-])", item_hdr))
+        .withColumn("_pk_n2", _numbered(t, r"(?iU)(?=Item\s*\d+\s*[:\-])", item_hdr))
+        .withColumn("_pk_n3", _numbered(t, r"\n(?=\s*\d+\.)", r"(?sU)^\s*(\d+)\.\s*"))
+        .withColumn("_pk_dlm", parse_delimited(t, exp))
+        .withColumn("_pk_sen", parse_sentences(t, exp))
+    )
+    df = df.withColumn("_pk_obj1", F.filter("_pk_obj0", lambda s: _json_valid(s) & s.startswith("{")))
+    need = exp * F.lit(0.7)
+    df = (
+        df.withColumn("_pk_arr", F.when(F.col("_pk_arr0").isNotNull(), _keyed_objects(F.col("_pk_arr0"), exp)))
+        .withColumn("_pk_obj", F.when(F.size("_pk_obj1") > 0, _keyed_objects(F.col("_pk_obj1"), exp)))
+        .withColumn("_pk_num", F.when(F.size("_pk_n1") >= need, F.col("_pk_n1")).when(F.size("_pk_n2") >= need, F.col("_pk_n2"))
+                    .when(F.size("_pk_n3") >= need, F.col("_pk_n3")).otherwise(_empty_answers()))
+    )
+    arr, objs, num, dlm, sen = (F.col(c) for c in ("_pk_arr", "_pk_obj", "_pk_num", "_pk_dlm", "_pk_sen"))
+    empty_api = F.lower(t) == "empty response"
+    res = (
+        F.when(t == "", _ns(("method", F.lit("empty")), ("answers", _empty_answers())))
+        .when(empty_api, _ns(("method", F.lit("empty_api")), ("answers", _empty_answers())))
+        .when(arr.isNotNull(), _ns(("method", F.lit("json_array")), ("answers", arr)))
+        .when(objs.isNotNull(), _ns(("method", F.lit("json_objects")), ("answers", objs)))
+        .when(F.size(num) > 0, _ns(("method", F.lit("numbered")), ("answers", num)))
+        .when(F.size(dlm) > 0, _ns(("method", F.lit("delimited")), ("answers", dlm)))
+        .when(F.size(sen) > 0, _ns(("method", F.lit("sentences")), ("answers", sen)))
+        .otherwise(_ns(("method", F.lit("unparsed")), ("answers", _empty_answers())))
+    )
+    tmp = ["_pk_t", "_pk_arr0", "_pk_obj0", "_pk_obj1", "_pk_n1", "_pk_n2", "_pk_n3", "_pk_dlm", "_pk_sen", "_pk_arr", "_pk_obj", "_pk_num"]
+    return df.withColumn(out, res).drop(*tmp)
+
+
+def with_json_object(df, text: str | Column, out: str = "_obj"):
+    """Add ``out``: the JSON object text found in ``text`` (as-is if valid, else repaired), or NULL."""
+    t = py_strip(F.coalesce(_col(text), F.lit("")))
+    df = df.withColumn("_js_t", t)
+    cands = []
+    for pat in _FENCES:
+        ms = F.filter(F.transform(F.regexp_extract_all(F.col("_js_t"), F.lit(pat), 1), lambda m: py_strip(m)), lambda m: F.instr(m, "{") > 0)
+        cands.append(F.get(ms, 0))
+    df = df.withColumn("_js_first", F.coalesce(*cands, F.when(F.instr("_js_t", "{") > 0, F.col("_js_t"))))
+    df = df.withColumn("_js_ej", brace_span(F.col("_js_first")))
+    r = py_strip(F.col("_js_ej"))
+    r = F.regexp_replace(r, r"(?U)(\w+):", "\"$1\":")
+    r = F.replace(r, F.lit("'"), F.lit('"'))
+    r = F.regexp_replace(r, r",(\s*[}\]])", "$1")
+    r = F.regexp_replace(r, r"(?iU)\bnull\b", "null")
+    r = F.regexp_replace(r, r"(?U)\bNone\b", "null")
+    r = F.regexp_replace(r, r"(?U)\bundefined\b", "null")
+    r = F.regexp_replace(r, r"(?U)\bTrue\b", "true")
+    r = F.regexp_replace(r, r"(?U)\bFalse\b", "false")
+    r = F.regexp_replace(r, r"(?m)//.*$", "")
+    r = F.regexp_replace(r, r"(?s)/\*.*?\*/", "")
+    df = df.withColumn("_js_rep", r).withColumn("_js_ok", _json_valid(F.col("_js_ej")))
+    df = df.withColumn(out, F.when(F.col("_js_ok"), F.col("_js_ej")).when(_json_valid(F.col("_js_rep")), F.col("_js_rep")))
+    return df.drop("_js_t", "_js_first", "_js_ej", "_js_rep", "_js_ok")
+
+
+def with_json_text(df, obj: str, out: str, delimiter: str = fixed.RESULT_DELIMITER):
+    """Add ``out`` = ``json_to_text(obj)`` computed in stages (one parse per row)."""
+    df = df.withColumn("_jt_v", F.try_parse_json(F.col(obj))).withColumn("_jt_m", F.from_json(F.col(obj), "map<string,string>"))
+    for i, f in enumerate(fixed.RESULT_FIELDS):
+        df = df.withColumn(f"_jt_f{i}", F.try_variant_get(F.col("_jt_v"), f"$.{f}", "variant"))
+    for i in range(len(fixed.RESULT_FIELDS)):
+        fv = F.col(f"_jt_f{i}")
+        df = df.withColumn(f"_jt_y{i}", _truthy(fv)).withColumn(f"_jt_s{i}", F.schema_of_variant(fv) == "STRING")
+    n = len(fixed.RESULT_FIELDS)
+    all_present = F.forall(F.array(*map(F.lit, fixed.RESULT_FIELDS)), lambda k: F.map_contains_key(F.col("_jt_m"), k))
+    bad = F.exists(F.array(*[F.col(f"_jt_y{i}") & ~F.coalesce(F.col(f"_jt_s{i}"), F.lit(False)) for i in range(n)]), lambda b: b)
+    piped = F.concat_ws(delimiter, *[F.when(F.col(f"_jt_y{i}"), F.try_variant_get(F.col(f"_jt_f{i}"), "$", "string")).otherwise(F.lit("null"))
+                                     for i in range(n)])
+    df = df.withColumn(out, F.when(F.col(obj).isNull(), F.lit(None).cast("string")).when(all_present & ~bad, piped).otherwise(F.to_json(F.col("_jt_v"))))
+    return df.drop("_jt_v", "_jt_m", *[f"_jt_{k}{i}" for k in "fys" for i in range(n)])
+
+
+def with_parsed_response(df, text: str | Column, out: str = "_parsed", use_json: bool = False):
+    """Add ``out`` = struct<value, method> (see ``parse_response``), computed in stages."""
+    if not use_json:
+        return df.withColumn(out, parse_response(text, False))
+    df = df.withColumn("_pr_raw", _col(text))
+    df = with_json_object(df, "_pr_raw", "_pr_obj")
+    df = df.withColumn("_pr_usable", F.col("_pr_obj").isNotNull() & (F.to_json(F.try_parse_json("_pr_obj")) != F.lit("{}")))
+    df = with_json_text(df, "_pr_obj", "_pr_jt")
+    df = df.withColumn("_pr_mt", meaningful_text(F.col("_pr_raw")))
+    raw, mt = F.col("_pr_raw"), F.col("_pr_mt")
+    empty = raw.isNull() | (raw == F.lit(""))
+    has_mt = mt.isNotNull() & (mt != F.lit("```json"))
+    res = (
+        F.when(empty, _ns(("value", F.lit(fixed.NO_RESPONSE)), ("method", F.lit("empty"))))
+        .when(F.col("_pr_usable"), _ns(("value", F.col("_pr_jt")), ("method", F.lit("json"))))
+        .when(has_mt, _ns(("value", mt), ("method", F.lit("text_fallback"))))
+        .otherwise(_ns(("value", F.concat(F.lit(fixed.JSON_PARSE_FAILED_PREFIX), F.substring(raw, 1, 100), F.lit("..."))),
+                       ("method", F.lit("failed"))))
+    )
+    return df.withColumn(out, res).drop("_pr_raw", "_pr_obj", "_pr_usable", "_pr_jt", "_pr_mt")

@@ -411,3 +411,221 @@ def q_prompt_from_context(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_CTX_TEMPLATE).alias("tpl"), F.expr(_CTX_REQUIRES).alias("req"))
     p = PR.prompt_with_registry("tpl", "req", TX.clean_text("text"), PROMPT)
     return d.select("doc_id", F.md5(p).alias("prompt_md5"))
+
+
+# ---------------------------------------------------------------------------
+# response parsing (PAR) and provider bodies (INF6)
+# ---------------------------------------------------------------------------
+from ..functions import parsing as PA  # noqa: E402
+
+
+def _derived(spark, sf_dir, frag: str, name: str = "r"):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.expr(frag).alias(name))
+
+
+def _by_case(n: int, values: list[str], default: str = "NULL") -> str:
+    whens = " ".join(f"WHEN doc_id % {n} = {i} THEN {v}" for i, v in enumerate(values))
+    return f"(CASE {whens} ELSE {default} END)"
+
+
+_A, _B, _C = "md5(text)", "lang", "source"
+
+
+def _answers3(ans):
+    return [PA.answer_for(ans, F.lit(i)).alias(f"a{i}") for i in (1, 2, 3)]
+
+
+@register("parse_indexed", f"""SELECT doc_id,
+  {_by_case(5, [_A, f"{_A} || ' more [x] note'", _A])} AS a1,
+  {_by_case(5, [_B, 'NULL', _B, _B])} AS a2,
+  {_by_case(5, [_C, _C, 'NULL', _C])} AS a3 FROM documents""")
+def q_parse_indexed(spark, sf_dir):
+    d = _derived(spark, sf_dir, D.INDEXED_RESPONSE)
+    return d.select("doc_id", *_answers3(PA.parse_indexed("r")))
+
+
+@register("parse_numbered", f"""SELECT doc_id,
+  {_by_case(5, [_A, _A, _A, f"{_A} || chr(10) || 'more'"])} AS a1,
+  {_by_case(5, [_B, _B, _B, _B])} AS a2,
+  {_by_case(5, [_C, _C, _C, _C])} AS a3 FROM documents""")
+def q_parse_numbered(spark, sf_dir):
+    d = _derived(spark, sf_dir, D.NUMBERED_RESPONSE)
+    return d.select("doc_id", *_answers3(PA.parse_numbered("r", 3)))
+
+
+def _jans(x):
+    return f"""'{{"answer":"' || {x} || '"}}'"""
+
+
+_PACK_METHODS = ["json_array", "json_objects", "numbered", "delimited", "sentences", "empty", "empty_api", "unparsed"]
+_PACK_A = [_jans(_A), _jans(_A), _A, f"'first answer ' || {_A}", f"'Alpha ' || {_A}", "NULL", "NULL"]
+_PACK_B = [_jans(_B), "NULL", _B, f"'second answer ' || {_B}", f"'Beta ' || {_B}", "NULL", "NULL"]
+_PACK_C = [_jans(_C), _jans(_C), _C, f"'third answer ' || {_C}", f"'Gamma ' || {_C}", "NULL", "NULL"]
+
+
+@register("parse_pack", f"""SELECT doc_id,
+  {_by_case(8, [S.lit(m) for m in _PACK_METHODS[:-1]], S.lit('unparsed'))} AS method,
+  {_by_case(8, _PACK_A)} AS a1, {_by_case(8, _PACK_B)} AS a2, {_by_case(8, _PACK_C)} AS a3 FROM documents""")
+def q_parse_pack(spark, sf_dir):
+    d = PA.with_pack_answers(_derived(spark, sf_dir, D.PACK_RESPONSE), "r", 3, out="p")
+    return d.select("doc_id", F.col("p.method").alias("method"), *_answers3(F.col("p.answers")))
+
+
+def _reconcile_sql() -> str:
+    msg = {"empty": fixed.EMPTY_PACK_RESPONSE, "empty_api": fixed.EMPTY_PACK_API, "json_objects": fixed.JSON_OBJECT_MISSING,
+           "unparsed": "UNPARSED"}
+    miss = _by_case(8, [S.lit(msg.get(m, fixed.PACK_PARSE_MISSING_ASYNC)) for m in _PACK_METHODS[:-1]], S.lit("UNPARSED"))
+    parts = []
+    for i, vals in ((1, _PACK_A), (2, _PACK_B), (3, _PACK_C)):
+        v = _by_case(8, vals)
+        parts.append(f"""SELECT doc_id, CAST({i} AS INTEGER) AS item_id, CASE WHEN {v} IS NULL THEN 'ERROR' ELSE 'OK' END AS status,
+  coalesce({v}, {miss}) AS ai_result FROM documents""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("reconcile_pack", _reconcile_sql())
+def q_reconcile(spark, sf_dir):
+    d = PA.with_pack_answers(_derived(spark, sf_dir, D.PACK_RESPONSE), "r", 3, out="p")
+    p = d.select("doc_id", "p", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("item_id"))
+    ans = PA.answer_for(F.col("p.answers"), F.col("item_id"))
+    return p.select("doc_id", F.col("item_id").cast("int").alias("item_id"),
+                    F.when(ans.isNull(), "ERROR").otherwise("OK").alias("status"),
+                    F.coalesce(ans, PA.pack_missing_message(F.col("p.method"), "auto")).alias("ai_result"))
+
+
+def _gem_err():
+    return [S.lit(x) for x in ["NULL", fixed.API_MISSING_CANDIDATES, fixed.API_EMPTY_CANDIDATES, fixed.API_MISSING_CONTENT,
+                               fixed.API_MISSING_PARTS, fixed.API_EMPTY_PARTS]]
+
+
+@register("response_text_gemini", f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN md5(text) END AS text_out,
+  {_by_case(7, ['NULL'] + _gem_err()[1:], S.lit(fixed.EMPTY_RESPONSE))} AS error FROM documents""")
+def q_response_gemini(spark, sf_dir):
+    d = _derived(spark, sf_dir, D.GEMINI_BODY)
+    r = PA.response_text("r", "gemini")
+    return d.select("doc_id", r["text"].alias("text_out"), r["error"].alias("error"))
+
+
+@register("response_text_openai", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(text) END AS text_out,
+  CASE WHEN doc_id % 3 = 1 THEN {S.lit(fixed.EMPTY_RESPONSE)} WHEN doc_id % 3 = 2 THEN 'Parse error: ''choices''' END AS error
+FROM documents""")
+def q_response_openai(spark, sf_dir):
+    d = _derived(spark, sf_dir, D.OPENAI_BODY)
+    r = PA.response_text("r", "openai")
+    return d.select("doc_id", r["text"].alias("text_out"), r["error"].alias("error"))
+
+
+# single JSON answers -----------------------------------------------------------
+_J_OBJ = [D.J_OK, D.J_PROSE, D.J_BARE, "NULL", D.J_FENCED, D.J_TRAILING, D.J_OTHER, "NULL", "NULL"]
+
+
+@register("extract_json", f"SELECT doc_id, {_by_case(10, _J_OBJ, D.J_NUMBER)} AS json_text FROM documents")
+def q_extract_json(spark, sf_dir):
+    return _derived(spark, sf_dir, D.JSON_RESPONSE).select("doc_id", PA.extract_json("r").alias("json_text"))
+
+
+@register("brace_span", f"""SELECT doc_id, {_by_case(5, [f"'{{\"a\": {{\"b\": \"' || lang || '\"}}}}'", "'{\"a\": \"}'", D.BRACE_TEXT, 'NULL'], D.BRACE_TEXT)}
+  AS span FROM documents""")
+def q_brace_span(spark, sf_dir):
+    return _derived(spark, sf_dir, D.BRACE_TEXT).select("doc_id", PA.brace_span("r").alias("span"))
+
+
+_REPAIRED = [
+    """'{"k": "' || lang || '"}'""",
+    """'{"k": "' || lang || '", "n": null, "b": true, "c": false}'""",
+    """'{"k": "' || lang || '" , "m": 1 ' || chr(10) || '}'""",
+    "NULL",
+    """'{"k": "' || lang || '"}'""",
+]
+
+
+@register("repair_json", f"""SELECT doc_id, {_by_case(6, _REPAIRED, "'{\"k\": null, \"v\": null}'")} AS repaired FROM documents""")
+def q_repair_json(spark, sf_dir):
+    return _derived(spark, sf_dir, D.REPAIR_TEXT).select("doc_id", PA.repair_json("r").alias("repaired"))
+
+
+_REQ = "; ".join(f"'{f}' is a required property" for f in fixed.RESULT_FIELDS)
+
+
+@register("json_schema_check", f"""SELECT doc_id,
+  {_by_case(10, ['true', 'true', 'true', 'false', 'true', 'true', 'false', 'false', 'false'], 'true')} AS applies,
+  {_by_case(10, ["''", "''", "''", 'NULL', "''", "''", S.lit(_REQ.replace('; ', ';')), 'NULL', 'NULL'],
+            S.lit("'note_1' is not of type 'string', 'null'"))} AS violations FROM documents""")
+def q_json_schema_check(spark, sf_dir):
+    d = PA.with_json_object(_derived(spark, sf_dir, D.JSON_RESPONSE), "r", "obj")
+    return d.select("doc_id", F.coalesce(PA.schema_applies("obj"), F.lit(False)).alias("applies"),
+                    F.when(F.col("obj").isNotNull(), F.array_join(PA.schema_violations("obj"), ";")).alias("violations"))
+
+
+_PIPED = [
+    "lang || '|' || source || '|Review|t' || CAST(doc_id AS STRING) || '|2'",
+    "lang || '|null|Sản phẩm|Hỏi thảo luận|2'",
+    "lang || '|' || source || '|Review|x|2'",
+    "NULL",
+    "lang || '|p|s|null|null'",
+    "lang || '|p|s|t|n'",
+    """'{"AI_SACTHAI":"' || lang || '","AI_TOPICS":["a","b"]}'""",
+    "NULL",
+    "NULL",
+]
+_J_NUMBER_OUT = """'{"category":"' || lang || '","note_1":2,"product":"p","service":"s","tag":"t"}'"""
+
+
+@register("json_to_text", f"SELECT doc_id, {_by_case(10, _PIPED, _J_NUMBER_OUT)} AS result_text FROM documents")
+def q_json_to_text(spark, sf_dir):
+    d = PA.with_json_text(PA.with_json_object(_derived(spark, sf_dir, D.JSON_RESPONSE), "r", "obj"), "obj", "result_text")
+    return d.select("doc_id", "result_text")
+
+
+_MEANINGFUL = [D.J_OK, f"'Kết quả phân tích:' || chr(10) || {D.J_PROSE} || chr(10) || 'Hết.'", D.J_BARE, D.J_PIPE, D.J_FENCED,
+               D.J_TRAILING, D.J_OTHER, "NULL", "NULL"]
+
+
+@register("meaningful_text", f"SELECT doc_id, {_by_case(10, _MEANINGFUL, D.J_NUMBER)} AS text_out FROM documents")
+def q_meaningful_text(spark, sf_dir):
+    return _derived(spark, sf_dir, D.JSON_RESPONSE).select("doc_id", PA.meaningful_text("r").alias("text_out"))
+
+
+_PARSED = list(_PIPED)
+_PARSED[3] = D.J_PIPE
+_PARSED[7] = S.lit(fixed.NO_RESPONSE)
+_PARSED[8] = f"{S.lit(fixed.JSON_PARSE_FAILED_PREFIX)} || '```json' || chr(10) || '```...'"
+_PARSE_METHOD = ["'json'", "'json'", "'json'", "'text_fallback'", "'json'", "'json'", "'json'", "'empty'", "'failed'"]
+
+
+@register("parse_response_json", f"""SELECT doc_id, {_by_case(10, _PARSED, _J_NUMBER_OUT)} AS ai_result,
+  {_by_case(10, _PARSE_METHOD, "'json'")} AS method FROM documents""")
+def q_parse_response_json(spark, sf_dir):
+    d = PA.with_parsed_response(_derived(spark, sf_dir, D.JSON_RESPONSE), "r", "p", use_json=True)
+    return d.select("doc_id", F.col("p.value").alias("ai_result"), F.col("p.method").alias("method"))
+
+
+@register("parse_response_text", f"""SELECT doc_id, CASE WHEN r = '' THEN {S.lit(fixed.NO_RESPONSE)} ELSE {S.strip('r')} END AS ai_result
+FROM (SELECT doc_id, {D.JSON_RESPONSE} AS r FROM documents)""")
+def q_parse_response_text(spark, sf_dir):
+    p = PA.parse_response("r", use_json=False)
+    return _derived(spark, sf_dir, D.JSON_RESPONSE).select("doc_id", p["value"].alias("ai_result"))
+
+
+_PIPE_RESULT = "CASE WHEN doc_id % 2 = 0 THEN lang || '|' || source ELSE lang || '|' || source || '|Review|tag|' || CAST(doc_id AS STRING) END"
+
+
+@register("split_fields", """SELECT doc_id, lang AS category, source AS product,
+  CASE WHEN doc_id % 2 = 1 THEN 'Review' END AS service, CASE WHEN doc_id % 2 = 1 THEN 'tag' END AS tag,
+  CASE WHEN doc_id % 2 = 1 THEN CAST(doc_id AS VARCHAR) END AS note_1 FROM documents""")
+def q_split_fields(spark, sf_dir):
+    d = _derived(spark, sf_dir, _PIPE_RESULT)
+    s = PA.split_fields("r", fixed.RESULT_FIELDS)
+    return d.select("doc_id", *[s[f].alias(f) for f in fixed.RESULT_FIELDS])
+
+
+_LABELLED = "'Sentiment: Tích cực | Chủ đề: Review | Tóm tắt: ' || lang || ': ' || source || ' | Ghi chú: ' || CAST(doc_id AS STRING)"
+
+
+@register("parse_labelled", """SELECT doc_id, 'Tích cực' AS sentiment, 'Review' AS topic, lang || ': ' || source AS summary,
+  CAST(doc_id AS VARCHAR) AS note FROM documents""")
+def q_parse_labelled(spark, sf_dir):
+    m = PA.parse_labelled("r")
+    d = _derived(spark, sf_dir, _LABELLED)
+    return d.select("doc_id", m["Sentiment"].alias("sentiment"), m["Chủ đề"].alias("topic"), m["Tóm tắt"].alias("summary"),
+                    m["Ghi chú"].alias("note"))

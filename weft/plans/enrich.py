@@ -72,10 +72,6 @@ def _projected(result: Column) -> Column:
     )
 
 
-def _ok_value(text: Column, use_json: bool) -> Column:
-    return P.parse_response(text, use_json)
-
-
 def enrich(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     """Ask the backend about every row of ``df`` (callers pass only pending rows; see ``streaming.incremental.resume``)."""
     missing = [c for c in list(spec.columns) + [spec.key] if c not in df.columns]
@@ -93,7 +89,8 @@ def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     if spec.land:
         answered = land(answered)
     r = F.col("_resp")
-    parsed = _ok_value(r["text"], spec.use_json)
+    answered = P.with_parsed_response(answered, r["text"], "_val", spec.use_json)
+    parsed = F.col("_val")
     status = F.when(F.col("_prompt").isNull(), F.lit("NO_DATA")).when(r["error"].isNotNull(), F.lit("ERROR")).otherwise(F.lit("OK"))
     err = F.when(r["error"].isNotNull(), F.concat(F.lit(fixed.ERROR_AFTER_RETRIES.split("{n}")[0]), r["attempts"].cast("string"),
                                                    F.lit(fixed.ERROR_AFTER_RETRIES.split("{n}")[1])))
@@ -144,15 +141,17 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
         answered = land(answered)
     r = F.col("_resp")
     style = "indexed" if spec.pack_format == "indexed" else "auto"
-    parsed = answered.withColumn("_parsed", P.parse_pack(r["text"], F.col("n_items"), style=style))
+    parsed = P.with_pack_answers(answered, r["text"], "n_items", out="_parsed", style=style)
     exploded = parsed.select(
         F.col("_has"), F.col("batch_id"), F.col("_resp"), F.col("_parsed.method").alias("_method"),
-        F.inline(F.transform("items", lambda x: F.struct(
-            x["item_id"].alias("item_id"), x["row"].alias("_row"),
-            P.answer_for(F.col("_parsed.answers"), x["item_id"]).alias("_answer"))))
+        F.inline(F.transform("items", lambda x: F.named_struct(
+            F.lit("item_id"), x["item_id"], F.lit("_row"), x["row"],
+            F.lit("_answer"), P.answer_for(F.col("_parsed.answers"), x["item_id"]))))
     )
+    if spec.use_json:
+        exploded = P.with_parsed_response(exploded, "_answer", "_val", True)
     ans = F.col("_answer")
-    value = _ok_value(ans, spec.use_json)["value"] if spec.use_json else ans
+    value = F.col("_val.value") if spec.use_json else ans
     status = (
         F.when(~F.col("_has"), F.lit("NO_DATA"))
         .when(r["error"].isNotNull(), F.lit("ERROR"))
