@@ -26,15 +26,15 @@ class Backend:
     def open(self) -> None:  # once per task
         pass
 
-    def generate_one(self, prompt: str, items: Sequence[str] | None) -> str:
+    def generate_one(self, prompt: str, items: Sequence[str] | None, attempt: int = 0) -> str:
         raise NotImplementedError
 
-    def generate(self, prompts: Sequence[str], items: Sequence[Sequence[str] | None]) -> list:
-        """One answer (or an Exception instance) per prompt."""
+    def generate(self, prompts: Sequence[str], items: Sequence[Sequence[str] | None], attempt: int = 0) -> list:
+        """One answer (or an Exception instance) per prompt; ``attempt`` counts from 0."""
 
         def one(i):
             try:
-                return self.generate_one(prompts[i], items[i])
+                return self.generate_one(prompts[i], items[i], attempt)
             except Exception as e:  # noqa: BLE001 - failures are data here
                 return e
 
@@ -82,19 +82,15 @@ class FingerprintBackend(Backend):
         self.fail_message = fail_message
         self.dead_prefixes = tuple(dead_prefixes)
         self.poison_item_prefixes = tuple(poison_item_prefixes)
-        self._calls: dict[str, int] = {}
 
-    def generate_one(self, prompt, items):
+    def generate_one(self, prompt, items, attempt=0):
         key = _md5(prompt)
         if self.dead_prefixes and key.startswith(self.dead_prefixes):
             raise RuntimeError("Connection error: service unavailable")
         if items is not None and self.poison_item_prefixes and any(_md5(t).startswith(self.poison_item_prefixes) for t in items):
             raise RuntimeError("Timeout: request took too long")
-        if self.fail_prefixes and key.startswith(self.fail_prefixes):
-            n = self._calls.get(key, 0)
-            self._calls[key] = n + 1
-            if n < self.fail_attempts:
-                raise RuntimeError(self.fail_message)
+        if self.fail_prefixes and key.startswith(self.fail_prefixes) and attempt < self.fail_attempts:
+            raise RuntimeError(self.fail_message)
         if items is None:
             return key
         answers = []
@@ -116,5 +112,5 @@ class CallableBackend(Backend):
         if self.setup is not None:
             self.setup()
 
-    def generate_one(self, prompt, items):
+    def generate_one(self, prompt, items, attempt=0):
         return self.fn(prompt)

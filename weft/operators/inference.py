@@ -6,21 +6,22 @@ the JVM, so single-row enrichment needs no join and no shuffle.  Retries run
 inside the task (the backend is not re-called by Spark task retry for
 successful rows of a landed result); NULL prompts are never sent.
 
-Because a Python call is not free, ``land`` materialises the answered frame
-with a reliable checkpoint (``spark.checkpoint.dir``); downstream operators
-read the landed copy, so each request is paid for once per run.
+Because a model call is not free, ``land`` writes the answered frame once to a
+Parquet table in the shared checkpoint folder (``spark.checkpoint.dir``);
+downstream operators read the landed copy, so each request is paid for once per run.
 """
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import checkpoint_dir
+from ..session import ship_package, state_path
 from .backends import Backend
 
 RESPONSE_T = "text string, error string, attempts int, latency_ms double"
@@ -70,10 +71,10 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
         if interval and policy.sleep:
             outs = []
             for i in todo:  # paced: one call at a time
-                outs.extend(backend.generate([prompts[i]], [items[i]]))
+                outs.extend(backend.generate([prompts[i]], [items[i]], attempt))
                 time.sleep(interval)
         else:
-            outs = backend.generate([prompts[i] for i in todo], [items[i] for i in todo])
+            outs = backend.generate([prompts[i] for i in todo], [items[i] for i in todo], attempt)
         per_call = (time.perf_counter() - t0) * 1000.0 / max(1, len(todo))
         retry, wait = [], 0.0
         for i, o in zip(todo, outs):
@@ -98,6 +99,9 @@ def model_udf(backend: Backend, policy: RetryPolicy | None = None):
     """A non-deterministic Arrow UDF ``(prompt string, items array<string>) -> struct<text, error, attempts, latency_ms>``."""
     pol = policy or RetryPolicy()
     bk = backend
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
 
     @F.pandas_udf(RESPONSE_T)
     def _call(prompts: pd.Series, items: pd.Series) -> pd.DataFrame:
@@ -119,7 +123,14 @@ def call_model(df: DataFrame, backend: Backend, prompt: str | Column = "prompt",
     return df.withColumn(out, model_udf(backend, policy)(p, it))
 
 
-def land(df: DataFrame) -> DataFrame:
-    """Materialise once into the shared checkpoint folder; the result no longer recomputes its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def land(df: DataFrame, name: str = "landed") -> DataFrame:
+    """Write once as a Parquet table in the shared checkpoint folder and read it back.
+
+    One job computes each partition once (``Dataset.checkpoint`` would compute the
+    plan a second time to write the checkpoint, i.e. call the model twice); the
+    returned frame reads the written files, so later actions never re-ask.
+    """
+    spark = df.sparkSession
+    path = state_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -100,7 +100,7 @@ def _packed_oracle(fmt: str) -> str:
                "json": fixed.JSON_OBJECT_MISSING}[fmt]
     answer = f"""'{{"answer":"' || {h} || '"}}'""" if fmt == "json" else h
     # 'items' answers are read only when at least 70 % of a pack's items are present
-    unparsed = "n_present < 0.7 * n_items" if fmt == "items" else "false"
+    unparsed = "n_present < CAST(0.7 AS DOUBLE) * n_items" if fmt == "items" else "false"
     return f"""WITH {_pack_cte('documents', 'doc_id', 'text')},
 q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
              count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
@@ -629,3 +629,243 @@ def q_parse_labelled(spark, sf_dir):
     d = _derived(spark, sf_dir, _LABELLED)
     return d.select("doc_id", m["Sentiment"].alias("sentiment"), m["Chủ đề"].alias("topic"), m["Tóm tắt"].alias("summary"),
                     m["Ghi chú"].alias("note"))
+
+
+# ---------------------------------------------------------------------------
+# packing, chunking, pack quality (BAT)
+# ---------------------------------------------------------------------------
+from ..operators import packing as PK  # noqa: E402
+from ..operators import quality as QU  # noqa: E402
+from ..streaming import incremental as INC  # noqa: E402
+from ..streaming import runlog as RL  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from .retry import enrich_with_fallback, retry_failed  # noqa: E402
+
+
+@register("pack_bucketed", f"""WITH {_pack_cte('documents', 'doc_id', 'text', has_sql='true')}
+SELECT doc_id, bucket, batch_id, item_id FROM p""")
+def q_pack_bucketed(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return PK.pack(d, "doc_id", PACK, n_buckets=N_BUCKETS).select("doc_id", "bucket", "batch_id", "item_id")
+
+
+@register("pack_ordered", f"""WITH {_pack_cte('documents', 'doc_id', 'text', n_buckets=None, has_sql='true')}
+SELECT doc_id, batch_id, item_id FROM p""")
+def q_pack_ordered(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return PK.pack(d, "doc_id", PACK, mode="ordered").select("doc_id", "batch_id", "item_id")
+
+
+@register("chunk_rows", """SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 100 AS chunk_id FROM events""")
+def q_chunk_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id")
+    return PK.chunk(e, "event_id", fixed.CHUNK_SIZE).select("event_id", "chunk_id")
+
+
+_OMIT_HALF = "01234567"
+
+
+@register("pack_quality", f"""WITH {_pack_cte('documents', 'doc_id', 'text')}
+SELECT batch_id, count(*) AS n_items,
+  count(*) FILTER (WHERE substr(md5({S.clean('text')}), 1, 1) NOT IN ('0','1','2','3','4','5','6','7')) AS n_ok,
+  count(*) FILTER (WHERE substr(md5({S.clean('text')}), 1, 1) NOT IN ('0','1','2','3','4','5','6','7')) < count(*) * CAST(0.3 AS DOUBLE) AS low_quality
+FROM p WHERE has GROUP BY batch_id""")
+def q_pack_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = enrich(docs, _packed_spec("indexed", omit=_OMIT_HALF))
+    return QU.pack_quality(out)
+
+
+# ---------------------------------------------------------------------------
+# model application: retries in the task, outcome record, row fallback (INF)
+# ---------------------------------------------------------------------------
+_PMD5 = f"md5({S.prompt_single(PROMPT, S.clean('text'))})"
+
+
+@register("enrich_retry", f"""SELECT doc_id,
+  CASE WHEN {_PMD5} LIKE '2%' THEN 'ERROR' ELSE 'OK' END AS status,
+  CAST(CASE WHEN {_PMD5} LIKE '2%' THEN 3 WHEN {_PMD5} LIKE '0%' OR {_PMD5} LIKE '1%' THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+  {_PMD5} NOT LIKE '2%' AS success,
+  CAST(CASE WHEN {_PMD5} LIKE '2%' THEN 2 WHEN {_PMD5} LIKE '0%' OR {_PMD5} LIKE '1%' THEN 1 ELSE 0 END AS INTEGER) AS retry_count,
+  CASE WHEN {_PMD5} LIKE '2%' THEN {S.lit(fixed.ERROR_AFTER_RETRIES.format(n=3))} ELSE {_PMD5} END AS ai_result
+FROM documents""")
+def q_enrich_retry(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    backend = FingerprintBackend(fail_prefixes="01", fail_attempts=1, dead_prefixes="2")
+    out = enrich(docs, EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=backend, policy=NO_SLEEP))
+    return out.select("doc_id", F.col("result.status").alias("status"), F.col("result.attempts").alias("attempts"),
+                      (F.col("result.status") == "OK").alias("success"), (F.col("result.attempts") - 1).alias("retry_count"),
+                      F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+@register("enrich_fallback", f"""WITH {_pack_cte('documents', 'doc_id', 'text')},
+q AS (SELECT *, bool_or(md5({S.clean('text')}) LIKE 'e%') OVER (PARTITION BY bucket, has, batch_no) AS poisoned FROM p)
+SELECT doc_id, CASE WHEN has AND poisoned THEN 'row' ELSE 'pack' END AS via,
+  CASE WHEN NOT has THEN 'NO_DATA' ELSE 'OK' END AS status,
+  CASE WHEN NOT has THEN {S.lit(fixed.NO_DATA)} WHEN poisoned THEN {_PMD5} ELSE md5({S.clean('text')}) END AS ai_result FROM q""")
+def q_enrich_fallback(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spec = _packed_spec("indexed", omit="", backend_kw={"poison_item_prefixes": "e"})
+    out = enrich_with_fallback(docs, spec)
+    return out.select("doc_id", "via", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+# ---------------------------------------------------------------------------
+# statistics and error markers (AGG)
+# ---------------------------------------------------------------------------
+
+def _markers_sql(markers) -> str:
+    return "|".join(m.lower() for m in markers)
+
+
+_ERR_STATS = f"coalesce(regexp_matches(lower(ai_result), '{_markers_sql(fixed.STATS_ERROR_MARKERS)}'), false)"
+_ERR_RETRY = f"coalesce(regexp_matches(lower(ai_result), '{_markers_sql(fixed.RETRY_ERROR_MARKERS)}'), false)"
+
+
+@register("is_error", f"SELECT doc_id, {_ERR_STATS} AS error_stats, {_ERR_RETRY} AS error_retry FROM {_LEGACY_SQL}")
+def q_is_error(spark, sf_dir):
+    d = _legacy(spark, sf_dir)
+    return d.select("doc_id", QU.is_error("ai_result", "stats").alias("error_stats"), QU.is_error("ai_result", "retry").alias("error_retry"))
+
+
+def _category_sql() -> str:
+    whens = " ".join(f"WHEN regexp_matches(lower(ai_result), '{'|'.join(ws)}') THEN '{n}'" for n, ws in QU.ERROR_CLASSES)
+    return f"CASE {whens} ELSE 'other' END"
+
+
+@register("error_category", f"SELECT {_category_sql()} AS category, count(*) AS n FROM {_LEGACY_SQL} WHERE {_ERR_RETRY} GROUP BY 1")
+def q_error_category(spark, sf_dir):
+    d = _legacy(spark, sf_dir).filter(QU.is_error("ai_result", "retry"))
+    return d.groupBy(QU.error_category("ai_result").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_STATS_SQL = f"""SELECT count(*) AS total,
+  count(*) FILTER (WHERE ai_result IS NOT NULL AND ai_result <> '' AND NOT {_ERR_STATS}) AS processed,
+  count(*) - count(*) FILTER (WHERE ai_result IS NOT NULL AND ai_result <> '') AS remaining,
+  count(*) FILTER (WHERE {_ERR_STATS}) AS errors FROM {_LEGACY_SQL}"""
+
+
+@register("processing_stats", _STATS_SQL)
+def q_processing_stats(spark, sf_dir):
+    return QU.processing_stats(_legacy(spark, sf_dir), "ai_result")
+
+
+@register("final_report", f"""SELECT *, CASE WHEN total > 0 THEN CAST(processed AS DOUBLE) / total * 100 ELSE 0.0 END AS success_rate
+FROM ({_STATS_SQL})""")
+def q_final_report(spark, sf_dir):
+    return QU.final_report(QU.processing_stats(_legacy(spark, sf_dir), "ai_result"))
+
+
+_RETRY_SRC = f"(SELECT doc_id, {D.MESSY_TEXT} AS text, {D.LEGACY_RESULT} AS ai_result FROM documents)"
+_RMD5 = f"md5({S.prompt_single(PROMPT, S.clean('text'))})"
+_RETRY_SQL = f"""SELECT doc_id,
+  CASE WHEN NOT {_ERR_RETRY} THEN ai_result WHEN NOT {_has_sql('text')} THEN {S.lit(fixed.NO_DATA)}
+       WHEN {_RMD5} LIKE 'a%' THEN {S.lit(fixed.RETRY_FAILED_PREFIX)} || ai_result ELSE {_RMD5} END AS ai_result,
+  CASE WHEN NOT {_ERR_RETRY} THEN NULL WHEN NOT {_has_sql('text')} OR {_RMD5} NOT LIKE 'a%' THEN 'success' ELSE 'failed' END AS retry_outcome
+FROM {_RETRY_SRC}"""
+
+
+def _retry_run(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"), F.expr(D.LEGACY_RESULT).alias("ai_result"))
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(dead_prefixes="a"), policy=NO_SLEEP)
+    return retry_failed(d, spec, "ai_result")
+
+
+@register("retry_failed", _RETRY_SQL)
+def q_retry_failed(spark, sf_dir):
+    return _retry_run(spark, sf_dir).select("doc_id", "ai_result", "retry_outcome")
+
+
+@register("retry_stats", f"""SELECT count(retry_outcome) AS total_errors, count(retry_outcome) AS retry_attempted,
+  count(*) FILTER (WHERE retry_outcome = 'success') AS retry_success, count(*) FILTER (WHERE retry_outcome = 'failed') AS retry_failed,
+  CASE WHEN count(retry_outcome) > 0 THEN CAST(count(*) FILTER (WHERE retry_outcome = 'success') AS DOUBLE) / count(retry_outcome) * 100
+       ELSE 0.0 END AS success_rate FROM ({_RETRY_SQL})""")
+def q_retry_stats(spark, sf_dir):
+    return QU.retry_stats(_retry_run(spark, sf_dir))
+
+
+@register("chunk_summary", """WITH r AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 100 AS chunk_id FROM events)
+SELECT chunk_id, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS success_count,
+  CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS avg_processing_time,
+  CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT) % 4) AS BIGINT) AS total_retries FROM r GROUP BY chunk_id""")
+def q_chunk_summary(spark, sf_dir):
+    e = PK.chunk(table(spark, sf_dir, "events"), "event_id", fixed.CHUNK_SIZE)
+    return QU.chunk_summary(e, "chunk_id", F.col("event_type") != "error", F.round(F.col("value") * 100).cast("long"),
+                            F.get_json_object("props", "$.k").cast("long") % 4)
+
+
+@register("progress", """WITH a AS (SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS processed,
+  min(ts) AS started, max(ts) AS last FROM events),
+b AS (SELECT *, date_diff('microsecond', started, last) / 1000000 AS elapsed_s FROM a),
+c AS (SELECT *, CASE WHEN elapsed_s > 0 THEN processed / elapsed_s END AS rows_per_s FROM b)
+SELECT total, processed, CAST(processed AS DOUBLE) / total * 100 AS pct_done, elapsed_s, rows_per_s,
+  CASE WHEN processed > 0 AND rows_per_s > 0 THEN last + to_microseconds(CAST(floor((total - processed) / rows_per_s * 1000000) AS BIGINT)) END AS eta
+FROM c""")
+def q_progress(spark, sf_dir):
+    return QU.progress(table(spark, sf_dir, "events"), "ts", F.col("event_type") != "error")
+
+
+# ---------------------------------------------------------------------------
+# state, resume, streaming (STR1/STR2, SNK3, SRC8) and run-log audits (STR3-5)
+# ---------------------------------------------------------------------------
+
+
+@register("resume_run", f"""SELECT doc_id, 'OK' AS status, {_PMD5} AS ai_result,
+  CASE WHEN {_PMD5} LIKE 'a%' THEN '2' ELSE '1' END AS run_id FROM documents""")
+def q_resume_run(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = INC.fresh_path(checkpoint_dir(spark), "resume-state")
+    flaky = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(dead_prefixes="a"), policy=NO_SLEEP)
+    INC.run_incremental(docs, flaky, path, run_id=1)
+    healthy = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
+    state = INC.run_incremental(docs, healthy, path, run_id=2)
+    return state.select(F.col("row_key").alias("doc_id"), "status", "ai_result", "run_id")
+
+
+@register("enrich_stream", f"SELECT doc_id, 'OK' AS status, {_PMD5} AS ai_result FROM documents")
+def q_enrich_stream(spark, sf_dir):
+    base = checkpoint_dir(spark)
+    # the input arrives as files in a landing folder: here the documents table, written by Spark in four parts
+    src = INC.fresh_path(base, "stream-input")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartition(4, "doc_id").write.parquet(src)
+    state = INC.fresh_path(base, "stream-state")
+    ckpt = INC.fresh_path(base, "stream-checkpoint")
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
+    q = INC.enrich_stream(spark, src, docs.schema, spec, state, ckpt, max_files_per_trigger=1)
+    q.awaitTermination()
+    # a second start over the same checkpoint finds nothing new and asks nothing
+    INC.enrich_stream(spark, src, docs.schema, spec, state, ckpt, max_files_per_trigger=1).awaitTermination()
+    return INC.load_state(spark, state).select(F.col("row_key").alias("doc_id"), "status", "ai_result")
+
+
+@register("rate_audit", """SELECT date_trunc('minute', ts) AS minute, count(*) AS n_requests,
+  CASE WHEN count(*) > 1 THEN date_diff('microsecond', min(ts), max(ts)) / 1000000 / (count(*) - 1) END AS mean_gap_s,
+  count(*) > 1 AS over_limit FROM events GROUP BY 1""")
+def q_rate_audit(spark, sf_dir):
+    return RL.rate_audit(table(spark, sf_dir, "events"), "ts", rpm=1)
+
+
+@register("breaker_trips", """WITH f AS (SELECT user_id, ts, event_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error')
+SELECT user_id, count(*) AS n_failures, max(CASE WHEN k = 3 THEN ts END) AS opened_at FROM f GROUP BY user_id""")
+def q_breaker_trips(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return RL.breaker_trips(e, "user_id", "ts", F.col("event_type") == "error", "event_id")
+
+
+def _backoff_sql() -> str:
+    parts = []
+    for k in range(fixed.MAX_RETRIES):
+        row = 0 if k == 0 else (k + 1) * fixed.ROW_RETRY_DELAY_S
+        exp = fixed.RETRY_DELAY_EXP_BASE_S * 2 ** k
+        parts.append(f"""SELECT event_id, CAST({k} AS INTEGER) AS k, CAST({(k + 1) * fixed.RETRY_DELAY_LINEAR_S} AS INTEGER) AS wait_linear_s,
+  CAST({exp} AS INTEGER) AS wait_exp_s, CAST({row} AS INTEGER) AS wait_row_s, ts + to_seconds({exp}) AS retry_at
+FROM events WHERE event_type = 'error'""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("backoff_schedule", _backoff_sql())
+def q_backoff(spark, sf_dir):
+    f = table(spark, sf_dir, "events").filter(F.col("event_type") == "error").select("event_id", "ts")
+    return RL.backoff_schedule(f, "ts").select("event_id", "k", "wait_linear_s", "wait_exp_s", "wait_row_s", "retry_at")

@@ -53,3 +53,31 @@ def state_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint directory for a named landed table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "weft-state", name) if "://" not in base else f"{base.rstrip('/')}/weft-state/{name}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by executor Python workers (once per application).
+
+    Zips the package next to the driver and registers it with ``addPyFile``;
+    Spark copies it to every executor and puts it on the workers' path.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="weft-pkg-"), "weft.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
