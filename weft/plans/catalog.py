@@ -869,3 +869,129 @@ FROM events WHERE event_type = 'error'""")
 def q_backoff(spark, sf_dir):
     f = table(spark, sf_dir, "events").filter(F.col("event_type") == "error").select("event_id", "ts")
     return RL.backoff_schedule(f, "ts").select("event_id", "k", "wait_linear_s", "wait_exp_s", "wait_row_s", "retry_at")
+
+
+# ---------------------------------------------------------------------------
+# tasks (TSK): template + backend, and native baselines
+# ---------------------------------------------------------------------------
+from ..operators import tasks as TK  # noqa: E402
+from ..sources import readers as RD  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+_WORDS_SQL = r"regexp_extract_all(lower(text), '\p{L}+')"
+
+
+def _hits_sql(words: list[str]) -> str:
+    arr = "[" + ", ".join(S.lit(w) for w in words) + "]"
+    return f"len(list_filter({_WORDS_SQL}, lambda x: list_contains({arr}, x)))"
+
+
+def _classify_sql() -> str:
+    cats = sorted(TK.LANGUAGE_KEYWORDS.items())
+    hits = {c: _hits_sql(ws) for c, ws in cats}
+    best = "greatest(" + ", ".join(hits.values()) + ")"
+    whens = " ".join(f"WHEN {hits[c]} = {best} THEN '{c}'" for c, _ in cats)
+    return f"CASE WHEN {best} = 0 THEN 'other' {whens} END"
+
+
+@register("task_classify", f"SELECT doc_id, {_classify_sql()} AS category FROM documents")
+def q_task_classify(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", TK.classify_by_keywords("text").alias("category"))
+
+
+def _sentiment_sql() -> str:
+    score = f"({_hits_sql(TK.SENTIMENT_LEXICON['positive'])} - {_hits_sql(TK.SENTIMENT_LEXICON['negative'])})"
+    return f"CASE WHEN {score} > 0 THEN 'positive' WHEN {score} < 0 THEN 'negative' ELSE 'neutral' END"
+
+
+@register("task_sentiment", f"SELECT doc_id, {_sentiment_sql()} AS sentiment FROM documents")
+def q_task_sentiment(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", TK.sentiment_by_lexicon("text").alias("sentiment"))
+
+
+@register("task_keywords", rf"""WITH t AS (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE length(term) >= 3 GROUP BY doc_id, term),
+dq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT doc_id, term, tf * ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) AS score FROM tf JOIN dq USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rk FROM s)
+SELECT doc_id, CAST(rk AS INTEGER) AS rank, term FROM r WHERE rk <= 3""")
+def q_task_keywords(spark, sf_dir):
+    return TK.keywords_tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", k=3)
+
+
+@register("task_summarize", rf"""WITH s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM
+  (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l
+   FROM documents)),
+sc AS (SELECT doc_id, s, pos, len(list_distinct(list_filter(regexp_extract_all(lower(s), '\p{{L}}+'), lambda w: length(w) >= 4))) AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rk FROM sc)
+SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS summary FROM r WHERE rk <= 2 GROUP BY doc_id""")
+def q_task_summarize(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", TK.summarize_extractive("text", k=2).alias("summary"))
+
+
+@register("task_json_classify", f"""SELECT doc_id, {_classify_sql()} || '|' || source || '|null|' || lang || '|null' AS ai_result FROM documents""")
+def q_task_json_classify(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    obj = F.to_json(F.struct(TK.classify_by_keywords("text").alias("category"), F.col("source").alias("product"),
+                             F.lit(None).cast("string").alias("service"), F.col("lang").alias("tag"),
+                             F.lit(None).cast("string").alias("note_1")), {"ignoreNullFields": "false"})
+    out = PA.with_parsed_response(d.withColumn("answer", obj), "answer", "p", use_json=True)
+    return out.select("doc_id", F.col("p.value").alias("ai_result"))
+
+
+def _task_enrich(template_name: str):
+    def q(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        spec = EnrichSpec(prompt=PR.template(template_name), columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
+        return enrich(docs, spec).select("doc_id", F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+    return q
+
+
+for _t in ("translate", "custom"):
+    register(f"task_{_t}", f"SELECT doc_id, md5({S.prompt_single(fixed.TEMPLATES[_t], S.clean('text'))}) AS ai_result FROM documents")(_task_enrich(_t))
+
+
+# ---------------------------------------------------------------------------
+# sources and sinks (SRC / SNK): round trips through files Spark writes from the tables
+# ---------------------------------------------------------------------------
+
+
+@register("csv_roundtrip", "SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
+def q_csv_roundtrip(spark, sf_dir):
+    path = INC.fresh_path(checkpoint_dir(spark), "csv-out")
+    SK.write_result(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path, "csv")
+    back = RD.read_csv(spark, path, na_values=RD.DEFAULT_NA_VALUES)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"), "lang")
+
+
+@register("csv_encodings", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def q_csv_encodings(spark, sf_dir):
+    base = INC.fresh_path(checkpoint_dir(spark), "csv-enc")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    latin = F.decode(F.encode("text", "ISO-8859-1"), "ISO-8859-1") == F.col("text")
+    pick = latin & (F.pmod("doc_id", F.lit(2)) == 0)
+    d.filter(pick).write.options(header=True, quote='"', escape='"', encoding="ISO-8859-1").csv(f"{base}/latin1")
+    d.filter(~pick).write.options(header=True, quote='"', escape='"').csv(f"{base}/utf8")
+    back = RD.read_csv(spark, [f"{base}/latin1", f"{base}/utf8"])
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+@register("requests_roundtrip", f"SELECT CAST(doc_id AS VARCHAR) AS request_id, md5({S.prompt_single(PROMPT, S.clean('text'))}) AS content_md5 FROM documents")
+def q_requests_roundtrip(spark, sf_dir):
+    path = INC.fresh_path(checkpoint_dir(spark), "requests")
+    d = table(spark, sf_dir, "documents").withColumn("prompt", PR.prompt_single(PROMPT, TX.clean_text("text")))
+    SK.write_requests(d, path, "prompt", provider="openai", model="gpt-4.1-mini", key="doc_id")
+    back = spark.read.text(path)
+    return back.select(F.get_json_object("value", "$.request_id").alias("request_id"),
+                       F.md5(F.get_json_object("value", "$.body.messages[0].content")).alias("content_md5"))
+
+
+@register("responses_roundtrip", f"""SELECT CAST(doc_id AS VARCHAR) AS request_id, CASE WHEN doc_id % 7 = 0 THEN md5(text) END AS text_out,
+  {_by_case(7, ['NULL'] + _gem_err()[1:], S.lit(fixed.EMPTY_RESPONSE))} AS error FROM documents""")
+def q_responses_roundtrip(spark, sf_dir):
+    path = INC.fresh_path(checkpoint_dir(spark), "responses")
+    d = _derived(spark, sf_dir, D.GEMINI_BODY)
+    d.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("request_id"), F.col("r").alias("body"))).alias("value")).write.text(path)
+    return RD.read_responses(spark, path, "gemini").select("request_id", F.col("text").alias("text_out"), "error")
