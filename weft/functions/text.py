@@ -18,6 +18,9 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 STRIP_PATTERN = rf"\A{WS_CLASS}+|{WS_CLASS}+\z"
+# the same set as plain characters, for btrim (scans only the two ends of the string)
+WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                    0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
 def _col(c: str | Column) -> Column:
@@ -26,7 +29,7 @@ def _col(c: str | Column) -> Column:
 
 def py_strip(c: str | Column) -> Column:
     """Remove leading/trailing whitespace exactly as Python ``str.strip()`` does."""
-    return F.regexp_replace(_col(c), STRIP_PATTERN, "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def clean_text(c: str | Column) -> Column:

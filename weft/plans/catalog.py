@@ -335,7 +335,8 @@ def _pack_prompt_oracle(fmt: str, multi: bool) -> str:
         prompt = _MPROMPT
     else:
         cte = _pack_cte("documents", "doc_id", "text")
-        block_idx = f"'[' || item_id || '] ' || {S.clean('text')}"
+        # pack items are cleaned when rows are picked and again while rendering (as the original does)
+        block_idx = f"'[' || item_id || '] ' || {S.clean(S.clean('text'))}"
         block_items = f"'Item ' || item_id || ': ' || {S.clean('text')}"
         prompt = PROMPT
     if fmt == "indexed":

@@ -86,12 +86,14 @@ def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     cols = df.columns
     asked = df.withColumn("_prompt", F.when(_has(spec), _single_prompt(spec)))
     answered = call_model(asked, spec.backend, "_prompt", policy=spec.policy, out="_resp")
+    # land the answers with the input columns only (the rendered prompt is not kept)
+    answered = answered.select(*cols, "_resp", F.col("_prompt").isNotNull().alias("_sent"))
     if spec.land:
         answered = land(answered)
     r = F.col("_resp")
     answered = P.with_parsed_response(answered, r["text"], "_val", spec.use_json)
     parsed = F.col("_val")
-    status = F.when(F.col("_prompt").isNull(), F.lit("NO_DATA")).when(r["error"].isNotNull(), F.lit("ERROR")).otherwise(F.lit("OK"))
+    status = F.when(~F.col("_sent"), F.lit("NO_DATA")).when(r["error"].isNotNull(), F.lit("ERROR")).otherwise(F.lit("OK"))
     err = F.when(r["error"].isNotNull(), F.concat(F.lit(fixed.ERROR_AFTER_RETRIES.split("{n}")[0]), r["attempts"].cast("string"),
                                                    F.lit(fixed.ERROR_AFTER_RETRIES.split("{n}")[1])))
     result = F.struct(
@@ -137,6 +139,9 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     cols = df.columns
     reqs = pack_requests(df, spec)
     answered = call_model(reqs, spec.backend, "_prompt", "_item_texts", policy=spec.policy, out="_resp")
+    # land the answers with the packed rows only (no prompt, no second copy of the item text)
+    answered = answered.select("_has", "batch_id", "n_items", "_resp",
+                               F.transform("items", lambda x: F.named_struct(F.lit("item_id"), x["item_id"], F.lit("row"), x["row"])).alias("items"))
     if spec.land:
         answered = land(answered)
     r = F.col("_resp")
