@@ -114,3 +114,19 @@ class CallableBackend(Backend):
 
     def generate_one(self, prompt, items, attempt=0):
         return self.fn(prompt)
+
+
+class CountingBackend(Backend):
+    """Wraps a backend and adds 1 to a Spark accumulator per call (single row or pack): audits paid calls."""
+
+    def __init__(self, inner: Backend, accumulator):
+        self.inner = inner
+        self.acc = accumulator
+        self.max_concurrency = inner.max_concurrency
+
+    def open(self):
+        self.inner.open()
+
+    def generate_one(self, prompt, items, attempt=0):
+        self.acc.add(1)
+        return self.inner.generate_one(prompt, items, attempt)
