@@ -29,9 +29,14 @@ from ..session import checkpoint_dir
 BATCH_SHIFT = 1 << 32
 
 
-def bucket_expr(key: str, n_buckets: int, dtype: T.DataType) -> Column:
-    """Bucket of a row key: ``pmod(key, n)`` for integral keys (SQL-reproducible), else ``pmod(xxhash64(key), n)``."""
-    if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+def bucket_expr(key: str, n_buckets: int, dtype: T.DataType, how: str = "hash") -> Column:
+    """Bucket of a row key.
+
+    ``how='hash'`` (default): ``pmod(xxhash64(key), n)`` - even for patterned keys.
+    ``how='mod'``: ``pmod(key, n)`` for integral keys, which plain SQL can recompute
+    (used where an independent SQL check must know each pack's members).
+    """
+    if how == "mod" and isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return F.pmod(F.col(key), F.lit(n_buckets)).cast("int")
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
 
@@ -42,7 +47,7 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def pack(df: DataFrame, key: str, size: int, mode: str = "bucketed", n_buckets: int | None = None,
-         split_by: str | None = None) -> DataFrame:
+         split_by: str | None = None, bucket_fn: str = "hash") -> DataFrame:
     """Add ``bucket`` (int), ``batch_no`` (bigint), ``batch_id`` (bigint) and ``item_id`` (int, 1-based).
 
     ``split_by`` names a boolean column; rows of each value are packed separately
@@ -52,7 +57,7 @@ def pack(df: DataFrame, key: str, size: int, mode: str = "bucketed", n_buckets:
         raise ValueError("pack size must be >= 1")
     if mode == "bucketed":
         n = n_buckets or default_buckets(df)
-        b = df.withColumn("bucket", bucket_expr(key, n, df.schema[key].dataType))
+        b = df.withColumn("bucket", bucket_expr(key, n, df.schema[key].dataType, bucket_fn))
         parts = ["bucket"] + ([split_by] if split_by else [])
         rn = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col(key))) - 1
         out = b.withColumn("_rank", rn.cast("long"))
@@ -116,9 +121,10 @@ def collect_packs(packed: DataFrame, payload: Sequence[str | Column], carry: Seq
     )
 
 
-def chunk(df: DataFrame, key: str, size: int = 100, mode: str = "ordered", n_buckets: int | None = None) -> DataFrame:
+def chunk(df: DataFrame, key: str, size: int = 100, mode: str = "ordered", n_buckets: int | None = None,
+          bucket_fn: str = "hash") -> DataFrame:
     """``chunk_id``: runs of ``size`` rows (the checkpoint unit of the original tool)."""
-    p = pack(df, key, size, mode=mode, n_buckets=n_buckets)
+    p = pack(df, key, size, mode=mode, n_buckets=n_buckets, bucket_fn=bucket_fn)
     return p.withColumnRenamed("batch_id", "chunk_id").drop("item_id", "batch_no", "bucket")
 
 

@@ -81,8 +81,9 @@ p AS (SELECT *, rk // {size} AS batch_no, CAST(rk % {size} + 1 AS INTEGER) AS it
 
 def _packed_spec(fmt: str, **kw) -> EnrichSpec:
     backend = FingerprintBackend(response_format=fmt, omit_prefixes=kw.pop("omit", "f"), **kw.pop("backend_kw", {}))
+    # bucket by key mod n so the SQL check can recompute every pack's members
     return EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=backend, pack_size=PACK,
-                      pack_format=fmt, n_buckets=N_BUCKETS, policy=NO_SLEEP, **kw)
+                      pack_format=fmt, n_buckets=N_BUCKETS, bucket_fn="mod", policy=NO_SLEEP, **kw)
 
 
 def _packed_query(fmt: str):
@@ -297,7 +298,7 @@ def _pack_prompt_query(fmt: str, multi: bool):
         if multi:
             src = _conv_keyed(spark, sf_dir)
             spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", backend=FingerprintBackend(),
-                              pack_size=PACK, pack_format=fmt, n_buckets=N_BUCKETS)
+                              pack_size=PACK, pack_format=fmt, n_buckets=N_BUCKETS, bucket_fn="mod")
         else:
             src = table(spark, sf_dir, "documents").select("doc_id", "text")
             spec = _packed_spec(fmt)
@@ -647,7 +648,7 @@ from .retry import enrich_with_fallback, retry_failed  # noqa: E402
 SELECT doc_id, bucket, batch_id, item_id FROM p""")
 def q_pack_bucketed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
-    return PK.pack(d, "doc_id", PACK, n_buckets=N_BUCKETS).select("doc_id", "bucket", "batch_id", "item_id")
+    return PK.pack(d, "doc_id", PACK, n_buckets=N_BUCKETS, bucket_fn="mod").select("doc_id", "bucket", "batch_id", "item_id")
 
 
 @register("pack_ordered", f"""WITH {_pack_cte('documents', 'doc_id', 'text', n_buckets=None, has_sql='true')}
@@ -996,3 +997,15 @@ def q_responses_roundtrip(spark, sf_dir):
     d = _derived(spark, sf_dir, D.GEMINI_BODY)
     d.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("request_id"), F.col("r").alias("body"))).alias("value")).write.text(path)
     return RD.read_responses(spark, path, "gemini").select("request_id", F.col("text").alias("text_out"), "error")
+
+
+# production defaults: hash buckets, bucket count from the session, packs of 5 -----------------
+
+
+@register("enrich_packed", f"""SELECT doc_id, CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status,
+  CASE WHEN {_has_sql('text')} THEN md5({S.clean('text')}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM documents""")
+def q_enrich_packed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(),
+                      pack_size=fixed.ASYNC_PACK_SIZE, policy=NO_SLEEP)
+    return enrich(docs, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))

@@ -42,6 +42,7 @@ class EnrichSpec:
     pack_format: str = "indexed"        # 'indexed' ([n] blocks), 'items' (Item n:), 'json' (array with item_id)
     pack_mode: str = "bucketed"         # or 'ordered'
     n_buckets: int | None = None
+    bucket_fn: str = "hash"             # 'hash' (xxhash64 of the key) or 'mod' (key mod n, SQL-reproducible)
     use_json: bool = False
     multi_style: str = "sync"           # multi-column single-row prompt: 'sync' (definitions, cleaned) or 'async'
     policy: RetryPolicy = field(default_factory=RetryPolicy)
@@ -126,7 +127,8 @@ def pack_requests(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     cols = df.columns
     base = df.withColumn("_has", _has(spec))
     # rows with nothing to send sit in their own (never sent) packs: same scan, same exchange
-    packed = pack(base, spec.key, spec.pack_size, mode=spec.pack_mode, n_buckets=spec.n_buckets, split_by="_has")
+    packed = pack(base, spec.key, spec.pack_size, mode=spec.pack_mode, n_buckets=spec.n_buckets, split_by="_has",
+                  bucket_fn=spec.bucket_fn)
     payload = [item_text(spec).alias("text")]
     if spec.multi:
         payload.append(as_item(spec.columns).alias("values"))
