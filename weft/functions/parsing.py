@@ -449,24 +449,27 @@ def with_pack_answers(df, text: str | Column, expected, out: str = "_parsed", st
     arrays = F.filter(F.transform(spans, lambda s: F.from_json(s, "array<string>")), lambda a: a.isNotNull() & (F.size(a) >= exp))
     obj_spans = F.regexp_extract_all(t, F.lit(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), 0)
     item_hdr = r"(?isU)^\s*Item\s*(\d+)\s*[:\-]\s*"
-    df = (
-        df.withColumn("_pk_arr0", F.get(arrays, 0))
-        .withColumn("_pk_obj0", F.transform(obj_spans, lambda s: F.when(_json_valid(s), s).otherwise(
-            F.regexp_replace(F.regexp_replace(py_strip(s), r",(\s*[}\]])", "$1"), r"'([^']*)':", "\"$1\":"))))
-        .withColumn("_pk_n1", _numbered(t, r"(?iU)\n(?=\s*Item\s*\d+\s*[:\-])", item_hdr))
-        .withColumn("_pk_n2", _numbered(t, r"(?iU)(?=Item\s*\d+\s*[:\-])", item_hdr))
-        .withColumn("_pk_n3", _numbered(t, r"\n(?=\s*\d+\.)", r"(?sU)^\s*(\d+)\.\s*"))
-        .withColumn("_pk_dlm", parse_delimited(t, exp))
-        .withColumn("_pk_sen", parse_sentences(t, exp))
-    )
-    df = df.withColumn("_pk_obj1", F.filter("_pk_obj0", lambda s: _json_valid(s) & s.startswith("{")))
     need = exp * F.lit(0.7)
+    # each later reader runs only for answers the earlier ones could not read (CASE WHEN is lazy)
+    df = df.withColumn("_pk_arr0", F.get(arrays, 0))
+    df = df.withColumn("_pk_arr", F.when(F.col("_pk_arr0").isNotNull(), _keyed_objects(F.col("_pk_arr0"), exp)))
+    todo = F.col("_pk_arr").isNull()
+    df = df.withColumn("_pk_obj1", F.when(todo, F.filter(F.transform(obj_spans, lambda s: F.when(_json_valid(s), s).otherwise(
+        F.regexp_replace(F.regexp_replace(py_strip(s), r",(\s*[}\]])", "$1"), r"'([^']*)':", "\"$1\":"))),
+        lambda s: _json_valid(s) & s.startswith("{"))))
+    df = df.withColumn("_pk_obj", F.when(F.size("_pk_obj1") > 0, _keyed_objects(F.col("_pk_obj1"), exp)))
+    todo = todo & F.col("_pk_obj").isNull()
     df = (
-        df.withColumn("_pk_arr", F.when(F.col("_pk_arr0").isNotNull(), _keyed_objects(F.col("_pk_arr0"), exp)))
-        .withColumn("_pk_obj", F.when(F.size("_pk_obj1") > 0, _keyed_objects(F.col("_pk_obj1"), exp)))
-        .withColumn("_pk_num", F.when(F.size("_pk_n1") >= need, F.col("_pk_n1")).when(F.size("_pk_n2") >= need, F.col("_pk_n2"))
-                    .when(F.size("_pk_n3") >= need, F.col("_pk_n3")).otherwise(_empty_answers()))
+        df.withColumn("_pk_n1", F.when(todo, _numbered(t, r"(?iU)\n(?=\s*Item\s*\d+\s*[:\-])", item_hdr)))
+        .withColumn("_pk_n2", F.when(todo & ~(F.size("_pk_n1") >= need), _numbered(t, r"(?iU)(?=Item\s*\d+\s*[:\-])", item_hdr)))
+        .withColumn("_pk_n3", F.when(todo & ~(F.size("_pk_n1") >= need) & ~(F.size("_pk_n2") >= need),
+                                     _numbered(t, r"\n(?=\s*\d+\.)", r"(?sU)^\s*(\d+)\.\s*")))
     )
+    df = df.withColumn("_pk_num", F.when(F.size("_pk_n1") >= need, F.col("_pk_n1")).when(F.size("_pk_n2") >= need, F.col("_pk_n2"))
+                       .when(F.size("_pk_n3") >= need, F.col("_pk_n3")).otherwise(_empty_answers()))
+    todo = todo & (F.size("_pk_num") == 0)
+    df = df.withColumn("_pk_dlm", F.when(todo, parse_delimited(t, exp)).otherwise(_empty_answers()))
+    df = df.withColumn("_pk_sen", F.when(todo & (F.size("_pk_dlm") == 0), parse_sentences(t, exp)).otherwise(_empty_answers()))
     arr, objs, num, dlm, sen = (F.col(c) for c in ("_pk_arr", "_pk_obj", "_pk_num", "_pk_dlm", "_pk_sen"))
     empty_api = F.lower(t) == "empty response"
     res = (
@@ -479,7 +482,7 @@ def with_pack_answers(df, text: str | Column, expected, out: str = "_parsed", st
         .when(F.size(sen) > 0, _ns(("method", F.lit("sentences")), ("answers", sen)))
         .otherwise(_ns(("method", F.lit("unparsed")), ("answers", _empty_answers())))
     )
-    tmp = ["_pk_t", "_pk_arr0", "_pk_obj0", "_pk_obj1", "_pk_n1", "_pk_n2", "_pk_n3", "_pk_dlm", "_pk_sen", "_pk_arr", "_pk_obj", "_pk_num"]
+    tmp = ["_pk_t", "_pk_arr0", "_pk_obj1", "_pk_n1", "_pk_n2", "_pk_n3", "_pk_dlm", "_pk_sen", "_pk_arr", "_pk_obj", "_pk_num"]
     return df.withColumn(out, res).drop(*tmp)
 
 

@@ -6,8 +6,10 @@ same tasks without a model so a job can run offline and be checked:
 * ``classify_by_keywords`` / ``sentiment_by_lexicon``: per-row word counts against a
   small fixed dictionary, computed inside the row (no join, no shuffle);
 * ``keywords_tfidf``: term frequency x inverse document frequency, top-k per document.
-  Document frequency is a partial aggregate; the (doc, term) x (term) join is salted
-  so a term found in a third of all documents is spread over ``salt`` tasks;
+  Documents are hash-partitioned once by key so term counts need no exchange of the
+  token stream; document frequency is a partial aggregate; the (doc, term) x (term)
+  join is salted so a term found in a third of all documents is spread over ``salt``
+  tasks; the top-k window is planned as a window group limit;
 * ``summarize_extractive``: the k sentences with the most distinct content words,
   in their original order, chosen inside the row.
 """
@@ -65,7 +67,10 @@ def sentiment_by_lexicon(text: str | Column, lexicon: dict[str, list[str]] | Non
 def keywords_tfidf(df: DataFrame, key: str, text: str, k: int = 3, min_len: int = 3, salt: int = 16) -> DataFrame:
     """Top ``k`` terms per document by tf * ln(N / df); ties by term. Rows: key, rank, term."""
     n_docs = df.select(key).count()
-    tokens = df.select(key, F.explode(words(text)).alias("term")).filter(F.length("term") >= min_len)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # move whole documents (smaller than their token stream) once; the term counts then need no exchange
+    docs = df.select(key, text).repartition(parts, key)
+    tokens = docs.select(key, F.explode(words(text)).alias("term")).filter(F.length("term") >= min_len)
     tf = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # salt the join key: hot terms are split over `salt` tasks, the small side is copied `salt` times
