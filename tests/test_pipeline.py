@@ -135,3 +135,25 @@ def test_plan_mode():
 def test_finalize_state():
     assert INC.finalize_state({"errors": 0, "remaining": 0}, "x") is True
     assert INC.finalize_state({"errors": 1, "remaining": 0}, "x") is False
+
+
+def test_pacing_spaces_calls():
+    import time as _t
+
+    from weft.operators.inference import _run_batch
+
+    policy = RetryPolicy(rpm=1200, tasks=1)  # one call per 50 ms in this task
+    t0 = _t.perf_counter()
+    out = _run_batch(FingerprintBackend(), policy, ["a", "b", "c", "d"], [None] * 4)
+    assert _t.perf_counter() - t0 >= 0.2 and out["error"].isna().all()
+    # the linear policy waits longer for rate-limit errors than for other errors
+    lin = RetryPolicy()
+    assert lin.delay(1, True) == 120 and lin.delay(1, False) == 5
+    assert RetryPolicy(kind="exponential").delay(2, False) == 20
+
+
+def test_top_k_windows_limit_before_shuffle(spark):
+    from weft.plans.catalog import QUERIES
+
+    plan = QUERIES["breaker_trips"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
