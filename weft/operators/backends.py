@@ -63,7 +63,7 @@ def render_pack_answer(answers: Sequence[str | None], response_format: str) -> s
 class FingerprintBackend(Backend):
     """Deterministic stand-in model: the answer is the md5 of what it was asked.
 
-    Single request -> md5(prompt).  Pack request -> md5(item text) per item,
+    Single request -> md5(prompt) (``single_format='json'``: a fenced five-field JSON object built from it).  Pack request -> md5(item text) per item,
     rendered in ``response_format`` ('indexed', 'items' or 'json').  Items whose
     md5 starts with one of ``omit_prefixes`` are left out of the pack answer, to
     exercise missing-answer reconciliation; prompts whose md5 starts with one of
@@ -74,8 +74,9 @@ class FingerprintBackend(Backend):
 
     def __init__(self, response_format: str = "indexed", omit_prefixes: str = "", fail_prefixes: str = "",
                  fail_attempts: int = 0, fail_message: str = "HTTP 429 Too Many Requests", dead_prefixes: str = "",
-                 poison_item_prefixes: str = ""):
+                 poison_item_prefixes: str = "", single_format: str = "text"):
         self.response_format = response_format
+        self.single_format = single_format
         self.omit_prefixes = tuple(omit_prefixes)
         self.fail_prefixes = tuple(fail_prefixes)
         self.fail_attempts = fail_attempts
@@ -92,6 +93,10 @@ class FingerprintBackend(Backend):
         if self.fail_prefixes and key.startswith(self.fail_prefixes) and attempt < self.fail_attempts:
             raise RuntimeError(self.fail_message)
         if items is None:
+            if self.single_format == "json":
+                # a five-field object as a model in JSON mode would answer, inside a fenced block
+                obj = {"category": key[:8], "product": None, "service": key[8:16], "tag": "", "note_1": key}
+                return "```json\n" + json.dumps(obj, ensure_ascii=False) + "\n```"
             return key
         answers = []
         for t in items:

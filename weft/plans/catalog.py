@@ -1009,3 +1009,95 @@ def q_enrich_packed(spark, sf_dir):
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(),
                       pack_size=fixed.ASYNC_PACK_SIZE, policy=NO_SLEEP)
     return enrich(docs, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+# multi-column enrichment: several columns per row, one row per call and packs --------------------
+
+
+def _multi_item_sql() -> str:
+    parts = [f"'{c}: ' || {S.clean(f'coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})')}" for c in _MULTI_COLS]
+    return " || chr(10) || ".join(parts)
+
+
+def _multi_sync_prompt_sql() -> str:
+    data = " || chr(10) || ".join(f"'{i}. {c}: ' || {S.clean(f'coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})')}"
+                                  for i, c in enumerate(_MULTI_COLS, 1))
+    head = S.lit(chr(10) + _MPROMPT + chr(10) * 2 + fixed.COLUMNS_HEADER + chr(10) + _defs_sql(_MULTI_COLS) + chr(10) * 2 + fixed.DATA_HEADER + chr(10))
+    return f"{head} || {data} || {S.lit(chr(10) * 2 + fixed.RESULT_FOOTER)}"
+
+
+@register("enrich_multi", f"SELECT conv_id, turn, 'OK' AS status, md5({_multi_sync_prompt_sql()}) AS ai_result FROM {_CONV_MESSY}")
+def q_enrich_multi(spark, sf_dir):
+    src = _conv_keyed(spark, sf_dir)
+    spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", backend=FingerprintBackend(), policy=NO_SLEEP)
+    out = enrich(src, spec)
+    return out.select("conv_id", "turn", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+def _multi_packed_oracle() -> str:
+    h = f"md5({_multi_item_sql()})"
+    return f"""WITH {_pack_cte(_CONV_KEYED_SQL, 'row_key', 'text', has_sql='true')},
+q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
+             count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
+SELECT conv_id, turn, batch_id, item_id,
+  CASE WHEN n_present = 0 OR n_present < CAST(0.7 AS DOUBLE) * n_items OR {h} LIKE 'f%' THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN n_present = 0 THEN 'Batch error: {fixed.EMPTY_RESPONSE}' WHEN n_present < CAST(0.7 AS DOUBLE) * n_items THEN 'UNPARSED'
+       WHEN {h} LIKE 'f%' THEN {S.lit(fixed.PACK_PARSE_MISSING_ASYNC)} ELSE {h} END AS ai_result
+FROM q"""
+
+
+@register("enrich_multi_packed", _multi_packed_oracle())
+def q_enrich_multi_packed(spark, sf_dir):
+    src = _conv_keyed(spark, sf_dir)
+    spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", pack_size=PACK, pack_format="items",
+                      n_buckets=N_BUCKETS, bucket_fn="mod", policy=NO_SLEEP, backend=FingerprintBackend(response_format="items", omit_prefixes="f"))
+    out = enrich(src, spec)
+    return out.select("conv_id", "turn", "batch_id", "item_id", F.col("result.status").alias("status"),
+                      F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+# JSON-mode answers parsed inside the pipeline (INF1 + PAR15) -------------------------------------
+
+
+@register("enrich_json", f"""SELECT doc_id, 'OK' AS status, 'json' AS method,
+  substr({_PMD5}, 1, 8) || '|null|' || substr({_PMD5}, 9, 8) || '|null|' || {_PMD5} AS ai_result FROM documents""")
+def q_enrich_json(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(single_format="json"),
+                      use_json=True, policy=NO_SLEEP)
+    out = enrich(docs, spec)
+    return out.select("doc_id", F.col("result.status").alias("status"), F.col("result.method").alias("method"),
+                      F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+# status-based statistics of an enrichment run (AGG1 on the result struct) -----------------------
+
+
+@register("result_stats", f"""SELECT count(*) AS total, count(*) FILTER (WHERE status = 'OK') AS ok,
+  count(*) FILTER (WHERE status = 'NO_DATA') AS no_data, count(*) FILTER (WHERE status = 'ERROR') AS errors
+FROM ({_packed_oracle('items')})""")
+def q_result_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return QU.status_stats(enrich(docs, _packed_spec("items")))
+
+
+# raw web pages: markup and newlines through cleaning and prompting -----------------------------
+
+
+@register("enrich_pages", f"""SELECT page_id, CASE WHEN {_has_sql('html')} THEN 'OK' ELSE 'NO_DATA' END AS status,
+  CASE WHEN {_has_sql('html')} THEN md5({S.prompt_single(PROMPT, S.clean('html'))}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result
+FROM pages""")
+def q_enrich_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    spec = EnrichSpec(prompt=PROMPT, columns=("html",), key="page_id", backend=FingerprintBackend(), policy=NO_SLEEP)
+    out = enrich(pages, spec)
+    return out.select("page_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+# the keyword classifier against the known language of each document --------------------------
+
+
+@register("task_classify_eval", f"SELECT lang, {_classify_sql()} AS category, count(*) AS n FROM documents GROUP BY 1, 2")
+def q_task_classify_eval(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("lang", TK.classify_by_keywords("text").alias("category")).agg(F.count(F.lit(1)).alias("n"))
