@@ -57,6 +57,10 @@ EMPTY_RESPONSE = "Empty response"
 JSON_PARSE_FAILED_PREFIX = "JSON parse failed - Response: "
 JSON_OBJECT_MISSING = '{"error": "JSON object missing from batch response"}'
 RETRY_FAILED_PREFIX = "Retry failed: "
+BATCH_ERROR_PREFIX = "Batch error: "
+PROMPT_EMPTY = "Prompt không được để trống"
+PROMPT_TOO_SHORT = "Prompt quá ngắn (tối thiểu 10 ký tự)"
+PROMPT_OK = "Prompt hợp lệ"
 ERROR_AFTER_RETRIES = "Lỗi xử lý sau {n} lần thử"
 
 # ---------------------------------------------------------------------------

@@ -36,9 +36,9 @@ def validate_prompt(prompt: str | Column) -> Column:
     stripped = py_strip(F.coalesce(p, F.lit("")))
     ok = F.when(stripped == "", F.lit(False)).when(F.length(stripped) < fixed.MIN_PROMPT_CHARS, F.lit(False)).otherwise(True)
     msg = (
-        F.when(stripped == "", F.lit("Prompt không được để trống"))
-        .when(F.length(stripped) < fixed.MIN_PROMPT_CHARS, F.lit("Prompt quá ngắn (tối thiểu 10 ký tự)"))
-        .otherwise(F.lit("Prompt hợp lệ"))
+        F.when(stripped == "", F.lit(fixed.PROMPT_EMPTY))
+        .when(F.length(stripped) < fixed.MIN_PROMPT_CHARS, F.lit(fixed.PROMPT_TOO_SHORT))
+        .otherwise(F.lit(fixed.PROMPT_OK))
     )
     return F.struct(ok.alias("ok"), msg.alias("message"))
 

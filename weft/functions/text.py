@@ -40,8 +40,8 @@ def clean_text(c: str | Column) -> Column:
 
 
 def has_data(c: str | Column) -> Column:
-    """Not NULL and not blank after cleaning."""
-    return _col(c).isNotNull() & (clean_text(c) != F.lit(""))
+    """Not NULL and not blank after cleaning (the replaces never change blankness, so only strip is needed)."""
+    return _col(c).isNotNull() & (py_strip(_col(c).cast("string")) != F.lit(""))
 
 
 def has_any_data(cols: Sequence[str | Column]) -> Column:
@@ -73,9 +73,11 @@ def render_value(c: str | Column) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(fixed.MISSING_VALUE))
 
 
-def as_item(cols: Sequence[str]) -> Column:
-    """Row -> ordered array<struct<name, value>> of the selected columns (value as text)."""
-    return F.array(*[F.struct(F.lit(c).alias("name"), render_value(c).alias("value")) for c in cols])
+def as_item(cols: Sequence[str], row: Column | None = None) -> Column:
+    """Row -> ordered array<struct<name, value>> of the selected columns (value as text).
+    With ``row`` the values are read from that struct column instead of the frame."""
+    get = (lambda c: row[c]) if row is not None else F.col
+    return F.array(*[F.named_struct(F.lit("name"), F.lit(c), F.lit("value"), render_value(get(c))) for c in cols])
 
 
 def tag_no_data(flag: Column) -> Column:

@@ -118,14 +118,15 @@ def _global_rank(df: DataFrame, key: str, n_parts: int | None = None, split_by:
     return ranged.withColumn("_rank", (F.coalesce(offs[slot], F.lit(0)) + pos).cast("long")).drop("_pid", "_mid", "_grp")
 
 
-def collect_packs(packed: DataFrame, payload: Sequence[str | Column], carry: Sequence[str] | None = None) -> DataFrame:
-    """One row per pack: ``bucket, batch_no, batch_id, n_items, items`` with
+def collect_packs(packed: DataFrame, payload: Sequence[str | Column], carry: Sequence[str] | None = None,
+                  by: Sequence[str] = ("bucket", "batch_no")) -> DataFrame:
+    """One row per pack: ``<by>, batch_id, n_items, items`` with
     ``items = array<struct<item_id, <payload fields>, row: struct<carry...>>>`` sorted by item_id."""
     fields = [F.col("item_id")] + [F.col(p) if isinstance(p, str) else p for p in payload]
     if carry:
         fields.append(F.struct(*[F.col(c) for c in carry]).alias("row"))
     return (
-        packed.groupBy("bucket", "batch_no")
+        packed.groupBy(*by)
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
         .withColumn("batch_id", (F.col("bucket").cast("long") * F.lit(BATCH_SHIFT) + F.col("batch_no")).cast("long"))
         .withColumn("n_items", F.size("items").cast("int"))

@@ -110,7 +110,7 @@ SELECT doc_id,
   CASE WHEN has THEN item_id END AS item_id,
   CASE WHEN NOT has THEN 'NO_DATA' WHEN n_present = 0 OR {unparsed} OR {h} LIKE 'f%' THEN 'ERROR' ELSE 'OK' END AS status,
   CASE WHEN NOT has THEN {S.lit(fixed.NO_DATA)}
-       WHEN n_present = 0 THEN 'Batch error: {fixed.EMPTY_RESPONSE}'
+       WHEN n_present = 0 THEN {S.lit(fixed.BATCH_ERROR_PREFIX + fixed.EMPTY_RESPONSE)}
        WHEN {unparsed} THEN 'UNPARSED'
        WHEN {h} LIKE 'f%' THEN {S.lit(missing)}
        ELSE {answer} END AS ai_result
@@ -231,8 +231,8 @@ def _template_case_sql(key: str) -> str:
 @register("validate_prompt", f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN chr(32) || chr(9)
   WHEN doc_id % 4 = 2 THEN lang || ' ok' ELSE text END AS p FROM documents)
 SELECT doc_id, CASE WHEN {S.strip('p')} = '' THEN false WHEN length({S.strip('p')}) < 10 THEN false ELSE true END AS ok,
-  CASE WHEN {S.strip('p')} = '' THEN 'Prompt không được để trống' WHEN length({S.strip('p')}) < 10 THEN 'Prompt quá ngắn (tối thiểu 10 ký tự)'
-  ELSE 'Prompt hợp lệ' END AS message FROM c""")
+  CASE WHEN {S.strip('p')} = '' THEN {S.lit(fixed.PROMPT_EMPTY)} WHEN length({S.strip('p')}) < 10 THEN {S.lit(fixed.PROMPT_TOO_SHORT)}
+  ELSE {S.lit(fixed.PROMPT_OK)} END AS message FROM c""")
 def q_validate_prompt(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.expr("CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN chr(32) || chr(9) "
@@ -1041,7 +1041,7 @@ q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
              count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
 SELECT conv_id, turn, batch_id, item_id,
   CASE WHEN n_present = 0 OR n_present < CAST(0.7 AS DOUBLE) * n_items OR {h} LIKE 'f%' THEN 'ERROR' ELSE 'OK' END AS status,
-  CASE WHEN n_present = 0 THEN 'Batch error: {fixed.EMPTY_RESPONSE}' WHEN n_present < CAST(0.7 AS DOUBLE) * n_items THEN 'UNPARSED'
+  CASE WHEN n_present = 0 THEN {S.lit(fixed.BATCH_ERROR_PREFIX + fixed.EMPTY_RESPONSE)} WHEN n_present < CAST(0.7 AS DOUBLE) * n_items THEN 'UNPARSED'
        WHEN {h} LIKE 'f%' THEN {S.lit(fixed.PACK_PARSE_MISSING_ASYNC)} ELSE {h} END AS ai_result
 FROM q"""
 

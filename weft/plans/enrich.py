@@ -114,25 +114,38 @@ def _pack_prompt(spec: EnrichSpec, items: Column) -> Column:
     return PR.prompt_pack_items(spec.prompt, items, as_json=spec.pack_format == "json", multi=spec.multi)
 
 
-def item_text(spec: EnrichSpec) -> Column:
-    """What one item says: the cleaned text, or ``name: value`` lines of the selected columns."""
+def item_text(spec: EnrichSpec, row: Column | None = None) -> Column:
+    """What one item says: the cleaned text, or ``name: value`` lines of the selected columns
+    (read from the ``row`` struct when given)."""
+    get = (lambda c: row[c]) if row is not None else F.col
     if not spec.multi:
-        return clean_text(spec.columns[0])
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), clean_text(F.coalesce(F.col(c).cast("string"), F.lit(fixed.MISSING_VALUE))))
+        return clean_text(get(spec.columns[0]))
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), clean_text(F.coalesce(get(c).cast("string"), F.lit(fixed.MISSING_VALUE))))
                                for c in spec.columns])
 
 
 def pack_requests(df: DataFrame, spec: EnrichSpec) -> DataFrame:
-    """One row per pack: ``bucket, _has, batch_no, batch_id, n_items, items, _prompt, _item_texts``."""
+    """One row per pack: ``bucket, _has, batch_no, batch_id, n_items, items, _prompt, _item_texts``.
+
+    Only ``(item_id, row)`` crosses the shuffle; the item text (and, for several
+    columns, the name/value list) is derived from the row after it, so the text
+    moves once.
+    """
     cols = df.columns
     base = df.withColumn("_has", _has(spec))
     # rows with nothing to send sit in their own (never sent) packs: same scan, same exchange
     packed = pack(base, spec.key, spec.pack_size, mode=spec.pack_mode, n_buckets=spec.n_buckets, split_by="_has",
                   bucket_fn=spec.bucket_fn)
-    payload = [item_text(spec).alias("text")]
-    if spec.multi:
-        payload.append(as_item(spec.columns).alias("values"))
-    reqs = _collect(packed, spec, payload, cols)
+    # groups are bounded by the pack size; the grouping keys contain the window's partition keys (no new exchange)
+    reqs = collect_packs(packed, [], carry=cols, by=["bucket", "_has", "batch_no"])
+
+    def enrich_item(x):
+        fields = [F.lit("item_id"), x["item_id"], F.lit("text"), item_text(spec, x["row"])]
+        if spec.multi:
+            fields += [F.lit("values"), as_item(spec.columns, x["row"])]
+        return F.named_struct(*fields, F.lit("row"), x["row"])
+
+    reqs = reqs.withColumn("items", F.transform("items", enrich_item))
     reqs = reqs.withColumn("_prompt", F.when(F.col("_has"), _pack_prompt(spec, F.col("items"))))
     return reqs.withColumn("_item_texts", F.transform("items", lambda x: x["text"]))
 
@@ -166,7 +179,7 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
         .otherwise(F.lit("OK"))
     )
     err = (
-        F.when(r["error"].isNotNull(), F.concat(F.lit("Batch error: "), r["error"]))
+        F.when(r["error"].isNotNull(), F.concat(F.lit(fixed.BATCH_ERROR_PREFIX), r["error"]))
         .otherwise(P.pack_missing_message(F.col("_method"), style))
     )
     result = F.struct(
@@ -184,14 +197,3 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
         "result",
         _projected(F.col("result")).alias(fixed.RESULT_COLUMN),
     )
-
-
-def _collect(packed: DataFrame, spec: EnrichSpec, payload, cols) -> DataFrame:
-    """Group packs by (bucket, has-data, batch_no): bounded groups, partitioning reused from the window."""
-    fields = [F.col("item_id")] + payload + [F.struct(*[F.col(c) for c in cols]).alias("row")]
-    return (
-        packed.groupBy("bucket", "_has", "batch_no")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
-        .withColumn("batch_id", (F.col("bucket").cast("long") * F.lit(1 << 32) + F.col("batch_no")).cast("long"))
-        .withColumn("n_items", F.size("items").cast("int"))
-    )

@@ -24,7 +24,7 @@ def enrich_with_fallback(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     Adds ``via`` = 'pack' | 'row'.
     """
     first = enrich(df, spec)
-    failed = (F.col("result.status") == "ERROR") & F.col("result.error").startswith("Batch error")
+    failed = (F.col("result.status") == "ERROR") & F.col("result.error").startswith(fixed.BATCH_ERROR_PREFIX)
     kept = first.filter(~failed).withColumn("via", F.lit("pack"))
     redo_in = first.filter(failed).select(*df.columns, "batch_id", "item_id")
     redo = enrich(redo_in, replace(spec, pack_size=1)).withColumn("via", F.lit("row"))
