@@ -157,3 +157,22 @@ def test_top_k_windows_limit_before_shuffle(spark):
 
     plan = QUERIES["breaker_trips"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_distinct_items_are_asked_once(spark):
+    from weft.plans.enrich import enrich_distinct
+
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    n_distinct = d.select("text").distinct().count()
+    acc = spark.sparkContext.accumulator(0)
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=CountingBackend(acc), policy=NO_SLEEP)
+    out = enrich_distinct(d, spec)
+    assert out.count() == d.count() and acc.value == n_distinct < d.count()
+
+
+def test_row_key_is_stable(spark):
+    from weft.plans.enrich import with_row_key
+
+    a = with_row_key(table(spark, SF_SMALL, "documents")).select("doc_id", "row_key").collect()
+    b = with_row_key(table(spark, SF_SMALL, "documents")).select("doc_id", "row_key").collect()
+    assert sorted(a) == sorted(b) and len({r.row_key for r in a}) == len(a)

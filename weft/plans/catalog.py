@@ -1101,3 +1101,17 @@ def q_enrich_pages(spark, sf_dir):
 def q_task_classify_eval(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.groupBy("lang", TK.classify_by_keywords("text").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# one call per distinct item (identical rows share the answer) ----------------------------------
+
+
+@register("enrich_distinct", f"""SELECT doc_id, CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status,
+  CASE WHEN {_has_sql('text')} THEN md5({S.clean('text')}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM documents""")
+def q_enrich_distinct(spark, sf_dir):
+    from .enrich import enrich_distinct
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), pack_size=fixed.ASYNC_PACK_SIZE,
+                      policy=NO_SLEEP)
+    return enrich_distinct(docs, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))

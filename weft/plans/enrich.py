@@ -197,3 +197,29 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
         "result",
         _projected(F.col("result")).alias(fixed.RESULT_COLUMN),
     )
+
+
+def enrich_distinct(df: DataFrame, spec: EnrichSpec) -> DataFrame:
+    """Ask once per distinct item: identical rows share one answer (and one paid call).
+
+    Items are keyed by ``sha2`` of their cleaned content; ``dropDuplicates`` is a
+    partial aggregate, so a value repeated in a third of all rows collapses before
+    the shuffle. Answers are joined back on the content key; a hot key is a skewed
+    join that AQE splits (the answer side holds one row per key). Use only with a
+    deterministic backend: with sampling, identical rows would otherwise differ.
+    """
+    from dataclasses import replace
+
+    content = item_text(spec)
+    keyed = df.withColumn("_ck", F.sha2(content, 256))
+    distinct = keyed.select("_ck", *spec.columns).dropDuplicates(["_ck"])
+    answers = enrich(distinct, replace(spec, key="_ck"))
+    ans = answers.select("_ck", "result", F.col(fixed.RESULT_COLUMN).alias("_ai"))
+    out = keyed.join(ans, on="_ck", how="left")
+    return out.select(*df.columns, "result", F.col("_ai").alias(fixed.RESULT_COLUMN))
+
+
+def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """A stable key for Parquet input without one: ``file path : row index`` from the file metadata
+    (the same for every run over the same files, unlike ``monotonically_increasing_id``)."""
+    return df.withColumn(name, F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,8 @@ def run_incremental(df: DataFrame, spec: EnrichSpec, state_path: str, run_id: st
     spark = df.sparkSession
     run_id = run_id if run_id is not None else int(time.time() * 1000)
     todo = resume(df, load_state(spark, state_path), spec.key)
-    save_state(enrich(todo, spec), spec.key, state_path, run_id)
+    # the state append is the single action over the answers: it is the landing (one call per row)
+    save_state(enrich(todo, replace(spec, land=False)), spec.key, state_path, run_id)
     return load_state(spark, state_path)
 
 
@@ -81,9 +83,11 @@ def enrich_stream(spark: SparkSession, source_path: str, schema, spec: EnrichSpe
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_path)
 
+    once = replace(spec, land=False)  # the state append is the one action per micro-batch
+
     def per_batch(batch: DataFrame, epoch: int) -> None:
         todo = resume(batch, load_state(batch.sparkSession, state_path), spec.key)
-        save_state(enrich(todo, spec), spec.key, state_path, f"epoch-{epoch}")
+        save_state(enrich(todo, once), spec.key, state_path, f"epoch-{epoch}")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
