@@ -176,3 +176,28 @@ def test_row_key_is_stable(spark):
     a = with_row_key(table(spark, SF_SMALL, "documents")).select("doc_id", "row_key").collect()
     b = with_row_key(table(spark, SF_SMALL, "documents")).select("doc_id", "row_key").collect()
     assert sorted(a) == sorted(b) and len({r.row_key for r in a}) == len(a)
+
+
+def test_retry_after_is_honoured():
+    import time as _t
+
+    from weft.operators.backends import Backend
+    from weft.operators.inference import RateLimited, _run_batch
+
+    class Once(Backend):
+        def generate_one(self, prompt, items, attempt=0):
+            if attempt == 0:
+                raise RateLimited(retry_after=0.3)
+            return "ok"
+
+    t0 = _t.perf_counter()
+    out = _run_batch(Once(), RetryPolicy(), ["p"], [None])
+    assert out["text"][0] == "ok" and out["attempts"][0] == 2 and _t.perf_counter() - t0 >= 0.3
+
+
+def test_final_report_rate(spark):
+    from weft.operators import quality as QU
+
+    stats = spark.createDataFrame([(10, 8, 1, 1)], "total long, processed long, remaining long, errors long")
+    r = QU.final_report(stats, elapsed_s=7200).first()
+    assert r.success_rate == 80.0 and r.elapsed_h == 2.0 and r.rows_per_hour == 4.0

@@ -120,3 +120,14 @@ def test_request_lines(spark):
     obj = json.loads(line)
     assert obj["request_id"] == "7" and obj["body"]["messages"][0]["content"] == "hello"
     assert F is not None
+
+
+def test_validate_file_path(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "in.csv")
+    write(p, b"ID,MESSAGE\n1,a\n")
+    assert RD.validate_file_path(spark, p) == (True, "File hợp lệ")
+    assert RD.validate_file_path(spark, "")[0] is False
+    assert RD.validate_file_path(spark, os.path.join(tmpdir_path, "nope.csv"))[1].startswith("File không tồn tại")
+    q = os.path.join(tmpdir_path, "in.txt")
+    write(q, b"x")
+    assert RD.validate_file_path(spark, q)[1].startswith("Định dạng file không được hỗ trợ")

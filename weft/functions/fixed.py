@@ -61,6 +61,12 @@ BATCH_ERROR_PREFIX = "Batch error: "
 PROMPT_EMPTY = "Prompt không được để trống"
 PROMPT_TOO_SHORT = "Prompt quá ngắn (tối thiểu 10 ký tự)"
 PROMPT_OK = "Prompt hợp lệ"
+PATH_EMPTY = "Đường dẫn file không được để trống"
+PATH_MISSING = "File không tồn tại: {path}"
+PATH_UNSUPPORTED = "Định dạng file không được hỗ trợ. Chỉ hỗ trợ: {formats}"
+PATH_OK = "File hợp lệ"
+ETA_PREFIX = "Dự kiến hoàn thành: "
+ETA_UNKNOWN = "Không thể ước tính"
 ERROR_AFTER_RETRIES = "Lỗi xử lý sau {n} lần thử"
 
 # ---------------------------------------------------------------------------

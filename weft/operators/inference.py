@@ -51,6 +51,14 @@ class RetryPolicy:
         return self.rate_limit_delay * (attempt + 1) if rate_limited else self.short_delay
 
 
+class RateLimited(Exception):
+    """Raised by a backend on HTTP 429; ``retry_after`` (seconds) is honoured when given."""
+
+    def __init__(self, message: str = "HTTP 429 Too Many Requests", retry_after: float | None = None):
+        super().__init__(message)
+        self.retry_after = retry_after
+
+
 def is_rate_limited(message: str | None) -> bool:
     m = (message or "").lower()
     return any(k in m for k in fixed.RATE_LIMIT_MARKERS)
@@ -82,6 +90,10 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
             latency[i] += per_call
             if isinstance(o, BaseException):
                 error[i] = f"{type(o).__name__}: {o}"
+                if getattr(o, "retry_after", None) is not None:
+                    wait = max(wait, float(o.retry_after))
+                    retry.append(i)
+                    continue
             elif o is None or str(o).strip() == "":
                 error[i] = fixed.EMPTY_RESPONSE
             else:

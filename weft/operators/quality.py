@@ -76,10 +76,15 @@ def status_stats(df: DataFrame, result: str = "result") -> DataFrame:
                   F.count_if(s == "NO_DATA").alias("no_data"), F.count_if(s == "ERROR").alias("errors"))
 
 
-def final_report(stats: DataFrame) -> DataFrame:
-    """Stats + success rate in percent (0 for an empty table)."""
+def final_report(stats: DataFrame, elapsed_s: float | None = None) -> DataFrame:
+    """Stats + success rate in percent (0 for an empty table); with the run time also hours and rows/hour."""
     rate = F.when(F.col("total") > 0, F.col("processed").cast("double") / F.col("total") * 100).otherwise(F.lit(0.0))
-    return stats.withColumn("success_rate", rate)
+    out = stats.withColumn("success_rate", rate)
+    if elapsed_s is not None:
+        hours = float(elapsed_s) / 3600
+        out = out.withColumn("elapsed_h", F.lit(hours)).withColumn(
+            "rows_per_hour", F.when(F.lit(hours) > 0, F.col("processed") / F.lit(hours)))
+    return out
 
 
 def retry_stats(df: DataFrame, outcome: str = "retry_outcome") -> DataFrame:
@@ -110,7 +115,10 @@ def progress(log: DataFrame, ts: str, done: Column) -> DataFrame:
     out = out.withColumn("rows_per_s", F.when(F.col("elapsed_s") > 0, F.col("processed") / F.col("elapsed_s")))
     eta = F.expr("timestampadd(MICROSECOND, floor((total - processed) / rows_per_s * 1000000), last)")
     out = out.withColumn("eta", F.when((F.col("processed") > 0) & (F.col("rows_per_s") > 0), eta))
-    return out.select("total", "processed", "pct_done", "elapsed_s", "rows_per_s", "eta")
+    out = out.withColumn("eta_text", F.coalesce(F.concat(F.lit(fixed.ETA_PREFIX), F.date_format("eta", "HH:mm:ss dd/MM/yyyy")),
+                                                F.lit(fixed.ETA_UNKNOWN)))
+    out = out.withColumn("elapsed_h", F.col("elapsed_s") / 3600)
+    return out.select("total", "processed", "pct_done", "elapsed_s", "elapsed_h", "rows_per_s", "eta", "eta_text")
 
 
 def pack_quality(results: DataFrame, batch_col: str = "batch_id", threshold: float = 0.3) -> DataFrame:

@@ -799,10 +799,12 @@ def q_chunk_summary(spark, sf_dir):
 @register("progress", """WITH a AS (SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS processed,
   min(ts) AS started, max(ts) AS last FROM events),
 b AS (SELECT *, date_diff('microsecond', started, last) / 1000000 AS elapsed_s FROM a),
-c AS (SELECT *, CASE WHEN elapsed_s > 0 THEN processed / elapsed_s END AS rows_per_s FROM b)
-SELECT total, processed, CAST(processed AS DOUBLE) / total * 100 AS pct_done, elapsed_s, rows_per_s,
-  CASE WHEN processed > 0 AND rows_per_s > 0 THEN last + to_microseconds(CAST(floor((total - processed) / rows_per_s * 1000000) AS BIGINT)) END AS eta
-FROM c""")
+c AS (SELECT *, CASE WHEN elapsed_s > 0 THEN processed / elapsed_s END AS rows_per_s FROM b),
+d AS (SELECT *, CASE WHEN processed > 0 AND rows_per_s > 0
+  THEN last + to_microseconds(CAST(floor((total - processed) / rows_per_s * 1000000) AS BIGINT)) END AS eta FROM c)
+SELECT total, processed, CAST(processed AS DOUBLE) / total * 100 AS pct_done, elapsed_s, elapsed_s / 3600 AS elapsed_h, rows_per_s, eta,
+  coalesce('""" + fixed.ETA_PREFIX + """' || strftime(eta, '%H:%M:%S %d/%m/%Y'), '""" + fixed.ETA_UNKNOWN + """') AS eta_text
+FROM d""")
 def q_progress(spark, sf_dir):
     return QU.progress(table(spark, sf_dir, "events"), "ts", F.col("event_type") != "error")
 

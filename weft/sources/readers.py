@@ -115,6 +115,20 @@ def read_responses(spark: SparkSession, paths: str | Sequence[str], provider: st
     return lines.select(F.get_json_object("value", "$.request_id").alias("request_id"), r["text"].alias("text"), r["error"].alias("error"))
 
 
+def validate_file_path(spark: SparkSession, path: str | None) -> tuple[bool, str]:
+    """(ok, message): non-empty path, present on the (possibly distributed) file system, supported suffix."""
+    if not path:
+        return False, fixed.PATH_EMPTY
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return False, fixed.PATH_MISSING.format(path=path)
+    if os.path.splitext(path.rstrip("/"))[1].lower() not in fixed.SUPPORTED_SUFFIXES:
+        return False, fixed.PATH_UNSUPPORTED.format(formats=", ".join(fixed.SUPPORTED_SUFFIXES))
+    return True, fixed.PATH_OK
+
+
 def load(spark: SparkSession, path: str, **kw) -> DataFrame:
     """Dispatch on the lower-cased suffix: .csv, .parquet, .json/.jsonl, .txt, .xlsx (folder of workbooks)."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
