@@ -201,3 +201,33 @@ def test_final_report_rate(spark):
     stats = spark.createDataFrame([(10, 8, 1, 1)], "total long, processed long, remaining long, errors long")
     r = QU.final_report(stats, elapsed_s=7200).first()
     assert r.success_rate == 80.0 and r.elapsed_h == 2.0 and r.rows_per_hour == 4.0
+
+
+def test_call_partitions_spreads_requests(spark):
+    d = docs(spark)
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP,
+                      call_partitions=6, land=False)
+    out = enrich(d, spec)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(6)" in plan
+    assert out.count() == d.count()
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=10**12), min_size=1, max_size=60, unique=True), st.integers(1, 7),
+       st.integers(1, 5), st.sampled_from(["hash", "mod"]))
+def test_pack_invariants_property(spark, keys, size, n_buckets, how):
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    rows = PK.pack(df, "k", size, n_buckets=n_buckets, bucket_fn=how).collect()
+    assert sorted(r.k for r in rows) == sorted(keys)
+    packs = {}
+    for r in rows:
+        packs.setdefault(r.batch_id, []).append(r.item_id)
+    assert all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= size for v in packs.values())
+    # at most one short pack per bucket
+    short = [b for b, v in packs.items() if len(v) < size]
+    assert len(short) <= n_buckets

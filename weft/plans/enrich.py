@@ -47,6 +47,8 @@ class EnrichSpec:
     multi_style: str = "sync"           # multi-column single-row prompt: 'sync' (definitions, cleaned) or 'async'
     policy: RetryPolicy = field(default_factory=RetryPolicy)
     land: bool = True
+    call_partitions: int | None = None  # round-robin the requests over this many tasks before the model call
+                                        # (evens out long texts; sets global concurrency = tasks x backend threads)
 
     @property
     def multi(self) -> bool:
@@ -86,6 +88,8 @@ def enrich(df: DataFrame, spec: EnrichSpec) -> DataFrame:
 def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     cols = df.columns
     asked = df.withColumn("_prompt", F.when(_has(spec), _single_prompt(spec)))
+    if spec.call_partitions:
+        asked = asked.repartition(spec.call_partitions)
     answered = call_model(asked, spec.backend, "_prompt", policy=spec.policy, out="_resp")
     # land the answers with the input columns only (the rendered prompt is not kept)
     answered = answered.select(*cols, "_resp", F.col("_prompt").isNotNull().alias("_sent"))
@@ -153,6 +157,8 @@ def pack_requests(df: DataFrame, spec: EnrichSpec) -> DataFrame:
 def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     cols = df.columns
     reqs = pack_requests(df, spec)
+    if spec.call_partitions:
+        reqs = reqs.repartition(spec.call_partitions)
     answered = call_model(reqs, spec.backend, "_prompt", "_item_texts", policy=spec.policy, out="_resp")
     # land the answers with the packed rows only (no prompt, no second copy of the item text)
     answered = answered.select("_has", "batch_id", "n_items", "_resp",
