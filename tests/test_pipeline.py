@@ -231,3 +231,32 @@ def test_pack_invariants_property(spark, keys, size, n_buckets, how):
     # at most one short pack per bucket
     short = [b for b, v in packs.items() if len(v) < size]
     assert len(short) <= n_buckets
+
+
+def test_breaker_streaks_with_a_hot_worker(spark):
+    import random
+
+    from weft.streaming.runlog import breaker_streaks
+
+    rnd = random.Random(7)
+    rows, i = [], 0
+    for w, n in (("hot", 3000), ("a", 40), ("b", 25)):
+        for k in range(n):
+            rows.append((i, w, k, rnd.random() < 0.55))
+            i += 1
+    df = spark.createDataFrame(rows, "id long, worker string, t long, failed boolean")
+    got = {r.worker: (r.max_streak, r.n_trips) for r in
+           breaker_streaks(df, "worker", "t", F.col("failed"), "id", threshold=3, partitions=16).collect()}
+    want = {}
+    for w in ("hot", "a", "b"):
+        seq = [f for (_, ww, _, f) in sorted(rows, key=lambda r: (r[1], r[2])) if ww == w]
+        runs, cur = [], 0
+        for f in seq + [False]:
+            if f:
+                cur += 1
+            elif cur:
+                runs.append(cur)
+                cur = 0
+        if runs:
+            want[w] = (max(runs), sum(r >= 3 for r in runs))
+    assert got == want

@@ -1117,3 +1117,14 @@ def q_enrich_distinct(spark, sf_dir):
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), pack_size=fixed.ASYNC_PACK_SIZE,
                       policy=NO_SLEEP)
     return enrich_distinct(docs, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+@register("breaker_streaks", """WITH e AS (SELECT user_id, event_type = 'error' AS f,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)
+  - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS grp FROM events),
+runs AS (SELECT user_id, grp, count(*) AS len FROM e WHERE f GROUP BY user_id, grp)
+SELECT CAST(user_id AS VARCHAR) AS user_id, max(len) AS max_streak, count(*) FILTER (WHERE len >= 3) AS n_trips
+FROM runs GROUP BY user_id""")
+def q_breaker_streaks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return RL.breaker_streaks(e, "user_id", "ts", F.col("event_type") == "error", "event_id")
