@@ -260,3 +260,24 @@ def test_breaker_streaks_with_a_hot_worker(spark):
         if runs:
             want[w] = (max(runs), sum(r >= 3 for r in runs))
     assert got == want
+
+
+def test_job_end_to_end(spark, tmpdir_path):
+    from weft.plans.job import EnrichJob, run
+
+    src = os.path.join(tmpdir_path, "in.csv")
+    docs(spark).write.options(header=True, quote='"', escape='"').csv(src)
+    n = docs(spark).count()
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, pack_size=5, n_buckets=4,
+                      backend=FingerprintBackend(poison_item_prefixes="f"))
+    job = EnrichJob(input_path=src + "/*.csv", output_path=os.path.join(tmpdir_path, "out"), spec=spec,
+                    state_path=os.path.join(tmpdir_path, "state"), output_format="parquet")
+    from weft.sources.readers import read_csv
+
+    report = run(spark, job, df=read_csv(spark, src))
+    assert report["total"] == n and report["processed"] == n and report["errors"] == 0 and report["keep_state"] is False
+    out = spark.read.parquet(job.output_path)
+    assert out.count() == n and out.filter(F.col("AI_RESULT").isNull()).count() == 0
+    # a second run over the same state asks nothing and writes nothing new
+    job2 = EnrichJob(input_path=src, output_path=os.path.join(tmpdir_path, "out2"), spec=spec, state_path=job.state_path)
+    assert run(spark, job2, df=read_csv(spark, src))["total"] == 0

@@ -1128,3 +1128,22 @@ FROM runs GROUP BY user_id""")
 def q_breaker_streaks(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return RL.breaker_streaks(e, "user_id", "ts", F.col("event_type") == "error", "event_id")
+
+
+# the whole run: load -> enrich in packs -> retry error rows -> write -> report --------------------
+
+
+@register("job_report", """SELECT count(*) AS total, count(*) AS processed, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS remaining,
+  CAST(100.0 AS DOUBLE) AS success_rate FROM documents""")
+def q_job_report(spark, sf_dir):
+    from .job import EnrichJob, run
+
+    base = checkpoint_dir(spark)
+    # failed packs (any item whose md5 starts with 'f') are answered by the retry pass, one row per call
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", pack_size=PACK, policy=NO_SLEEP,
+                      backend=FingerprintBackend(poison_item_prefixes="f"))
+    job = EnrichJob(input_path=f"{sf_dir.rstrip('/')}/documents.parquet", output_path=INC.fresh_path(base, "job-out"), spec=spec,
+                    state_path=INC.fresh_path(base, "job-state"))
+    rep = run(spark, job, df=table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spark.createDataFrame([(rep["total"], rep["processed"], rep["errors"], rep["remaining"], float(rep["success_rate"]))],
+                                 "total long, processed long, errors long, remaining long, success_rate double")
