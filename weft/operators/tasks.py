@@ -8,8 +8,9 @@ same tasks without a model so a job can run offline and be checked:
 * ``keywords_tfidf``: term frequency x inverse document frequency, top-k per document.
   Documents are hash-partitioned once by key so term counts need no exchange of the
   token stream; document frequency is a partial aggregate; the (doc, term) x (term)
-  join is salted so a term found in a third of all documents is spread over ``salt``
-  tasks; the top-k window is planned as a window group limit;
+  join broadcasts the vocabulary only behind a size check and is otherwise a salted
+  shuffle join (a term found in a third of all documents is spread over ``salt``
+  tasks); the top-k window is planned as a window group limit;
 * ``summarize_extractive``: the k sentences with the most distinct content words,
   in their original order, chosen inside the row.
 """
@@ -64,19 +65,35 @@ def sentiment_by_lexicon(text: str | Column, lexicon: dict[str, list[str]] | Non
     return F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral")
 
 
-def keywords_tfidf(df: DataFrame, key: str, text: str, k: int = 3, min_len: int = 3, salt: int = 16) -> DataFrame:
-    """Top ``k`` terms per document by tf * ln(N / df); ties by term. Rows: key, rank, term."""
+MAX_BROADCAST_TERMS = 2_000_000  # document-frequency rows (term + count) we accept to broadcast
+
+
+def keywords_tfidf(df: DataFrame, key: str, text: str, k: int = 3, min_len: int = 3, salt: int = 16,
+                   max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
+    """Top ``k`` terms per document by tf * ln(N / df); ties by term. Rows: key, rank, term.
+
+    The vocabulary is counted first: up to ``max_broadcast_terms`` terms the
+    document-frequency table is broadcast, so term counts keep their per-document
+    partitioning and the top-k window needs no exchange; beyond it the join is a
+    shuffle join salted ``salt`` ways, so a term in a third of all documents is
+    spread over ``salt`` tasks.
+    """
+    from pyspark import StorageLevel
+
     n_docs = df.select(key).count()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     # move whole documents (smaller than their token stream) once; the term counts then need no exchange
     docs = df.select(key, text).repartition(parts, key)
     tokens = docs.select(key, F.explode(words(text)).alias("term")).filter(F.length("term") >= min_len)
-    tf = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # salt the join key: hot terms are split over `salt` tasks, the small side is copied `salt` times
-    tf_s = tf.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salt)).cast("int"))
-    df_s = dfreq.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    scored = tf_s.join(df_s, ["term", "_salt"]).withColumn("score", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
+    idf = F.log(F.lit(float(n_docs)) / F.col("df"))
+    if dfreq.count() <= max_broadcast_terms:
+        scored = tf.join(F.broadcast(dfreq), "term").withColumn("score", F.col("tf") * idf)
+    else:
+        tf_s = tf.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salt)).cast("int"))
+        df_s = dfreq.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        scored = tf_s.join(df_s, ["term", "_salt"]).withColumn("score", F.col("tf") * idf)
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("term"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(key, "rank", "term")
 
