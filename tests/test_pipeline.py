@@ -281,3 +281,13 @@ def test_job_end_to_end(spark, tmpdir_path):
     # a second run over the same state asks nothing and writes nothing new
     job2 = EnrichJob(input_path=src, output_path=os.path.join(tmpdir_path, "out2"), spec=spec, state_path=job.state_path)
     assert run(spark, job2, df=read_csv(spark, src))["total"] == 0
+
+
+def test_timeouts_count_as_failed_attempts():
+    from weft.operators.backends import SlowBackend
+    from weft.operators.inference import _run_batch
+
+    out = _run_batch(SlowBackend(0.3), RetryPolicy(sleep=False, timeout_s=0.05, max_attempts=2), ["p"], [None])
+    assert out["text"][0] is None and out["attempts"][0] == 2 and "Timeout" in out["error"][0]
+    ok = _run_batch(SlowBackend(0.05), RetryPolicy(sleep=False, timeout_s=0.03), ["p"], [["a", "b"]])  # packs get 2x
+    assert ok["error"][0] is None and ok["attempts"][0] == 1

@@ -16,6 +16,7 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 
 
 class Backend:
@@ -29,8 +30,13 @@ class Backend:
     def generate_one(self, prompt: str, items: Sequence[str] | None, attempt: int = 0) -> str:
         raise NotImplementedError
 
-    def generate(self, prompts: Sequence[str], items: Sequence[Sequence[str] | None], attempt: int = 0) -> list:
-        """One answer (or an Exception instance) per prompt; ``attempt`` counts from 0."""
+    def generate(self, prompts: Sequence[str], items: Sequence[Sequence[str] | None], attempt: int = 0,
+                 timeout: Sequence[float | None] | None = None) -> list:
+        """One answer (or an Exception instance) per prompt; ``attempt`` counts from 0.
+
+        With ``timeout`` (seconds per request) a call still running after it counts as a
+        ``TimeoutError`` (the thread is left to finish; its late answer is dropped).
+        """
 
         def one(i):
             try:
@@ -38,10 +44,20 @@ class Backend:
             except Exception as e:  # noqa: BLE001 - failures are data here
                 return e
 
-        if self.max_concurrency <= 1 or len(prompts) <= 1:
+        if timeout is None and (self.max_concurrency <= 1 or len(prompts) <= 1):
             return [one(i) for i in range(len(prompts))]
-        with ThreadPoolExecutor(self.max_concurrency) as pool:
-            return list(pool.map(one, range(len(prompts))))
+        pool = ThreadPoolExecutor(max(1, self.max_concurrency))
+        try:
+            futures = [pool.submit(one, i) for i in range(len(prompts))]
+            out = []
+            for i, f in enumerate(futures):
+                try:
+                    out.append(f.result(timeout=timeout[i] if timeout else None))
+                except FutureTimeout:
+                    out.append(TimeoutError(f"Timeout after {timeout[i]}s"))
+            return out
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
 
 def _md5(s: str) -> str:
@@ -121,6 +137,19 @@ class CallableBackend(Backend):
         return self.fn(prompt)
 
 
+class SlowBackend(Backend):
+    """Answers md5(prompt) after ``delay_s`` seconds (to exercise timeouts)."""
+
+    def __init__(self, delay_s: float):
+        self.delay_s = delay_s
+
+    def generate_one(self, prompt, items, attempt=0):
+        import time
+
+        time.sleep(self.delay_s)
+        return _md5(prompt)
+
+
 class CountingBackend(Backend):
     """Wraps a backend and adds 1 to a Spark accumulator per call (single row or pack): audits paid calls."""
 

@@ -44,6 +44,8 @@ class RetryPolicy:
     sleep: bool = True
     rpm: float | None = None
     tasks: int = 1
+    timeout_s: float | None = None      # per single-row request; a pack request gets pack_timeout_factor times it
+    pack_timeout_factor: float = 2.0
 
     def delay(self, attempt: int, rate_limited: bool) -> float:
         if self.kind == "exponential":
@@ -72,6 +74,9 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
     latency = [0.0] * n
     todo = [i for i in range(n) if prompts[i] is not None]
     interval = (60.0 * policy.tasks / policy.rpm) if policy.rpm else 0.0
+    limits = None
+    if policy.timeout_s:
+        limits = [policy.timeout_s * (policy.pack_timeout_factor if items[i] is not None else 1.0) for i in range(n)]
     for attempt in range(policy.max_attempts):
         if not todo:
             break
@@ -79,10 +84,11 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
         if interval and policy.sleep:
             outs = []
             for i in todo:  # paced: one call at a time
-                outs.extend(backend.generate([prompts[i]], [items[i]], attempt))
+                outs.extend(backend.generate([prompts[i]], [items[i]], attempt, [limits[i]] if limits else None))
                 time.sleep(interval)
         else:
-            outs = backend.generate([prompts[i] for i in todo], [items[i] for i in todo], attempt)
+            outs = backend.generate([prompts[i] for i in todo], [items[i] for i in todo], attempt,
+                                    [limits[i] for i in todo] if limits else None)
         per_call = (time.perf_counter() - t0) * 1000.0 / max(1, len(todo))
         retry, wait = [], 0.0
         for i, o in zip(todo, outs):
