@@ -291,3 +291,16 @@ def test_timeouts_count_as_failed_attempts():
     assert out["text"][0] is None and out["attempts"][0] == 2 and "Timeout" in out["error"][0]
     ok = _run_batch(SlowBackend(0.05), RetryPolicy(sleep=False, timeout_s=0.03), ["p"], [["a", "b"]])  # packs get 2x
     assert ok["error"][0] is None and ok["attempts"][0] == 1
+
+
+def test_job_auto_pack(spark, tmpdir_path):
+    from weft.plans.job import EnrichJob, run
+
+    acc = spark.sparkContext.accumulator(0)
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=CountingBackend(acc))
+    d = docs(spark)
+    job = EnrichJob(input_path="", output_path=os.path.join(tmpdir_path, "o"), spec=spec, auto_pack=True, retry_errors=False)
+    rep = run(spark, job, df=d)
+    n = d.count()
+    assert rep["total"] == n and rep["processed"] == n
+    assert acc.value < n  # more than 10 pending rows: sent in packs of 5

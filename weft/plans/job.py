@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators.columns import require_columns
+from ..operators.packing import plan_pack_size
 from ..operators.quality import is_error
 from ..sources.readers import load
 from ..sources.sinks import write_result
@@ -32,6 +33,7 @@ class EnrichJob:
     output_format: str = "parquet"
     retry_errors: bool = True
     run_id: str = "run"
+    auto_pack: bool = False   # choose the pack size from the number of pending rows (one count)
 
 
 def run(spark: SparkSession, job: EnrichJob, df: DataFrame | None = None) -> dict:
@@ -41,6 +43,9 @@ def run(spark: SparkSession, job: EnrichJob, df: DataFrame | None = None) -> dic
     require_columns(data, list(spec.columns) + [spec.key])
     state = load_state(spark, job.state_path) if job.state_path else None
     todo = resume(data, state, spec.key)
+    if job.auto_pack:
+        _, size = plan_pack_size(todo.count())
+        spec = replace(spec, pack_size=size, pack_format="indexed" if size == fixed.SYNC_PACK_SIZE else spec.pack_format)
     result = enrich(todo, spec)
     if job.retry_errors:
         # the retry pass reads the landed answers; only rows with an error are asked again
