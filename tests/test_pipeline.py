@@ -304,3 +304,18 @@ def test_job_auto_pack(spark, tmpdir_path):
     n = d.count()
     assert rep["total"] == n and rep["processed"] == n
     assert acc.value < n  # more than 10 pending rows: sent in packs of 5
+
+
+def test_job_on_a_table_with_results(spark, tmpdir_path):
+    from weft.plans.job import EnrichJob, run
+
+    d = docs(spark).withColumn("AI_RESULT", F.when(F.col("doc_id") % 2 == 0, F.lit("kept answer")).otherwise(F.lit("")))
+    acc = spark.sparkContext.accumulator(0)
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=CountingBackend(acc))
+    out_path = os.path.join(tmpdir_path, "o")
+    rep = run(spark, EnrichJob(input_path="", output_path=out_path, spec=spec, retry_errors=False), df=d)
+    n_pending = d.filter("AI_RESULT = ''").count()
+    assert acc.value == n_pending and rep["total"] == d.count()
+    out = spark.read.parquet(out_path)
+    assert out.columns.count("AI_RESULT") == 1
+    assert out.filter("AI_RESULT = 'kept answer'").count() == d.count() - n_pending

@@ -80,6 +80,8 @@ def enrich(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     missing = [c for c in list(spec.columns) + [spec.key] if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+    # an earlier result (e.g. the original tool's output file) is replaced, not duplicated
+    df = df.drop(*[c for c in ("result", fixed.RESULT_COLUMN) if c in df.columns and c not in spec.columns])
     if spec.pack_size <= 1:
         return _enrich_single(df, spec)
     return _enrich_packed(df, spec)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import pending
 from ..operators.columns import require_columns
 from ..operators.packing import plan_pack_size
 from ..operators.quality import is_error
@@ -42,6 +43,11 @@ def run(spark: SparkSession, job: EnrichJob, df: DataFrame | None = None) -> dic
     data = df if df is not None else load(spark, job.input_path)
     require_columns(data, list(spec.columns) + [spec.key])
     state = load_state(spark, job.state_path) if job.state_path else None
+    kept = None
+    if fixed.RESULT_COLUMN in data.columns:
+        # a table that already carries results: only empty results are pending, the rest is kept as it is
+        kept = data.filter(~pending(fixed.RESULT_COLUMN))
+        data = data.filter(pending(fixed.RESULT_COLUMN)).drop(fixed.RESULT_COLUMN)
     todo = resume(data, state, spec.key)
     if job.auto_pack:
         _, size = plan_pack_size(todo.count())
@@ -57,6 +63,10 @@ def run(spark: SparkSession, job: EnrichJob, df: DataFrame | None = None) -> dic
             .otherwise("OK").alias("status"),
             F.col(fixed.RESULT_COLUMN).alias("value"), F.lit(None).cast("string").alias("error"),
             F.lit(None).cast("int").alias("attempts"), F.lit(None).cast("string").alias("method")))
+    if kept is not None:
+        result = result.unionByName(kept.withColumn("result", F.struct(
+            F.lit("OK").alias("status"), F.col(fixed.RESULT_COLUMN).alias("value"), F.lit(None).cast("string").alias("error"),
+            F.lit(None).cast("int").alias("attempts"), F.lit("kept").alias("method"))), allowMissingColumns=True)
     if job.state_path:
         save_state(result, spec.key, job.state_path, job.run_id)
     r = F.col(fixed.RESULT_COLUMN)
