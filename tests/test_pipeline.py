@@ -319,3 +319,18 @@ def test_job_on_a_table_with_results(spark, tmpdir_path):
     out = spark.read.parquet(out_path)
     assert out.columns.count("AI_RESULT") == 1
     assert out.filter("AI_RESULT = 'kept answer'").count() == d.count() - n_pending
+
+
+def test_stream_epoch_is_idempotent(spark, tmpdir_path):
+    d = docs(spark)
+    state = os.path.join(tmpdir_path, "state")
+    acc = spark.sparkContext.accumulator(0)
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=CountingBackend(acc), policy=NO_SLEEP)
+    INC.save_state(enrich(d, spec), "doc_id", state, "epoch-0")
+    calls = acc.value
+    assert INC.state_has_run(spark, state, "epoch-0") and not INC.state_has_run(spark, state, "epoch-1")
+    # a later run of the same key wins over an earlier one, by write time (not by the run id text)
+    INC.save_state(enrich(d.limit(3), spec), "doc_id", state, "epoch-10")
+    latest = INC.load_state(spark, state)
+    assert latest.count() == d.count() and latest.filter("run_id = 'epoch-10'").count() == 3
+    assert acc.value == calls + 3

@@ -823,7 +823,7 @@ def q_resume_run(spark, sf_dir):
     INC.run_incremental(docs, flaky, path, run_id=1)
     healthy = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
     state = INC.run_incremental(docs, healthy, path, run_id=2)
-    return state.select(F.col("row_key").alias("doc_id"), "status", "ai_result", "run_id")
+    return state.select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result", "run_id")
 
 
 @register("enrich_stream", f"SELECT doc_id, 'OK' AS status, {_PMD5} AS ai_result FROM documents")
@@ -840,7 +840,7 @@ def q_enrich_stream(spark, sf_dir):
     q.awaitTermination()
     # a second start over the same checkpoint finds nothing new and asks nothing
     INC.enrich_stream(spark, src, docs.schema, spec, state, ckpt, max_files_per_trigger=1).awaitTermination()
-    return INC.load_state(spark, state).select(F.col("row_key").alias("doc_id"), "status", "ai_result")
+    return INC.load_state(spark, state).select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result")
 
 
 @register("rate_audit", """SELECT date_trunc('minute', ts) AS minute, count(*) AS n_requests,

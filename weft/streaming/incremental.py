@@ -20,29 +20,44 @@ from ..functions import fixed
 from ..plans.enrich import EnrichSpec, enrich
 
 DONE = ("OK", "NO_DATA")
+STATE_SCHEMA = ("row_key string, status string, value string, error string, attempts int, ai_result string, "
+                "written_at timestamp, run_id string")
 
 
 def state_rows(result: DataFrame, key: str, run_id: str | int) -> DataFrame:
-    """The state columns of an enriched frame."""
+    """The state columns of an enriched frame (the key is kept as text)."""
     return result.select(
-        F.col(key).alias("row_key"), F.col("result.status").alias("status"), F.col("result.value").alias("value"),
+        F.col(key).cast("string").alias("row_key"), F.col("result.status").alias("status"), F.col("result.value").alias("value"),
         F.col("result.error").alias("error"), F.col("result.attempts").alias("attempts"), F.col(fixed.RESULT_COLUMN).alias("ai_result"),
         F.lit(str(run_id)).alias("run_id"), F.current_timestamp().alias("written_at"),
     )
 
 
 def save_state(result: DataFrame, key: str, path: str, run_id: str | int) -> None:
-    """Append this run's answers; never rewrite earlier ones."""
-    state_rows(result, key, run_id).write.mode("append").parquet(path)
+    """Append this run's answers under ``run_id=<id>/``; never rewrite earlier ones."""
+    state_rows(result, key, run_id).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def load_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """Latest row per key, or None when no state exists yet."""
+def _read_state(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        raw = spark.read.parquet(path)
+        return spark.read.schema(STATE_SCHEMA).parquet(path)
     except Exception:  # noqa: BLE001 - no state folder yet
         return None
-    latest = raw.groupBy("row_key").agg(F.max_by(F.struct(*[c for c in raw.columns if c != "row_key"]), F.struct("run_id", "written_at")).alias("s"))
+
+
+def state_has_run(spark: SparkSession, path: str, run_id: str | int) -> bool:
+    """Whether a run (or micro-batch) already appended its answers; reads one partition folder only."""
+    raw = _read_state(spark, path)
+    return raw is not None and raw.filter(F.col("run_id") == str(run_id)).limit(1).count() > 0
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """Latest row per key (by write time), or None when no state exists yet."""
+    raw = _read_state(spark, path)
+    if raw is None:
+        return None
+    rest = [c for c in raw.columns if c != "row_key"]
+    latest = raw.groupBy("row_key").agg(F.max_by(F.struct(*rest), F.struct("written_at", "run_id")).alias("s"))
     return latest.select("row_key", "s.*")
 
 
@@ -50,7 +65,7 @@ def resume(df: DataFrame, state: DataFrame | None, key: str) -> DataFrame:
     """Rows of ``df`` that still need an answer: not in state, or in state with an error."""
     if state is None:
         return df
-    done = state.filter(F.col("status").isin(*DONE)).select(F.col("row_key").alias(key))
+    done = state.filter(F.col("status").isin(*DONE)).select(F.col("row_key").cast(df.schema[key].dataType).alias(key))
     return df.join(done, on=key, how="left_anti")
 
 
@@ -70,13 +85,15 @@ def run_incremental(df: DataFrame, spec: EnrichSpec, state_path: str, run_id: st
 
 
 def enrich_stream(spark: SparkSession, source_path: str, schema, spec: EnrichSpec, state_path: str, checkpoint: str,
-                  max_files_per_trigger: int | None = None, available_now: bool = True):
+                  max_files_per_trigger: int | None = None, available_now: bool = True, skip_answered_keys: bool = False):
     """Structured Streaming run: new files under ``source_path`` are enriched micro-batch by micro-batch.
 
-    Each micro-batch drops keys already answered, enriches the rest and appends
-    them to the state table; the streaming checkpoint records which files were
-    done, so a restart continues where it stopped and a second run over the same
-    files asks nothing.
+    The streaming checkpoint records which files were done, so each file is read
+    once and a second run over the same files asks nothing. A micro-batch that is
+    run again after a failure finds its own ``epoch-<n>`` partition in the state and
+    is skipped (an idempotent sink), so no answer is paid for twice. With
+    ``skip_answered_keys`` each micro-batch also drops keys answered by earlier runs
+    (a join with the whole state: only for inputs that re-deliver rows).
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -86,8 +103,11 @@ def enrich_stream(spark: SparkSession, source_path: str, schema, spec: EnrichSpe
     once = replace(spec, land=False)  # the state append is the one action per micro-batch
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        todo = resume(batch, load_state(batch.sparkSession, state_path), spec.key)
-        save_state(enrich(todo, once), spec.key, state_path, f"epoch-{epoch}")
+        run = f"epoch-{epoch}"
+        if state_has_run(batch.sparkSession, state_path, run):
+            return
+        todo = resume(batch, load_state(batch.sparkSession, state_path), spec.key) if skip_answered_keys else batch
+        save_state(enrich(todo, once), spec.key, state_path, run)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
