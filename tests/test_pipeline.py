@@ -334,3 +334,14 @@ def test_stream_epoch_is_idempotent(spark, tmpdir_path):
     latest = INC.load_state(spark, state)
     assert latest.count() == d.count() and latest.filter("run_id = 'epoch-10'").count() == 3
     assert acc.value == calls + 3
+
+
+def test_spec_validation():
+    import pytest
+
+    with pytest.raises(ValueError):
+        EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), pack_format="xml")
+    with pytest.raises(ValueError):
+        EnrichSpec(prompt=PROMPT, columns="text", key="doc_id", backend=FingerprintBackend())
+    with pytest.raises(ValueError):
+        EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), pack_size=0)

@@ -50,6 +50,19 @@ class EnrichSpec:
     call_partitions: int | None = None  # round-robin the requests over this many tasks before the model call
                                         # (evens out long texts; sets global concurrency = tasks x backend threads)
 
+    def __post_init__(self):
+        if not self.columns:
+            raise ValueError("select at least one column")
+        if isinstance(self.columns, str):
+            raise ValueError("columns must be a sequence of names, e.g. ('MESSAGE',)")
+        checks = {"pack_format": (self.pack_format, ("indexed", "items", "json")), "pack_mode": (self.pack_mode, ("bucketed", "ordered")),
+                  "bucket_fn": (self.bucket_fn, ("hash", "mod")), "multi_style": (self.multi_style, ("sync", "async"))}
+        for name, (value, allowed) in checks.items():
+            if value not in allowed:
+                raise ValueError(f"{name}={value!r}; expected one of {', '.join(allowed)}")
+        if self.pack_size < 1:
+            raise ValueError("pack_size must be >= 1")
+
     @property
     def multi(self) -> bool:
         return len(self.columns) > 1
