@@ -365,7 +365,11 @@ def meaningful_text(text: str | Column) -> Column:
 
 
 def parse_response(text: str | Column, use_json: bool = False) -> Column:
-    """struct<value string, method string> for one model answer (text or JSON mode)."""
+    """struct<value string, method string> for one model answer (text or JSON mode).
+
+    As a single column expression the JSON mode repeats its sub-expressions; on
+    large tables use ``with_parsed_response``, which stages them (same result).
+    """
     raw = _col(text)
     empty = raw.isNull() | (raw == F.lit(""))
     if not use_json:
