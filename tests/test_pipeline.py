@@ -345,3 +345,16 @@ def test_spec_validation():
         EnrichSpec(prompt=PROMPT, columns="text", key="doc_id", backend=FingerprintBackend())
     with pytest.raises(ValueError):
         EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), pack_size=0)
+
+
+def test_live_backends_get_prompts_only(spark):
+    from weft.operators.backends import CallableBackend
+
+    seen = spark.sparkContext.accumulator(0)
+    d = docs(spark)
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", pack_size=5, n_buckets=4, policy=NO_SLEEP,
+                      backend=Counting(CallableBackend(lambda p: "\n".join(f"[{i}] ok" for i in range(1, 6)), max_concurrency=2), seen))
+    out = enrich(d, spec)
+    assert out.filter("result.status = 'OK'").count() == d.count()
+    plan = pack_requests(d, spec)
+    assert not spec.backend.needs_items and "_item_texts" in plan.columns

@@ -23,6 +23,8 @@ class Backend:
     """Base class. Subclasses override ``generate_one`` or ``generate``."""
 
     max_concurrency: int = 1
+    # whether pack requests must also ship the item texts (a live model reads only the prompt)
+    needs_items: bool = False
 
     def open(self) -> None:  # once per task
         pass
@@ -88,6 +90,8 @@ class FingerprintBackend(Backend):
     with one of ``poison_item_prefixes`` always fails (to exercise the row fallback).
     """
 
+    needs_items = True
+
     def __init__(self, response_format: str = "indexed", omit_prefixes: str = "", fail_prefixes: str = "",
                  fail_attempts: int = 0, fail_message: str = "HTTP 429 Too Many Requests", dead_prefixes: str = "",
                  poison_item_prefixes: str = "", single_format: str = "text"):
@@ -157,6 +161,7 @@ class CountingBackend(Backend):
         self.inner = inner
         self.acc = accumulator
         self.max_concurrency = inner.max_concurrency
+        self.needs_items = inner.needs_items
 
     def open(self):
         self.inner.open()

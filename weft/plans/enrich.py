@@ -174,7 +174,9 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     reqs = pack_requests(df, spec)
     if spec.call_partitions:
         reqs = reqs.repartition(spec.call_partitions)
-    answered = call_model(reqs, spec.backend, "_prompt", "_item_texts", policy=spec.policy, out="_resp")
+    # item texts travel to Python only for backends that read them (the deterministic test model)
+    items = "_item_texts" if spec.backend.needs_items else None
+    answered = call_model(reqs, spec.backend, "_prompt", items, policy=spec.policy, out="_resp")
     # land the answers with the packed rows only (no prompt, no second copy of the item text)
     answered = answered.select("_has", "batch_id", "n_items", "_resp",
                                F.transform("items", lambda x: F.named_struct(F.lit("item_id"), x["item_id"], F.lit("row"), x["row"])).alias("items"))
