@@ -41,20 +41,17 @@ def bucket_expr(key: str, n_buckets: int, dtype: T.DataType, how: str = "hash")
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
 
 
-BUCKET_BYTES = 64 * 1024 * 1024
+BUCKETS_PER_INPUT_PARTITION = 2
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Number of buckets: about 64 MB of input each (Catalyst's size estimate, no extra job),
-    at least the shuffle partition count. Each bucket may end in one short pack, so few
-    buckets keep packs full while enough buckets keep every window task small."""
+    """Number of buckets: two per input partition (file splits of ``spark.sql.files.maxPartitionBytes``,
+    128 MB by default, so about 64 MB of input per bucket), at least the shuffle partition count.
+    Each bucket may end in one short pack, so few buckets keep packs full while enough
+    buckets keep every window task small."""
     spark = df.sparkSession
     floor = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate available (e.g. Spark Connect)
-        return floor
-    return max(floor, min(size // BUCKET_BYTES + 1, 1 << 30))
+    return max(floor, df.rdd.getNumPartitions() * BUCKETS_PER_INPUT_PARTITION)
 
 
 def pack(df: DataFrame, key: str, size: int, mode: str = "bucketed", n_buckets: int | None = None,

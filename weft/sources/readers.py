@@ -119,10 +119,10 @@ def validate_file_path(spark: SparkSession, path: str | None) -> tuple[bool, str
     """(ok, message): non-empty path, present on the (possibly distributed) file system, supported suffix."""
     if not path:
         return False, fixed.PATH_EMPTY
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    try:
+        # resolving the path lists it on its file system (local, HDFS, object store); no content is read
+        spark.read.format("binaryFile").load(path).schema
+    except Exception:  # noqa: BLE001 - path not found
         return False, fixed.PATH_MISSING.format(path=path)
     if os.path.splitext(path.rstrip("/"))[1].lower() not in fixed.SUPPORTED_SUFFIXES:
         return False, fixed.PATH_UNSUPPORTED.format(formats=", ".join(fixed.SUPPORTED_SUFFIXES))
