@@ -41,17 +41,16 @@ def bucket_expr(key: str, n_buckets: int, dtype: T.DataType, how: str = "hash")
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
 
 
-BUCKETS_PER_INPUT_PARTITION = 2
+BUCKETS_PER_INPUT_PARTITION = 4
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Number of buckets: two per input partition (file splits of ``spark.sql.files.maxPartitionBytes``,
-    128 MB by default, so about 64 MB of input per bucket), at least the shuffle partition count.
-    Each bucket may end in one short pack, so few buckets keep packs full while enough
-    buckets keep every window task small."""
-    spark = df.sparkSession
-    floor = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return max(floor, df.rdd.getNumPartitions() * BUCKETS_PER_INPUT_PARTITION)
+    """Number of buckets: four per input partition (Spark splits files by
+    ``spark.sql.files.maxPartitionBytes``, 128 MB, and by default parallelism for small
+    inputs), so about 32 MB of input per bucket. Each bucket may end in one short pack:
+    tying the count to the input keeps packs full on small inputs, and gives a large
+    input as many small window tasks as it needs."""
+    return max(1, df.rdd.getNumPartitions() * BUCKETS_PER_INPUT_PARTITION)
 
 
 def pack(df: DataFrame, key: str, size: int, mode: str = "bucketed", n_buckets: int | None = None,
