@@ -198,6 +198,9 @@ def decode_first_sheet(data: bytes) -> list[list[str | None]]:
 
 def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of .xlsx workbooks -> one DataFrame (header from each file's first row, all columns text)."""
+    from ..session import ship_package
+
+    ship_package(spark)  # the decoder runs in executor Python workers
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder)
 
     def decode(batches):
