@@ -1147,3 +1147,38 @@ def q_job_report(spark, sf_dir):
     rep = run(spark, job, df=table(spark, sf_dir, "documents").select("doc_id", "text"))
     return spark.createDataFrame([(rep["total"], rep["processed"], rep["errors"], rep["remaining"], float(rep["success_rate"]))],
                                  "total long, processed long, errors long, remaining long, success_rate double")
+
+
+# tuned-model registry: a registry file derived from the data, read back and joined per document ----------
+_REG_TEMPLATE = "'Ctx ' || source || ': {context_info}' || chr(10) || '{input_text}'"
+_REG_REQUIRES = "(CAST(regexp_extract(source, '[0-9]+', 0) AS INT) % 2 = 0)"
+
+
+def _registry_prompt_sql() -> str:
+    t = S.clean("text")
+    out = "('Ctx ' || source || ': {context_info}' || chr(10) || '{input_text}')"
+    for name in fixed.TEXT_PLACEHOLDERS:
+        out = f"replace({out}, '{{{name}}}', {t})"
+    for name in fixed.PROMPT_PLACEHOLDERS:
+        out = f"replace({out}, '{{{name}}}', {S.lit(PROMPT)})"
+    requires = "(CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 2 = 0)"
+    return f"CASE WHEN {requires} THEN {out} ELSE {S.prompt_single(PROMPT, t)} END"
+
+
+@register("prompt_from_registry", f"""SELECT doc_id, 'tuned-' || source AS model_id, md5({_registry_prompt_sql()}) AS prompt_md5 FROM documents""")
+def q_prompt_from_registry(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # one registry document: a model per source (the registry is a dimension: one entry per model)
+    models = docs.select("source").distinct().select(
+        F.col("source").alias("name"),
+        F.struct(F.concat(F.lit("tuned-"), F.col("source")).alias("model_id"), F.col("source").alias("display_name"),
+                 F.lit("2025-01-01").alias("training_date"), F.expr(_REG_REQUIRES).alias("requires_context"),
+                 F.struct(F.expr(_REG_TEMPLATE).alias("template")).alias("prompt_context")).alias("m"))
+    reg_json = models.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("name", "m"))).alias("fine_tuned_models")))
+                          .alias("value"))
+    path = INC.fresh_path(checkpoint_dir(spark), "registry")
+    reg_json.coalesce(1).write.text(path)
+    registry = RD.read_model_registry(spark, path)
+    joined = docs.join(registry, docs["source"] == registry["name"], "left")
+    p = PR.prompt_with_registry("template", "requires_context", TX.clean_text("text"), PROMPT)
+    return joined.select("doc_id", "model_id", F.md5(p).alias("prompt_md5"))
