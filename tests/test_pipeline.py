@@ -358,3 +358,25 @@ def test_live_backends_get_prompts_only(spark):
     assert out.filter("result.status = 'OK'").count() == d.count()
     plan = pack_requests(d, spec)
     assert not spec.backend.needs_items and "_item_texts" in plan.columns
+
+
+def test_request_log_feeds_the_audits(spark):
+    from weft.operators import quality as QU
+    from weft.streaming import runlog as RL
+
+    d = docs(spark)
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", pack_size=5, n_buckets=4, policy=NO_SLEEP,
+                      backend=FingerprintBackend(poison_item_prefixes="0"))
+    out = enrich(d, spec)
+    log = QU.request_log(out)
+    n_calls = pack_requests(d, spec).filter("_has").count()
+    rows = log.collect()
+    assert len(rows) == n_calls and {r.success for r in rows} == {True, False}
+    assert all(r.retry_count == (2 if not r.success else 0) for r in rows)
+    p = QU.progress(log, "called_at", F.col("success")).first()
+    assert p.total == n_calls and 0 < p.processed < n_calls
+    assert RL.rate_audit(log, "called_at", rpm=1000).agg(F.sum("n_requests")).first()[0] == n_calls
+    single = enrich(d, EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP,
+                                  backend=FingerprintBackend(dead_prefixes="0")))
+    slog = QU.request_log(single).collect()
+    assert len(slog) == d.count() and any(not r.success for r in slog)

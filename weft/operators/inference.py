@@ -24,7 +24,7 @@ from ..functions import fixed
 from ..session import ship_package, state_path
 from .backends import Backend
 
-RESPONSE_T = "text string, error string, attempts int, latency_ms double"
+RESPONSE_T = "text string, error string, attempts int, latency_ms double, called_at double, task int"
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,12 @@ def is_rate_limited(message: str | None) -> bool:
 
 
 def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list) -> pd.DataFrame:
+    from pyspark import TaskContext
+
+    ctx = TaskContext.get()
+    task = ctx.partitionId() if ctx is not None else -1
     n = len(prompts)
+    called = [None] * n
     text = [None] * n
     error = [None] * n
     attempts = [0] * n
@@ -81,6 +86,10 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
         if not todo:
             break
         t0 = time.perf_counter()
+        now = time.time()
+        for i in todo:
+            if called[i] is None:
+                called[i] = now
         if interval and policy.sleep:
             outs = []
             for i in todo:  # paced: one call at a time
@@ -110,11 +119,13 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
         todo = retry
         if todo and attempt + 1 < policy.max_attempts and policy.sleep and wait > 0:
             time.sleep(wait)
-    return pd.DataFrame({"text": text, "error": error, "attempts": attempts, "latency_ms": latency})
+    return pd.DataFrame({"text": text, "error": error, "attempts": attempts, "latency_ms": latency, "called_at": called,
+                         "task": [task if c is not None else None for c in called]})
 
 
 def model_udf(backend: Backend, policy: RetryPolicy | None = None):
-    """A non-deterministic Arrow UDF ``(prompt string, items array<string>) -> struct<text, error, attempts, latency_ms>``."""
+    """A non-deterministic Arrow UDF ``(prompt, items) -> struct<text, error, attempts, latency_ms, called_at, task>``
+    (``called_at``: epoch seconds of the first attempt; ``task``: the Spark partition that made the call)."""
     pol = policy or RetryPolicy()
     bk = backend
     active = SparkSession.getActiveSession()
@@ -135,7 +146,7 @@ def model_udf(backend: Backend, policy: RetryPolicy | None = None):
 
 def call_model(df: DataFrame, backend: Backend, prompt: str | Column = "prompt", items: str | Column | None = None,
                policy: RetryPolicy | None = None, out: str = "response") -> DataFrame:
-    """Add ``out`` = struct<text, error, attempts, latency_ms>; rows with a NULL prompt are not sent."""
+    """Add ``out`` = struct<text, error, attempts, latency_ms, called_at, task>; rows with a NULL prompt are not sent."""
     p = F.col(prompt) if isinstance(prompt, str) else prompt
     it = (F.col(items) if isinstance(items, str) else items) if items is not None else F.lit(None).cast("array<string>")
     return df.withColumn(out, model_udf(backend, policy)(p, it))

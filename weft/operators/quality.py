@@ -126,3 +126,24 @@ def pack_quality(results: DataFrame, batch_col: str = "batch_id", threshold: flo
     ok = F.col("result.status") == "OK"
     g = results.filter(F.col(batch_col).isNotNull()).groupBy(batch_col).agg(F.count(F.lit(1)).alias("n_items"), F.count_if(ok).alias("n_ok"))
     return g.withColumn("low_quality", F.col("n_ok") < F.col("n_items") * F.lit(threshold))
+
+
+def request_log(results: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+    """One row per model request of an enrichment run (a pack counts once):
+    ``called_at, task, success, error, processing_time (s), retry_count``.
+
+    Feed it to ``progress``, ``chunk_summary``, ``streaming.runlog.rate_audit`` or
+    ``breaker_trips`` to audit a run with the same queries as any request log.
+    """
+    r = F.col("result")
+    sent = results.filter(r["called_at"].isNotNull())
+    if batch_col in results.columns:
+        # all items of a pack share one call: keep one row per pack
+        sent = sent.groupBy(batch_col).agg(F.any_value("result").alias("result"))
+    return sent.select(
+        F.col("result.called_at").alias("called_at"), F.col("result.task").alias("task"),
+        F.col("result.call_ok").alias("success"),
+        F.when(~F.col("result.call_ok"), F.col("result.error")).alias("error"),
+        (F.col("result.latency_ms") / 1000).alias("processing_time"),
+        (F.col("result.attempts") - 1).alias("retry_count"),
+    )

@@ -122,6 +122,10 @@ def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
         F.when(status == "ERROR", err).alias("error"),
         F.coalesce(r["attempts"], F.lit(0)).alias("attempts"),
         F.when(status == "OK", parsed["method"]).alias("method"),
+        F.timestamp_seconds(r["called_at"]).alias("called_at"),
+        r["latency_ms"].alias("latency_ms"),
+        r["task"].alias("task"),
+        F.when(r["called_at"].isNotNull(), r["error"].isNull()).alias("call_ok"),
     )
     out = answered.withColumn("result", result)
     return out.select(*cols, "result", _projected(F.col("result")).alias(fixed.RESULT_COLUMN))
@@ -211,6 +215,10 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
         F.when(status == "ERROR", err).alias("error"),
         F.coalesce(r["attempts"], F.lit(0)).alias("attempts"),
         F.when(status == "OK", F.col("_method")).alias("method"),
+        F.timestamp_seconds(r["called_at"]).alias("called_at"),
+        r["latency_ms"].alias("latency_ms"),
+        r["task"].alias("task"),
+        F.when(r["called_at"].isNotNull(), r["error"].isNull()).alias("call_ok"),
     )
     out = exploded.withColumn("result", result)
     return out.select(
