@@ -131,3 +131,13 @@ def test_validate_file_path(spark, tmpdir_path):
     q = os.path.join(tmpdir_path, "in.txt")
     write(q, b"x")
     assert RD.validate_file_path(spark, q)[1].startswith("Định dạng file không được hỗ trợ")
+
+
+def test_detect_text_column_on_csv(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "m.csv")
+    write(p, b"ID,DATE,NOTE\n1,2025-01-20,hello\n2,2025-01-21,world\n")
+    df = RD.read_csv(spark, p)  # all columns are strings
+    assert detect_text_column(df) == "ID"  # without types the first column wins
+    # with the sampled schema ID is numeric; a date-looking column stays text, as in a pandas read -> DATE
+    assert detect_text_column(df, RD.sample_schema(spark, p, ratio=1.0)) == "DATE"
+    assert RD.load(spark, p).filter("NOTE IS NULL").count() == 0

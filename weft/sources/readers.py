@@ -80,6 +80,12 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], na_values: Sequenc
     return apply_na_values(out, na_values)
 
 
+def sample_schema(spark: SparkSession, paths: str | Sequence[str], ratio: float = 0.1) -> T.StructType:
+    """Column types inferred from a sample of the rows (for text-column detection on all-string CSV input)."""
+    return (spark.read.options(header=True, multiLine=True, quote='"', escape='"', inferSchema=True, samplingRatio=ratio)
+            .csv(_paths(paths)).schema)
+
+
 def read_prompts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Prompt files: one prompt per file, stripped and validated (name, prompt, ok, message)."""
     df = spark.read.text(_paths(paths), wholetext=True).select(F.input_file_name().alias("path"), py_strip("value").alias("prompt"))
@@ -133,6 +139,7 @@ def load(spark: SparkSession, path: str, **kw) -> DataFrame:
     """Dispatch on the lower-cased suffix: .csv, .parquet, .json/.jsonl, .txt, .xlsx (folder of workbooks)."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".csv":
+        kw.setdefault("na_values", DEFAULT_NA_VALUES)  # the same blanks a pandas read would give
         return read_csv(spark, path, **kw)
     if suffix == ".parquet":
         return spark.read.parquet(path)
