@@ -351,7 +351,7 @@ def json_to_text(obj_json: str | Column, delimiter: str = fixed.RESULT_DELIMITER
     piped = F.concat_ws(
         delimiter, *[F.when(_truthy(fv), F.try_variant_get(fv, "$", "string")).otherwise(F.lit("null")) for fv in fvs]
     )
-    return F.when(all_present & ~bad, piped).otherwise(F.to_json(v))
+    return F.when(all_present & ~bad, piped).otherwise(F.to_json(F.from_json(j, "map<string,variant>")))
 
 
 def meaningful_text(text: str | Column) -> Column:
@@ -535,7 +535,9 @@ def with_json_text(df, obj: str, out: str, delimiter: str = fixed.RESULT_DELIMIT
     bad = F.exists(F.array(*[F.col(f"_jt_y{i}") & ~F.coalesce(F.col(f"_jt_s{i}"), F.lit(False)) for i in range(n)]), lambda b: b)
     piped = F.concat_ws(delimiter, *[F.when(F.col(f"_jt_y{i}"), F.try_variant_get(F.col(f"_jt_f{i}"), "$", "string")).otherwise(F.lit("null"))
                                      for i in range(n)])
-    df = df.withColumn(out, F.when(F.col(obj).isNull(), F.lit(None).cast("string")).when(all_present & ~bad, piped).otherwise(F.to_json(F.col("_jt_v"))))
+    # anything else is written back as compact JSON with its keys in their original order
+    as_json = F.to_json(F.from_json(F.col(obj), "map<string,variant>"))
+    df = df.withColumn(out, F.when(F.col(obj).isNull(), F.lit(None).cast("string")).when(all_present & ~bad, piped).otherwise(as_json))
     return df.drop("_jt_v", "_jt_m", *[f"_jt_{k}{i}" for k in "fys" for i in range(n)])
 
 

@@ -570,7 +570,7 @@ _PIPED = [
     "NULL",
     "NULL",
 ]
-_J_NUMBER_OUT = """'{"category":"' || lang || '","note_1":2,"product":"p","service":"s","tag":"t"}'"""
+_J_NUMBER_OUT = """'{"category":"' || lang || '","product":"p","service":"s","tag":"t","note_1":2}'"""
 
 
 @register("json_to_text", f"SELECT doc_id, {_by_case(10, _PIPED, _J_NUMBER_OUT)} AS result_text FROM documents")
