@@ -104,3 +104,8 @@ def test_prompt_from_context_sequential(spark):
 def test_templates_registry():
     assert list(fixed.TEMPLATES) == ["summarize", "classify", "sentiment", "extract_keywords", "translate", "custom", "json_classify"]
     assert PR.template("custom") == "Hãy xử lý nội dung sau theo yêu cầu:"
+
+
+def test_templates_frame(spark):
+    rows = {r.name: r.prompt for r in PR.templates_frame(spark).collect()}
+    assert rows == fixed.TEMPLATES

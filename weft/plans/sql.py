@@ -23,7 +23,3 @@ def clean(x: str) -> str:
 
 def prompt_single(prompt: str, text_sql: str) -> str:
     return f"{lit(prompt)} || {lit(chr(10) * 2 + fixed.CONTENT_HEADER + chr(10))} || {text_sql} || {lit(chr(10) * 2 + fixed.RESULT_FOOTER)}"
-
-
-def ws_class() -> str:
-    return RE2_WS
