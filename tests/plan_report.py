@@ -41,7 +41,9 @@ def main():
              f"Generated by `python tests/plan_report.py {sf_dir}` (local[8], 8 shuffle partitions, AQE on). Counted on",
              "the plan of the returned DataFrame; work landed earlier (model answers, state, written inputs) is read back",
              "as a file scan, so its exchanges are not repeated here. `single` marks an exchange to one partition: only",
-             "global aggregates of already partial-aggregated rows (report rows) are expected there.", "",
+             "global aggregates of already partial-aggregated rows (report rows) are expected there. A persisted sub-plan is",
+             "printed each time it is referenced, so `task_keywords` (term counts computed once, then cached) shows its",
+             "document exchange twice.", "",
              "| query | exchanges | single | broadcast | sort-merge joins | window group limit | python stages | pushed filters |",
              "|---|---|---|---|---|---|---|---|"]
     for name, s in rows:
