@@ -76,7 +76,9 @@ def keywords_tfidf(df: DataFrame, key: str, text: str, k: int = 3, min_len: int
     document-frequency table is broadcast, so term counts keep their per-document
     partitioning and the top-k window needs no exchange; beyond it the join is a
     shuffle join salted ``salt`` ways, so a term in a third of all documents is
-    spread over ``salt`` tasks.
+    spread over ``salt`` tasks. The term counts are persisted (memory and disk) for the
+    vocabulary count and the join; release them with ``spark.catalog.clearCache()`` or
+    by unpersisting after the result is written.
     """
     from pyspark import StorageLevel
 
