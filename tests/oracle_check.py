@@ -27,6 +27,10 @@ def norm(v):
     return repr(v)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE",
+                 "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(norm(r[i]) for i in order) for r in rows)
@@ -54,11 +58,13 @@ def compare(spark, con, name, fn, sql, sf_dir, verbose=True):
         return {"name": name, "rows": len(rows), "oracle": None, "spark_s": round(t1 - t0, 2)}
     rel = con.sql(sql)
     ocols = rel.columns
+    otypes = {c: str(t) for c, t in zip(ocols, rel.types)}
     orows = rel.fetchall()
+    types_ok = all(SPARK_TO_DUCK.get(t, t) == otypes.get(c) for c, t in df.dtypes)
     h1, l1 = digest(cols, rows)
     h2, l2 = digest(ocols, orows)
     ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and h1 == h2
-    res = {"name": name, "ok": ok, "rows": len(rows), "orows": len(orows), "spark_s": round(t1 - t0, 2)}
+    res = {"name": name, "ok": ok, "types_ok": types_ok, "rows": len(rows), "orows": len(orows), "spark_s": round(t1 - t0, 2)}
     if not ok and verbose:
         res["cols"] = (cols, ocols)
         a, b = set(l1), set(l2)

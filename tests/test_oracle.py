@@ -18,7 +18,7 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     assert name in ORACLE, f"{name} has no oracle"
     r = compare(spark, con, name, QUERIES[name], ORACLE[name], SF_SMALL)
-    assert r["ok"], r
+    assert r["ok"] and r["types_ok"], r
 
 
 def test_entry_smoke(spark):
