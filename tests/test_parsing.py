@@ -102,3 +102,26 @@ def test_provider_bodies(spark):
     df = one_col(spark, ['{"candidates": []}', '{"candidates": [{"content": {"parts": [{"text": "hi"}]}}]}'])
     rows = df.select(PA.response_text("t", "gemini").alias("r")).collect()
     assert rows[0].r.error == fixed.API_EMPTY_CANDIDATES and rows[1].r.text == "hi"
+
+
+_ANSWER = st.text(alphabet=st.sampled_from(list("abcxyz éố")), min_size=1, max_size=10).map(str.strip).filter(bool)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(_ANSWER, st.none()), min_size=1, max_size=6))
+def test_pack_answers_roundtrip_items_and_json(spark, answers):
+    """Rendered answers (None = left out) come back under their own item numbers, in both formats."""
+    present = [a for a in answers if a is not None]
+    n = len(answers)
+    rows = [(render_pack_answer(answers, "items"), render_pack_answer(answers, "json"))]
+    df = spark.createDataFrame(rows, "itm string, js string")
+    df = PA.with_pack_answers(df, "itm", n, out="pi")
+    df = PA.with_pack_answers(df, "js", n, out="pj")
+    cols = [PA.answer_for(F.col("pi.answers"), F.lit(i)).alias(f"i{i}") for i in range(1, n + 1)]
+    cols += [PA.answer_for(F.col("pj.answers"), F.lit(i)).alias(f"j{i}") for i in range(1, n + 1)]
+    got = df.select(*cols).first()
+    want_json = [None if a is None else json.dumps({"answer": a}, ensure_ascii=False, separators=(",", ":")) for a in answers]
+    assert [got[f"j{i}"] for i in range(1, n + 1)] == want_json
+    # numbered answers are read when at least 70 % of the items are present
+    if present and len(present) >= 0.7 * n:
+        assert [got[f"i{i}"] for i in range(1, n + 1)] == answers

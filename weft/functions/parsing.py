@@ -112,7 +112,7 @@ def _keyed_objects(objs: Column, expected: Column) -> Column:
         F.transform(objs, lambda o: _ns(("n", F.get_json_object(o, "$.item_id").try_cast("int")), ("t", _drop_item_id(o)))),
         lambda x: x["n"] <= expected,
     )
-    positional = _positional(F.transform(objs, _drop_item_id), expected)
+    positional = _positional(F.transform(objs, lambda o: F.coalesce(_drop_item_id(o), o)), expected)
     return F.when(all_ids, keyed).otherwise(positional)
 
 
@@ -469,6 +469,10 @@ def with_pack_answers(df, text: str | Column, expected, out: str = "_parsed", st
         lambda s: _json_valid(s) & s.startswith("{"))))
     df = df.withColumn("_pk_obj", F.when(F.size("_pk_obj1") > 0, _keyed_objects(F.col("_pk_obj1"), exp)))
     todo = todo & F.col("_pk_obj").isNull()
+    # an answer that is a JSON array as a whole (even empty or short) is read as JSON, never as prose
+    df = df.withColumn("_pk_warr", F.when(todo & t.startswith("["), F.from_json(t, "array<string>")))
+    df = df.withColumn("_pk_wans", F.when(F.col("_pk_warr").isNotNull(), _keyed_objects(F.col("_pk_warr"), exp)))
+    todo = todo & F.col("_pk_warr").isNull()
     df = (
         df.withColumn("_pk_n1", F.when(todo, _numbered(t, r"(?iU)\n(?=\s*Item\s*\d+\s*[:\-])", item_hdr)))
         .withColumn("_pk_n2", F.when(todo & ~(F.size("_pk_n1") >= need), _numbered(t, r"(?iU)(?=Item\s*\d+\s*[:\-])", item_hdr)))
@@ -487,12 +491,14 @@ def with_pack_answers(df, text: str | Column, expected, out: str = "_parsed", st
         .when(empty_api, _ns(("method", F.lit("empty_api")), ("answers", _empty_answers())))
         .when(arr.isNotNull(), _ns(("method", F.lit("json_array")), ("answers", arr)))
         .when(objs.isNotNull(), _ns(("method", F.lit("json_objects")), ("answers", objs)))
+        .when(F.col("_pk_wans").isNotNull(), _ns(("method", F.lit("json_array")), ("answers", F.col("_pk_wans"))))
         .when(F.size(num) > 0, _ns(("method", F.lit("numbered")), ("answers", num)))
         .when(F.size(dlm) > 0, _ns(("method", F.lit("delimited")), ("answers", dlm)))
         .when(F.size(sen) > 0, _ns(("method", F.lit("sentences")), ("answers", sen)))
         .otherwise(_ns(("method", F.lit("unparsed")), ("answers", _empty_answers())))
     )
-    tmp = ["_pk_t", "_pk_arr0", "_pk_obj1", "_pk_n1", "_pk_n2", "_pk_n3", "_pk_dlm", "_pk_sen", "_pk_arr", "_pk_obj", "_pk_num"]
+    tmp = ["_pk_t", "_pk_arr0", "_pk_obj1", "_pk_n1", "_pk_n2", "_pk_n3", "_pk_dlm", "_pk_sen", "_pk_arr", "_pk_obj", "_pk_num",
+           "_pk_warr", "_pk_wans"]
     return df.withColumn(out, res).drop(*tmp)
 
 
