@@ -186,4 +186,6 @@ OPENAI_MAX_TOKENS = 10000
 RESULT_FILE_PATTERN = "{stem}_ai_result_{stamp}.{ext}"
 STATE_FILE_PATTERN = "{stem}_checkpoint.{ext}"
 SUPPORTED_SUFFIXES = [".xlsx", ".csv", ".xls"]
+# the original's decode order; utf-8-sig is UTF-8 with a byte order mark (stripped on read) and latin-1
+# decodes every byte, so cp1252 is never reached: detection here is UTF-8 or ISO-8859-1 per file
 ENCODINGS_TRIED = ["utf-8", "utf-8-sig", "latin-1", "cp1252"]
