@@ -380,3 +380,18 @@ def test_request_log_feeds_the_audits(spark):
                                   backend=FingerprintBackend(dead_prefixes="0")))
     slog = QU.request_log(single).collect()
     assert len(slog) == d.count() and any(not r.success for r in slog)
+
+
+def test_packs_with_json_mode(spark):
+    import hashlib
+
+    d = docs(spark)
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", pack_size=5, n_buckets=4, pack_format="json",
+                      use_json=True, policy=NO_SLEEP, backend=FingerprintBackend(response_format="json"))
+    rows = enrich(d, spec).select("text", "result.status", "result.method", "AI_RESULT").collect()
+    assert all(r.status == "OK" for r in rows)
+    import re as _re
+    sample = rows[0]
+    cleaned = _re.sub(r"\n\n\n", "\n\n", sample.text.strip()).replace("\t", " ")
+    # each item's answer object is not a five-field result: written back as compact JSON, key order kept
+    assert sample.AI_RESULT == '{"answer":"' + hashlib.md5(cleaned.encode()).hexdigest() + '"}'
