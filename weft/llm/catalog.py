@@ -1,14 +1,16 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from weft.llm import exact_dedup, shards
+from weft.llm import exact_dedup, mixing, shards
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
+    "op3_mix": mixing.op3_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
 }
 
 ORACLE = {
     "op1_shards": shards.shards_sql(),
+    "op3_mix": mixing.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
 }
