@@ -1,13 +1,14 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from weft.llm import exact_dedup, mixing, pieces, shards
+from weft.llm import exact_dedup, language, mixing, pieces, shards
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
     "op3_mix": mixing.op3_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_pieces": pieces.op7_pieces,
+    "op10_language": language.op10_language,
 }
 
 ORACLE = {
