@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from weft.llm import exact_dedup, language, mixing, pieces, shards
+from weft.llm import exact_dedup, language, mixing, near_dups, pieces, shards
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
+    "op2_near_duplicates": near_dups.op2_near_duplicates,
     "op3_mix": mixing.op3_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_pieces": pieces.op7_pieces,
