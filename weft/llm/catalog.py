@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from weft.llm import exact_dedup, language, mixing, near_dups, pieces, shards
+from weft.llm import exact_dedup, language, mixing, near_dups, pieces, quality, shards
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_mix": mixing.op3_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_pieces": pieces.op7_pieces,
+    "op8_quality": quality.op8_quality,
     "op10_language": language.op10_language,
 }
 
