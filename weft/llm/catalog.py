@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from weft.llm import exact_dedup, language, mixing, near_dups, pieces, quality, shards, urls
+from weft.llm import exact_dedup, language, mixing, near_dups, neighbours, pieces, quality, shards, urls
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_url_filter": urls.op6_url_filter,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality": quality.op8_quality,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_language": language.op10_language,
 }
 
