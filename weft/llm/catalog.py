@@ -1,13 +1,14 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 from __future__ import annotations
 
-from weft.llm import exact_dedup, language, mixing, near_dups, neighbours, pieces, quality, shards, urls
+from weft.llm import exact_dedup, language, mixing, near_dups, neighbours, personal, pieces, quality, shards, urls
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
     "op2_near_duplicates": near_dups.op2_near_duplicates,
     "op3_mix": mixing.op3_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_personal_data": personal.op5_personal_data,
     "op6_url_filter": urls.op6_url_filter,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality": quality.op8_quality,
