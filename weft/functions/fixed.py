@@ -50,7 +50,6 @@ NO_DATA = "Không có dữ liệu"
 NO_RESPONSE = "Không có response"
 PACK_PARSE_MISSING_SYNC = "Lỗi parse kết quả"
 PACK_PARSE_MISSING_ASYNC = "Parse failed - missing result"
-PACK_MISSING = "Missing result"
 EMPTY_PACK_RESPONSE = "Empty response - Batch processing failed"
 EMPTY_PACK_API = "Empty response - API error"
 EMPTY_RESPONSE = "Empty response"
@@ -147,9 +146,7 @@ PROMPT_PLACEHOLDERS = ["context_info", "context_data", "metadata", "additional_c
 # header-like lines dropped by the delimiter fallback
 # ---------------------------------------------------------------------------
 ANSWER_PREFIXES = ["Kết quả", "Result"]
-HEADER_LINE_PREFIXES = ["Kết quả", "Result", "Item", "Hãy", "Please", "Note"]
 # capital letters after which a sentence boundary is accepted
-SENTENCE_CAPITALS = "A-ZÀÁẠẢÃÂẦẤẬẨẪĂẰẮẶẲẴÈÉẸẺẼÊỀẾỆỂỄÌÍỊỈĨÒÓỌỎÕÔỒỐỘỔỖƠỜỚỢỞỠÙÚỤỦŨƯỪỨỰỬỮỲÝỴỶỸĐ"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: shipped run settings
@@ -159,7 +156,6 @@ RESULT_COLUMN = "AI_RESULT"
 SYNC_PACK_SIZE = 10
 ASYNC_PACK_SIZE = 5
 CHUNK_SIZE = 100
-MAX_CONCURRENT_REQUESTS = 10
 RATE_LIMIT_RPM = 1000
 MAX_RETRIES = 3
 RETRY_DELAY_LINEAR_S = 60
@@ -188,4 +184,3 @@ STATE_FILE_PATTERN = "{stem}_checkpoint.{ext}"
 SUPPORTED_SUFFIXES = [".xlsx", ".csv", ".xls"]
 # the original's decode order; utf-8-sig is UTF-8 with a byte order mark (stripped on read) and latin-1
 # decodes every byte, so cp1252 is never reached: detection here is UTF-8 or ISO-8859-1 per file
-ENCODINGS_TRIED = ["utf-8", "utf-8-sig", "latin-1", "cp1252"]

@@ -2,10 +2,12 @@
 
 Pack parsers return ``array<struct<n:int, t:string>>``: the answer text ``t``
 for item ``n``.  Answers are matched to rows by ``n`` (a key), never by
-position, so a missing or repeated block cannot shift later rows.
+position, so a missing or repeated block cannot shift later rows.  Answers
+without numbers are read only when there are exactly as many as were asked for;
+otherwise the pack is unparsed.  No answer is dropped for its length.
 
-JSON parsers work on a single response and return strings; validity is
-checked with ``try_parse_json`` (no Python in the loop).
+Where a sub-expression is used more than once it is staged as a column of a frame
+(``with_...``), so that it is evaluated once per row.
 """
 from __future__ import annotations
 
@@ -36,9 +38,18 @@ def _nonempty_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda l: py_strip(l)), lambda l: l != F.lit(""))
 
 
-def _positional(parts: Column, expected: Column) -> Column:
-    """First ``expected`` parts keyed 1..expected."""
-    return F.transform(F.slice(parts, 1, F.greatest(expected, F.lit(1))), lambda p, i: _ns(("n", (i + 1).cast("int")), ("t", p)))
+def _exactly(parts: Column, expected: Column) -> Column:
+    """Parts without numbers as answers 1..expected, only if there are exactly as many."""
+    keyed = F.transform(parts, lambda p, i: _ns(("n", (i + 1).cast("int")), ("t", p)))
+    return F.when(F.size(parts) == expected, keyed).otherwise(_empty_answers())
+
+
+def _trimmed(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda p: py_strip(p)), lambda p: p != F.lit(""))
+
+
+def _lit_or_col(x) -> Column:
+    return F.lit(x) if isinstance(x, int) else _col(x)
 
 
 # ---------------------------------------------------------------------------
@@ -79,52 +90,36 @@ def _numbered(text: Column, split_re: str, header_re: str) -> Column:
     return F.filter(parsed, lambda x: x["n"].isNotNull() & (x["t"] != F.lit("")))
 
 
-def parse_numbered(text: str | Column, expected: str | Column) -> Column:
-    """Answers headed ``Item n:`` (one per line, or inline) or ``n.``; first style covering 70 % wins."""
-    t = py_strip(F.coalesce(_col(text), F.lit("")))
-    exp = _col(expected) if not isinstance(expected, int) else F.lit(expected)
-    item_hdr = r"(?isU)^\s*Item\s*(\d+)\s*[:\-]\s*"
-    line_items = _numbered(t, r"(?iU)\n(?=\s*Item\s*\d+\s*[:\-])", item_hdr)
-    inline_items = _numbered(t, r"(?iU)(?=Item\s*\d+\s*[:\-])", item_hdr)
-    listed = _numbered(t, r"\n(?=\s*\d+\.)", r"(?sU)^\s*(\d+)\.\s*")
-    need = exp * F.lit(0.7)
-    return (
-        F.when(F.size(line_items) >= need, line_items)
-        .when(F.size(inline_items) >= need, inline_items)
-        .when(F.size(listed) >= need, listed)
-        .otherwise(_empty_answers())
-    )
+#: Header styles of numbered answers: how blocks are split, and what their first line says.
+_ITEM_HEADER = r"(?isU)^\s*Item\s*(\d+)\s*[:\-]\s*"
+NUMBER_STYLES = {
+    "lines": (r"(?iU)\n(?=\s*Item\s*\d+\s*[:\-])", _ITEM_HEADER),
+    "inline": (r"(?iU)(?=Item\s*\d+\s*[:\-])", _ITEM_HEADER),
+    "list": (r"\n(?=\s*\d+\.)", r"(?sU)^\s*(\d+)\.\s*"),
+}
+
+
+def parse_numbered(text: str | Column, expected: str | Column | int) -> Column:
+    """Answers headed ``Item n:`` (on lines of their own, or inline) or ``n.``, of the style that gives the most."""
+    t, exp = py_strip(F.coalesce(_col(text), F.lit(""))), _lit_or_col(expected)
+    found = [F.filter(_numbered(t, *style), lambda x: x["n"].between(1, exp)) for style in NUMBER_STYLES.values()]
+    most = F.greatest(*[F.size(f) for f in found])
+    return F.coalesce(*[F.when(F.size(f) == most, f) for f in found])
 
 
 # ---------------------------------------------------------------------------
 # PAR2 / PAR3  JSON array with item_id, or loose JSON objects
 # ---------------------------------------------------------------------------
 
-def _drop_item_id(obj_json: Column) -> Column:
+def _without_id(obj_json: Column) -> Column:
     return F.to_json(F.map_filter(F.from_json(obj_json, "map<string,variant>"), lambda k, v: k != F.lit("item_id")))
 
 
-def _keyed_objects(objs: Column, expected: Column) -> Column:
-    """array<string> of JSON objects -> answers keyed by item_id when every object has one, else by position."""
-    ids = F.transform(objs, lambda o: F.get_json_object(o, "$.item_id").try_cast("int"))
-    all_ids = F.forall(ids, lambda i: i.isNotNull())
-    keyed = F.filter(
-        F.transform(objs, lambda o: _ns(("n", F.get_json_object(o, "$.item_id").try_cast("int")), ("t", _drop_item_id(o)))),
-        lambda x: x["n"] <= expected,
-    )
-    positional = _positional(F.transform(objs, lambda o: F.coalesce(_drop_item_id(o), o)), expected)
-    return F.when(all_ids, keyed).otherwise(positional)
-
-
-def parse_json_array(text: str | Column, expected: str | Column) -> Column:
-    """First ``[{...}]`` span that parses as an array with at least ``expected`` elements (else NULL)."""
-    exp = _col(expected) if not isinstance(expected, int) else F.lit(expected)
-    t = F.coalesce(_col(text), F.lit(""))
-    spans = F.regexp_extract_all(t, F.lit(r"(?s)\[\s*\{.*?\}\s*\]"), 0)
-    arrays = F.transform(spans, lambda s: F.from_json(s, "array<string>"))
-    ok = F.filter(arrays, lambda a: a.isNotNull() & (F.size(a) >= exp))
-    first = F.get(ok, 0)
-    return F.when(first.isNotNull(), _keyed_objects(first, exp))
+def keyed_objects(objs: Column, expected: Column) -> Column:
+    """JSON objects as answers: by their item_id; when none has one, in their order if they are as many as expected."""
+    found = F.transform(objs, lambda o: _ns(("n", F.get_json_object(o, "$.item_id").try_cast("int")), ("t", F.coalesce(_without_id(o), o))))
+    keyed = F.filter(found, lambda x: x["n"].between(1, expected))
+    return F.when(F.exists(found, lambda x: x["n"].isNotNull()), keyed).otherwise(_exactly(F.transform(found, lambda x: x["t"]), expected))
 
 
 def _json_valid(s: Column) -> Column:
@@ -132,91 +127,71 @@ def _json_valid(s: Column) -> Column:
     return F.try_parse_json(s).isNotNull() & (F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == F.lit(1))
 
 
-def parse_json_objects(text: str | Column, expected: str | Column) -> Column:
-    """Loose ``{...}`` objects (one nesting level); bad ones get a trailing-comma / quoted-key fix."""
-    exp = _col(expected) if not isinstance(expected, int) else F.lit(expected)
-    t = F.coalesce(_col(text), F.lit(""))
-    spans = F.regexp_extract_all(t, F.lit(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), 0)
-    fixed_spans = F.transform(
-        spans,
-        lambda s: F.when(_json_valid(s), s).otherwise(
-            F.regexp_replace(F.regexp_replace(py_strip(s), r",(\s*[}\]])", "$1"), r"'([^']*)':", "\"$1\":")
-        ),
-    )
-    good = F.filter(fixed_spans, lambda s: _json_valid(s) & s.startswith("{"))
-    return F.when(F.size(good) > 0, _keyed_objects(good, exp))
-
-
 # ---------------------------------------------------------------------------
-# PAR5 / PAR6  delimiter and sentence fallbacks (positional)
+# PAR5 / PAR6  paragraphs, bullets, lines, sentences: as many as were asked for
 # ---------------------------------------------------------------------------
-_HEADER_LINE_RE = "(?iu)^(" + "|".join(fixed.HEADER_LINE_PREFIXES) + ")"
-DELIMITERS = ["\n\n", "\n---", "\n-", "\n•", "\n*", "\n"]
+#: Ways to cut an answer without numbers, the coarsest first.
+CUTS = (r"\n\s*\n", r"(?:^|\n)\s*-{3,}\s*(?:\n|$)", r"(?:^|\n)\s*[-*\u2022]\s+", r"\n")
 
 
-def parse_delimited(text: str | Column, expected: str | Column) -> Column:
-    """Split on the first delimiter that yields at least half the expected answers."""
-    exp = _col(expected) if not isinstance(expected, int) else F.lit(expected)
-    t = py_strip(F.coalesce(_col(text), F.lit("")))
+def parse_delimited(text: str | Column, expected: str | Column | int) -> Column:
+    """Paragraphs, ruled sections, bullets or lines, whichever first gives exactly the expected number.
+
+    A first part that ends in a colon is a heading: it doesn't count if the others are as many as expected."""
+    t, exp = py_strip(F.coalesce(_col(text), F.lit(""))), _lit_or_col(expected)
     out = _empty_answers()
-    for d in reversed(DELIMITERS):
-        parts = F.filter(
-            F.transform(F.split(t, re.escape(d)), lambda p: py_strip(p)),
-            lambda p: (p != F.lit("")) & ~p.rlike(_HEADER_LINE_RE) & (F.length(p) > 5),
-        )
-        out = F.when(F.size(parts) >= exp * F.lit(0.5), _positional(parts, exp)).otherwise(out)
+    for cut in reversed(CUTS):
+        parts = _trimmed(F.split(t, cut))
+        headed = (F.size(parts) == exp + 1) & F.get(parts, 0).endswith(":")
+        parts = F.when(headed, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+        out = F.when(F.size(parts) == exp, _exactly(parts, exp)).otherwise(out)
     return out
 
 
-def parse_sentences(text: str | Column, expected: str | Column) -> Column:
-    """Sentence split before a capital letter; only when it gives enough sentences (never cuts text evenly)."""
-    exp = _col(expected) if not isinstance(expected, int) else F.lit(expected)
-    t = F.regexp_replace(F.coalesce(_col(text), F.lit("")), "(?isu)^.*?(?:Kết quả|Result):\\s*", "")
-    parts = F.filter(F.transform(F.split(t, f"[.!?]\\s+(?=[{fixed.SENTENCE_CAPITALS}])"), lambda p: py_strip(p)), lambda p: p != F.lit(""))
-    return F.when(F.size(parts) >= exp, _positional(parts, exp)).otherwise(_empty_answers())
+def parse_sentences(text: str | Column, expected: str | Column | int) -> Column:
+    """Sentences (ended by . ! or ? before a capital letter), if there are exactly as many as expected."""
+    t = py_strip(F.regexp_replace(F.coalesce(_col(text), F.lit("")), _PREFIX_RE, ""))
+    return _exactly(_trimmed(F.split(t, r"(?<=[.!?])\s+(?=\p{Lu})")), _lit_or_col(expected))
 
 
 # ---------------------------------------------------------------------------
 # PAR7  cascade for pack answers
 # ---------------------------------------------------------------------------
 
-def parse_pack(text: str | Column, expected: str | Column, style: str = "auto") -> Column:
-    """struct<method string, answers array<struct<n,t>>>.
+def with_pack_answers(df, text: str | Column, expected, out: str = "_parsed", style: str = "auto"):
+    """Add ``out`` = struct<method string, answers array<struct<n,t>>>.
 
-    ``style='indexed'`` reads ``[n]`` blocks only (blocking pack path).
-    ``style='auto'`` tries JSON array, JSON objects, numbered items, delimiters, sentences.
+    ``style='indexed'`` reads ``[n]`` blocks only (blocking pack path).  ``style='auto'`` tries a JSON array, JSON
+    objects, numbered items, parts and sentences; each reader runs only for what those before it could not read.
     """
-    t = py_strip(F.coalesce(_col(text), F.lit("")))
-    exp = _col(expected) if not isinstance(expected, int) else F.lit(expected)
+    exp = _lit_or_col(expected)
+    df = df.withColumn("_pk_t", py_strip(F.coalesce(_col(text), F.lit(""))))
+    t = F.col("_pk_t")
     if style == "indexed":
-        ans = parse_indexed(t)
-        return _ns(("method", F.when(t == "", F.lit("empty")).otherwise(F.lit("indexed"))),
-                   ("answers", F.when(t == "", _empty_answers()).otherwise(ans)))
-    arr = parse_json_array(t, exp)
-    objs = parse_json_objects(t, exp)
-    num = parse_numbered(t, exp)
-    dlm = parse_delimited(t, exp)
-    sen = parse_sentences(t, exp)
-    method = (
-        F.when(t == "", F.lit("empty"))
-        .when(F.lower(t) == "empty response", F.lit("empty_api"))
-        .when(arr.isNotNull(), F.lit("json_array"))
-        .when(objs.isNotNull(), F.lit("json_objects"))
-        .when(F.size(num) > 0, F.lit("numbered"))
-        .when(F.size(dlm) > 0, F.lit("delimited"))
-        .when(F.size(sen) > 0, F.lit("sentences"))
-        .otherwise(F.lit("unparsed"))
-    )
-    answers = (
-        F.when(t == "", _empty_answers())
-        .when(F.lower(t) == "empty response", _empty_answers())
-        .when(arr.isNotNull(), arr)
-        .when(objs.isNotNull(), objs)
-        .when(F.size(num) > 0, num)
-        .when(F.size(dlm) > 0, dlm)
-        .otherwise(sen)
-    )
-    return _ns(("method", method), ("answers", answers))
+        found = _ns(("method", F.when(t == "", F.lit("empty")).otherwise(F.lit("indexed"))), ("answers", parse_indexed(t)))
+        return df.withColumn(out, found).drop("_pk_t")
+    readers: list[tuple[str, Column]] = []
+    left = ~(F.lower(t).isin("", "empty response"))
+    # a whole answer in brackets is an array, also an empty one; else the first span of objects that reads as one
+    spans = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)\[\s*\{.*?\}\s*\]"), 0), lambda x: F.from_json(x, "array<string>"))
+    df = df.withColumn("_pk_array", F.when(left, F.coalesce(F.when(t.startswith("["), F.from_json(t, "array<string>")), F.get(F.filter(spans, lambda x: x.isNotNull()), 0))))
+    readers.append(("json_array", F.when(F.col("_pk_array").isNotNull(), keyed_objects(F.col("_pk_array"), exp))))
+    left = left & F.col("_pk_array").isNull()
+    # objects with at most one level inside, mended where they are no JSON
+    df = df.withColumn("_pk_spans", F.when(left, F.regexp_extract_all(t, F.lit(r"\{(?:[^{}]|\{[^{}]*\})*+\}"), 0)))
+    objects = F.filter(F.transform("_pk_spans", lambda x: F.when(_json_valid(x), x).otherwise(repair_json(x))), lambda x: x.isNotNull())
+    df = df.withColumn("_pk_objects", objects)
+    readers.append(("json_objects", F.when(F.size("_pk_objects") > 0, keyed_objects(F.col("_pk_objects"), exp))))
+    left = left & ~F.coalesce(F.size("_pk_objects") > 0, F.lit(False))
+    for name, reader in (("numbered", parse_numbered), ("delimited", parse_delimited), ("sentences", parse_sentences)):
+        df = df.withColumn(f"_pk_{name}", F.when(left, reader(t, exp)))
+        some = F.coalesce(F.size(f"_pk_{name}") > 0, F.lit(False))
+        readers.append((name, F.when(some, F.col(f"_pk_{name}"))))
+        left = left & ~some
+    found = F.coalesce(*[F.when(a.isNotNull(), _ns(("method", F.lit(name)), ("answers", a))) for name, a in readers])
+    none = lambda name: _ns(("method", F.lit(name)), ("answers", _empty_answers()))
+    res = F.when(t == "", none("empty")).when(F.lower(t) == "empty response", none("empty_api")).otherwise(F.coalesce(found, none("unparsed")))
+    return df.withColumn(out, res).drop("_pk_t", "_pk_array", "_pk_spans", "_pk_objects", "_pk_numbered", "_pk_delimited", "_pk_sentences")
 
 
 def answer_for(answers: Column, item_id: Column) -> Column:
@@ -231,7 +206,7 @@ def pack_missing_message(method: Column, style: str) -> Column:
     return (
         F.when(method == "empty", F.lit(fixed.EMPTY_PACK_RESPONSE))
         .when(method == "empty_api", F.lit(fixed.EMPTY_PACK_API))
-        .when(method == "json_objects", F.lit(fixed.JSON_OBJECT_MISSING))
+        .when(method.isin("json_array", "json_objects"), F.lit(fixed.JSON_OBJECT_MISSING))
         .when(method == "unparsed", F.lit("UNPARSED"))
         .otherwise(F.lit(fixed.PACK_PARSE_MISSING_ASYNC))
     )
@@ -281,41 +256,44 @@ def extract_json(text: str | Column) -> Column:
     return brace_span(first)
 
 
+#: Tokens of loose JSON: comments, quoted strings, and what is neither.
+_LOOSE = r"""//[^\n]*+|/\*(?s:.*?)\*/|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[^"'/]++|."""
+_READ_LOOSELY = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+
+
 def repair_json(text: str | Column) -> Column:
-    """Common model JSON mistakes fixed by the fixed rule list; NULL when still not valid JSON."""
-    r = py_strip(_col(text))
-    r = F.regexp_replace(r, r"(?U)(\w+):", "\"$1\":")
-    r = F.replace(r, F.lit("'"), F.lit('"'))
-    r = F.regexp_replace(r, r",(\s*[}\]])", "$1")
-    r = F.regexp_replace(r, r"(?iU)\bnull\b", "null")
-    r = F.regexp_replace(r, r"(?U)\bNone\b", "null")
-    r = F.regexp_replace(r, r"(?U)\bundefined\b", "null")
-    r = F.regexp_replace(r, r"(?U)\bTrue\b", "true")
-    r = F.regexp_replace(r, r"(?U)\bFalse\b", "false")
-    r = F.regexp_replace(r, r"(?m)//.*$", "")
-    r = F.regexp_replace(r, r"(?s)/\*.*?\*/", "")
-    return F.when(_json_valid(r), r)
-
-
-def parse_json_text(text: str | Column) -> Column:
-    """Extract, then parse as-is or repaired: the JSON object text, or NULL."""
-    j = extract_json(text)
-    return F.when(_json_valid(j), j).otherwise(repair_json(j))
-
-
-def schema_applies(obj_json: str | Column) -> Column:
-    """Any of the five result keys present and none of the other schema's keys."""
+    """A JSON object that a model wrote loosely, as compact JSON; NULL when it can't be read.
+
+    Bare names and single quotes are left to the JSON reader's own options.  Comments, commas before a closing
+    bracket and other languages' words for null, true and false are mended outside quoted strings only, so a
+    URL, a time or an apostrophe in a value stays as it is.
+    """
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(_LOOSE), F.lit(0))
+    plain = F.array_join(F.filter(tokens(py_strip(_col(text))), lambda k: ~(k.startswith("//") | k.startswith("/*"))), "")
+
+    def mend(k: Column) -> Column:
+        out = F.regexp_replace(k, r",(?=\s*[}\]])", "")
+        for word, value in (("(?i:null)|None|undefined", "null"), ("True|TRUE", "true"), ("False|FALSE", "false")):
+            out = F.regexp_replace(out, rf"(?<![\w$])(?:{word})(?![\w$])(?!\s*:)", value)
+        return F.when(k.startswith('"') | k.startswith("'"), k).otherwise(out)
+
+    mended = F.array_join(F.transform(tokens(plain), mend), "")
+    read = F.from_json(F.concat(F.lit('{"o":'), mended, F.lit("}")), "o map<string,variant>", _READ_LOOSELY)
+    whole = (F.json_array_length(F.concat(F.lit("["), F.to_json(read["o"]), F.lit("]"))) == 1) & mended.rlike(r"(?s)^\{.*\}$")
+    return F.when(whole, F.to_json(read["o"]))
+
+
+def schema_applies(obj_json: str | Column, fields=tuple(fixed.RESULT_FIELDS)) -> Column:
+    """Any of the result keys present and none of the other schema's keys."""
     keys = F.map_keys(F.from_json(_col(obj_json), "map<string,string>"))
-    return F.arrays_overlap(keys, F.array(*map(F.lit, fixed.RESULT_FIELDS))) & ~F.arrays_overlap(
-        keys, F.array(*map(F.lit, fixed.OTHER_SCHEMA_FIELDS))
-    )
+    return F.arrays_overlap(keys, F.array(*map(F.lit, fields))) & ~F.arrays_overlap(keys, F.array(*map(F.lit, fixed.OTHER_SCHEMA_FIELDS)))
 
 
-def schema_violations(obj_json: str | Column) -> Column:
-    """array<string>: missing required keys and non-string, non-null values of the five result fields."""
+def schema_violations(obj_json: str | Column, fields=tuple(fixed.RESULT_FIELDS)) -> Column:
+    """array<string>: missing required keys and non-string, non-null values of the result fields."""
     v = F.try_parse_json(_col(obj_json))
     out = []
-    for f in fixed.RESULT_FIELDS:
+    for f in fields:
         fv = F.try_variant_get(v, f"$.{f}", "variant")
         typ = F.schema_of_variant(fv)
         out.append(
@@ -339,61 +317,11 @@ def _truthy(fv: Column) -> Column:
     )
 
 
-def json_to_text(obj_json: str | Column, delimiter: str = fixed.RESULT_DELIMITER) -> Column:
-    """Five-field object -> ``a|b|c|d|e`` (falsy -> 'null'); anything else -> compact JSON text."""
-    j = _col(obj_json)
-    v = F.try_parse_json(j)
-    fvs = [F.try_variant_get(v, f"$.{f}", "variant") for f in fixed.RESULT_FIELDS]
-    m = F.from_json(j, "map<string,string>")
-    all_present = F.forall(F.array(*map(F.lit, fixed.RESULT_FIELDS)), lambda k: F.map_contains_key(m, k))
-    # a truthy non-string value makes the pipe join fail: the whole object is returned as JSON
-    bad = F.exists(F.array(*[(_truthy(fv) & (F.schema_of_variant(fv) != "STRING")) for fv in fvs]), lambda b: b)
-    piped = F.concat_ws(
-        delimiter, *[F.when(_truthy(fv), F.try_variant_get(fv, "$", "string")).otherwise(F.lit("null")) for fv in fvs]
-    )
-    return F.when(all_present & ~bad, piped).otherwise(F.to_json(F.from_json(j, "map<string,variant>")))
-
-
 def meaningful_text(text: str | Column) -> Column:
-    """Fences and backticks removed, lines trimmed, blank lines dropped; NULL if under 5 chars or just 'json'."""
-    t = py_strip(F.coalesce(_col(text), F.lit("")))
-    t = F.regexp_replace(t, r"(?iU)```json\s*", "")
-    t = F.regexp_replace(t, r"(?U)```\s*", "")
-    t = F.regexp_replace(t, r"(?U)`\s*", "")
-    t = F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda l: py_strip(l)), lambda l: l != F.lit("")), "\n")
-    return F.when((F.length(t) >= 5) & ~F.lower(t).isin("json", "```", "```json"), t)
-
-
-def parse_response(text: str | Column, use_json: bool = False) -> Column:
-    """struct<value string, method string> for one model answer (text or JSON mode).
-
-    As a single column expression the JSON mode repeats its sub-expressions; on
-    large tables use ``with_parsed_response``, which stages them (same result).
-    """
-    raw = _col(text)
-    empty = raw.isNull() | (raw == F.lit(""))
-    if not use_json:
-        return _ns(
-            ("value", F.when(empty, F.lit(fixed.NO_RESPONSE)).otherwise(py_strip(raw))),
-            ("method", F.when(empty, F.lit("empty")).otherwise(F.lit("text"))),
-        )
-    obj = parse_json_text(raw)
-    v = F.try_parse_json(obj)
-    usable = obj.isNotNull() & (F.to_json(v) != F.lit("{}"))
-    mt = meaningful_text(raw)
-    value = (
-        F.when(empty, F.lit(fixed.NO_RESPONSE))
-        .when(usable, json_to_text(obj))
-        .when(mt.isNotNull() & (mt != F.lit("```json")), mt)
-        .otherwise(F.concat(F.lit(fixed.JSON_PARSE_FAILED_PREFIX), F.substring(raw, 1, 100), F.lit("...")))
-    )
-    method = (
-        F.when(empty, F.lit("empty"))
-        .when(usable, F.lit("json"))
-        .when(mt.isNotNull() & (mt != F.lit("```json")), F.lit("text_fallback"))
-        .otherwise(F.lit("failed"))
-    )
-    return _ns(("value", value), ("method", method))
+    """What is left of an answer without code marks and blank lines; NULL if that is nothing, or the word json alone."""
+    bare = F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"`++(?:(?i:json)\b)?", "")
+    left = F.array_join(_nonempty_lines(bare), "\n")
+    return F.when((left != "") & (F.lower(left) != "json"), left)
 
 
 # ---------------------------------------------------------------------------
@@ -407,8 +335,11 @@ def split_fields(result: str | Column, names: list[str], delimiter: str = fixed.
 
 
 def parse_labelled(result: str | Column) -> Column:
-    """``Label: value | Label: value`` -> map<label, value>."""
-    return F.str_to_map(_col(result), F.lit(r" \| "), F.lit(": "))
+    """``Label: value | Label: value`` -> map<label, value>; of a repeated label the first value stays."""
+    pairs = F.transform(F.split(_col(result), r" \| "), lambda p: F.struct(F.split_part(p, F.lit(": "), F.lit(1)).alias("key"), F.when(
+        F.instr(p, ": ") > 0, F.substr(p, F.instr(p, ": ") + 2)).alias("value")))
+    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(first)
 
 
 # ---------------------------------------------------------------------------
@@ -439,105 +370,27 @@ def response_text(body: str | Column, provider: str = "gemini") -> Column:
 
 
 # ---------------------------------------------------------------------------
-# staged DataFrame forms: each intermediate is its own projection column, so a
-# large sub-expression is evaluated once per row (CollapseProject keeps a
-# projection apart when an expensive column is referenced more than once)
+# PAR10 / PAR13 / PAR15  one JSON or text answer, staged
 # ---------------------------------------------------------------------------
 
-def _lit_or_col(x) -> Column:
-    return F.lit(x) if isinstance(x, int) else _col(x)
-
-
-def with_pack_answers(df, text: str | Column, expected, out: str = "_parsed", style: str = "auto"):
-    """Add ``out`` = struct<method, answers> (see ``parse_pack``), computed in stages."""
-    exp = _lit_or_col(expected)
-    df = df.withColumn("_pk_t", py_strip(F.coalesce(_col(text), F.lit(""))))
-    t = F.col("_pk_t")
-    if style == "indexed":
-        return df.withColumn(out, parse_pack(t, exp, style="indexed")).drop("_pk_t")
-    spans = F.regexp_extract_all(t, F.lit(r"(?s)\[\s*\{.*?\}\s*\]"), 0)
-    arrays = F.filter(F.transform(spans, lambda s: F.from_json(s, "array<string>")), lambda a: a.isNotNull() & (F.size(a) >= exp))
-    obj_spans = F.regexp_extract_all(t, F.lit(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), 0)
-    item_hdr = r"(?isU)^\s*Item\s*(\d+)\s*[:\-]\s*"
-    need = exp * F.lit(0.7)
-    # each later reader runs only for answers the earlier ones could not read (CASE WHEN is lazy)
-    df = df.withColumn("_pk_arr0", F.get(arrays, 0))
-    df = df.withColumn("_pk_arr", F.when(F.col("_pk_arr0").isNotNull(), _keyed_objects(F.col("_pk_arr0"), exp)))
-    todo = F.col("_pk_arr").isNull()
-    df = df.withColumn("_pk_obj1", F.when(todo, F.filter(F.transform(obj_spans, lambda s: F.when(_json_valid(s), s).otherwise(
-        F.regexp_replace(F.regexp_replace(py_strip(s), r",(\s*[}\]])", "$1"), r"'([^']*)':", "\"$1\":"))),
-        lambda s: _json_valid(s) & s.startswith("{"))))
-    df = df.withColumn("_pk_obj", F.when(F.size("_pk_obj1") > 0, _keyed_objects(F.col("_pk_obj1"), exp)))
-    todo = todo & F.col("_pk_obj").isNull()
-    # an answer that is a JSON array as a whole (even empty or short) is read as JSON, never as prose
-    df = df.withColumn("_pk_warr", F.when(todo & t.startswith("["), F.from_json(t, "array<string>")))
-    df = df.withColumn("_pk_wans", F.when(F.col("_pk_warr").isNotNull(), _keyed_objects(F.col("_pk_warr"), exp)))
-    todo = todo & F.col("_pk_warr").isNull()
-    df = (
-        df.withColumn("_pk_n1", F.when(todo, _numbered(t, r"(?iU)\n(?=\s*Item\s*\d+\s*[:\-])", item_hdr)))
-        .withColumn("_pk_n2", F.when(todo & ~(F.size("_pk_n1") >= need), _numbered(t, r"(?iU)(?=Item\s*\d+\s*[:\-])", item_hdr)))
-        .withColumn("_pk_n3", F.when(todo & ~(F.size("_pk_n1") >= need) & ~(F.size("_pk_n2") >= need),
-                                     _numbered(t, r"\n(?=\s*\d+\.)", r"(?sU)^\s*(\d+)\.\s*")))
-    )
-    df = df.withColumn("_pk_num", F.when(F.size("_pk_n1") >= need, F.col("_pk_n1")).when(F.size("_pk_n2") >= need, F.col("_pk_n2"))
-                       .when(F.size("_pk_n3") >= need, F.col("_pk_n3")).otherwise(_empty_answers()))
-    todo = todo & (F.size("_pk_num") == 0)
-    df = df.withColumn("_pk_dlm", F.when(todo, parse_delimited(t, exp)).otherwise(_empty_answers()))
-    df = df.withColumn("_pk_sen", F.when(todo & (F.size("_pk_dlm") == 0), parse_sentences(t, exp)).otherwise(_empty_answers()))
-    arr, objs, num, dlm, sen = (F.col(c) for c in ("_pk_arr", "_pk_obj", "_pk_num", "_pk_dlm", "_pk_sen"))
-    empty_api = F.lower(t) == "empty response"
-    res = (
-        F.when(t == "", _ns(("method", F.lit("empty")), ("answers", _empty_answers())))
-        .when(empty_api, _ns(("method", F.lit("empty_api")), ("answers", _empty_answers())))
-        .when(arr.isNotNull(), _ns(("method", F.lit("json_array")), ("answers", arr)))
-        .when(objs.isNotNull(), _ns(("method", F.lit("json_objects")), ("answers", objs)))
-        .when(F.col("_pk_wans").isNotNull(), _ns(("method", F.lit("json_array")), ("answers", F.col("_pk_wans"))))
-        .when(F.size(num) > 0, _ns(("method", F.lit("numbered")), ("answers", num)))
-        .when(F.size(dlm) > 0, _ns(("method", F.lit("delimited")), ("answers", dlm)))
-        .when(F.size(sen) > 0, _ns(("method", F.lit("sentences")), ("answers", sen)))
-        .otherwise(_ns(("method", F.lit("unparsed")), ("answers", _empty_answers())))
-    )
-    tmp = ["_pk_t", "_pk_arr0", "_pk_obj1", "_pk_n1", "_pk_n2", "_pk_n3", "_pk_dlm", "_pk_sen", "_pk_arr", "_pk_obj", "_pk_num",
-           "_pk_warr", "_pk_wans"]
-    return df.withColumn(out, res).drop(*tmp)
+def with_json_object(df, text: str | Column, out: str = "_obj"):
+    """Add ``out``: the JSON object text found in ``text`` (as it is if valid, else mended), or NULL."""
+    df = df.withColumn("_js_span", extract_json(text))
+    df = df.withColumn(out, F.when(_json_valid(F.col("_js_span")), F.col("_js_span")).otherwise(repair_json("_js_span")))
+    return df.drop("_js_span")
 
 
-def with_json_object(df, text: str | Column, out: str = "_obj"):
-    """Add ``out``: the JSON object text found in ``text`` (as-is if valid, else repaired), or NULL."""
-    t = py_strip(F.coalesce(_col(text), F.lit("")))
-    df = df.withColumn("_js_t", t)
-    cands = []
-    for pat in _FENCES:
-        ms = F.filter(F.transform(F.regexp_extract_all(F.col("_js_t"), F.lit(pat), 1), lambda m: py_strip(m)), lambda m: F.instr(m, "{") > 0)
-        cands.append(F.get(ms, 0))
-    df = df.withColumn("_js_first", F.coalesce(*cands, F.when(F.instr("_js_t", "{") > 0, F.col("_js_t"))))
-    df = df.withColumn("_js_ej", brace_span(F.col("_js_first")))
-    r = py_strip(F.col("_js_ej"))
-    r = F.regexp_replace(r, r"(?U)(\w+):", "\"$1\":")
-    r = F.replace(r, F.lit("'"), F.lit('"'))
-    r = F.regexp_replace(r, r",(\s*[}\]])", "$1")
-    r = F.regexp_replace(r, r"(?iU)\bnull\b", "null")
-    r = F.regexp_replace(r, r"(?U)\bNone\b", "null")
-    r = F.regexp_replace(r, r"(?U)\bundefined\b", "null")
-    r = F.regexp_replace(r, r"(?U)\bTrue\b", "true")
-    r = F.regexp_replace(r, r"(?U)\bFalse\b", "false")
-    r = F.regexp_replace(r, r"(?m)//.*$", "")
-    r = F.regexp_replace(r, r"(?s)/\*.*?\*/", "")
-    df = df.withColumn("_js_rep", r).withColumn("_js_ok", _json_valid(F.col("_js_ej")))
-    df = df.withColumn(out, F.when(F.col("_js_ok"), F.col("_js_ej")).when(_json_valid(F.col("_js_rep")), F.col("_js_rep")))
-    return df.drop("_js_t", "_js_first", "_js_ej", "_js_rep", "_js_ok")
-
-
-def with_json_text(df, obj: str, out: str, delimiter: str = fixed.RESULT_DELIMITER):
-    """Add ``out`` = ``json_to_text(obj)`` computed in stages (one parse per row)."""
+def with_json_text(df, obj: str, out: str, delimiter: str = fixed.RESULT_DELIMITER, fields=tuple(fixed.RESULT_FIELDS)):
+    """Add ``out``: an object with all the fields as ``a|b|c`` (falsy -> 'null'); anything else as compact JSON."""
     df = df.withColumn("_jt_v", F.try_parse_json(F.col(obj))).withColumn("_jt_m", F.from_json(F.col(obj), "map<string,string>"))
-    for i, f in enumerate(fixed.RESULT_FIELDS):
+    n = len(fields)
+    for i, f in enumerate(fields):
         df = df.withColumn(f"_jt_f{i}", F.try_variant_get(F.col("_jt_v"), f"$.{f}", "variant"))
-    for i in range(len(fixed.RESULT_FIELDS)):
+    for i in range(n):
         fv = F.col(f"_jt_f{i}")
         df = df.withColumn(f"_jt_y{i}", _truthy(fv)).withColumn(f"_jt_s{i}", F.schema_of_variant(fv) == "STRING")
-    n = len(fixed.RESULT_FIELDS)
-    all_present = F.forall(F.array(*map(F.lit, fixed.RESULT_FIELDS)), lambda k: F.map_contains_key(F.col("_jt_m"), k))
+    all_present = F.forall(F.array(*map(F.lit, fields)), lambda k: F.map_contains_key(F.col("_jt_m"), k))
+    # a truthy value that is no string can't be joined: the whole object is given as JSON
     bad = F.exists(F.array(*[F.col(f"_jt_y{i}") & ~F.coalesce(F.col(f"_jt_s{i}"), F.lit(False)) for i in range(n)]), lambda b: b)
     piped = F.concat_ws(delimiter, *[F.when(F.col(f"_jt_y{i}"), F.try_variant_get(F.col(f"_jt_f{i}"), "$", "string")).otherwise(F.lit("null"))
                                      for i in range(n)])
@@ -547,23 +400,30 @@ def with_json_text(df, obj: str, out: str, delimiter: str = fixed.RESULT_DELIMIT
     return df.drop("_jt_v", "_jt_m", *[f"_jt_{k}{i}" for k in "fys" for i in range(n)])
 
 
-def with_parsed_response(df, text: str | Column, out: str = "_parsed", use_json: bool = False):
-    """Add ``out`` = struct<value, method> (see ``parse_response``), computed in stages."""
+def parse_text(text: str | Column) -> Column:
+    """struct<value, method> of an answer in text mode."""
+    empty = F.coalesce(_col(text), F.lit("")) == ""
+    return _ns(("value", F.when(empty, F.lit(fixed.NO_RESPONSE)).otherwise(py_strip(_col(text)))), ("method", F.when(empty, F.lit("empty")).otherwise(F.lit("text"))))
+
+
+def with_parsed_response(df, text: str | Column, out: str = "_parsed", use_json: bool = False, fields=tuple(fixed.RESULT_FIELDS)):
+    """Add ``out`` = struct<value, method>.
+
+    In JSON mode the object's text, else the meaningful text.  Methods ``empty`` and ``failed`` are no answers:
+    their value says why, with the whole answer that couldn't be read.
+    """
     if not use_json:
-        return df.withColumn(out, parse_response(text, False))
+        return df.withColumn(out, parse_text(text))
     df = df.withColumn("_pr_raw", _col(text))
     df = with_json_object(df, "_pr_raw", "_pr_obj")
     df = df.withColumn("_pr_usable", F.col("_pr_obj").isNotNull() & (F.to_json(F.try_parse_json("_pr_obj")) != F.lit("{}")))
-    df = with_json_text(df, "_pr_obj", "_pr_jt")
+    df = with_json_text(df, "_pr_obj", "_pr_jt", fields=fields)
     df = df.withColumn("_pr_mt", meaningful_text(F.col("_pr_raw")))
     raw, mt = F.col("_pr_raw"), F.col("_pr_mt")
-    empty = raw.isNull() | (raw == F.lit(""))
-    has_mt = mt.isNotNull() & (mt != F.lit("```json"))
     res = (
-        F.when(empty, _ns(("value", F.lit(fixed.NO_RESPONSE)), ("method", F.lit("empty"))))
+        F.when(F.coalesce(raw, F.lit("")) == "", _ns(("value", F.lit(fixed.NO_RESPONSE)), ("method", F.lit("empty"))))
         .when(F.col("_pr_usable"), _ns(("value", F.col("_pr_jt")), ("method", F.lit("json"))))
-        .when(has_mt, _ns(("value", mt), ("method", F.lit("text_fallback"))))
-        .otherwise(_ns(("value", F.concat(F.lit(fixed.JSON_PARSE_FAILED_PREFIX), F.substring(raw, 1, 100), F.lit("..."))),
-                       ("method", F.lit("failed"))))
+        .when(mt.isNotNull(), _ns(("value", mt), ("method", F.lit("text_fallback"))))
+        .otherwise(_ns(("value", F.concat(F.lit(fixed.JSON_PARSE_FAILED_PREFIX), raw)), ("method", F.lit("failed"))))
     )
     return df.withColumn(out, res).drop("_pr_raw", "_pr_obj", "_pr_usable", "_pr_jt", "_pr_mt")

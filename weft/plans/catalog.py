@@ -100,18 +100,15 @@ def _packed_oracle(fmt: str) -> str:
     missing = {"indexed": fixed.PACK_PARSE_MISSING_SYNC, "items": fixed.PACK_PARSE_MISSING_ASYNC,
                "json": fixed.JSON_OBJECT_MISSING}[fmt]
     answer = f"""'{{"answer":"' || {h} || '"}}'""" if fmt == "json" else h
-    # 'items' answers are read only when at least 70 % of a pack's items are present
-    unparsed = "n_present < CAST(0.7 AS DOUBLE) * n_items" if fmt == "items" else "false"
     return f"""WITH {_pack_cte('documents', 'doc_id', 'text')},
 q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
              count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
 SELECT doc_id,
   CASE WHEN has THEN batch_id END AS batch_id,
   CASE WHEN has THEN item_id END AS item_id,
-  CASE WHEN NOT has THEN 'NO_DATA' WHEN n_present = 0 OR {unparsed} OR {h} LIKE 'f%' THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN NOT has THEN 'NO_DATA' WHEN n_present = 0 OR {h} LIKE 'f%' THEN 'ERROR' ELSE 'OK' END AS status,
   CASE WHEN NOT has THEN {S.lit(fixed.NO_DATA)}
        WHEN n_present = 0 THEN {S.lit(fixed.BATCH_ERROR_PREFIX + fixed.EMPTY_RESPONSE)}
-       WHEN {unparsed} THEN 'UNPARSED'
        WHEN {h} LIKE 'f%' THEN {S.lit(missing)}
        ELSE {answer} END AS ai_result
 FROM q"""
@@ -459,15 +456,17 @@ def _jans(x):
     return f"""'{{"answer":"' || {x} || '"}}'"""
 
 
-_PACK_METHODS = ["json_array", "json_objects", "numbered", "delimited", "sentences", "empty", "empty_api", "unparsed"]
-_PACK_A = [_jans(_A), _jans(_A), _A, f"'first answer ' || {_A}", f"'Alpha ' || {_A}", "NULL", "NULL"]
-_PACK_B = [_jans(_B), "NULL", _B, f"'second answer ' || {_B}", f"'Beta ' || {_B}", "NULL", "NULL"]
-_PACK_C = [_jans(_C), _jans(_C), _C, f"'third answer ' || {_C}", f"'Gamma ' || {_C}", "NULL", "NULL"]
+_PACK_METHODS = ["json_array", "json_objects", "numbered", "delimited", "sentences", "empty", "empty_api", "numbered", "delimited", "json_objects",
+                 "json_array", "json_array", "unparsed"]
+_PACK_A = [_jans(_A), _jans(_A), _A, f"'first answer ' || {_A}", f"'Alpha ' || {_A} || '.'", "NULL", "NULL", "NULL", _A, "NULL", _jans(_A), "NULL", "NULL"]
+_PACK_B = [_jans(_B), "NULL", _B, f"'second answer ' || {_B}", f"'Beta ' || {_B} || '.'", "NULL", "NULL", "NULL", "'No'", "NULL", _jans(_B), "NULL", "NULL"]
+_PACK_C = [_jans(_C), _jans(_C), _C, f"'third answer ' || {_C}", f"'Gamma ' || {_C}", "NULL", "NULL", _C, _C, _jans(_C), _jans(_C), "NULL", "NULL"]
+_PACK_N = len(_PACK_METHODS) + 1
 
 
 @register("parse_pack", f"""SELECT doc_id,
-  {_by_case(8, [S.lit(m) for m in _PACK_METHODS[:-1]], S.lit('unparsed'))} AS method,
-  {_by_case(8, _PACK_A)} AS a1, {_by_case(8, _PACK_B)} AS a2, {_by_case(8, _PACK_C)} AS a3 FROM documents""")
+  {_by_case(_PACK_N, [S.lit(m) for m in _PACK_METHODS], S.lit('unparsed'))} AS method,
+  {_by_case(_PACK_N, _PACK_A)} AS a1, {_by_case(_PACK_N, _PACK_B)} AS a2, {_by_case(_PACK_N, _PACK_C)} AS a3 FROM documents""")
 def q_parse_pack(spark, sf_dir):
     d = PA.with_pack_answers(_derived(spark, sf_dir, D.PACK_RESPONSE), "r", 3, out="p")
     return d.select("doc_id", F.col("p.method").alias("method"), *_answers3(F.col("p.answers")))
@@ -475,11 +474,11 @@ def q_parse_pack(spark, sf_dir):
 
 def _reconcile_sql() -> str:
     msg = {"empty": fixed.EMPTY_PACK_RESPONSE, "empty_api": fixed.EMPTY_PACK_API, "json_objects": fixed.JSON_OBJECT_MISSING,
-           "unparsed": "UNPARSED"}
-    miss = _by_case(8, [S.lit(msg.get(m, fixed.PACK_PARSE_MISSING_ASYNC)) for m in _PACK_METHODS[:-1]], S.lit("UNPARSED"))
+           "json_array": fixed.JSON_OBJECT_MISSING, "unparsed": "UNPARSED"}
+    miss = _by_case(_PACK_N, [S.lit(msg.get(m, fixed.PACK_PARSE_MISSING_ASYNC)) for m in _PACK_METHODS], S.lit("UNPARSED"))
     parts = []
     for i, vals in ((1, _PACK_A), (2, _PACK_B), (3, _PACK_C)):
-        v = _by_case(8, vals)
+        v = _by_case(_PACK_N, vals)
         parts.append(f"""SELECT doc_id, CAST({i} AS INTEGER) AS item_id, CASE WHEN {v} IS NULL THEN 'ERROR' ELSE 'OK' END AS status,
   coalesce({v}, {miss}) AS ai_result FROM documents""")
     return "\nUNION ALL\n".join(parts)
@@ -533,15 +532,17 @@ def q_brace_span(spark, sf_dir):
 
 
 _REPAIRED = [
-    """'{"k": "' || lang || '"}'""",
-    """'{"k": "' || lang || '", "n": null, "b": true, "c": false}'""",
-    """'{"k": "' || lang || '" , "m": 1 ' || chr(10) || '}'""",
+    """'{"k":"' || lang || '"}'""",
+    """'{"k":"' || lang || '","n":null,"b":true,"c":false}'""",
+    """'{"k":"' || lang || '","m":1}'""",
+    """'{"url":"http://' || source || '","at":"12:30"}'""",
+    """'{"k":"' || lang || '","list":[1,2]}'""",
+    """'{"k":"it' || chr(39) || 's ' || lang || ', None: True /* kept */","v":null}'""",
     "NULL",
-    """'{"k": "' || lang || '"}'""",
 ]
 
 
-@register("repair_json", f"""SELECT doc_id, {_by_case(6, _REPAIRED, "'{\"k\": null, \"v\": null}'")} AS repaired FROM documents""")
+@register("repair_json", f"""SELECT doc_id, {_by_case(8, _REPAIRED, "'{\"k\":null,\"v\":null}'")} AS repaired FROM documents""")
 def q_repair_json(spark, sf_dir):
     return _derived(spark, sf_dir, D.REPAIR_TEXT).select("doc_id", PA.repair_json("r").alias("repaired"))
 
@@ -561,8 +562,8 @@ def q_json_schema_check(spark, sf_dir):
 
 _PIPED = [
     "lang || '|' || source || '|Review|t' || CAST(doc_id AS STRING) || '|2'",
-    "lang || '|null|Sản phẩm|Hỏi thảo luận|2'",
-    "lang || '|' || source || '|Review|x|2'",
+    "lang || '|null|delivery|it is 12:30|ok'",
+    "lang || '|' || source || '|at 9:45|x|null'",
     "NULL",
     "lang || '|p|s|null|null'",
     "lang || '|p|s|t|n'",
@@ -579,7 +580,7 @@ def q_json_to_text(spark, sf_dir):
     return d.select("doc_id", "result_text")
 
 
-_MEANINGFUL = [D.J_OK, f"'Kết quả phân tích:' || chr(10) || {D.J_PROSE} || chr(10) || 'Hết.'", D.J_BARE, D.J_PIPE, D.J_FENCED,
+_MEANINGFUL = [D.J_OK, f"'The record below was read twice.' || chr(10) || {D.J_PROSE} || chr(10) || '-- end of record'", D.J_BARE, D.J_PIPE, D.J_FENCED,
                D.J_TRAILING, D.J_OTHER, "NULL", "NULL"]
 
 
@@ -591,7 +592,7 @@ def q_meaningful_text(spark, sf_dir):
 _PARSED = list(_PIPED)
 _PARSED[3] = D.J_PIPE
 _PARSED[7] = S.lit(fixed.NO_RESPONSE)
-_PARSED[8] = f"{S.lit(fixed.JSON_PARSE_FAILED_PREFIX)} || '```json' || chr(10) || '```...'"
+_PARSED[8] = f"{S.lit(fixed.JSON_PARSE_FAILED_PREFIX)} || '```json' || chr(10) || '```'"
 _PARSE_METHOD = ["'json'", "'json'", "'json'", "'text_fallback'", "'json'", "'json'", "'json'", "'empty'", "'failed'"]
 
 
@@ -605,7 +606,7 @@ def q_parse_response_json(spark, sf_dir):
 @register("parse_response_text", f"""SELECT doc_id, CASE WHEN r = '' THEN {S.lit(fixed.NO_RESPONSE)} ELSE {S.strip('r')} END AS ai_result
 FROM (SELECT doc_id, {D.JSON_RESPONSE} AS r FROM documents)""")
 def q_parse_response_text(spark, sf_dir):
-    p = PA.parse_response("r", use_json=False)
+    p = PA.parse_text("r")
     return _derived(spark, sf_dir, D.JSON_RESPONSE).select("doc_id", p["value"].alias("ai_result"))
 
 
@@ -621,7 +622,7 @@ def q_split_fields(spark, sf_dir):
     return d.select("doc_id", *[s[f].alias(f) for f in fixed.RESULT_FIELDS])
 
 
-_LABELLED = "'Sentiment: Tích cực | Chủ đề: Review | Tóm tắt: ' || lang || ': ' || source || ' | Ghi chú: ' || CAST(doc_id AS STRING)"
+_LABELLED = "'Sentiment: Tích cực | Chủ đề: Review | Tóm tắt: ' || lang || ': ' || source || ' | Sentiment: twice | Ghi chú: ' || CAST(doc_id AS STRING)"
 
 
 @register("parse_labelled", """SELECT doc_id, 'Tích cực' AS sentiment, 'Review' AS topic, lang || ': ' || source AS summary,
@@ -1042,8 +1043,8 @@ def _multi_packed_oracle() -> str:
 q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
              count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
 SELECT conv_id, turn, batch_id, item_id,
-  CASE WHEN n_present = 0 OR n_present < CAST(0.7 AS DOUBLE) * n_items OR {h} LIKE 'f%' THEN 'ERROR' ELSE 'OK' END AS status,
-  CASE WHEN n_present = 0 THEN {S.lit(fixed.BATCH_ERROR_PREFIX + fixed.EMPTY_RESPONSE)} WHEN n_present < CAST(0.7 AS DOUBLE) * n_items THEN 'UNPARSED'
+  CASE WHEN n_present = 0 OR {h} LIKE 'f%' THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN n_present = 0 THEN {S.lit(fixed.BATCH_ERROR_PREFIX + fixed.EMPTY_RESPONSE)}
        WHEN {h} LIKE 'f%' THEN {S.lit(fixed.PACK_PARSE_MISSING_ASYNC)} ELSE {h} END AS ai_result
 FROM q"""
 
