@@ -1,11 +1,9 @@
-"""Model backends: what turns a batch of prompts into a batch of answers.
+"""Model backends: what turns a prompt into an answer.
 
-A backend is a picklable object with ``generate(prompts, items) -> list[str]``
-(one answer per prompt; raise to signal a failed call).  ``items`` is the
-list of item texts of each request (``None`` for single-row requests); a
-live model ignores it, the deterministic backends below use it to answer a
-pack in the requested response format so the whole chain can be checked
-against SQL.  ``open()`` runs once per task (e.g. to build an HTTP client).
+A backend is a picklable object with ``generate_one(prompt, items, attempt) -> str``; it raises to signal a failed
+call.  ``items`` is the list of item texts of a request (``None`` for single-row requests); a live model ignores
+it, the deterministic backends below use it to answer a pack in the requested response format so the whole chain
+can be checked against SQL.  ``open()`` runs once per task (e.g. to build an HTTP client).
 
 The live provider clients are not part of this package: the container has no
 network.  ``CallableBackend`` wraps any ``prompt -> text`` function a user has.
@@ -15,13 +13,12 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as FutureTimeout
 
 
 class Backend:
-    """Base class. Subclasses override ``generate_one`` or ``generate``."""
+    """Base class. Subclasses override ``generate_one``."""
 
+    #: calls that may be under way at a time in one task
     max_concurrency: int = 1
     # whether pack requests must also ship the item texts (a live model reads only the prompt)
     needs_items: bool = False
@@ -32,35 +29,6 @@ class Backend:
     def generate_one(self, prompt: str, items: Sequence[str] | None, attempt: int = 0) -> str:
         raise NotImplementedError
 
-    def generate(self, prompts: Sequence[str], items: Sequence[Sequence[str] | None], attempt: int = 0,
-                 timeout: Sequence[float | None] | None = None) -> list:
-        """One answer (or an Exception instance) per prompt; ``attempt`` counts from 0.
-
-        With ``timeout`` (seconds per request) a call still running after it counts as a
-        ``TimeoutError`` (the thread is left to finish; its late answer is dropped).
-        """
-
-        def one(i):
-            try:
-                return self.generate_one(prompts[i], items[i], attempt)
-            except Exception as e:  # noqa: BLE001 - failures are data here
-                return e
-
-        if timeout is None and (self.max_concurrency <= 1 or len(prompts) <= 1):
-            return [one(i) for i in range(len(prompts))]
-        pool = ThreadPoolExecutor(max(1, self.max_concurrency))
-        try:
-            futures = [pool.submit(one, i) for i in range(len(prompts))]
-            out = []
-            for i, f in enumerate(futures):
-                try:
-                    out.append(f.result(timeout=timeout[i] if timeout else None))
-                except FutureTimeout:
-                    out.append(TimeoutError(f"Timeout after {timeout[i]}s"))
-            return out
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
-
 
 def _md5(s: str) -> str:
     return hashlib.md5(s.encode("utf-8")).hexdigest()
@@ -87,14 +55,15 @@ class FingerprintBackend(Backend):
     exercise missing-answer reconciliation; prompts whose md5 starts with one of
     ``fail_prefixes`` raise on the first ``fail_attempts`` calls, to exercise retry;
     prompts in ``dead_prefixes`` always fail; a pack holding an item whose md5 starts
-    with one of ``poison_item_prefixes`` always fails (to exercise the row fallback).
+    with one of ``poison_item_prefixes`` always fails (to exercise the row fallback); prompts
+    in ``unreadable_prefixes`` are answered by an empty code block.
     """
 
     needs_items = True
 
     def __init__(self, response_format: str = "indexed", omit_prefixes: str = "", fail_prefixes: str = "",
                  fail_attempts: int = 0, fail_message: str = "HTTP 429 Too Many Requests", dead_prefixes: str = "",
-                 poison_item_prefixes: str = "", single_format: str = "text"):
+                 poison_item_prefixes: str = "", single_format: str = "text", unreadable_prefixes: str = ""):
         self.response_format = response_format
         self.single_format = single_format
         self.omit_prefixes = tuple(omit_prefixes)
@@ -103,6 +72,7 @@ class FingerprintBackend(Backend):
         self.fail_message = fail_message
         self.dead_prefixes = tuple(dead_prefixes)
         self.poison_item_prefixes = tuple(poison_item_prefixes)
+        self.unreadable_prefixes = tuple(unreadable_prefixes)
 
     def generate_one(self, prompt, items, attempt=0):
         key = _md5(prompt)
@@ -112,6 +82,8 @@ class FingerprintBackend(Backend):
             raise RuntimeError("Timeout: request took too long")
         if self.fail_prefixes and key.startswith(self.fail_prefixes) and attempt < self.fail_attempts:
             raise RuntimeError(self.fail_message)
+        if self.unreadable_prefixes and key.startswith(self.unreadable_prefixes):
+            return "```json\n```"
         if items is None:
             if self.single_format == "json":
                 # a five-field object as a model in JSON mode would answer, inside a fenced block
@@ -141,19 +113,6 @@ class CallableBackend(Backend):
         return self.fn(prompt)
 
 
-class SlowBackend(Backend):
-    """Answers md5(prompt) after ``delay_s`` seconds (to exercise timeouts)."""
-
-    def __init__(self, delay_s: float):
-        self.delay_s = delay_s
-
-    def generate_one(self, prompt, items, attempt=0):
-        import time
-
-        time.sleep(self.delay_s)
-        return _md5(prompt)
-
-
 class CountingBackend(Backend):
     """Wraps a backend and adds 1 to a Spark accumulator per call (single row or pack): audits paid calls."""
 

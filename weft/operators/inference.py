@@ -12,6 +12,9 @@ downstream operators read the landed copy, so each request is paid for once per
 """
 from __future__ import annotations
 
+import heapq
+import queue
+import threading
 import time
 import uuid
 from dataclasses import dataclass
@@ -33,7 +36,7 @@ class RetryPolicy:
 
     ``kind='linear'``: rate-limit errors wait ``rate_limit_delay*(k+1)``, others ``short_delay``.
     ``kind='exponential'``: every error waits ``base_delay * 2**k``.
-    ``rpm``/``tasks``: optional pacing, each task keeps ``60*tasks/rpm`` seconds between calls.
+    ``rpm``/``tasks``: optional pacing, each task keeps ``60*tasks/rpm`` seconds between the starts of calls.
     """
 
     max_attempts: int = fixed.MAX_RETRIES
@@ -66,61 +69,121 @@ def is_rate_limited(message: str | None) -> bool:
     return any(k in m for k in fixed.RATE_LIMIT_MARKERS)
 
 
+class _Call(threading.Thread):
+    """One call of a backend, with its own start and duration; its outcome is put on ``ended``."""
+
+    def __init__(self, backend: Backend, i: int, prompt: str, items, attempt: int, ended: queue.SimpleQueue):
+        super().__init__(daemon=True)
+        self.args, self.i, self.attempt, self.ended = (backend, prompt, items), i, attempt, ended
+        self.outcome: object = None
+        self.started_at = self.seconds = 0.0
+        self.began = time.monotonic()
+
+    def run(self):
+        backend, prompt, items = self.args
+        self.started_at, self.began = time.time(), time.monotonic()
+        try:
+            self.outcome = backend.generate_one(prompt, items, self.attempt)
+        except Exception as e:  # noqa: BLE001 - failures are data here
+            self.outcome = e
+        self.seconds = time.monotonic() - self.began
+        self.ended.put(self)
+
+
 def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list) -> pd.DataFrame:
+    """Answers to a batch of prompts, up to ``backend.max_concurrency`` at a time.
+
+    Each request has its own clock and its own retries: a request that waits delays no other.  Its time-out runs
+    from the start of its call.  A call that is given up has been sent and is not sent again while it may still
+    answer: an answer that comes before the request's next attempt is taken for it.  With pacing, calls
+    start at least ``60 * tasks / rpm`` seconds apart, also from one batch of a task to the next.
+    """
     from pyspark import TaskContext
 
     ctx = TaskContext.get()
     task = ctx.partitionId() if ctx is not None else -1
     n = len(prompts)
-    called = [None] * n
-    text = [None] * n
-    error = [None] * n
-    attempts = [0] * n
-    latency = [0.0] * n
-    todo = [i for i in range(n) if prompts[i] is not None]
-    interval = (60.0 * policy.tasks / policy.rpm) if policy.rpm else 0.0
-    limits = None
-    if policy.timeout_s:
-        limits = [policy.timeout_s * (policy.pack_timeout_factor if items[i] is not None else 1.0) for i in range(n)]
-    for attempt in range(policy.max_attempts):
-        if not todo:
-            break
-        t0 = time.perf_counter()
-        now = time.time()
-        for i in todo:
-            if called[i] is None:
-                called[i] = now
-        if interval and policy.sleep:
-            outs = []
-            for i in todo:  # paced: one call at a time
-                outs.extend(backend.generate([prompts[i]], [items[i]], attempt, [limits[i]] if limits else None))
-                time.sleep(interval)
+    rows = [{"text": None, "error": None, "attempts": 0, "latency_ms": 0.0, "called_at": None, "task": None} for _ in range(n)]
+    width = max(1, backend.max_concurrency)
+    interval = (60.0 * policy.tasks / policy.rpm) if policy.rpm and policy.sleep else 0.0
+    inline = width == 1 and not policy.timeout_s
+    waiting = [(0.0, i, 0) for i in range(n) if prompts[i] is not None]  # when ready, request, attempt
+    heapq.heapify(waiting)
+    live: dict[int, _Call] = {}
+    given_up: dict[int, _Call] = {}
+    ended: queue.SimpleQueue = queue.SimpleQueue()
+
+    def limit(i: int) -> float:
+        return policy.timeout_s * (policy.pack_timeout_factor if items[i] is not None else 1.0) if policy.timeout_s else float("inf")
+
+    def settle(i: int, attempt: int, outcome, retry_after=None) -> None:
+        row = rows[i]
+        if isinstance(outcome, BaseException):
+            row["error"] = f"{type(outcome).__name__}: {outcome}"
+            retry_after = getattr(outcome, "retry_after", None)
+        elif outcome is None or str(outcome).strip() == "":
+            row["error"] = fixed.EMPTY_RESPONSE
         else:
-            outs = backend.generate([prompts[i] for i in todo], [items[i] for i in todo], attempt,
-                                    [limits[i] for i in todo] if limits else None)
-        per_call = (time.perf_counter() - t0) * 1000.0 / max(1, len(todo))
-        retry, wait = [], 0.0
-        for i, o in zip(todo, outs):
-            attempts[i] += 1
-            latency[i] += per_call
-            if isinstance(o, BaseException):
-                error[i] = f"{type(o).__name__}: {o}"
-                if getattr(o, "retry_after", None) is not None:
-                    wait = max(wait, float(o.retry_after))
-                    retry.append(i)
-                    continue
-            elif o is None or str(o).strip() == "":
-                error[i] = fixed.EMPTY_RESPONSE
-            else:
-                text[i], error[i] = str(o), None
+            row["text"], row["error"] = str(outcome), None
+            return
+        if attempt + 1 < policy.max_attempts:
+            wait = float(retry_after) if retry_after is not None else policy.delay(attempt, is_rate_limited(row["error"]))
+            heapq.heappush(waiting, (time.monotonic() + (wait if policy.sleep else 0.0), i, attempt + 1))
+
+    def finish(call: _Call) -> None:
+        row = rows[call.i]
+        row["latency_ms"] += call.seconds * 1000
+        if live.get(call.i) is call:
+            del live[call.i]
+            settle(call.i, call.attempt, call.outcome)
+
+    while waiting or live:
+        now = time.monotonic()
+        while waiting and len(live) < width and waiting[0][0] <= now:
+            start = getattr(backend, "_weft_next_start", 0.0) if interval else 0.0
+            if start > now:
+                break
+            _, i, attempt = heapq.heappop(waiting)
+            late = given_up.pop(i, None)
+            if late is not None and not late.is_alive() and not isinstance(late.outcome, BaseException) and late.outcome:
+                rows[i]["latency_ms"] += late.seconds * 1000
+                settle(i, attempt, late.outcome)
                 continue
-            retry.append(i)
-            wait = max(wait, policy.delay(attempt, is_rate_limited(error[i])))
-        todo = retry
-        if todo and attempt + 1 < policy.max_attempts and policy.sleep and wait > 0:
-            time.sleep(wait)
-    return pd.DataFrame({"text": text, "error": error, "attempts": attempts, "latency_ms": latency, "called_at": called,
-                         "task": [task if c is not None else None for c in called]})
+            if interval:
+                backend._weft_next_start = max(now, start) + interval
+            call = _Call(backend, i, prompts[i], items[i], attempt, ended)
+            rows[i]["attempts"] += 1
+            rows[i]["task"] = task
+            if rows[i]["called_at"] is None:
+                rows[i]["called_at"] = time.time()
+            live[i] = call
+            if inline:
+                call.run()
+                finish(ended.get())
+                now = time.monotonic()
+            else:
+                call.start()
+        if not live:
+            if waiting:
+                pause = max(waiting[0][0], getattr(backend, "_weft_next_start", 0.0) if interval else 0.0) - time.monotonic()
+                time.sleep(max(pause, 0.0))
+            continue
+        # until a call ends, one is overdue, or another may start
+        until = min([c.began + limit(i) for i, c in live.items()] + [float("inf")])
+        if waiting and len(live) < width:
+            until = min(until, max(waiting[0][0], getattr(backend, "_weft_next_start", 0.0) if interval else 0.0))
+        try:
+            left = until - time.monotonic()
+            finish(ended.get(timeout=None if left == float("inf") else max(left, 0.001)))
+        except queue.Empty:
+            pass
+        now = time.monotonic()
+        for i, c in [(i, c) for i, c in live.items() if now - c.began >= limit(i)]:
+            del live[i]
+            given_up[i] = c
+            rows[i]["latency_ms"] += (now - c.began) * 1000
+            settle(i, c.attempt, TimeoutError(f"Timeout after {limit(i)}s"))
+    return pd.DataFrame(rows, columns=["text", "error", "attempts", "latency_ms", "called_at", "task"])
 
 
 def model_udf(backend: Backend, policy: RetryPolicy | None = None):

@@ -7,10 +7,10 @@
   buckets are balanced because keys are unique row keys; at most one short pack
   per bucket; the same pending rows always give the same packs.
 * ``mode='ordered'``: consecutive runs of the global key order, as the original
-  tool does. Computed without a single-partition window: the frame is
-  range-partitioned and sorted once (landed with a reliable checkpoint so the
-  boundaries are fixed), per-partition row counts (one small row per partition)
-  give each partition its offset, and the rank is offset + position.
+  tool does. Computed without a single-partition window: the keys alone are
+  range-partitioned, sorted and landed once (so the boundaries are fixed), the rows
+  counted per partition give each partition its offset, and the rank, offset + position,
+  is joined back by key.  Keys must be unique.
 
 ``collect_packs`` then groups each pack into one request row. Its grouping
 keys contain the bucket, so it reuses the window's hash partitioning (no
@@ -24,37 +24,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
 
 BATCH_SHIFT = 1 << 32
 
 
-def bucket_expr(key: str, n_buckets: int, dtype: T.DataType, how: str = "hash") -> Column:
+def bucket_expr(key: str, n_buckets: int, dtype: T.DataType, how: str = "hash", width: int = 64) -> Column:
     """Bucket of a row key.
 
     ``how='hash'`` (default): ``pmod(xxhash64(key), n)`` - even for patterned keys.
-    ``how='mod'``: ``pmod(key, n)`` for integral keys, which plain SQL can recompute
-    (used where an independent SQL check must know each pack's members).
+    ``how='div'``: ``key div width`` for integral keys, which plain SQL can recompute
+    (used where an independent SQL check must know each pack's members); it grows with the keys.
     """
-    if how == "mod" and isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return F.pmod(F.col(key), F.lit(n_buckets)).cast("int")
+    if how == "div" and isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return F.floor(F.col(key) / F.lit(width)).cast("int")
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
 
 
-BUCKETS_PER_INPUT_PARTITION = 4
+#: Input bytes for a bucket, and for a partition of the ordered mode; a source of unknown size counts as so much.
+BUCKET_BYTES, RANGE_BYTES, UNKNOWN_BYTES = 1 << 20, 32 << 20, 1 << 30
 
 
-def default_buckets(df: DataFrame) -> int:
-    """Number of buckets: four per input partition (Spark splits files by
-    ``spark.sql.files.maxPartitionBytes``, 128 MB, and by default parallelism for small
-    inputs), so about 32 MB of input per bucket. Each bucket may end in one short pack:
-    tying the count to the input keeps packs full on small inputs, and gives a large
-    input as many small window tasks as it needs."""
-    return max(1, df.rdd.getNumPartitions() * BUCKETS_PER_INPUT_PARTITION)
+def input_bytes(df: DataFrame) -> int:
+    """Size of the sources that ``df`` reads, as the planner knows it; nothing is run.
+
+    It follows from the files alone: the same rows give the same packs in any session."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s if s < 1 << 60 else UNKNOWN_BYTES for s in sizes)
+
+
+def default_buckets(df: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """A bucket for every MB of input. Each bucket may end in one short pack: tying the count to
+    the input keeps packs full on small inputs, and gives a large input as many small window tasks as it needs."""
+    return max(1, min(-(-input_bytes(df) // each), 1 << 30))
 
 
 def pack(df: DataFrame, key: str, size: int, mode: str = "bucketed", n_buckets: int | None = None,
-         split_by: str | None = None, bucket_fn: str = "hash") -> DataFrame:
+         split_by: str | None = None, bucket_fn: str = "hash", bucket_width: int = 64) -> DataFrame:
     """Add ``bucket`` (int), ``batch_no`` (bigint), ``batch_id`` (bigint) and ``item_id`` (int, 1-based).
 
     ``split_by`` names a boolean column; rows of each value are packed separately
@@ -63,8 +69,8 @@ def pack(df: DataFrame, key: str, size: int, mode: str = "bucketed", n_buckets:
     if size < 1:
         raise ValueError("pack size must be >= 1")
     if mode == "bucketed":
-        n = n_buckets or default_buckets(df)
-        b = df.withColumn("bucket", bucket_expr(key, n, df.schema[key].dataType, bucket_fn))
+        n = n_buckets or (1 if bucket_fn == "div" else default_buckets(df))
+        b = df.withColumn("bucket", bucket_expr(key, n, df.schema[key].dataType, bucket_fn, bucket_width))
         parts = ["bucket"] + ([split_by] if split_by else [])
         rn = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col(key))) - 1
         out = b.withColumn("_rank", rn.cast("long"))
@@ -82,36 +88,18 @@ def pack(df: DataFrame, key: str, size: int, mode: str = "bucketed", n_buckets:
 
 def _global_rank(df: DataFrame, key: str, n_parts: int | None = None, split_by: str | None = None) -> DataFrame:
     """0-based rank by ``key`` over the whole frame (within each ``split_by`` value), computed partition-parallel."""
-    checkpoint_dir(df.sparkSession)
-    n = n_parts or default_buckets(df)
+    from .inference import land
+
     grp = F.coalesce(F.col(split_by).cast("int"), F.lit(0)) if split_by else F.lit(0)
-    ranged = (
-        df.withColumn("_grp", grp)
-        .repartitionByRange(n, F.col("_grp"), F.col(key))
-        .sortWithinPartitions(F.col("_grp"), F.col(key))
-    )
-    # fix the partition boundaries: range partitioning samples, a recomputation could move rows
-    ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    ranged = ranged.checkpoint(eager=True)
-    counts = sorted(
-        (r["_pid"], r["_grp"], r["n"])
-        for r in ranged.groupBy("_pid", "_grp").agg(F.count(F.lit(1)).alias("n")).collect()
-    )
-    # rank = (rows of the same group in earlier partitions) + (position in partition) - (rows of smaller groups in this partition)
-    before_group: dict[int, int] = {}
-    start_in_part: dict[tuple[int, int], int] = {}
-    seen_in_part: dict[int, int] = {}
-    adjust = {}
-    for pid, g, c in counts:
-        start_in_part[(pid, g)] = seen_in_part.get(pid, 0)
-        seen_in_part[pid] = seen_in_part.get(pid, 0) + c
-        adjust[pid * 2 + g] = before_group.get(g, 0) - start_in_part[(pid, g)]
-        before_group[g] = before_group.get(g, 0) + c
-    # one entry per (partition, group): bounded by the partition count, not by the data
-    offs = F.create_map(*[x for k, v in adjust.items() for x in (F.lit(k), F.lit(v))]) if adjust else F.create_map()
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    slot = F.col("_pid") * 2 + F.col("_grp")
-    return ranged.withColumn("_rank", (F.coalesce(offs[slot], F.lit(0)) + pos).cast("long")).drop("_pid", "_mid", "_grp")
+    keys = df.select(F.col(key).alias("_key"), grp.alias("_grp"))
+    ranged = keys.repartitionByRange(n_parts or default_buckets(df, RANGE_BYTES), "_grp", "_key").sortWithinPartitions("_grp", "_key")
+    # range partitioning samples: landed, so that a recomputation can't move rows
+    ranged = land(ranged.select("_key", "_grp", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_at")), "ranked-keys")
+    counts = ranged.groupBy("_grp", "_pid").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.sum("n").over(Window.partitionBy("_grp").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_grp", "_pid", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranks = ranged.join(offsets, ["_grp", "_pid"]).select("_key", (F.col("_before") + F.col("_at") - F.col("_first")).cast("long").alias("_rank"))
+    return df.join(ranks, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def collect_packs(packed: DataFrame, payload: Sequence[str | Column], carry: Sequence[str] | None = None,
@@ -130,18 +118,7 @@ def collect_packs(packed: DataFrame, payload: Sequence[str | Column], carry: Seq
 
 
 def chunk(df: DataFrame, key: str, size: int = 100, mode: str = "ordered", n_buckets: int | None = None,
-          bucket_fn: str = "hash") -> DataFrame:
+          bucket_fn: str = "hash", bucket_width: int = 64) -> DataFrame:
     """``chunk_id``: runs of ``size`` rows (the checkpoint unit of the original tool)."""
-    p = pack(df, key, size, mode=mode, n_buckets=n_buckets, bucket_fn=bucket_fn)
+    p = pack(df, key, size, mode=mode, n_buckets=n_buckets, bucket_fn=bucket_fn, bucket_width=bucket_width)
     return p.withColumnRenamed("batch_id", "chunk_id").drop("item_id", "batch_no", "bucket")
-
-
-def plan_pack_size(remaining: int) -> tuple[str, int]:
-    """Choose the run shape from the pending row count: concurrent packs, blocking packs, or one row."""
-    from ..functions import fixed
-
-    if remaining > 10:
-        return "async", fixed.ASYNC_PACK_SIZE
-    if remaining > 1:
-        return "batch", fixed.SYNC_PACK_SIZE
-    return "single", 1

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators.backends import FingerprintBackend
 from ..operators.inference import RetryPolicy
+from . import derived as D
 from . import sql as S
 from .enrich import EnrichSpec, enrich
 
@@ -53,10 +54,10 @@ def _has_sql(col: str) -> str:
     f"""SELECT doc_id,
   CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status,
   CASE WHEN {_has_sql('text')} THEN md5({S.prompt_single(PROMPT, S.clean('text'))}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result
-FROM documents""",
+FROM (SELECT doc_id, {D.MESSY_TEXT} AS text FROM documents)""",
 )
 def enrich_single(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
     out = enrich(docs, spec)
     return out.select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
@@ -65,14 +66,15 @@ def enrich_single(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # packs: documents -> bucketed packs of 5 -> one request per pack -> keyed answers
 # ---------------------------------------------------------------------------
-N_BUCKETS = 16
+#: Keys of a bucket where SQL must know each pack's members; the buckets grow with the keys.
+BUCKET_WIDTH = 64
 PACK = 5
 
 
-def _pack_cte(src: str, key: str, text_sql: str, size: int = PACK, n_buckets: int | None = N_BUCKETS, has_sql: str | None = None) -> str:
+def _pack_cte(src: str, key: str, text_sql: str, size: int = PACK, width: int | None = BUCKET_WIDTH, has_sql: str | None = None) -> str:
     """Oracle CTEs ``b`` (bucket, has), ``p`` (rank, batch_no, item_id, batch_id) for a packed table."""
     has = has_sql or f"({text_sql} IS NOT NULL AND {S.clean(text_sql)} <> '')"
-    bucket = f"CAST({key} % {n_buckets} AS INTEGER)" if n_buckets else "0"
+    bucket = f"CAST({key} // {width} AS INTEGER)" if width else "0"
     return f"""b AS (SELECT *, {bucket} AS bucket, {has} AS has FROM {src}),
 r AS (SELECT *, row_number() OVER (PARTITION BY bucket, has ORDER BY {key}) - 1 AS rk FROM b),
 p AS (SELECT *, rk // {size} AS batch_no, CAST(rk % {size} + 1 AS INTEGER) AS item_id,
@@ -81,14 +83,14 @@ p AS (SELECT *, rk // {size} AS batch_no, CAST(rk % {size} + 1 AS INTEGER) AS it
 
 def _packed_spec(fmt: str, **kw) -> EnrichSpec:
     backend = FingerprintBackend(response_format=fmt, omit_prefixes=kw.pop("omit", "f"), **kw.pop("backend_kw", {}))
-    # bucket by key mod n so the SQL check can recompute every pack's members
+    # bucket by key div width so the SQL check can recompute every pack's members
     return EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=backend, pack_size=PACK,
-                      pack_format=fmt, n_buckets=N_BUCKETS, bucket_fn="mod", policy=NO_SLEEP, **kw)
+                      pack_format=fmt, bucket_width=BUCKET_WIDTH, bucket_fn="div", policy=NO_SLEEP, **kw)
 
 
 def _packed_query(fmt: str):
     def q(spark, sf_dir):
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
         out = enrich(docs, _packed_spec(fmt))
         return out.select("doc_id", "batch_id", "item_id", F.col("result.status").alias("status"),
                           F.col(fixed.RESULT_COLUMN).alias("ai_result"))
@@ -100,7 +102,7 @@ def _packed_oracle(fmt: str) -> str:
     missing = {"indexed": fixed.PACK_PARSE_MISSING_SYNC, "items": fixed.PACK_PARSE_MISSING_ASYNC,
                "json": fixed.JSON_OBJECT_MISSING}[fmt]
     answer = f"""'{{"answer":"' || {h} || '"}}'""" if fmt == "json" else h
-    return f"""WITH {_pack_cte('documents', 'doc_id', 'text')},
+    return f"""WITH {_pack_cte(f'(SELECT doc_id, {D.MESSY_TEXT} AS text FROM documents)', 'doc_id', 'text')},
 q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
              count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
 SELECT doc_id,
@@ -121,7 +123,6 @@ for _fmt in ("indexed", "items", "json"):
 # ---------------------------------------------------------------------------
 # projections, filters, predicates (PRJ / FLT)
 # ---------------------------------------------------------------------------
-from . import derived as D  # noqa: E402
 from ..functions import prompts as PR  # noqa: E402
 from ..functions import text as TX  # noqa: E402
 from .enrich import pack_requests  # noqa: E402
@@ -131,6 +132,7 @@ def _messy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("t"))
 
 
+_MESSY_DOCS = f"(SELECT doc_id, {D.MESSY_TEXT} AS text FROM documents)"
 _MESSY_SQL = f"(SELECT doc_id, {D.MESSY_TEXT} AS t FROM documents)"
 
 
@@ -295,7 +297,7 @@ def _pack_prompt_query(fmt: str, multi: bool):
         if multi:
             src = _conv_keyed(spark, sf_dir)
             spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", backend=FingerprintBackend(),
-                              pack_size=PACK, pack_format=fmt, n_buckets=N_BUCKETS, bucket_fn="mod")
+                              pack_size=PACK, pack_format=fmt, bucket_width=CONV_WIDTH, bucket_fn="div")
         else:
             src = table(spark, sf_dir, "documents").select("doc_id", "text")
             spec = _packed_spec(fmt)
@@ -305,10 +307,13 @@ def _pack_prompt_query(fmt: str, multi: bool):
 
 
 def _conv_keyed(spark, sf_dir):
-    return _conv_messy(spark, sf_dir).withColumn("row_key", F.col("conv_id") * 100000 + F.col("turn"))
+    return _conv_messy(spark, sf_dir).withColumn("row_key", F.col("conv_id") * TURNS + F.col("turn"))
 
 
-_CONV_KEYED_SQL = f"(SELECT *, conv_id * 100000 + turn AS row_key FROM {_CONV_MESSY})"
+#: More than the turns of any conversation; a bucket holds the turns of 16 conversations.
+TURNS = 1000
+CONV_WIDTH = 16 * TURNS
+_CONV_KEYED_SQL = f"(SELECT *, conv_id * {TURNS} + turn AS row_key FROM {_CONV_MESSY})"
 
 
 def _fill_sql(text: str, n: str = "CAST(count(*) AS VARCHAR)") -> str:
@@ -327,7 +332,7 @@ def _pack_prompt_oracle(fmt: str, multi: bool) -> str:
             f"'  {j}. {c}: ' || {S.clean(f'coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})')}" for j, c in enumerate(cols, 1))
         vals_raw = " || chr(10) || ".join(f"'  {c}: ' || coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})" for c in cols)
         has = "(" + " OR ".join(f"({c} IS NOT NULL AND {S.strip(f'CAST({c} AS VARCHAR)')} <> '')" for c in cols) + ")"
-        cte = _pack_cte(_CONV_KEYED_SQL, "row_key", "text", has_sql=has)
+        cte = _pack_cte(_CONV_KEYED_SQL, "row_key", "text", width=CONV_WIDTH, has_sql=has)
         block_idx = f"'[' || item_id || ']' || chr(10) || {vals_clean}"
         block_items = f"'Item ' || item_id || ':' || chr(10) || {vals_raw}"
         prompt = _MPROMPT
@@ -649,10 +654,10 @@ from .retry import enrich_with_fallback, retry_failed  # noqa: E402
 SELECT doc_id, bucket, batch_id, item_id FROM p""")
 def q_pack_bucketed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
-    return PK.pack(d, "doc_id", PACK, n_buckets=N_BUCKETS, bucket_fn="mod").select("doc_id", "bucket", "batch_id", "item_id")
+    return PK.pack(d, "doc_id", PACK, bucket_width=BUCKET_WIDTH, bucket_fn="div").select("doc_id", "bucket", "batch_id", "item_id")
 
 
-@register("pack_ordered", f"""WITH {_pack_cte('documents', 'doc_id', 'text', n_buckets=None, has_sql='true')}
+@register("pack_ordered", f"""WITH {_pack_cte('documents', 'doc_id', 'text', width=None, has_sql='true')}
 SELECT doc_id, batch_id, item_id FROM p""")
 def q_pack_ordered(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
@@ -1006,9 +1011,9 @@ def q_responses_roundtrip(spark, sf_dir):
 
 
 @register("enrich_packed", f"""SELECT doc_id, CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status,
-  CASE WHEN {_has_sql('text')} THEN md5({S.clean('text')}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM documents""")
+  CASE WHEN {_has_sql('text')} THEN md5({S.clean('text')}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM {_MESSY_DOCS}""")
 def q_enrich_packed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(),
                       pack_size=fixed.ASYNC_PACK_SIZE, policy=NO_SLEEP)
     return enrich(docs, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
@@ -1039,7 +1044,7 @@ def q_enrich_multi(spark, sf_dir):
 
 def _multi_packed_oracle() -> str:
     h = f"md5({_multi_item_sql()})"
-    return f"""WITH {_pack_cte(_CONV_KEYED_SQL, 'row_key', 'text', has_sql='true')},
+    return f"""WITH {_pack_cte(_CONV_KEYED_SQL, 'row_key', 'text', width=CONV_WIDTH, has_sql='true')},
 q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
              count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
 SELECT conv_id, turn, batch_id, item_id,
@@ -1053,7 +1058,7 @@ FROM q"""
 def q_enrich_multi_packed(spark, sf_dir):
     src = _conv_keyed(spark, sf_dir)
     spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", pack_size=PACK, pack_format="items",
-                      n_buckets=N_BUCKETS, bucket_fn="mod", policy=NO_SLEEP, backend=FingerprintBackend(response_format="items", omit_prefixes="f"))
+                      bucket_width=CONV_WIDTH, bucket_fn="div", policy=NO_SLEEP, backend=FingerprintBackend(response_format="items", omit_prefixes="f"))
     out = enrich(src, spec)
     return out.select("conv_id", "turn", "batch_id", "item_id", F.col("result.status").alias("status"),
                       F.col(fixed.RESULT_COLUMN).alias("ai_result"))
@@ -1062,15 +1067,21 @@ def q_enrich_multi_packed(spark, sf_dir):
 # JSON-mode answers parsed inside the pipeline (INF1 + PAR15) -------------------------------------
 
 
-@register("enrich_json", f"""SELECT doc_id, 'OK' AS status, 'json' AS method,
-  substr({_PMD5}, 1, 8) || '|null|' || substr({_PMD5}, 9, 8) || '|null|' || {_PMD5} AS ai_result FROM documents""")
+@register("enrich_json", f"""SELECT doc_id, CASE WHEN NOT {_has_sql('text')} THEN 'NO_DATA' WHEN {_PMD5} LIKE 'b%' OR {_PMD5} LIKE 'c%' THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN {_has_sql('text')} AND {_PMD5} NOT LIKE 'b%' AND {_PMD5} NOT LIKE 'c%' THEN 'json' END AS method,
+  CASE WHEN {_has_sql('text')} AND {_PMD5} LIKE 'b%' THEN '```json' || chr(10) || '```' END AS raw,
+  CASE WHEN {_has_sql('text')} AND {_PMD5} LIKE 'c%' THEN 'RuntimeError: Connection error: service unavailable'
+       WHEN {_has_sql('text')} AND {_PMD5} LIKE 'b%' THEN {S.lit(fixed.JSON_PARSE_FAILED_PREFIX)} || '```json' || chr(10) || '```' END AS error,
+  CASE WHEN NOT {_has_sql('text')} THEN {S.lit(fixed.NO_DATA)} WHEN {_PMD5} LIKE 'c%' THEN {S.lit(fixed.ERROR_AFTER_RETRIES.format(n=3))}
+       WHEN {_PMD5} LIKE 'b%' THEN {S.lit(fixed.JSON_PARSE_FAILED_PREFIX)} || '```json' || chr(10) || '```'
+       ELSE substr({_PMD5}, 1, 8) || '|null|' || substr({_PMD5}, 9, 8) || '|null|' || {_PMD5} END AS ai_result FROM {_MESSY_DOCS}""")
 def q_enrich_json(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(single_format="json"),
-                      use_json=True, policy=NO_SLEEP)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", use_json=True, policy=NO_SLEEP,
+                      backend=FingerprintBackend(single_format="json", unreadable_prefixes="b", dead_prefixes="c"))
     out = enrich(docs, spec)
-    return out.select("doc_id", F.col("result.status").alias("status"), F.col("result.method").alias("method"),
-                      F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+    return out.select("doc_id", F.col("result.status").alias("status"), F.col("result.method").alias("method"), F.col("result.raw").alias("raw"),
+                      F.col("result.error").alias("error"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
 
 
 # status-based statistics of an enrichment run (AGG1 on the result struct) -----------------------
@@ -1080,7 +1091,7 @@ def q_enrich_json(spark, sf_dir):
   count(*) FILTER (WHERE status = 'NO_DATA') AS no_data, count(*) FILTER (WHERE status = 'ERROR') AS errors
 FROM ({_packed_oracle('items')})""")
 def q_result_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
     return QU.status_stats(enrich(docs, _packed_spec("items")))
 
 
@@ -1134,20 +1145,65 @@ def q_breaker_streaks(spark, sf_dir):
 # the whole run: load -> enrich in packs -> retry error rows -> write -> report --------------------
 
 
-@register("job_report", """SELECT count(*) AS total, count(*) AS processed, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS remaining,
-  CAST(100.0 AS DOUBLE) AS success_rate FROM documents""")
+_JOB_SRC = f"(SELECT doc_id, {D.MESSY_TEXT} AS text, CASE WHEN doc_id % 5 = 0 THEN 'came with it' WHEN doc_id % 5 = 1 THEN 'Connection error: reset' ELSE '' END AS ai FROM documents)"
+_JOB_DEAD = "substr(md5(" + S.prompt_single(PROMPT, S.clean("text")) + "), 1, 1) = 'a'"
+_JOB_SQL = f"""SELECT doc_id, CASE WHEN ai = 'came with it' THEN 'OK' WHEN NOT {_has_sql('text')} THEN 'NO_DATA' WHEN {_JOB_DEAD} THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN ai = 'came with it' THEN ai WHEN NOT {_has_sql('text')} THEN {S.lit(fixed.NO_DATA)}
+       WHEN {_JOB_DEAD} THEN {S.lit(fixed.RETRY_FAILED_PREFIX + fixed.ERROR_AFTER_RETRIES.format(n=3))} ELSE {_PMD5} END AS ai_result FROM {_JOB_SRC}"""
+
+
+def _job_out(spark, sf_dir):
+    """A job over a table with results of its own, of which some are errors: it breaks off after two of its four chunks,
+    in which many calls failed, and is run again."""
+    from . import job as JOB
+
+    base = checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"), F.expr(
+        "CASE WHEN doc_id % 5 = 0 THEN 'came with it' WHEN doc_id % 5 = 1 THEN 'Connection error: reset' ELSE '' END").alias(fixed.RESULT_COLUMN))
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=FingerprintBackend(dead_prefixes="ab"))
+    first = JOB.EnrichJob(input_path="", output_path=INC.fresh_path(base, "job-out"), spec=spec, state_path=INC.fresh_path(base, "job-state"), run_id="broken")
+    todo = JOB.pending_rows(spark, first, docs, first.state_path)
+    for chunk in (0, 1):
+        JOB.run_chunk(spark, first, todo, chunk, first.state_path)
+    again = JOB.EnrichJob(input_path="", output_path=first.output_path, state_path=first.state_path, run_id="again", spec=EnrichSpec(
+        prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=FingerprintBackend(dead_prefixes="a")))
+    JOB.run(spark, again, df=docs)
+    return spark.read.parquet(again.output_path)
+
+
+@register("job_resume", _JOB_SQL)
+def q_job_resume(spark, sf_dir):
+    return _job_out(spark, sf_dir).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+@register("job_report", f"""SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'ERROR') AS processed, count(*) FILTER (WHERE status = 'ERROR') AS errors,
+  CAST(0 AS BIGINT) AS remaining, CAST(count(*) FILTER (WHERE status <> 'ERROR') AS DOUBLE) / count(*) * 100 AS success_rate FROM ({_JOB_SQL})""")
 def q_job_report(spark, sf_dir):
-    from .job import EnrichJob, run
+    from .job import report_frame
+
+    return report_frame(_job_out(spark, sf_dir))
+
+
+@register("stream_shared_state", f"""SELECT doc_id, CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status, CASE WHEN {_has_sql('text')} THEN {_PMD5}
+  ELSE {S.lit(fixed.NO_DATA)} END AS ai_result, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS stream FROM {_MESSY_DOCS}""")
+def q_stream_shared_state(spark, sf_dir):
+    """Two streams, each with its own checkpoint, into one state; the second finds a part of its first batch written."""
+    import uuid
 
     base = checkpoint_dir(spark)
-    # failed packs (any item whose md5 starts with 'f') are answered by the retry pass, one row per call
-    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", pack_size=PACK, policy=NO_SLEEP,
-                      backend=FingerprintBackend(poison_item_prefixes="f"))
-    job = EnrichJob(input_path=f"{sf_dir.rstrip('/')}/documents.parquet", output_path=INC.fresh_path(base, "job-out"), spec=spec,
-                    state_path=INC.fresh_path(base, "job-state"))
-    rep = run(spark, job, df=table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return spark.createDataFrame([(rep["total"], rep["processed"], rep["errors"], rep["remaining"], float(rep["success_rate"]))],
-                                 "total long, processed long, errors long, remaining long, success_rate double")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
+    state, names = INC.fresh_path(base, "shared-state"), {}
+    for name, rest in (("even", 0), ("odd", 1)):
+        src, ckpt = INC.fresh_path(base, f"in-{name}"), INC.fresh_path(base, f"ckpt-{name}")
+        docs.filter(F.pmod("doc_id", F.lit(2)) == rest).write.parquet(src)
+        names[name] = uuid.uuid5(uuid.NAMESPACE_URL, ckpt).hex[:12]
+        if name == "odd":
+            part = docs.filter(F.pmod("doc_id", F.lit(6)) == 1)
+            INC.save_state(enrich(part, spec), "doc_id", state, f"stream-{names[name]}-0")
+        INC.enrich_stream(spark, src, docs.schema, spec, state, ckpt).awaitTermination()
+    own = F.when(F.col("run_id").startswith(f"stream-{names['even']}-"), "even").when(F.col("run_id").startswith(f"stream-{names['odd']}-"), "odd")
+    return INC.load_state(spark, state).select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result", own.alias("stream"))
 
 
 # tuned-model registry: a registry file derived from the data, read back and joined per document ----------

@@ -2,8 +2,9 @@
 
 ``enrich(df, spec)`` returns ``df`` plus
 
-* ``result``: struct<status, value, error, attempts, method> with status one of
-  ``OK``, ``NO_DATA``, ``ERROR``;
+* ``result``: struct<status, value, error, attempts, method, raw, ...> with status one of
+  ``OK``, ``NO_DATA``, ``ERROR``; ``error`` is the real cause, and ``raw`` keeps a paid
+  answer that could not be read;
 * ``AI_RESULT``: the projected text column (answer, or the sentinel text the
   original tool would have written).
 
@@ -27,9 +28,6 @@ from ..operators.backends import Backend
 from ..operators.inference import RetryPolicy, call_model, land
 from ..operators.packing import collect_packs, pack
 
-RESULT_T = "struct<status:string,value:string,error:string,attempts:int,method:string>"
-
-
 @dataclass(frozen=True)
 class EnrichSpec:
     """What to ask, of which columns, and how to send it."""
@@ -42,8 +40,12 @@ class EnrichSpec:
     pack_format: str = "indexed"        # 'indexed' ([n] blocks), 'items' (Item n:), 'json' (array with item_id)
     pack_mode: str = "bucketed"         # or 'ordered'
     n_buckets: int | None = None
-    bucket_fn: str = "hash"             # 'hash' (xxhash64 of the key) or 'mod' (key mod n, SQL-reproducible)
+    bucket_fn: str = "hash"             # 'hash' (xxhash64 of the key) or 'div' (key div bucket_width, SQL-reproducible)
+    bucket_width: int = 64
     use_json: bool = False
+    json_fields: tuple[str, ...] = tuple(fixed.RESULT_FIELDS)
+    template: str | None = None         # a tuned model's prompt: a column with the template, or the template itself
+    requires_context: str | bool = True  # whether the template applies: a boolean column, or a constant
     multi_style: str = "sync"           # multi-column single-row prompt: 'sync' (definitions, cleaned) or 'async'
     policy: RetryPolicy = field(default_factory=RetryPolicy)
     land: bool = True
@@ -56,7 +58,7 @@ class EnrichSpec:
         if isinstance(self.columns, str):
             raise ValueError("columns must be a sequence of names, e.g. ('MESSAGE',)")
         checks = {"pack_format": (self.pack_format, ("indexed", "items", "json")), "pack_mode": (self.pack_mode, ("bucketed", "ordered")),
-                  "bucket_fn": (self.bucket_fn, ("hash", "mod")), "multi_style": (self.multi_style, ("sync", "async"))}
+                  "bucket_fn": (self.bucket_fn, ("hash", "div")), "multi_style": (self.multi_style, ("sync", "async"))}
         for name, (value, allowed) in checks.items():
             if value not in allowed:
                 raise ValueError(f"{name}={value!r}; expected one of {', '.join(allowed)}")
@@ -72,7 +74,11 @@ def _has(spec: EnrichSpec) -> Column:
     return has_any_data(spec.columns) if spec.multi else has_data(spec.columns[0])
 
 
-def _single_prompt(spec: EnrichSpec) -> Column:
+def _single_prompt(spec: EnrichSpec, columns: list[str]) -> Column:
+    if not spec.multi and spec.template is not None:
+        tpl = F.col(spec.template) if spec.template in columns else F.lit(spec.template)
+        needs = F.col(spec.requires_context) if isinstance(spec.requires_context, str) else F.lit(spec.requires_context)
+        return PR.prompt_with_registry(tpl, needs, clean_text(spec.columns[0]), spec.prompt)
     if not spec.multi:
         return PR.prompt_single(spec.prompt, clean_text(spec.columns[0]))
     if spec.multi_style == "async":
@@ -80,14 +86,20 @@ def _single_prompt(spec: EnrichSpec) -> Column:
     return PR.prompt_multi_sync(spec.prompt, spec.columns)
 
 
-def _projected(result: Column) -> Column:
+def _projected(result: Column, message: Column) -> Column:
+    """The text column: the answer, or the fixed text for why there is none."""
     return (
         F.when(result["status"] == "OK", result["value"])
         .when(result["status"] == "NO_DATA", F.lit(fixed.NO_DATA))
-        .otherwise(result["error"])
+        .otherwise(message)
     )
 
 
+def _unread(parsed: Column) -> Column:
+    """An answer that came but holds nothing readable."""
+    return F.coalesce(parsed["method"].isin("failed", "empty"), F.lit(False))
+
+
 def enrich(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     """Ask the backend about every row of ``df`` (callers pass only pending rows; see ``streaming.incremental.resume``)."""
     missing = [c for c in list(spec.columns) + [spec.key] if c not in df.columns]
@@ -102,7 +114,7 @@ def enrich(df: DataFrame, spec: EnrichSpec) -> DataFrame:
 
 def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     cols = df.columns
-    asked = df.withColumn("_prompt", F.when(_has(spec), _single_prompt(spec)))
+    asked = df.withColumn("_prompt", F.when(_has(spec), _single_prompt(spec, cols)))
     if spec.call_partitions:
         asked = asked.repartition(spec.call_partitions)
     answered = call_model(asked, spec.backend, "_prompt", policy=spec.policy, out="_resp")
@@ -111,24 +123,30 @@ def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     if spec.land:
         answered = land(answered)
     r = F.col("_resp")
-    answered = P.with_parsed_response(answered, r["text"], "_val", spec.use_json)
+    answered = P.with_parsed_response(answered, r["text"], "_val", spec.use_json, spec.json_fields)
     parsed = F.col("_val")
-    status = F.when(~F.col("_sent"), F.lit("NO_DATA")).when(r["error"].isNotNull(), F.lit("ERROR")).otherwise(F.lit("OK"))
-    err = F.when(r["error"].isNotNull(), F.concat(F.lit(fixed.ERROR_AFTER_RETRIES.split("{n}")[0]), r["attempts"].cast("string"),
-                                                   F.lit(fixed.ERROR_AFTER_RETRIES.split("{n}")[1])))
-    result = F.struct(
+    failed = r["error"].isNotNull()
+    status = F.when(~F.col("_sent"), F.lit("NO_DATA")).when(failed | _unread(parsed), F.lit("ERROR")).otherwise(F.lit("OK"))
+    after = fixed.ERROR_AFTER_RETRIES.split("{n}")
+    message = F.when(failed, F.concat(F.lit(after[0]), r["attempts"].cast("string"), F.lit(after[1]))).otherwise(parsed["value"])
+    result = _result(status, parsed["value"], F.when(failed, r["error"]).otherwise(parsed["value"]), parsed["method"], r["text"], r)
+    out = answered.withColumn("result", result)
+    return out.select(*cols, "result", _projected(F.col("result"), message).alias(fixed.RESULT_COLUMN))
+
+
+def _result(status: Column, value: Column, error: Column, method: Column, raw: Column, r: Column) -> Column:
+    return F.struct(
         status.alias("status"),
-        F.when(status == "OK", parsed["value"]).alias("value"),
-        F.when(status == "ERROR", err).alias("error"),
+        F.when(status == "OK", value).alias("value"),
+        F.when(status == "ERROR", error).alias("error"),
         F.coalesce(r["attempts"], F.lit(0)).alias("attempts"),
-        F.when(status == "OK", parsed["method"]).alias("method"),
+        F.when(status == "OK", method).alias("method"),
+        F.when(status == "ERROR", raw).alias("raw"),
         F.timestamp_seconds(r["called_at"]).alias("called_at"),
         r["latency_ms"].alias("latency_ms"),
         r["task"].alias("task"),
         F.when(r["called_at"].isNotNull(), r["error"].isNull()).alias("call_ok"),
     )
-    out = answered.withColumn("result", result)
-    return out.select(*cols, "result", _projected(F.col("result")).alias(fixed.RESULT_COLUMN))
 
 
 def _pack_prompt(spec: EnrichSpec, items: Column) -> Column:
@@ -158,7 +176,7 @@ def pack_requests(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     base = df.withColumn("_has", _has(spec))
     # rows with nothing to send sit in their own (never sent) packs: same scan, same exchange
     packed = pack(base, spec.key, spec.pack_size, mode=spec.pack_mode, n_buckets=spec.n_buckets, split_by="_has",
-                  bucket_fn=spec.bucket_fn)
+                  bucket_fn=spec.bucket_fn, bucket_width=spec.bucket_width)
     # groups are bounded by the pack size; the grouping keys contain the window's partition keys (no new exchange)
     reqs = collect_packs(packed, [], carry=cols, by=["bucket", "_has", "batch_no"])
 
@@ -196,37 +214,28 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
             F.lit("_answer"), P.answer_for(F.col("_parsed.answers"), x["item_id"]))))
     )
     if spec.use_json:
-        exploded = P.with_parsed_response(exploded, "_answer", "_val", True)
+        exploded = P.with_parsed_response(exploded, "_answer", "_val", True, spec.json_fields)
     ans = F.col("_answer")
     value = F.col("_val.value") if spec.use_json else ans
+    failed = r["error"].isNotNull()
+    unread = _unread(F.col("_val")) if spec.use_json else F.lit(False)
     status = (
         F.when(~F.col("_has"), F.lit("NO_DATA"))
-        .when(r["error"].isNotNull(), F.lit("ERROR"))
-        .when(ans.isNull(), F.lit("ERROR"))
+        .when(failed | ans.isNull() | unread, F.lit("ERROR"))
         .otherwise(F.lit("OK"))
     )
-    err = (
-        F.when(r["error"].isNotNull(), F.concat(F.lit(fixed.BATCH_ERROR_PREFIX), r["error"]))
-        .otherwise(P.pack_missing_message(F.col("_method"), style))
-    )
-    result = F.struct(
-        status.alias("status"),
-        F.when(status == "OK", value).alias("value"),
-        F.when(status == "ERROR", err).alias("error"),
-        F.coalesce(r["attempts"], F.lit(0)).alias("attempts"),
-        F.when(status == "OK", F.col("_method")).alias("method"),
-        F.timestamp_seconds(r["called_at"]).alias("called_at"),
-        r["latency_ms"].alias("latency_ms"),
-        r["task"].alias("task"),
-        F.when(r["called_at"].isNotNull(), r["error"].isNull()).alias("call_ok"),
-    )
-    out = exploded.withColumn("result", result)
+    missing = F.when(ans.isNull(), P.pack_missing_message(F.col("_method"), style)).otherwise(value)
+    message = F.when(failed, F.concat(F.lit(fixed.BATCH_ERROR_PREFIX), r["error"])).otherwise(missing)
+    # of an item whose answer is missing, the whole pack's answer is kept
+    raw = F.when(ans.isNull(), r["text"]).otherwise(ans)
+    out = exploded.withColumn("result", _result(status, value, F.when(failed, r["error"]).otherwise(missing), F.col("_method"), raw, r))
+    out = out.withColumn("_message", message)
     return out.select(
         *[F.col("_row")[c].alias(c) for c in cols],
         F.when(F.col("_has"), F.col("batch_id")).alias("batch_id"),
         F.when(F.col("_has"), F.col("item_id")).alias("item_id"),
         "result",
-        _projected(F.col("result")).alias(fixed.RESULT_COLUMN),
+        _projected(F.col("result"), F.col("_message")).alias(fixed.RESULT_COLUMN),
     )
 
 

@@ -1,28 +1,28 @@
 """One enrichment run from a file to a file: the programmatic entry point.
 
-load -> pick columns -> drop rows already answered (state) -> enrich -> retry error
-rows -> append state -> write the result -> report.  The report counts come from
-``observe`` metrics gathered while the result is written (no extra pass over the
-data).  State is kept while anything failed or is left, and may be dropped after a
-clean run (``finalize_state``).
+load -> drop rows already answered (state, or the table's own results) -> enrich chunk by chunk, each chunk's
+answers appended to the state before the next begins -> ask error rows again -> write the whole input with the
+merged answers -> report.  A run that breaks off is started again: it asks only for what the state lacks, and
+its output holds every row of the input.  What is an error is told by the status, and by words in the text only
+for results that came with the table.
 """
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import pending
 from ..operators.columns import require_columns
-from ..operators.packing import plan_pack_size
 from ..operators.quality import is_error
+from ..session import state_path as named_state
 from ..sources.readers import load
 from ..sources.sinks import write_result
-from ..streaming.incremental import finalize_state, load_state, resume, save_state
+from ..streaming.incremental import _asked, check_keys, finalize_state, latest_status, load_state, resume, save_state
 from .enrich import EnrichSpec, enrich
-from .retry import retry_failed
 
 
 @dataclass(frozen=True)
@@ -30,11 +30,71 @@ class EnrichJob:
     input_path: str
     output_path: str
     spec: EnrichSpec
-    state_path: str | None = None
+    state_path: str | None = None     # without one, the answers are kept in the checkpoint folder under a new name
     output_format: str = "parquet"
     retry_errors: bool = True
     run_id: str = "run"
-    auto_pack: bool = False   # choose the pack size from the number of pending rows (one count)
+    chunks: int = 4                   # parts of the input (by a hash of the key) whose answers are made durable one by one
+
+
+_RESULTS = (fixed.RESULT_COLUMN, "result")
+
+
+def _own_answer(data: DataFrame) -> Column:
+    """The answer that a row came with: not empty, and without an error marker; else null."""
+    if fixed.RESULT_COLUMN not in data.columns:
+        return F.lit(None).cast("string")
+    return F.when(~pending(fixed.RESULT_COLUMN) & ~is_error(fixed.RESULT_COLUMN, "retry"), F.col(fixed.RESULT_COLUMN))
+
+
+def pending_rows(spark: SparkSession, job: EnrichJob, data: DataFrame, path: str) -> DataFrame:
+    """Rows of the input that neither the table nor the state has an answer for."""
+    return resume(data.filter(_own_answer(data).isNull()).drop(*_RESULTS), latest_status(spark, path), job.spec.key)
+
+
+def run_chunk(spark: SparkSession, job: EnrichJob, todo: DataFrame, chunk: int, path: str) -> None:
+    """Ask for one chunk of the pending rows and append its answers to the state."""
+    spec = job.spec
+    mine = todo.filter(F.pmod(F.xxhash64(F.col(spec.key).cast("string")), F.lit(job.chunks)) == chunk)
+    save_state(enrich(_asked(mine, spec), replace(spec, land=False)), spec.key, path, f"{job.run_id}-chunk{chunk}")
+
+
+def retry_rows(spark: SparkSession, job: EnrichJob, source: DataFrame, path: str) -> None:
+    """Ask, one row per call, for rows whose latest status is an error; up to ROW_RETRY_ATTEMPTS times."""
+    spec = job.spec
+    single = replace(spec, pack_size=1, land=False, policy=replace(spec.policy, max_attempts=1))
+    for attempt in range(fixed.ROW_RETRY_ATTEMPTS):
+        errors = load_state(spark, path).filter("status = 'ERROR'").select(F.col("row_key").alias("_key"), F.col("ai_result").alias("_old"))
+        bad = _asked(source, spec).join(errors, F.col(spec.key).cast("string") == F.col("_key")).drop("_key")
+        if bad.isEmpty():
+            return
+        asked = enrich(bad, single)
+        old = F.regexp_replace("_old", f"^{fixed.RETRY_FAILED_PREFIX}", "")
+        text = F.when(F.col("result.status") == "ERROR", F.concat(F.lit(fixed.RETRY_FAILED_PREFIX), old)).otherwise(F.col(fixed.RESULT_COLUMN))
+        save_state(asked.withColumn(fixed.RESULT_COLUMN, text), spec.key, path, f"{job.run_id}-retry{attempt}")
+
+
+def merged(spark: SparkSession, job: EnrichJob, data: DataFrame, path: str) -> DataFrame:
+    """Every row of the input with ``result`` and the text column, from the state or the table's own results."""
+    key = F.col(job.spec.key).cast("string")
+    state = load_state(spark, path)
+    rows = data.withColumn("_own", _own_answer(data)).drop(*_RESULTS)
+    columns = [c for c in rows.columns if c != "_own"]
+    both = rows.join(state.select(F.col("row_key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("status", "value", "error", "raw", "attempts", "ai_result")]), key == F.col("_key"), "left")
+    kept = F.col("_own").isNotNull()
+    pick = lambda mine, theirs: F.when(kept, mine).otherwise(theirs)
+    result = F.struct(pick(F.lit("OK"), F.col("_status")).alias("status"), pick(F.col("_own"), F.col("_value")).alias("value"),
+                      pick(F.lit(None), F.col("_error")).alias("error"), pick(F.lit(None), F.col("_raw")).alias("raw"),
+                      pick(F.lit(0), F.col("_attempts")).alias("attempts"))
+    return both.select(*columns, result.alias("result"), pick(F.col("_own"), F.col("_ai_result")).alias(fixed.RESULT_COLUMN))
+
+
+def report_frame(out: DataFrame) -> DataFrame:
+    """One row from a merged output: total, processed, errors, remaining, success_rate (percent)."""
+    s = F.col("result.status")
+    sums = out.agg(F.count("*").alias("total"), F.count_if(s.isin("OK", "NO_DATA")).alias("processed"), F.count_if(s == "ERROR").alias("errors"),
+                   F.count_if(s.isNull()).alias("remaining"))
+    return sums.withColumn("success_rate", F.when(F.col("total") > 0, F.col("processed") / F.col("total") * 100).otherwise(F.lit(0.0)))
 
 
 def run(spark: SparkSession, job: EnrichJob, df: DataFrame | None = None) -> dict:
@@ -42,43 +102,14 @@ def run(spark: SparkSession, job: EnrichJob, df: DataFrame | None = None) -> dic
     spec = job.spec
     data = df if df is not None else load(spark, job.input_path)
     require_columns(data, list(spec.columns) + [spec.key])
-    state = load_state(spark, job.state_path) if job.state_path else None
-    kept = None
-    if fixed.RESULT_COLUMN in data.columns:
-        # a table that already carries results: only empty results are pending, the rest is kept as it is
-        kept = data.filter(~pending(fixed.RESULT_COLUMN))
-        data = data.filter(pending(fixed.RESULT_COLUMN)).drop(fixed.RESULT_COLUMN)
-    todo = resume(data, state, spec.key)
-    if job.auto_pack:
-        _, size = plan_pack_size(todo.count())
-        spec = replace(spec, pack_size=size, pack_format="indexed" if size == fixed.SYNC_PACK_SIZE else spec.pack_format)
-    result = enrich(todo, spec)
+    check_keys(data, spec.key)
+    path = job.state_path or named_state(spark, f"job-{uuid.uuid4().hex}")
+    todo = pending_rows(spark, job, data, path)
+    for chunk in range(job.chunks):
+        run_chunk(spark, job, todo, chunk, path)
     if job.retry_errors:
-        # the retry pass reads the landed answers; only rows with an error are asked again
-        flat = result.drop("result")
-        result = retry_failed(flat, replace(spec, land=True), fixed.RESULT_COLUMN)
-        result = result.withColumn("result", F.struct(
-            F.when(F.col(fixed.RESULT_COLUMN) == fixed.NO_DATA, "NO_DATA")
-            .when(is_error(fixed.RESULT_COLUMN, "stats") | F.col(fixed.RESULT_COLUMN).startswith(fixed.RETRY_FAILED_PREFIX), "ERROR")
-            .otherwise("OK").alias("status"),
-            F.col(fixed.RESULT_COLUMN).alias("value"), F.lit(None).cast("string").alias("error"),
-            F.lit(None).cast("int").alias("attempts"), F.lit(None).cast("string").alias("method")))
-    if kept is not None:
-        result = result.unionByName(kept.withColumn("result", F.struct(
-            F.lit("OK").alias("status"), F.col(fixed.RESULT_COLUMN).alias("value"), F.lit(None).cast("string").alias("error"),
-            F.lit(None).cast("int").alias("attempts"), F.lit("kept").alias("method"))), allowMissingColumns=True)
-    if job.state_path:
-        save_state(result, spec.key, job.state_path, job.run_id)
-    r = F.col(fixed.RESULT_COLUMN)
-    has = r.isNotNull() & (r != "")
-    err = is_error(r, "stats") | F.coalesce(r.startswith(fixed.RETRY_FAILED_PREFIX), F.lit(False))
-    obs = Observation("weft_report")
-    observed = result.observe(obs, F.count(F.lit(1)).alias("total"), F.count_if(has & ~err).alias("processed"),
-                              F.count_if(err).alias("errors"), F.count_if(~has).alias("remaining"))
-    write_result(observed, job.output_path, job.output_format)
-    m = obs.get
-    total = int(m.get("total", 0))
-    report = {k: int(m.get(k, 0)) for k in ("total", "processed", "errors", "remaining")}
-    report["success_rate"] = (report["processed"] / total * 100) if total else 0.0
-    report["keep_state"] = not finalize_state(report, job.state_path or "")
-    return report
+        retry_rows(spark, job, data.drop(*_RESULTS), path)
+    out = merged(spark, job, data, path)
+    write_result(out, job.output_path, job.output_format)
+    counts = report_frame(spark.read.parquet(job.output_path) if job.output_format == "parquet" else out).first().asDict()
+    return counts | {"keep_state": not finalize_state(counts)}

@@ -42,7 +42,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before landing data on a cluster")
     path = tempfile.mkdtemp(prefix="weft-ckpt-")
     sc.setCheckpointDir(path)

@@ -1,18 +1,22 @@
 """Durable state, resume and the streaming run.
 
-State is an append-only Parquet table of ``(key, status, value, error, attempts,
-run_id)`` rows under the shared checkpoint folder.  Reading it keeps the latest
-row per key (``max_by`` aggregate: partial aggregation, so a key written many
+State is an append-only Parquet table of ``(row_key, status, value, error, raw, attempts,
+ai_result, written_at, run_id)`` rows under the shared checkpoint folder.  Reading it keeps the
+latest row per key (``max_by`` aggregate: partial aggregation, so a key written many
 times cannot make a hot task).  A resume is a ``left_anti`` join of the current
 input with the keys already answered: new input rows are kept (the original
 tool would have lost them by reloading its checkpoint file instead of the input).
+What is done is told by keys, never by a run's name: a run that broke off half-way
+has its written answers kept and the others asked.
 """
 from __future__ import annotations
 
 import os
 import time
+import uuid
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +24,24 @@ from ..functions import fixed
 from ..plans.enrich import EnrichSpec, enrich
 
 DONE = ("OK", "NO_DATA")
-STATE_SCHEMA = ("row_key string, status string, value string, error string, attempts int, ai_result string, "
+STATE_SCHEMA = ("row_key string, status string, value string, error string, raw string, attempts int, ai_result string, "
                 "written_at timestamp, run_id string")
 
 
+def check_keys(df: DataFrame, key: str) -> None:
+    """Fail on null or repeated keys (answers are kept by key); one aggregate over the key column."""
+    bad = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"column {key!r} must be unique and not null to keep answers by it; found {bad[0][0]!r} {bad[0]['n']} times "
+                         "(with_row_key adds a stable key)")
+
+
 def state_rows(result: DataFrame, key: str, run_id: str | int) -> DataFrame:
     """The state columns of an enriched frame (the key is kept as text)."""
     return result.select(
         F.col(key).cast("string").alias("row_key"), F.col("result.status").alias("status"), F.col("result.value").alias("value"),
-        F.col("result.error").alias("error"), F.col("result.attempts").alias("attempts"), F.col(fixed.RESULT_COLUMN).alias("ai_result"),
-        F.lit(str(run_id)).alias("run_id"), F.current_timestamp().alias("written_at"),
+        F.col("result.error").alias("error"), F.col("result.raw").alias("raw"), F.col("result.attempts").alias("attempts"),
+        F.col(fixed.RESULT_COLUMN).alias("ai_result"), F.lit(str(run_id)).alias("run_id"), F.current_timestamp().alias("written_at"),
     )
 
 
@@ -41,14 +53,10 @@ def save_state(result: DataFrame, key: str, path: str, run_id: str | int) -> Non
 def _read_state(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.schema(STATE_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no state folder yet
-        return None
-
-
-def state_has_run(spark: SparkSession, path: str, run_id: str | int) -> bool:
-    """Whether a run (or micro-batch) already appended its answers; reads one partition folder only."""
-    raw = _read_state(spark, path)
-    return raw is not None and raw.filter(F.col("run_id") == str(run_id)).limit(1).count() > 0
+    except AnalysisException as e:  # no state yet; any other trouble must not buy everything again
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame | None:
@@ -61,26 +69,41 @@ def load_state(spark: SparkSession, path: str) -> DataFrame | None:
     return latest.select("row_key", "s.*")
 
 
+def latest_status(spark: SparkSession, path: str) -> DataFrame | None:
+    """(row_key, status) of the latest row per key, without the answers' texts."""
+    raw = _read_state(spark, path)
+    if raw is None:
+        return None
+    return raw.groupBy("row_key").agg(F.max_by("status", F.struct("written_at", "run_id")).alias("status"))
+
+
 def resume(df: DataFrame, state: DataFrame | None, key: str) -> DataFrame:
     """Rows of ``df`` that still need an answer: not in state, or in state with an error."""
     if state is None:
         return df
-    done = state.filter(F.col("status").isin(*DONE)).select(F.col("row_key").cast(df.schema[key].dataType).alias(key))
-    return df.join(done, on=key, how="left_anti")
+    done = state.filter(F.col("status").isin(*DONE)).select(F.col("row_key").alias("_done"))
+    return df.join(done, F.col(key).cast("string") == F.col("_done"), how="left_anti")
+
+
+def _asked(df: DataFrame, spec: EnrichSpec) -> DataFrame:
+    """Only the key and what is sent: other columns stay out of shuffles and state."""
+    more = [c for c in (spec.template, spec.requires_context) if isinstance(c, str) and c in df.columns]
+    return df.select(*dict.fromkeys([spec.key, *spec.columns, *more]))
 
 
-def finalize_state(stats: dict, path: str) -> bool:
-    """Whether the state may be removed: only when nothing failed and nothing is left."""
+def finalize_state(stats: dict) -> bool:
+    """Whether the state has served its purpose: nothing failed and nothing is left.  It is never removed here."""
     return stats.get("errors", 0) + stats.get("remaining", 0) == 0
 
 
 def run_incremental(df: DataFrame, spec: EnrichSpec, state_path: str, run_id: str | int | None = None) -> DataFrame:
     """resume -> enrich -> append state; returns the merged latest state."""
     spark = df.sparkSession
+    check_keys(df, spec.key)
     run_id = run_id if run_id is not None else int(time.time() * 1000)
-    todo = resume(df, load_state(spark, state_path), spec.key)
+    todo = resume(df, latest_status(spark, state_path), spec.key)
     # the state append is the single action over the answers: it is the landing (one call per row)
-    save_state(enrich(todo, replace(spec, land=False)), spec.key, state_path, run_id)
+    save_state(enrich(_asked(todo, spec), replace(spec, land=False)), spec.key, state_path, run_id)
     return load_state(spark, state_path)
 
 
@@ -90,10 +113,11 @@ def enrich_stream(spark: SparkSession, source_path: str, schema, spec: EnrichSpe
 
     The streaming checkpoint records which files were done, so each file is read
     once and a second run over the same files asks nothing. A micro-batch that is
-    run again after a failure finds its own ``epoch-<n>`` partition in the state and
-    is skipped (an idempotent sink), so no answer is paid for twice. With
-    ``skip_answered_keys`` each micro-batch also drops keys answered by earlier runs
-    (a join with the whole state: only for inputs that re-deliver rows).
+    run again after a failure asks only for the keys that it has not itself written:
+    its rows are found by the stream's and the batch's number, so streams that share a state
+    don't take each other's batches for their own. With ``skip_answered_keys`` each
+    micro-batch also drops keys answered by other runs (a join with the whole state: only
+    for inputs that re-deliver rows). A batch with null or repeated keys fails.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -101,13 +125,17 @@ def enrich_stream(spark: SparkSession, source_path: str, schema, spec: EnrichSpe
     stream = reader.parquet(source_path)
 
     once = replace(spec, land=False)  # the state append is the one action per micro-batch
+    name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex[:12]
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        run = f"epoch-{epoch}"
-        if state_has_run(batch.sparkSession, state_path, run):
-            return
-        todo = resume(batch, load_state(batch.sparkSession, state_path), spec.key) if skip_answered_keys else batch
-        save_state(enrich(todo, once), spec.key, state_path, run)
+        run = f"stream-{name}-{epoch}"
+        check_keys(batch, spec.key)
+        if skip_answered_keys:
+            todo = resume(batch, latest_status(batch.sparkSession, state_path), spec.key)
+        else:
+            raw = _read_state(batch.sparkSession, state_path)
+            todo = resume(batch, raw.filter(F.col("run_id") == run) if raw is not None else None, spec.key)
+        save_state(enrich(_asked(todo, spec), once), spec.key, state_path, run)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
