@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from weft.functions import fixed
 from weft.operators import packing as PK
+from weft.operators.backends import Backend, FingerprintBackend
 from weft.operators.backends import CountingBackend as Counting
-from weft.operators.backends import FingerprintBackend
 from weft.operators.inference import RetryPolicy
 from weft.plans.catalog import PROMPT, table
 from weft.plans.enrich import EnrichSpec, enrich, pack_requests
@@ -126,15 +126,9 @@ def test_stream_second_run_asks_nothing(spark, tmpdir_path):
     assert INC.load_state(spark, state).count() == d.count()
 
 
-def test_plan_mode():
-    assert PK.plan_pack_size(100) == ("async", 5)
-    assert PK.plan_pack_size(5) == ("batch", 10)
-    assert PK.plan_pack_size(1) == ("single", 1)
-
-
 def test_finalize_state():
-    assert INC.finalize_state({"errors": 0, "remaining": 0}, "x") is True
-    assert INC.finalize_state({"errors": 1, "remaining": 0}, "x") is False
+    assert INC.finalize_state({"errors": 0, "remaining": 0}) is True
+    assert INC.finalize_state({"errors": 1, "remaining": 0}) is False
 
 
 def test_pacing_spaces_calls():
@@ -145,7 +139,9 @@ def test_pacing_spaces_calls():
     policy = RetryPolicy(rpm=1200, tasks=1)  # one call per 50 ms in this task
     t0 = _t.perf_counter()
     out = _run_batch(FingerprintBackend(), policy, ["a", "b", "c", "d"], [None] * 4)
-    assert _t.perf_counter() - t0 >= 0.2 and out["error"].isna().all()
+    assert _t.perf_counter() - t0 >= 0.14 and out["error"].isna().all()
+    starts = sorted(out["called_at"])
+    assert all(b - a >= 0.045 for a, b in zip(starts, starts[1:], strict=False))
     # the linear policy waits longer for rate-limit errors than for other errors
     lin = RetryPolicy()
     assert lin.delay(1, True) == 120 and lin.delay(1, False) == 5
@@ -181,7 +177,7 @@ def test_row_key_is_stable(spark):
 def test_retry_after_is_honoured():
     import time as _t
 
-    from weft.operators.backends import Backend
+
     from weft.operators.inference import RateLimited, _run_batch
 
     class Once(Backend):
@@ -219,7 +215,7 @@ from hypothesis import strategies as st  # noqa: E402
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(min_value=0, max_value=10**12), min_size=1, max_size=60, unique=True), st.integers(1, 7),
-       st.integers(1, 5), st.sampled_from(["hash", "mod"]))
+       st.integers(1, 5), st.sampled_from(["hash", "div"]))
 def test_pack_invariants_property(spark, keys, size, n_buckets, how):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     rows = PK.pack(df, "k", size, n_buckets=n_buckets, bucket_fn=how).collect()
@@ -230,7 +226,7 @@ def test_pack_invariants_property(spark, keys, size, n_buckets, how):
     assert all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= size for v in packs.values())
     # at most one short pack per bucket
     short = [b for b, v in packs.items() if len(v) < size]
-    assert len(short) <= n_buckets
+    assert how == "div" or len(short) <= n_buckets
 
 
 def test_breaker_streaks_with_a_hot_worker(spark):
@@ -278,32 +274,112 @@ def test_job_end_to_end(spark, tmpdir_path):
     assert report["total"] == n and report["processed"] == n and report["errors"] == 0 and report["keep_state"] is False
     out = spark.read.parquet(job.output_path)
     assert out.count() == n and out.filter(F.col("AI_RESULT").isNull()).count() == 0
-    # a second run over the same state asks nothing and writes nothing new
-    job2 = EnrichJob(input_path=src, output_path=os.path.join(tmpdir_path, "out2"), spec=spec, state_path=job.state_path)
-    assert run(spark, job2, df=read_csv(spark, src))["total"] == 0
+    # a second run over the same state asks nothing, and its output is the whole table again
+    acc = spark.sparkContext.accumulator(0)
+    again = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=CountingBackend(acc))
+    job2 = EnrichJob(input_path=src, output_path=os.path.join(tmpdir_path, "out2"), spec=again, state_path=job.state_path)
+    assert run(spark, job2, df=read_csv(spark, src))["total"] == n and acc.value == 0
+    columns = ["doc_id", "AI_RESULT"]
+    assert sorted(spark.read.parquet(job2.output_path).select(columns).collect()) == sorted(out.select(columns).collect())
+
+
+def test_job_tells_errors_by_status(spark, tmpdir_path):
+    """Answers with words like error or timeout are answers; error rows are asked again by the next run."""
+
+    from weft.plans.job import EnrichJob, run
+
+    class Moody(Backend):
+        def __init__(self, down):
+            self.down = down
+
+        def generate_one(self, prompt, items, attempt=0):
+            if self.down and "two" in prompt:
+                raise RuntimeError("HTTP 503")
+            return "the answer explains a timeout error"
+
+    df = spark.createDataFrame([(1, "one", ""), (2, "two", "Lỗi kết nối"), (3, "three", "done before"), (4, "  ", None)], "k long, text string, AI_RESULT string")
+    state = os.path.join(tmpdir_path, "state")
+
+    def go(down, name):
+        acc = spark.sparkContext.accumulator(0)
+        spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="k", policy=RetryPolicy(sleep=False, max_attempts=2), backend=Counting(Moody(down), acc))
+        report = run(spark, EnrichJob("", os.path.join(tmpdir_path, name), spec, state_path=state, run_id=name), df=df)
+        rows = {r["k"]: (r["result"]["status"], r["AI_RESULT"], r["result"]["error"]) for r in spark.read.parquet(os.path.join(tmpdir_path, name)).collect()}
+        return report, rows, acc.value
+
+    report, rows, calls = go(True, "first")
+    assert (report["total"], report["processed"], report["errors"], report["remaining"], report["keep_state"]) == (4, 3, 1, 0, True)
+    assert rows[1][:2] == ("OK", "the answer explains a timeout error") and rows[3][:2] == ("OK", "done before") and rows[4][0] == "NO_DATA"
+    assert rows[2] == ("ERROR", "Retry failed: Lỗi xử lý sau 2 lần thử", "RuntimeError: HTTP 503")
+    assert calls == 1 + 2 + 2
+    report, rows, calls = go(False, "second")
+    assert report["errors"] == 0 and report["total"] == 4 and calls == 1 and rows[2][0] == "OK" and len(rows) == 4
+
+
+def test_keys_must_be_unique(spark, tmpdir_path):
+    import pytest
+
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="k", policy=NO_SLEEP, backend=FingerprintBackend())
+    for keys in ((1, 1), (1, None)):
+        df = spark.createDataFrame([(k, "t") for k in keys], "k long, text string")
+        with pytest.raises(ValueError, match="unique"):
+            INC.run_incremental(df, spec, os.path.join(tmpdir_path, "s"))
+
+
+class Slow(Backend):
+    """Answers after the seconds that a prompt names, and notes what was sent."""
+
+    def __init__(self, max_concurrency=1):
+        self.max_concurrency, self.sent = max_concurrency, []
+
+    def generate_one(self, prompt, items, attempt=0):
+        import time as _t
+
+        self.sent.append(prompt)
+        _t.sleep(float(prompt.split()[0]))
+        return "ok"
 
 
 def test_timeouts_count_as_failed_attempts():
-    from weft.operators.backends import SlowBackend
     from weft.operators.inference import _run_batch
 
-    out = _run_batch(SlowBackend(0.3), RetryPolicy(sleep=False, timeout_s=0.05, max_attempts=2), ["p"], [None])
+    out = _run_batch(Slow(), RetryPolicy(sleep=False, timeout_s=0.05, max_attempts=2), ["0.4"], [None])
     assert out["text"][0] is None and out["attempts"][0] == 2 and "Timeout" in out["error"][0]
-    ok = _run_batch(SlowBackend(0.05), RetryPolicy(sleep=False, timeout_s=0.03), ["p"], [["a", "b"]])  # packs get 2x
+    ok = _run_batch(Slow(), RetryPolicy(sleep=False, timeout_s=0.06), ["0.08"], [["a", "b"]])  # packs get 2x
     assert ok["error"][0] is None and ok["attempts"][0] == 1
 
 
-def test_job_auto_pack(spark, tmpdir_path):
-    from weft.plans.job import EnrichJob, run
+def test_a_call_has_its_own_clock():
+    """Hung calls cost only themselves: others are sent, answered and timed from their own start, once each."""
+    from weft.operators.inference import _run_batch
 
-    acc = spark.sparkContext.accumulator(0)
-    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=CountingBackend(acc))
-    d = docs(spark)
-    job = EnrichJob(input_path="", output_path=os.path.join(tmpdir_path, "o"), spec=spec, auto_pack=True, retry_errors=False)
-    rep = run(spark, job, df=d)
-    n = d.count()
-    assert rep["total"] == n and rep["processed"] == n
-    assert acc.value < n  # more than 10 pending rows: sent in packs of 5
+    backend = Slow(2)
+    prompts = ["1.5 a", "1.5 b", "0.02 c", "0.02 d", "0.02 e", "0.02 f"]
+    out = _run_batch(backend, RetryPolicy(sleep=False, timeout_s=0.2, max_attempts=1), prompts, [None] * 6)
+    assert list(out["text"]) == [None, None, "ok", "ok", "ok", "ok"] and sorted(backend.sent) == sorted(prompts)
+    assert len(set(out["called_at"])) > 3 and all(10 <= ms < 200 for ms in out["latency_ms"][2:])
+    # an answer that comes late is taken before its prompt is paid for again
+    backend = Slow(1)
+    late = _run_batch(backend, RetryPolicy(kind="exponential", base_delay=0.3, timeout_s=0.1, max_attempts=2), ["0.25 x"], [None])
+    assert late["text"][0] == "ok" and backend.sent == ["0.25 x"]
+
+
+def test_one_limited_call_delays_no_other():
+    import time as _t
+
+    from weft.operators.inference import RateLimited, _run_batch
+
+    class Limited(Backend):
+        max_concurrency = 2
+
+        def generate_one(self, prompt, items, attempt=0):
+            if prompt == "limited" and attempt == 0:
+                raise RateLimited(retry_after=0.4)
+            return str(_t.time())
+
+    t0 = _t.time()
+    out = _run_batch(Limited(), RetryPolicy(), ["limited", "a", "b"], [None] * 3)
+    assert all(float(x) - t0 < 0.3 for x in out["text"][1:]) and float(out["text"][0]) - t0 >= 0.4
 
 
 def test_job_on_a_table_with_results(spark, tmpdir_path):
@@ -328,7 +404,6 @@ def test_stream_epoch_is_idempotent(spark, tmpdir_path):
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=CountingBackend(acc), policy=NO_SLEEP)
     INC.save_state(enrich(d, spec), "doc_id", state, "epoch-0")
     calls = acc.value
-    assert INC.state_has_run(spark, state, "epoch-0") and not INC.state_has_run(spark, state, "epoch-1")
     # a later run of the same key wins over an earlier one, by write time (not by the run id text)
     INC.save_state(enrich(d.limit(3), spec), "doc_id", state, "epoch-10")
     latest = INC.load_state(spark, state)

@@ -36,7 +36,7 @@ def bucket_expr(key: str, n_buckets: int, dtype: T.DataType, how: str = "hash",
     (used where an independent SQL check must know each pack's members); it grows with the keys.
     """
     if how == "div" and isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return F.floor(F.col(key) / F.lit(width)).cast("int")
+        return F.pmod(F.expr(f"`{key}` div {width}"), F.lit((1 << 31) - 1)).cast("int")
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
 
 
