@@ -68,6 +68,33 @@ def test_workbooks(spark, tmpdir_path):
     assert got == [("1", "xin chào"), ("2", "b"), ("3", "c")]
 
 
+def test_workbooks_with_columns_in_another_order(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "my books")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.xlsx"), make_xlsx([["ID", "MESSAGE"], [1, "one"]]))
+    write(os.path.join(folder, "b.xlsx"), make_xlsx([["MESSAGE", "NOTE", "ID"], ["two", "n", 2]]))
+    got = RD.read_workbooks(spark, folder)
+    assert sorted((r.ID, r.MESSAGE, r.NOTE) for r in got.collect()) == [("1", "one", None), ("2", "two", "n")]
+
+
+def test_csv_names_with_blanks_kinds_and_empty_files(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "dữ liệu + 100%")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a 1.csv"), "ID,MESSAGE\n1,café\n".encode("utf-8"))
+    write(os.path.join(folder, "b 2.csv"), 'ID,MESSAGE\n2,"two\nlines"\n'.encode("utf-8"))
+    write(os.path.join(folder, "c%203.csv"), "MESSAGE,ID\ncrème,3\n".encode("latin-1"))
+    write(os.path.join(folder, "empty.csv"), b"")
+    assert {r.ID: r.MESSAGE for r in RD.read_csv(spark, folder).collect()} == {"1": "café", "2": "two\nlines", "3": "crème"}
+    assert RD.read_csv(spark, os.path.join(folder, "empty.csv")).count() == 0
+    assert RD.read_csv(spark, os.path.join(folder, "empty.csv"), schema="ID string").columns == ["ID"]
+
+
+def test_latin_prompt(spark, tmpdir_path):
+    write(os.path.join(tmpdir_path, "my prompt.txt"), "  r\u00e9sum\u00e9 of the text\n".encode("latin-1"))
+    row = RD.read_prompts(spark, tmpdir_path).first()
+    assert (row.name, row.prompt) == ("my prompt", "r\u00e9sum\u00e9 of the text")
+
+
 def test_prompts_and_registry(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "multi.txt")
     write(p, "  Phân tích dữ liệu khách hàng\n\n".encode("utf-8"))
@@ -93,6 +120,7 @@ def test_names():
     assert SK.result_path("/d/data.csv", "csv", when) == "/d/data_ai_result_20250120_083000.csv"
     assert SK.result_path("/d/data.xlsx", "xlsx", when) == "/d/data_ai_result_20250120_083000.xlsx"
     assert SK.state_file_path("/d/data.csv") == "/d/data_checkpoint.csv"
+    assert SK.result_path("/d/data.csv", "parquet", when).endswith(".parquet")
 
 
 def test_columns(spark):

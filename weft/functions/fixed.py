@@ -184,3 +184,7 @@ STATE_FILE_PATTERN = "{stem}_checkpoint.{ext}"
 SUPPORTED_SUFFIXES = [".xlsx", ".csv", ".xls"]
 # the original's decode order; utf-8-sig is UTF-8 with a byte order mark (stripped on read) and latin-1
 # decodes every byte, so cp1252 is never reached: detection here is UTF-8 or ISO-8859-1 per file
+
+# FIXED: the texts that pandas reads as missing by default
+PANDAS_MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                  "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]

@@ -6,11 +6,10 @@ same tasks without a model so a job can run offline and be checked:
 * ``classify_by_keywords`` / ``sentiment_by_lexicon``: per-row word counts against a
   small fixed dictionary, computed inside the row (no join, no shuffle);
 * ``keywords_tfidf``: term frequency x inverse document frequency, top-k per document.
-  Documents are hash-partitioned once by key so term counts need no exchange of the
-  token stream; document frequency is a partial aggregate; the (doc, term) x (term)
-  join broadcasts the vocabulary only behind a size check and is otherwise a salted
-  shuffle join (a term found in a third of all documents is spread over ``salt``
-  tasks); the top-k window is planned as a window group limit;
+  Terms are counted inside the row; only a document's distinct terms are exploded.
+  Document frequency is a partial aggregate and one join brings it to the terms; how it
+  is joined, and that a term of a third of all documents is split over tasks, is left to
+  the planner and adaptive execution;
 * ``summarize_extractive``: the k sentences with the most distinct content words,
   in their original order, chosen inside the row.
 """
@@ -43,6 +42,11 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD_RE), 0)
 
 
+def _once(tokens: Column, fn) -> Column:
+    """``fn(tokens)`` with the tokens bound to a variable: a text is cut into words once, however often they are used."""
+    return F.get(F.transform(F.array(tokens), fn), 0)
+
+
 def _hits(tokens: Column, vocab: list[str]) -> Column:
     arr = F.array(*[F.lit(w) for w in vocab])
     return F.size(F.filter(tokens, lambda t: F.array_contains(arr, t)))
@@ -51,51 +55,39 @@ def _hits(tokens: Column, vocab: list[str]) -> Column:
 def classify_by_keywords(text: str | Column, categories: dict[str, list[str]] | None = None, other: str = "other") -> Column:
     """Category with the most keyword hits (ties -> smaller name); ``other`` when none."""
     cats = categories or LANGUAGE_KEYWORDS
-    tokens = words(text)
-    scored = F.array(*[F.named_struct(F.lit("h"), -_hits(tokens, ws), F.lit("c"), F.lit(c)) for c, ws in sorted(cats.items())])
-    best = F.array_min(scored)
-    return F.when(best["h"] < 0, best["c"]).otherwise(F.lit(other))
+
+    def best(tokens: Column) -> Column:
+        return F.array_min(F.array(*[F.named_struct(F.lit("h"), -_hits(tokens, ws), F.lit("c"), F.lit(c)) for c, ws in sorted(cats.items())]))
+
+    found = _once(words(text), best)
+    return _once(found, lambda b: F.when(b["h"] < 0, b["c"]).otherwise(F.lit(other)))
 
 
 def sentiment_by_lexicon(text: str | Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     """'positive' / 'negative' / 'neutral' from the sign of (positive hits - negative hits)."""
     lex = lexicon or SENTIMENT_LEXICON
-    tokens = words(text)
-    score = _hits(tokens, lex["positive"]) - _hits(tokens, lex["negative"])
-    return F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral")
-
-
-MAX_BROADCAST_TERMS = 2_000_000  # document-frequency rows (term + count) we accept to broadcast
-
-
-def keywords_tfidf(df: DataFrame, key: str, text: str, k: int = 3, min_len: int = 3, salt: int = 16,
-                   max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
-    """Top ``k`` terms per document by tf * ln(N / df); ties by term. Rows: key, rank, term.
-
-    The vocabulary is counted first: up to ``max_broadcast_terms`` terms the
-    document-frequency table is broadcast, so term counts keep their per-document
-    partitioning and the top-k window needs no exchange; beyond it the join is a
-    shuffle join salted ``salt`` ways, so a term in a third of all documents is
-    spread over ``salt`` tasks. The term counts are persisted (memory and disk) for the
-    vocabulary count and the join; release them with ``spark.catalog.clearCache()`` or
-    by unpersisting after the result is written.
-    """
-    from pyspark import StorageLevel
-
-    n_docs = df.select(key).count()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    # move whole documents (smaller than their token stream) once; the term counts then need no exchange
-    docs = df.select(key, text).repartition(parts, key)
-    tokens = docs.select(key, F.explode(words(text)).alias("term")).filter(F.length("term") >= min_len)
-    tf = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(float(n_docs)) / F.col("df"))
-    if dfreq.count() <= max_broadcast_terms:
-        scored = tf.join(F.broadcast(dfreq), "term").withColumn("score", F.col("tf") * idf)
-    else:
-        tf_s = tf.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salt)).cast("int"))
-        df_s = dfreq.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        scored = tf_s.join(df_s, ["term", "_salt"]).withColumn("score", F.col("tf") * idf)
+    score = _once(words(text), lambda t: _hits(t, lex["positive"]) - _hits(t, lex["negative"]))
+    return _once(score, lambda x: F.when(x > 0, "positive").when(x < 0, "negative").otherwise("neutral"))
+
+
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of an array of words: sorted, and cut where a word differs from the one before."""
+
+    def cut(s: Column) -> Column:
+        places = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (w != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return _once(places, lambda at: F.transform(at, lambda i, n: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return _once(F.array_sort(tokens), cut)
+
+
+def keywords_tfidf(df: DataFrame, key: str, text: str, k: int = 3, min_len: int = 1) -> DataFrame:
+    """Top ``k`` terms per document by tf * ln(N / df); ties by term. Rows: key, rank, term."""
+    tokens = F.filter(words(text), lambda w: F.length(w) >= min_len)
+    terms = df.select(key, F.explode(term_counts(tokens)).alias("t")).select(key, "t.term", "t.tf")
+    freq = terms.groupBy("term").agg(F.count("*").alias("df"))
+    total = df.agg(F.count("*").alias("n")).first()["n"]
+    scored = terms.join(freq, "term").withColumn("score", F.col("tf") * F.log(F.lit(float(total)) / F.col("df")))
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("term"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(key, "rank", "term")
 

@@ -197,7 +197,7 @@ def q_as_item(spark, sf_dir):
     return _conv_messy(spark, sf_dir).select("conv_id", "turn", F.md5(rendered).alias("item_md5"))
 
 
-_PROFILE_COLS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+_PROFILE_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 def _profile_sql() -> str:
@@ -849,9 +849,10 @@ def q_enrich_stream(spark, sf_dir):
     return INC.load_state(spark, state).select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result")
 
 
-@register("rate_audit", """SELECT date_trunc('minute', ts) AS minute, count(*) AS n_requests,
+@register("rate_audit", """WITH g AS (SELECT ts, date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) / 1000000 AS gap FROM events)
+SELECT date_trunc('minute', ts) AS minute, count(*) AS n_requests,
   CASE WHEN count(*) > 1 THEN date_diff('microsecond', min(ts), max(ts)) / 1000000 / (count(*) - 1) END AS mean_gap_s,
-  count(*) > 1 AS over_limit FROM events GROUP BY 1""")
+  min(gap) AS min_gap_s, count(*) > 1 AS over_limit, coalesce(min(gap) < 60, false) AS too_close FROM g GROUP BY 1""")
 def q_rate_audit(spark, sf_dir):
     return RL.rate_audit(table(spark, sf_dir, "events"), "ts", rpm=1)
 
@@ -921,7 +922,7 @@ def q_task_sentiment(spark, sf_dir):
 
 
 @register("task_keywords", rf"""WITH t AS (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE length(term) >= 3 GROUP BY doc_id, term),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
 dq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT doc_id, term, tf * ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) AS score FROM tf JOIN dq USING (term)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rk FROM s)
@@ -970,7 +971,7 @@ for _t in ("translate", "custom"):
 
 @register("csv_roundtrip", "SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
 def q_csv_roundtrip(spark, sf_dir):
-    path = INC.fresh_path(checkpoint_dir(spark), "csv-out")
+    path = INC.fresh_path(checkpoint_dir(spark), "csv out, dữ liệu 1")
     SK.write_result(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path, "csv")
     back = RD.read_csv(spark, path, na_values=RD.DEFAULT_NA_VALUES)
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"), "lang")

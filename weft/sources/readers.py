@@ -9,9 +9,11 @@ import io
 import os
 import zipfile
 from collections.abc import Sequence
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,24 +23,28 @@ from ..functions.parsing import response_text
 from ..functions.prompts import validate_prompt
 from ..functions.text import py_strip
 
-# values pandas reads as missing by default (so imported tables keep the same blanks)
-DEFAULT_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
-                     "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+DEFAULT_NA_VALUES = fixed.PANDAS_MISSING
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def detect_encoding(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
-    """Per file: 'UTF-8' when every line decodes as UTF-8, else 'ISO-8859-1' (which always decodes).
+LATIN = "ISO-8859-1"
 
-    The files are read as raw lines (splittable) and checked with ``is_valid_utf8``.
-    The result has one small row per file.
-    """
-    lines = spark.read.text(_paths(paths)).select(F.input_file_name().alias("file"), F.col("value"))
-    bad = lines.groupBy("file").agg(F.max(~F.is_valid_utf8("value")).alias("bad"))
-    return {r["file"]: ("ISO-8859-1" if r["bad"] else "UTF-8") for r in bad.collect()}
+
+def _file_facts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Per file: ``latin`` (some line is no UTF-8) and ``spans`` (some record goes over several lines).
+
+    All lines are read (splittable).  A record spans lines just where a line has an odd number of quotes."""
+    lines = spark.read.text(_paths(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    return lines.groupBy("file").agg(F.max(~F.is_valid_utf8("value")).alias("latin"), F.max(odd).alias("spans"))
+
+
+def detect_encoding(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
+    """Per file (empty ones aside): 'UTF-8' when every line decodes as UTF-8, else 'ISO-8859-1' (which always decodes)."""
+    return {unquote(r["file"]): (LATIN if r["latin"] else "UTF-8") for r in _file_facts(spark, paths).collect()}
 
 
 def apply_na_values(df: DataFrame, na_values: Sequence[str] | None) -> DataFrame:
@@ -51,44 +57,60 @@ def apply_na_values(df: DataFrame, na_values: Sequence[str] | None) -> DataFrame
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], na_values: Sequence[str] | None = None,
-             encoding: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+             encoding: str | None = None, schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
     """Delimited files with a header row, RFC-4180 quoting (doubled quotes, quoted newlines), BOM tolerated.
 
-    Without ``encoding`` each file's encoding is detected first and files are read
-    in groups of the same encoding, then unioned by name. Columns stay strings
-    unless a schema is given.
+    Without ``encoding`` or ``multi_line`` a pass over all lines tells which files are no UTF-8 and in which a quoted
+    field spans lines; only the latter are read one task per file, all others are split.  Files of one kind are
+    read together and the kinds unioned by name.  Columns stay strings unless a schema is given.  Files that
+    are all empty give an empty frame of that schema, or of no columns.
     """
-    opts = dict(header=True, multiLine=True, quote='"', escape='"')
-    if encoding:
-        groups = {encoding: _paths(paths)}
+    if encoding and multi_line is not None:
+        groups: dict[tuple[str, bool], list[str]] = {(encoding, multi_line): _paths(paths)}
     else:
-        groups: dict[str, list[str]] = {}
-        for f, enc in detect_encoding(spark, paths).items():
-            groups.setdefault(enc, []).append(f)
+        facts = _file_facts(spark, paths)
+        kinds = {(r["latin"], r["spans"]): r["n"] for r in facts.groupBy("latin", "spans").agg(F.count("*").alias("n")).collect()}
+        if len(kinds) == 1:
+            found = {next(iter(kinds)): _paths(paths)}  # of one kind all: their names aren't needed
+        else:
+            found = {}
+            for r in facts.collect():
+                found.setdefault((r["latin"], r["spans"]), []).append(unquote(r["file"]))
+        groups = {}
+        for (latin, spans), files in found.items():
+            kind = (encoding or (LATIN if latin else "UTF-8"), spans if multi_line is None else multi_line)
+            groups.setdefault(kind, []).extend(files)
     frames = []
-    for enc, files in sorted(groups.items()):
-        r = spark.read.options(**opts, encoding=enc)
+    for (enc, many), files in sorted(groups.items()):
+        r = spark.read.options(header=True, multiLine=many, quote='"', escape='"', encoding=enc)
         if schema is not None:
             r = r.schema(schema)
         df = r.csv(files)
         # a UTF-8 byte order mark stays glued to the first header name; drop it
         df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
         frames.append(df)
+    if not frames:
+        return spark.createDataFrame([], schema or T.StructType([]))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return apply_na_values(out, na_values)
 
 
-def sample_schema(spark: SparkSession, paths: str | Sequence[str], ratio: float = 0.1) -> T.StructType:
-    """Column types inferred from a sample of the rows (for text-column detection on all-string CSV input)."""
+def sample_schema(spark: SparkSession, paths: str | Sequence[str], ratio: float = 1.0) -> T.StructType:
+    """Column types inferred from all rows, or a share of them (for text-column detection on all-string CSV input)."""
     return (spark.read.options(header=True, multiLine=True, quote='"', escape='"', inferSchema=True, samplingRatio=ratio)
             .csv(_paths(paths)).schema)
 
 
 def read_prompts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Prompt files: one prompt per file, stripped and validated (name, prompt, ok, message)."""
-    df = spark.read.text(_paths(paths), wholetext=True).select(F.input_file_name().alias("path"), py_strip("value").alias("prompt"))
+    """Prompt files: one prompt per file, stripped and validated (name, prompt, ok, message); UTF-8, or else Latin-1."""
+    files = spark.read.format("binaryFile").load(_paths(paths))
+    utf8 = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), utf8).otherwise(F.decode("content", LATIN))
+    # paths are URIs; a plus sign in them is no blank
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    df = files.select(path.alias("path"), py_strip(text).alias("prompt"))
     v = validate_prompt("prompt")
     return df.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("name"), "prompt", v["ok"].alias("ok"), v["message"].alias("message"))
 
@@ -105,7 +127,9 @@ def read_model_registry(spark: SparkSession, path: str) -> DataFrame:
     schema = "name string, model_id string, display_name string, training_date string, requires_context boolean, template string"
     try:
         raw = spark.read.text(path, wholetext=True)
-    except Exception:  # noqa: BLE001 - missing registry
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     m = raw.select(F.from_json(F.get_json_object("value", "$.fine_tuned_models"), REGISTRY_T).alias("m"))
     e = m.select(F.explode("m").alias("name", "v"))
@@ -224,8 +248,7 @@ def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "row_idx", "header", "cells"])
 
     long = files.select("path", "content").mapInPandas(decode, "path string, row_idx long, header array<string>, cells array<string>")
-    first = long.select("header").limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], "path string, row_idx long")
-    header = first[0]["header"]
-    return long.select("path", "row_idx", *[F.get(F.col("cells"), i).alias(h) for i, h in enumerate(header)])
+    # a file's cells are named by its own header; the frame has the columns of all files
+    seen = long.select("header").distinct().select(F.posexplode("header").alias("at", "name"))
+    names = [r["name"] for r in seen.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    return long.select("path", "row_idx", *[F.get("cells", F.array_position("header", F.lit(n)).cast("int") - 1).alias(n) for n in names])

@@ -30,20 +30,18 @@ def write_result(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errori
 
 
 def result_path(input_path: str, fmt: str = "csv", when: datetime | None = None) -> str:
-    """``{stem}_ai_result_{YYYYmmdd_HHMMSS}.{ext}`` next to the input; any format but 'csv' means xlsx naming."""
+    """``{stem}_ai_result_{YYYYmmdd_HHMMSS}.{ext}`` next to the input; the extension is the format."""
     stamp = (when or datetime.now()).strftime("%Y%m%d_%H%M%S")
     folder, name = os.path.split(input_path)
     stem = os.path.splitext(name)[0]
-    ext = "csv" if fmt == "csv" else "xlsx"
-    return os.path.join(folder, fixed.RESULT_FILE_PATTERN.format(stem=stem, stamp=stamp, ext=ext))
+    return os.path.join(folder, fixed.RESULT_FILE_PATTERN.format(stem=stem, stamp=stamp, ext=fmt))
 
 
 def state_file_path(input_path: str, fmt: str = "csv") -> str:
     """``{stem}_checkpoint.{ext}`` next to the input."""
     folder, name = os.path.split(input_path)
     stem = os.path.splitext(name)[0]
-    ext = "csv" if fmt == "csv" else "xlsx"
-    return os.path.join(folder, fixed.STATE_FILE_PATTERN.format(stem=stem, ext=ext))
+    return os.path.join(folder, fixed.STATE_FILE_PATTERN.format(stem=stem, ext=fmt))
 
 
 def request_bodies(df: DataFrame, prompt: str, provider: str = "gemini", model: str | None = None, key: str | None = None) -> DataFrame:
