@@ -4,9 +4,10 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_check import compare, duck
+from weft.plans import catalog
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLE = catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,10 @@ def test_query_matches_oracle(spark, con, name):
     assert r["ok"] and r["types_ok"], r
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "ai_result" in df.columns

@@ -1240,3 +1240,43 @@ def q_prompt_from_registry(spark, sf_dir):
     joined = docs.join(registry, docs["source"] == registry["name"], "left")
     p = PR.prompt_with_registry("template", "requires_context", TX.clean_text("text"), PROMPT)
     return joined.select("doc_id", "model_id", F.md5(p).alias("prompt_md5"))
+
+
+# columns chosen by name, number and type (PRJ1, PRJ2, PRJ4, PRJ5) ----------------------------------------
+
+
+@register("choose_columns", "SELECT doc_id, lang, md5(text) AS text_md5, '' AS ai_result, 'text' AS text_column FROM documents")
+def q_choose_columns(spark, sf_dir):
+    from ..operators.columns import detect_text_column, require_columns, select_columns, with_result_column
+
+    d = table(spark, sf_dir, "documents")
+    require_columns(d, ["doc_id", "text"])
+    name = detect_text_column(d)
+    numbers = ",".join(str(d.columns.index(x) + 1) for x in ("lang", "doc_id", name))
+    chosen = with_result_column(d.select(*select_columns(d, numbers)))
+    return chosen.select("doc_id", "lang", F.md5(name).alias("text_md5"), F.col(fixed.RESULT_COLUMN).alias("ai_result"), F.lit(name).alias("text_column"))
+
+
+# a prompt file for every source, written by Spark and read back (SRC5) --------------------------------------
+_PROMPT_FILE = "CASE WHEN source LIKE '%1' THEN chr(32) || source || chr(10) ELSE chr(9) || 'Tóm tắt: ' || source || ', ' || lang || chr(10) END"
+
+
+@register("prompt_files", f"""WITH f AS (SELECT source, {S.strip("CASE WHEN source LIKE '%1' THEN source ELSE 'Tóm tắt: ' || source || ', ' || min(lang) END")} AS prompt
+  FROM documents GROUP BY source)
+SELECT prompt, length(prompt) >= 10 AS ok, CASE WHEN length(prompt) < 10 THEN {S.lit(fixed.PROMPT_TOO_SHORT)} ELSE {S.lit(fixed.PROMPT_OK)} END AS message FROM f""")
+def q_prompt_files(spark, sf_dir):
+    path = INC.fresh_path(checkpoint_dir(spark), "prompt files")
+    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("lang").alias("lang"))
+    per.select("source", F.expr(_PROMPT_FILE).alias("value")).write.partitionBy("source").text(path)
+    return RD.read_prompts(spark, f"{path}/source=*/").select("prompt", "ok", "message")
+
+
+# a tuned model's template within the run (PRM12) ------------------------------------------------------------
+
+
+@register("enrich_template", f"""SELECT doc_id, 'OK' AS status, md5(CASE WHEN {_CTX_REQUIRES} AND {_CTX_TEMPLATE} <> '' THEN {_ctx_sql()}
+  ELSE {S.prompt_single(PROMPT, S.clean('text'))} END) AS ai_result FROM documents""")
+def q_enrich_template(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_CTX_TEMPLATE).alias("tpl"), F.expr(_CTX_REQUIRES).alias("req"))
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP, template="tpl", requires_context="req")
+    return enrich(d, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
