@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.shared import table
+from weft.llm.shared import kept, table
 from weft.session import ship_package
 
 UNKNOWN = "und"
@@ -26,7 +26,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 800, 20_000, 12_000
 HIDDEN, EPOCHS, SEED = 16, 6, 10
 MOST_BYTES = 40
 #: Words that a worker keeps; characters of text that it works on at a time.
-KEEP_WORDS, CHUNK_CHARS = 800_000, 8 << 20
+KEEP_WORDS, CHUNK_CHARS = 300_000, 4 << 20
 
 
 def _sequences(words: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -211,9 +211,6 @@ class _Scorer:
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
 
-_LOADED: dict[str, _Scorer] = {}
-
-
 def identify(df: DataFrame, net: ByteGRU, text: str = "text", name: str = "") -> DataFrame:
     """``df`` with lang_pred and score (columns of these names are replaced).
 
@@ -224,15 +221,12 @@ def identify(df: DataFrame, net: ByteGRU, text: str = "text", name: str = "") ->
     shared = df.sparkSession.sparkContext.broadcast((net.labels, net.params))  # some thousands of weights
     keep = [c for c in df.columns if c not in ("lang_pred", "score")]
     place = keep.index(text)
-    key = f"{name}{id(net)}{hash(net.params['v'].tobytes())}"
+    key = f"language-{name}{hash(net.params['v'].tobytes())}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weft.llm.pieces import _chunks
 
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = _Scorer(ByteGRU(*shared.value))
-        scorer = _LOADED[key]
+        scorer = kept(key, lambda: _Scorer(ByteGRU(*shared.value)))
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for a, b in _chunks(texts, CHUNK_CHARS):

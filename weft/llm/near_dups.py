@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.components import components
 from weft.llm.pieces import _chunks
-from weft.llm.shared import land, table
+from weft.llm.shared import kept, land, table
 from weft.llm.shingles import minhash, mix64, set_digest, shingle_sets
 from weft.session import ship_package
 
@@ -32,7 +32,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 25, 5, 25
 #: Classes in a block; a task's unit of work is two blocks at most.
 BLOCK = 512
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 2 << 20
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = BANDS * ROWS, step: int = STEP) -> list[tuple[int, int]]:
@@ -109,6 +109,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, words: int = WORDS, seed:
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near-duplicates")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _chunks(texts, CHUNK_CHARS):
@@ -202,6 +203,7 @@ def candidate_forest(sigs: DataFrame, plan: list[tuple[int, int]], block: int =
     live = live.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near-duplicates")
         for t in _units(batches, 3):
             sig, ids = _matrix(t, "sig"), t.column("node").to_numpy()
             band, side = t.column("band").to_numpy(), t.column("side").to_numpy()
@@ -246,6 +248,7 @@ def _set_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """(cluster, node, weight, sig, shingles) of classes that are in a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near-duplicates")
         for batch in batches:
             texts = batch.column(4).to_pylist()
             for a, b in _chunks(texts, CHUNK_CHARS):
@@ -282,6 +285,7 @@ def verified_links(sets: DataFrame, plan: list[tuple[int, int]], threshold: floa
         return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near-duplicates")
         for t in _units(batches, 3):
             node = t.column("node").to_numpy()
             repeated = np.flatnonzero(node[1:] == node[:-1]) + 1  # rows of a document that repeat

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.shared import table
+from weft.llm.shared import kept, table
 from weft.session import ship_package
 
 MARK = "▁"
 #: Words up to this length stay in a worker's memory, and so many of them at most.
-KEEP_CHARS, KEEP_WORDS = 64, 400_000
+KEEP_CHARS, KEEP_WORDS = 64, 200_000
 #: Characters of text that are worked on at a time.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 
 
 def default_model() -> str:
@@ -162,7 +162,7 @@ class Pieces:
             out = [b"".join(map(self._words.__getitem__, ws)) for ws in marked]
         if len(self._words) > KEEP_WORDS:
             self._words.clear()
-        if len(self._joints) > 4 * KEEP_WORDS:
+        if len(self._joints) > 2 * KEEP_WORDS:
             self._joints.clear()
         return out
 
@@ -172,15 +172,8 @@ class Pieces:
         return (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace")
 
 
-_BUILT: dict[int, Pieces] = {}
-
-
 def _pieces(rows) -> Pieces:
-    key = hash(tuple(rows.value[-3:])) ^ len(rows.value)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Pieces(rows.value)
-    return _BUILT[key]
+    return kept(f"pieces-{len(rows.value)}-{hash(tuple(rows.value[-3:]))}", lambda: Pieces(rows.value))
 
 
 def _chunks(texts: list, most: int) -> Iterator[tuple[int, int]]:

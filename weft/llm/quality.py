@@ -20,7 +20,7 @@ DAMPING = 30
 #: Share of the pooled, spherical covariance in a class's own; labelled rows that the calibration looks at, at most.
 SHRINK, POOL, CALIBRATION_ROWS = 0.05, 0.3, 20_000
 KEPT_AT = 0.7
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 FEATURES = ("upper", "digits", "symbols", "pipes", "bangs", "stops", "lines", "short", "repeats", "again", "letters")
 _PLAIN = b".,;:'\"()-?! \n\t\r\x0b\x0c|"
 

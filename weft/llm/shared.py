@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +37,15 @@ def normalised(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, build: Callable[[], object] = dict):
+    """What a Python worker keeps from one task to the next: one thing only, so that when operators follow each
+    other in a session their tables don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
