@@ -34,6 +34,8 @@ def test_rules(spark):
         host, path, rule, verdict = parts(known[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow")) and 0 <= r["score"] <= 1
+    decided = [(r["score"] >= 0.5) == (r["verdict"] == "block") for r in got if r["rule"]]
+    assert np.mean(decided) > 0.9
 
 
 def test_undecidable_tables(spark):

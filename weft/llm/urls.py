@@ -42,8 +42,13 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
+def first_folder(path: Column) -> Column:
+    """The first folder of a path (empty for none)."""
+    return F.regexp_extract(path, "^/([^/]*)/", 1)
+
+
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "path_digits", "host_entropy", "path_entropy", "parameters",
-            "query_length", "hyphens", "secure", "fragment", "extension", "suffix_rate", "suffix_seen")
+            "query_length", "hyphens", "secure", "fragment", "extension", "suffix_rate", "suffix_seen", "folder_rate", "folder_seen")
 
 
 def _entropy(s: str) -> float:
@@ -54,7 +59,7 @@ def _entropy(s: str) -> float:
 
 
 def lexical(url: str | None, host: str, path: str) -> list[float]:
-    """The lexical features of a URL, without the suffix statistics."""
+    """The lexical features of a URL, without the statistics."""
     url = url or ""
     query = url.partition("#")[0].partition("?")[2]
     digits = sum(c.isdigit() for c in url)
@@ -63,9 +68,14 @@ def lexical(url: str | None, host: str, path: str) -> list[float]:
             _entropy(host), _entropy(path), query.count("&") + 1 if query else 0, len(query), url.count("-"), url.startswith("https://"), "#" in url, "." in name]
 
 
-def features(urls: pd.Series, hosts: pd.Series, paths: pd.Series, rate: pd.Series, seen: pd.Series) -> np.ndarray:
-    lex = np.array([lexical(*x) for x in zip(urls, hosts, paths, strict=True)], dtype=np.float64).reshape(len(urls), len(FEATURES) - 2)
-    return np.column_stack([lex, rate.to_numpy(float), np.log1p(seen.to_numpy(float))])
+INPUTS = ("url", "host", "path", "suffix_rate", "suffix_seen", "folder_rate", "folder_seen")
+
+
+def features(frame: pd.DataFrame) -> np.ndarray:
+    """The matrix of FEATURES of a frame with the columns INPUTS."""
+    lex = np.array([lexical(*x) for x in zip(frame["url"], frame["host"], frame["path"], strict=True)], dtype=np.float64).reshape(len(frame), len(FEATURES) - 4)
+    return np.column_stack([lex, *[frame[f"{k}_rate"].to_numpy(float) if s == "rate" else np.log1p(frame[f"{k}_seen"].to_numpy(float))
+                                   for k in ("suffix", "folder") for s in ("rate", "seen")]])
 
 
 @dataclass
@@ -130,41 +140,43 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence
     """One row per row of ``df``: page_id (the key), host, path, rule, verdict, score.
 
     The URLs that a rule decides are the labelled ones.  For the others the trees give the probability of "block",
-    ``score``, and the verdict is "block" from 0.5 on.  The suffix statistics (share of blocked URLs, and number
-    of labelled URLs, by the last label of the host) are taken over all labelled rows; the trees are fitted to at
-    most TRAIN_ROWS of them, chosen by a hash of the URL.  A table whose rules give one verdict only, or none, has
+    ``score``, and the verdict is "block" from 0.5 on.  The suffix and folder statistics (share of blocked URLs, and
+    number of labelled URLs, by the last label of the host and by the first folder of the path) are taken over
+    all labelled rows; the trees are fitted to at most about TRAIN_ROWS of them, chosen by a hash of the URL.  A table whose rules give one verdict only, or none, has
     score 0 or 1, or 0 (allow).  Null, empty and very long URLs, repeated rows and ties are judged like others.
     """
     ship_package(df.sparkSession)
     host, path = host_and_path(F.col(url))
     rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = land(rows.withColumns({"rule": rule, "decided": verdict, "suffix": suffix(F.col("host"))}), "url-rows")
+    keys = {"suffix": suffix(F.col("host")), "folder": first_folder(F.col("path"))}
+    rows = land(rows.withColumns({"rule": rule, "decided": verdict, **keys}), "url-rows")
     label = (F.col("decided") == "block").cast("int")
     labelled = rows.where("decided is not null").withColumn("label", label)
-    stats = land(labelled.groupBy("suffix").agg(F.count("*").alias("seen"), F.sum("label").alias("blocked")), "url-suffixes")
-    whole = stats.agg(F.sum("seen"), F.sum("blocked")).first()
-    n, blocked = whole[0] or 0, whole[1] or 0
+    whole = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
+    n, blocked = whole["n"], whole["blocked"] or 0
     share = blocked / n if n else 0.0
-    # shares are drawn towards the whole table's by 20 URLs
-    rate = (F.coalesce("blocked", F.lit(0)) + 20 * share) / (F.coalesce("seen", F.lit(0)) + 20)
-    known = stats.select("suffix", rate.alias("suffix_rate"), "seen")
+    stats = {k: land(labelled.groupBy(k).agg(F.count("*").alias(f"{k}_seen"), F.sum("label").alias("blocked")), f"url-{k}") for k in keys}
 
     def with_stats(frame: DataFrame) -> DataFrame:
-        return frame.join(known, "suffix", "left").na.fill({"suffix_rate": share, "seen": 0})
+        for k, found in stats.items():
+            # shares are drawn towards the whole table's by 20 URLs
+            rate = (F.col("blocked") + 20 * share) / (F.col(f"{k}_seen") + 20)
+            frame = frame.join(found.select(k, rate.alias(f"{k}_rate"), f"{k}_seen"), k, "left")
+        return frame.na.fill({f"{k}_rate": share for k in stats} | {f"{k}_seen": 0 for k in stats})
 
     if 0 < blocked < n:
         part = int(min(1.0, TRAIN_ROWS / n) * 1_000_000)
         chosen = labelled.where(F.pmod(F.xxhash64("url", F.lit("train")), F.lit(1_000_000)) < part)
-        sample = with_stats(chosen).select("url", "host", "path", "suffix_rate", "seen", "label").orderBy("url").limit(2 * TRAIN_ROWS).toPandas()
-        model = Boosted().fit(features(sample["url"], sample["host"], sample["path"], sample["suffix_rate"], sample["seen"]), sample["label"].to_numpy(float))
+        sample = with_stats(chosen).select(*INPUTS, "label").orderBy("url").limit(2 * TRAIN_ROWS).toPandas()
+        model = Boosted().fit(features(sample), sample["label"].to_numpy(float))
         shared = df.sparkSession.sparkContext.broadcast(model)  # 40 trees of 16 leaves
 
         @F.pandas_udf("double")
-        def score(u: pd.Series, h: pd.Series, p: pd.Series, r: pd.Series, s: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.predict(features(u, h, p, r, s)) if len(u) else [], dtype=float)
+        def score(inputs: pd.DataFrame) -> pd.Series:
+            return pd.Series(shared.value.predict(features(inputs)) if len(inputs) else [], dtype=float)
 
-        scored = with_stats(rows).withColumn("score", score("url", "host", "path", "suffix_rate", "seen"))
+        scored = with_stats(rows).withColumn("score", score(F.struct(*INPUTS)))
     else:
         scored = rows.withColumn("score", F.lit(float(share)))
     said = F.when(F.col("score") >= BLOCK_AT, "block").otherwise("allow")
