@@ -28,11 +28,6 @@ def is_error(c: str | Column, kind: str = "stats") -> Column:
     return F.coalesce(_col(c).rlike(marker_regex(markers)), F.lit(False))
 
 
-def is_rate_limited(c: str | Column) -> Column:
-    """Error text that signals a rate limit (the retry policy waits longer for these)."""
-    return F.coalesce(F.lower(_col(c)).rlike("|".join(re.escape(m) for m in fixed.RATE_LIMIT_MARKERS)), F.lit(False))
-
-
 # error classes reported per category (first match wins)
 ERROR_CLASSES = [
     ("rate_limit", ["429", "rate limit", "rate_limit", "quota", "too many requests"]),
