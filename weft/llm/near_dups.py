@@ -343,7 +343,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     clusters = land(components(edges).withColumnRenamed("component", "cluster"), "near-clusters")
     texts = df.select(F.col(doc_id).cast("long").alias("class_id"), F.col(text).alias("text"))
     members = texts.join(clusters.join(classes, "node"), "class_id")
-    sets = _set_rows(members, words, seed)
+    sets = land(_set_rows(members, words, seed), "near-sets")
     links = land(verified_links(sets, plan, threshold, block), "near-links")
     groups = components(links, "node", "least")
     count = links.groupBy("node").agg(F.sum("links").alias("links"))
