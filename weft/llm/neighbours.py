@@ -165,8 +165,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     nodes = land(nodes.select("node", "x", "ids"), "ann-nodes")
     shards = max(1, round(nodes.count() / shard_rows))
     asked = land(usable(queries).where(F.size("x") == width), "ann-queries")
-    blocks = max(1, round(asked.count() / QUERY_BLOCK))
-    # a row for each shard and block of queries; the shard's nodes come with its first block only
+    # in each shard the nodes come first, then every query
     left = nodes.select(F.expr(f"cast(pmod(xxhash64(node, 9), {shards}) as int)").alias("shard"), F.lit(0).alias("kind"), "node", "x", "ids")
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("id").alias("node"), "x", F.array(F.col("id")).alias("ids"))
     both = left.union(right).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "node")
