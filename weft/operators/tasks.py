@@ -78,13 +78,15 @@ def term_counts(tokens: Column) -> Column:
         return _once(places, lambda at: F.transform(at, lambda i, n: F.struct(
             F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).cast("long").alias("tf"))))
 
-    return _once(F.array_sort(tokens), cut)
+    return _once(F.sort_array(tokens), cut)
 
 
 def keywords_tfidf(df: DataFrame, key: str, text: str, k: int = 3, min_len: int = 1) -> DataFrame:
     """Top ``k`` terms per document by tf * ln(N / df); ties by term. Rows: key, rank, term."""
-    tokens = F.filter(words(text), lambda w: F.length(w) >= min_len)
-    terms = df.select(key, F.explode(term_counts(tokens)).alias("t")).select(key, "t.term", "t.tf")
+    # whole documents move once, so that they are cut into words by all tasks whatever the layout of the files
+    docs = df.select(key, text).repartition(F.col(key))
+    tokens = words(text) if min_len <= 1 else F.filter(words(text), lambda w: F.length(w) >= min_len)
+    terms = docs.select(key, F.explode(term_counts(tokens)).alias("t")).select(key, "t.term", "t.tf")
     freq = terms.groupBy("term").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("n")).first()["n"]
     scored = terms.join(freq, "term").withColumn("score", F.col("tf") * F.log(F.lit(float(total)) / F.col("df")))
