@@ -5,6 +5,8 @@ import string
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import SMALL
 from weft.llm import neighbours, urls
 
@@ -45,6 +47,29 @@ def test_undecidable_tables(spark):
     assert {r["page_id"]: r["verdict"] for r in urls.judge(frame("x://a.com/de/", "x://a.net/")).collect()} == {0: "block", 1: "block"}
 
 
+def test_repeated_urls_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(urls, "TRAIN_ROWS", 40)
+    frame = lambda u: spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
+    # two distinct URLs: a hash alone can pick none of them, or one label
+    for i in range(4):
+        block, allow = f"http://h{i}.com/de/a", f"http://g{i}.com/fr/a"
+        got = urls.judge(frame([block] * 150 + [allow] * 150 + ["http://x.net/a"])).collect()
+        score = {r["verdict"]: r["score"] for r in got if r["rule"]}
+        assert len(got) == 301 and score["allow"] < 0.3 < 0.7 < score["block"], i
+    # a hot URL that sorts first does not keep the URLs of the other label out, and weighs as much as it has rows
+    hot = ["http://a.com/de/a"] * 400 + [f"http://b{i}.com/fr/{i}" for i in range(400)] + [f"http://c{i}.com/de/{i}" for i in range(400)]
+    rows = urls.host_and_path(F.col("url"))
+    rows = frame(hot).withColumns({"host": rows[0], "path": rows[1]})
+    label = (urls.matching_rule(F.col("host"), F.col("path"))[1] == "block").cast("int")
+    rows = rows.withColumns({"label": label, "suffix": urls.suffix(F.col("host")), "folder": urls.first_folder(F.col("path"))})
+    sample = urls.training_sample(rows).toPandas()
+    assert len(sample) == 40 == sample["url"].nunique() and (sample["label"] == 1).sum() == 20
+    assert sample[sample["url"] == hot[0]]["weight"].tolist() == [400]
+    assert sample.groupby("label")["weight"].sum().to_dict() == pytest.approx({0: 400, 1: 800}, rel=0.5)
+    got = urls.judge(frame(hot)).collect()
+    assert len(got) == 1200 and np.mean([(r["score"] >= 0.5) == (r["verdict"] == "block") for r in got]) > 0.95
+
+
 def test_trees_learn_what_features_tell():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 5))

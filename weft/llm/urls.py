@@ -14,7 +14,7 @@ from weft.session import ship_package
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path begins with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Labelled URLs that the trees are fitted to, at most; the trees, their depth, rate, bins and regularisation.
+#: Distinct labelled URLs that the trees are fitted to, at most; the trees, their depth, rate, bins and regularisation.
 TRAIN_ROWS, TREES, DEPTH, RATE, BINS, PENALTY = 20_000, 40, 4, 0.2, 32, 1.0
 BLOCK_AT = 0.5
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,14 +97,16 @@ class Boosted:
             node = 2 * node + 1 + (bins[np.arange(len(bins)), feature[node]] > cut[node])
         return node - (2**DEPTH - 1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
+        """``weight``: the rows that each row of ``x`` stands for (1 by default)."""
+        weight = np.ones(len(y)) if weight is None else weight
+        share = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
         self.prior = float(np.log(share / (1 - share)))
         self.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
         bins, margin, width = self._bins(x), np.full(len(y), self.prior), BINS + 1
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-margin))
-            g, h = p - y, p * (1 - p)
+            g, h = weight * (p - y), weight * p * (1 - p)
             inner = 2**DEPTH - 1
             feature, cut = np.zeros(inner, dtype=np.int64), np.full(inner, width)  # a node that isn't split sends all left
             node = np.zeros(len(y), dtype=np.int64)
@@ -136,14 +138,50 @@ class Boosted:
         return 1 / (1 + np.exp(-margin))
 
 
+def training_sample(labelled: DataFrame) -> DataFrame:
+    """At most TRAIN_ROWS distinct URLs of ``labelled`` (INPUTS' plain columns, suffix, folder, label), with ``weight``.
+
+    A URL's priority is a hash of it, even over (0, 1), over its number of rows; of each label the URLs of least
+    priority are taken, half of TRAIN_ROWS or what the other label leaves over.  The weight is the number of rows that
+    a URL stands for: its own, or if that is more, the inverse of the first priority that is left out (priority
+    sampling).  Thus repeats weigh as much as they are rows, and never keep other URLs out.
+    """
+    found = labelled.groupBy("url", "host", "path", "suffix", "folder", "label").agg(F.count("*").alias("rows"))
+    even = (F.pmod(F.xxhash64("url", F.lit("train")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    found = land(found.withColumn("priority", even / F.col("rows")), "url-distinct")
+    # URLs by powers of two of the priority, some 90 groups a label: the first powers that hold enough bound what is sorted
+    power = F.floor(F.log2("priority"))
+    counts: dict[int, dict[int, int]] = {0: {}, 1: {}}
+    for r in found.groupBy("label", power.alias("power")).count().collect():
+        counts[r["label"]][r["power"]] = r["count"]
+    urls = {label: sum(c.values()) for label, c in counts.items()}
+    parts = []
+    for label, c in counts.items():
+        own = found.where(F.col("label") == label)
+        most = max(TRAIN_ROWS // 2, TRAIN_ROWS - urls[1 - label])
+        if urls[label] > most:
+            held = 0
+            for last in sorted(c):
+                held += c[last]
+                if held > most:
+                    break
+            first = own.where(power <= last).orderBy("priority", "url").limit(most + 1)
+            left_out = first.agg(F.max("priority")).first()[0]
+            own = first.where(F.col("priority") < left_out).withColumn("weight", F.greatest(F.col("rows").cast("double"), F.lit(1 / left_out)))
+        else:
+            own = own.withColumn("weight", F.col("rows").cast("double"))
+        parts.append(own)
+    return parts[0].unionByName(parts[1]).drop("rows", "priority")
+
+
 def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """One row per row of ``df``: page_id (the key), host, path, rule, verdict, score.
 
     The URLs that a rule decides are the labelled ones.  For the others the trees give the probability of "block",
     ``score``, and the verdict is "block" from 0.5 on.  The suffix and folder statistics (share of blocked URLs, and
     number of labelled URLs, by the last label of the host and by the first folder of the path) are taken over
-    all labelled rows; the trees are fitted to at most about TRAIN_ROWS of them, chosen by a hash of the URL.  A table whose rules give one verdict only, or none, has
-    score 0 or 1, or 0 (allow).  Null, empty and very long URLs, repeated rows and ties are judged like others.
+    all labelled rows; the trees are fitted to at most TRAIN_ROWS distinct URLs of them, of both labels, weighted by
+    the rows that they stand for (``training_sample``).  A table whose rules give one verdict only, or none, has score 0 or 1, or 0 (allow).  Null, empty and very long URLs, repeated rows and ties are judged like others.
     """
     ship_package(df.sparkSession)
     host, path = host_and_path(F.col(url))
@@ -166,10 +204,10 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence
         return frame.na.fill({f"{k}_rate": share for k in stats} | {f"{k}_seen": 0 for k in stats})
 
     if 0 < blocked < n:
-        part = int(min(1.0, TRAIN_ROWS / n) * 1_000_000)
-        chosen = labelled.where(F.pmod(F.xxhash64("url", F.lit("train")), F.lit(1_000_000)) < part)
-        sample = with_stats(chosen).select(*INPUTS, "label").orderBy("url").limit(2 * TRAIN_ROWS).toPandas()
-        model = Boosted().fit(features(sample), sample["label"].to_numpy(float))
+        sample = with_stats(training_sample(labelled)).select(*INPUTS, "label", "weight").toPandas().sort_values("url", ignore_index=True)
+        # in all, the weights are as many as the rows, or TRAIN_ROWS
+        weight = sample["weight"].to_numpy(float) * min(1.0, TRAIN_ROWS / n)
+        model = Boosted().fit(features(sample), sample["label"].to_numpy(float), weight)
         shared = df.sparkSession.sparkContext.broadcast(model)  # 40 trees of 16 leaves
 
         @F.pandas_udf("double")
