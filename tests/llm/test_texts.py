@@ -173,6 +173,22 @@ def test_language_on_held_out_documents(spark):
     assert one[0, :-1] == pytest.approx(net.probabilities(np.frombuffer(b" thing", dtype=np.uint8)[None]).sum(axis=(0, 1)), abs=1e-4) and one[1, -1] == 91
 
 
+def test_language_of_long_documents_only(spark):
+    rng = np.random.default_rng(3)
+    voc = {"en": "the house stands with green water when which they both knew".split(), "pl": "który wszyscy dom przez zielony czwartek jest szczęście woda".split()}
+    text = lambda lang, n: " ".join(rng.choice(voc[lang], n))
+    rows = [(i, text("pl", 5_000), "pl") for i in range(6)] + [(10 + i, text("en", 300), "en") for i in range(40)] + [(60, "文字" * 60_000, "zh")]
+    df = docs(spark, rows, ", lang string")
+    assert min(len(r[1]) for r in rows if r[2] != "en") > 25_000
+    sample = language.training_sample(df)
+    assert {lang for lang, t in sample if t} == {"en", "pl", "zh"}
+    for lang, _ in sample:
+        assert sum(len(t.split()) for l, t in sample if l == lang) < 3 * language.SAMPLE_WORDS
+    net = language.train(sample)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df.drop("lang"), net).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_language_without_anything_to_learn(spark):
     empty = docs(spark, [], ", lang string")
     net = language.train(language.training_sample(empty))

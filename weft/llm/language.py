@@ -20,9 +20,11 @@ from weft.llm.shared import kept, table
 from weft.session import ship_package
 
 UNKNOWN = "und"
-#: The training sample: documents in all (shared evenly by the languages, by a hash of the id), the longest
-#: text that enters it, and words a language.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 800, 20_000, 12_000
+#: The training sample: documents in all (shared evenly by the languages, by a hash of the id, whatever their
+#: length), and words a language, by a hash of the id and the word's place in the text.
+SAMPLE_DOCS, SAMPLE_WORDS = 800, 12_000
+#: Words (runs between ASCII spaces) as the sample takes them; longer runs come in pieces of so many characters.
+SAMPLE_WORD = r"[^ \t\n\x0B\f\r]{1,39}"
 HIDDEN, EPOCHS, SEED = 16, 6, 10
 MOST_BYTES = 40
 #: Words that a worker keeps; characters of text that it works on at a time.
@@ -162,13 +164,18 @@ class ByteGRU:
 
 
 def training_sample(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """(lang, text) of the bounded sample: of every language the first documents by a hash of the id."""
-    rows = df.where(F.col(lang).isNotNull() & (F.length(text) > 0) & (F.length(text) <= SAMPLE_CHARS))
+    """(lang, words) of the bounded sample, a row per document: of every language the first documents by a hash of the
+    id, of any length, and of their words about 2 * SAMPLE_WORDS a language (all, if there are fewer) by a hash."""
+    rows = df.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.md5(F.concat(F.lit("lang-"), F.col(doc_id).cast("string"))).alias("h"))
     n = rows.select("lang").distinct().count()
     each = max(SAMPLE_DOCS // max(n, 1), 1)
     found = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each)
-    return sorted((r["lang"], r["text"]) for r in found.select("lang", "text").collect())
+    found = found.select("lang", "h", F.regexp_extract_all("text", F.lit(SAMPLE_WORD), F.lit(0)).alias("words"))
+    found = found.withColumn("part", 2 * SAMPLE_WORDS / F.greatest(F.sum(F.size("words")).over(W.partitionBy("lang")), F.lit(1)))
+    even = lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) / float(1 << 30)
+    chosen = F.concat_ws(" ", F.filter("words", lambda w, i: even(i) < F.col("part")))
+    return sorted((r["lang"], r["text"]) for r in found.select("lang", chosen.alias("text")).collect())
 
 
 def train(sample: list[tuple[str, str]], epochs: int = EPOCHS) -> ByteGRU:
