@@ -19,10 +19,10 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", buck
     text) count in ``group_size`` and are all marked as kept, since nothing tells them apart; ``drop_copies``
     leaves one of them.  An empty table has no rows.
 
-    The rows' keys (id, digest, size) are landed once.  Reducers own ranges of the hash key: they get the
-    texts of their keys, combined before the shuffle so that a group of copies arrives as one row per task,
-    and group by key *and* text, which chains different texts of one key and compares their bytes.  The chains
-    are landed as the index, ordered by the buckets of the extendible directory, and each row looks up its own.
+    The rows' keys (id, digest, size) are landed once.  The groups come from a plain aggregate by key *and* text,
+    combined before the shuffle so that a group of copies arrives as one row per task; no task owns a range of keys
+    or a bucket, and different texts of one key are different groups.  The groups are landed as the index, ordered
+    by the buckets of the extendible directory, which decides nothing else, and each row looks up its own.
     ``key_hex`` shortens the hash key, for tests of the chaining.
     """
     norm = normalised(F.col(text))
