@@ -97,7 +97,8 @@ def test_manifest_edges_and_files(spark, tmpdir_path):
     assert manifest_rows(clash) == manifest_rows(df)
     before = spark.conf.get("spark.sql.cteRecursionRowLimit")
     merkle.write_manifest(merkle.build(df), f"{tmpdir_path}/manifest")
-    assert spark.read.parquet(f"{tmpdir_path}/manifest/nodes").count() == 9  # the leaves, whose parent is the root: it has no siblings
+    back = spark.read.parquet(f"{tmpdir_path}/manifest/leaves")
+    assert back.count() == 9 and all(r["parent"] is None and len(r["siblings"]) == 4 for r in back.collect())  # the root is a stride above
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before  # the climb puts the limit back
     assert all(r["verified"] for r in merkle.audit(df).collect())
 

@@ -2,9 +2,10 @@
 
 Rows are the leaves of a tree per group, and the trees' roots those of a last tree over the groups.  The levels are
 built from below, STRIDE of them at a time, and stored as rows: a node, its parent (the ancestor a stride above) and
-the siblings met on the way there.  Nodes above ``CHAIN`` leaves are stored once for every ``CHAIN`` leaves below them,
-so that a node near the root, which every leaf passes, is not one key of a join.  A recursive query then ascends from
-every leaf at once, step by step: it hands on the siblings of the stride and folds them into the leaf's hash.
+the siblings met on the way there; a leaf's row holds its own link.  Nodes above 2^CHAIN_BITS leaves are stored once for
+every 2^CHAIN_BITS leaves below them, so that a node near the root, which every leaf passes, is not one key of a join.  A
+recursive query then ascends from every leaf at once, step by step: it hands on the siblings of the stride and folds them
+into the leaf's hash.
 """
 from __future__ import annotations
 
@@ -45,8 +46,8 @@ def leaf_text(fields: tuple[str, ...] = FIELDS, **instead: Column) -> Column:
 
 @dataclass
 class Manifest:
-    """Landed tables.  leaves: position, tree, idx, key, group, leaf, claimed; trees: tree, n, top, root; nodes: node, place,
-    parent, siblings.  ``root`` is the digest over all (None for an empty table)."""
+    """Landed tables.  leaves: position, tree, idx, key, group, leaf, claimed, and their link: parent, siblings; trees: tree, n, top,
+    root; nodes: node, place, parent, siblings.  A parent that is null is the root, and so is ``root`` (None for an empty table)."""
 
     leaves: DataFrame
     trees: DataFrame
@@ -115,43 +116,44 @@ def build(df: DataFrame, key: str = "doc_id", group: str = "lang", fields: tuple
     over = trees.select(F.lit(0).cast("long").alias("tree"), F.col("top").alias("idx"), F.col("root").alias("hash"), F.lit(trees.count()).alias("n"))
     tops, whole = _strides(over, "merkle-top", stride)
     last = whole.first()
-    nodes = _links(leaves, trees, strides, tops, stride, chain_bits)
-    return Manifest(leaves, trees, land(nodes, "merkle-nodes"), last and bytes(last["root"]).hex())
+    linked, nodes = _links(leaves, trees, strides, tops, stride, chain_bits)
+    return Manifest(land(linked, "merkle-linked"), trees, land(nodes, "merkle-nodes"), last and bytes(last["root"]).hex())
 
 
 def _node(level: Column | int, at: Column) -> Column:
     return (F.shiftleft(F.lit(level).cast("long") if isinstance(level, int) else level.cast("long"), 48) + at).cast("long")
 
 
-def _links(leaves: DataFrame, trees: DataFrame, strides: list[DataFrame], tops: list[DataFrame], stride: int, chain_bits: int) -> DataFrame:
-    """(node, place, parent, siblings).  A node's number is its stride and, from its tree's first leaf on, its place there;
-    from 2^chain_bits leaves on, the place of the chain, of which there is one for that many leaves."""
+def _links(leaves: DataFrame, trees: DataFrame, strides: list[DataFrame], tops: list[DataFrame], stride: int, chain_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(leaves with parent and siblings; nodes: node, place, parent, siblings).  A node's number is its stride and, from its tree's
+    first leaf on, its place there; from 2^chain_bits leaves on, the place of the chain, of which there is one for that many leaves."""
     free = chain_bits // stride
     height = F.lit(0)  # strides of a tree
     for r in range(len(strides)):
         height = height + F.when(F.col("n") > (1 << (stride * r)), 1).otherwise(0)
     trees = trees.select("tree", "top", height.alias("height"))
-    first_top = _node(_TOP, F.col("tree") + F.col("at")) if tops else F.lit(None).cast("long")
+    none = F.lit(None).cast("long")
+    first_top = _node(_TOP, F.col("tree") + F.col("at")) if tops else none
     up = lambda r: F.when(F.col("height") > r + 1, _node(r + 1, F.col("tree") + F.col("at"))).otherwise(first_top)
-    out = []
-    for r, met in enumerate(strides[:free]):
-        rows = met.join(trees, "tree").withColumn("at", F.shiftright("idx", stride))
-        out.append(rows.select(_node(r, F.col("tree") + F.col("idx")).alias("node"), F.col("idx").alias("place"), up(r).alias("parent"), "siblings"))
+    link = lambda rows, node, parent: rows.select(node.alias("node"), F.col("idx").alias("place"), parent.alias("parent"), "siblings")
+    empty = F.array().cast("array<binary>")
+    own = leaves.withColumn("at", F.shiftright("idx", stride)).join(trees.drop("top"), "tree")
+    own = own.join(strides[0], ["tree", "idx"], "left") if strides else own.withColumn("siblings", empty)
+    linked = own.select(*leaves.columns, F.when(F.col("height") > 0, up(0)).otherwise(first_top).alias("parent"), F.coalesce("siblings", empty).alias("siblings"))
     chains = leaves.where(F.col("idx").bitwiseAND((1 << chain_bits) - 1) == 0).select("tree", F.shiftright("idx", chain_bits).alias("at"))
     chains = land(chains.join(trees, "tree"), "merkle-chains")
-    for r, met in enumerate(strides[free:], free):
-        rows = chains.withColumn("idx", F.shiftright("at", stride * (r - free))).join(met, ["tree", "idx"])
-        out.append(rows.select(_node(r, F.col("tree") + F.col("at")).alias("node"), F.col("idx").alias("place"), up(r).alias("parent"), "siblings"))
+    nodes = link(chains.withColumns({"idx": F.col("tree"), "siblings": empty}), F.col("tree"), none).where("false")
+    for r, met in enumerate(strides[1:], 1):
+        if r < free:
+            rows = met.join(trees, "tree").withColumn("at", F.shiftright("idx", stride))
+            nodes = nodes.union(link(rows, _node(r, F.col("tree") + F.col("idx")), up(r)))
+        else:
+            rows = chains.withColumn("idx", F.shiftright("at", stride * (r - free))).join(met, ["tree", "idx"])
+            nodes = nodes.union(link(rows, _node(r, F.col("tree") + F.col("at")), up(r)))
     for c, met in enumerate(tops):
         rows = chains.withColumn("idx", F.shiftright("top", stride * c)).join(met.drop("tree"), "idx")
-        parent = _node(_TOP + c + 1, F.col("tree") + F.col("at")) if c + 1 < len(tops) else F.lit(None).cast("long")
-        out.append(rows.select(_node(_TOP + c, F.col("tree") + F.col("at")).alias("node"), F.col("idx").alias("place"), parent.alias("parent"), "siblings"))
-    if not out:  # a single leaf is the root
-        return chains.select("tree", "top", F.col("tree").alias("parent"), F.array(F.lit(b"")).alias("siblings")).toDF("node", "place", "parent", "siblings").where("false")
-    nodes = out[0]
-    for more in out[1:]:
-        nodes = nodes.union(more)
-    return nodes
+        nodes = nodes.union(link(rows, _node(_TOP + c, F.col("tree") + F.col("at")), _node(_TOP + c + 1, F.col("tree") + F.col("at")) if c + 1 < len(tops) else none))
+    return linked, nodes
 
 
 @contextmanager
@@ -168,45 +170,45 @@ def _unbounded(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-CLIMB = """
+FOLD = """aggregate(transform({siblings}, (s, k) -> struct(s AS s, k AS k)), {start}, (a, x) -> unhex(sha2(
+           CASE WHEN x.s IS NULL THEN lower(hex(a))
+                WHEN (shiftright({place}, x.k) & 1) = 1 THEN concat(lower(hex(x.s)), lower(hex(a)))
+                ELSE concat(lower(hex(a)), lower(hex(x.s))) END, 256)))"""
+CLIMB = f"""
 WITH RECURSIVE climb(position, node, step, folded, siblings) AS (
-  SELECT position, node, CAST(0 AS INT), claimed, CAST(NULL AS ARRAY<BINARY>) FROM {starts}
+  SELECT position, parent, CAST(0 AS INT), {FOLD.format(siblings="siblings", start="claimed", place="idx")}, siblings FROM {{leaves}}
   UNION ALL
-  SELECT c.position, n.parent, c.step + 1,
-         aggregate(transform(n.siblings, (s, k) -> struct(s AS s, k AS k)), c.folded, (a, x) -> unhex(sha2(
-           CASE WHEN x.s IS NULL THEN lower(hex(a))
-                WHEN (shiftright(n.place, x.k) & 1) = 1 THEN concat(lower(hex(x.s)), lower(hex(a)))
-                ELSE concat(lower(hex(a)), lower(hex(x.s))) END, 256))),
-         n.siblings
-  FROM climb c JOIN {nodes} n ON c.node = n.node
+  SELECT c.position, n.parent, c.step + 1, {FOLD.format(siblings="n.siblings", start="c.folded", place="n.place")}, n.siblings
+  FROM climb c JOIN {{nodes}} n ON c.node = n.node
 )
 SELECT position, step, folded, siblings FROM climb
 """
 
 
-def climb(manifest: Manifest) -> DataFrame:
-    """(position, proof, folded), landed: for each leaf its siblings from below to the root, as hexadecimal digests, and the
-    hash to which they fold its claimed leaf."""
+def climb(manifest: Manifest, proofs: bool = True) -> DataFrame:
+    """(position, proof, folded), landed: for each leaf its siblings from below to the root, as digests, and the hash to which they
+    fold its claimed leaf.  Without ``proofs``, ``proof`` is the sha256 of the siblings' hexadecimal digests, which takes
+    far less room than they do."""
     spark = manifest.leaves.sparkSession
-    # a leaf that is a tree by itself starts below the last tree
-    start = F.when(F.col("n") > 1, F.col("position")).otherwise(_node(_TOP, F.col("tree")))
-    starts = manifest.leaves.select("position", start.alias("node"), "claimed")
     with _unbounded(spark):
-        steps = spark.sql(CLIMB, starts=starts, nodes=manifest.nodes)
-        one = steps.groupBy("position").agg(F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct("step", "siblings")))).alias("met"),
-                                            F.max_by("folded", "step").alias("folded"))
-        proof = F.transform(F.filter(F.flatten(F.transform("met", lambda m: m["siblings"])), lambda s: s.isNotNull()), _hex)
+        steps = spark.sql(CLIMB, leaves=manifest.leaves.select("position", "parent", "idx", "claimed", "siblings"), nodes=manifest.nodes)
+        one = steps.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("met"), F.max_by("folded", "step").alias("folded"))
+        proof = F.filter(F.flatten(F.transform("met", lambda m: m["siblings"])), lambda s: s.isNotNull())
+        if not proofs:
+            proof = _hash(F.array_join(F.transform(proof, _hex), ""))
         return land(one.select("position", proof.alias("proof"), "folded"), "merkle-climb")
 
 
-def audit(df: DataFrame, claimed: Column | None = None, **options) -> DataFrame:
-    """One row per row of ``df``: key, leaf, subroot, root, proof (siblings from below), folded_root, verified: whether the claimed
-    leaf folds to the root.  An empty table has no rows; a single row is its own root, with an empty proof."""
+def audit(df: DataFrame, claimed: Column | None = None, proofs: bool = True, **options) -> DataFrame:
+    """One row per row of ``df``: key, leaf, subroot, root, proof (siblings from below, or their sha256: see ``climb``), folded_root,
+    verified: whether the claimed leaf folds to the root.  An empty table has no rows; a single row is its own root, with an
+    empty proof."""
     manifest = build(df, claimed=claimed, **options)
-    found = manifest.leaves.select("position", "tree", "key", "leaf").join(climb(manifest), "position")
+    found = manifest.leaves.select("position", "tree", "key", "leaf").join(climb(manifest, proofs), "position")
     found = found.join(manifest.trees.select("tree", F.col("root").alias("subroot")), "tree")
     root = F.lit(manifest.root).cast("string")
-    return found.select("key", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), root.alias("root"), "proof",
+    proof = F.transform("proof", _hex) if proofs else _hex(F.col("proof"))
+    return found.select("key", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), root.alias("root"), proof.alias("proof"),
                         _hex(F.col("folded")).alias("folded_root"), (_hex(F.col("folded")) == root).alias("verified"))
 
 
@@ -223,8 +225,8 @@ def tampered() -> Column:
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit(table(spark, sf_dir, "documents"), claimed=tampered())
-    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+    found = audit(table(spark, sf_dir, "documents"), claimed=tampered(), proofs=False)
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
 
 
 def _part(column: str) -> str:
