@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.shared import land, n_words, table
+from weft.llm.shared import in_order, land, n_words, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -20,24 +20,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     The sources, by code point with null last, share the sum of all sizes by the repeating ``weights``.  A target
     stops at ``repeats`` times its source's size, and the excess goes to the others by weight until none is above:
     in the order of cap / weight, a source is capped when the share left to it and those after it reaches its cap.
+    Both orders are range-partitioned: there may be as many sources as hosts.  A source without words has the target 0.
     """
     stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("src") - 1) % len(weights) + 1)
-    stats = stats.withColumn("src", rank).withColumn("weight", weight.cast("long"))
-    whole = W.partitionBy(F.lit(0))
-    by = whole.orderBy(F.col("source_size") / F.col("weight"), "src").rowsBetween(W.unboundedPreceding, -1)
-    cap = F.col("source_size") * repeats
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(by), F.lit(0))
-    over = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(by), F.lit(0))
-    stats = stats.withColumns({"left": left, "over": over})
+    stats = in_order(stats, F.col("source").asc_nulls_last(), name="mix-sources").withColumnRenamed("position", "src").withColumn("src", F.col("src") + 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("src") - 1) % len(weights) + 1).cast("int")).cast("long")
+    stats = stats.withColumns({"weight": weight, "cap": F.col("source_size") * repeats})
+    stats = in_order(stats, F.col("source_size") / F.col("weight"), "src", sums=("cap", "weight"), name="mix-sources")
+    sums = stats.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    stats = stats.withColumns({"left": F.lit(sums["size"]) - F.col("before_cap"), "over": F.lit(sums["weight"]) - F.col("before_weight")})
     exact = lambda c: F.col(c).cast("decimal(19,0)")
-    capped = exact("left") * exact("weight") >= exact("source_size") * F.lit(repeats) * exact("over")
-    stats = stats.withColumn("share", F.when(~capped, F.struct("over", "left")))
-    first = F.max("share").over(whole)  # the first uncapped source has the most weight left to share
-    level = F.col("weight") * first["left"].cast("double") / first["over"].cast("double")
-    target = F.when(F.col("share").isNull(), cap.cast("double")).otherwise(level)
-    return stats.select("src", "source", "rows", "source_size", "weight", target.alias("target"))
+    capped = exact("left") * exact("weight") >= exact("cap") * exact("over")
+    stats = stats.withColumn("capped", capped)
+    first = stats.where("not capped").agg(F.max(F.struct("over", "left")).alias("m")).first()["m"]  # the first one has the most weight left to share
+    left, over = (float(first["left"]), float(first["over"])) if first else (0.0, 1.0)
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(left) / F.lit(over))
+    return stats.select(F.col("src").cast("int").alias("src"), "source", "rows", "source_size", "weight", target.alias("target"))
 
 
 def _place(rows: DataFrame, stats: DataFrame, slot_rows: int) -> DataFrame:
@@ -56,7 +54,8 @@ def _place(rows: DataFrame, stats: DataFrame, slot_rows: int) -> DataFrame:
 
 
 def _finish(e: Column | int) -> Column:
-    return (F.col("source_size") * e + F.col("cum")).cast("double") / F.col("target")
+    """Null where a source has no words and so no target."""
+    return F.try_divide((F.col("source_size") * e + F.col("cum")).cast("double"), F.col("target"))
 
 
 def _slots(finish: Column) -> tuple[Column, Column]:
@@ -122,7 +121,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     placed = land(_place(sizes, stats, slot_rows).drop("source"), "mix-placed")
     budget = stats.agg(F.sum("source_size")).first()[0] or 0
     taken = _cut(placed, repeats, budget)
-    copies = sum((F.when((F.col("size") > 0) & taken(e), 1).otherwise(0) for e in range(repeats)), F.lit(0))
+    copies = sum((F.when((F.col("size") > 0) & F.coalesce(taken(e), F.lit(False)), 1).otherwise(0) for e in range(repeats)), F.lit(0))
     out = (_place(rows, stats, slot_rows) if carry else placed).withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *["row"] * carry)
 
