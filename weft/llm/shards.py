@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.llm import extendible
 from weft.llm.shared import land, table
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 256 << 10
 
 
 def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
@@ -57,7 +57,7 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shards_sql(limit: int = SHARD_BYTES) -> str:
-    """The buckets by definition: for each row the shortest prefix whose rows fit (no chains: unique keys)."""
+    """The buckets by definition: for each row the shortest prefix whose rows fit (no chains: unique keys, and no text over the limit)."""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM documents),
