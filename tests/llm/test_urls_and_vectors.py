@@ -122,6 +122,44 @@ def test_recall_and_scores(spark):
     assert [v for _, v, _ in got[2000]] == [3, *range(2001, 2010)]
 
 
+def shapes():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 24))
+    gauss = rng.normal(size=(4000, 24))
+    return {"uniform": rng.uniform(-1, 1, (4000, 16)), "clustered": centres[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 24)),
+            "tiny": gauss * 1e-25, "large": gauss * 1e25, "huge": gauss * 1e200, "mixed": gauss * np.where(np.arange(4000) % 2, 1e-60, 1e60)[:, None]}
+
+
+@pytest.mark.parametrize("shape", list(shapes()))
+def test_recall_in_shards_of_two_thousand(spark, shape):
+    x = shapes()[shape]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    scale = np.abs(x).max()
+    hits = []
+    for q in range(0, len(x), 100):
+        d = np.sqrt((((x - x[q]) / scale) ** 2).sum(axis=1))
+        if shape == "mixed" and q % 2:
+            d = np.where(np.arange(len(x)) % 2, np.sqrt((((x - x[q]) / 1e-60) ** 2).sum(axis=1)) * 1e-120, d)
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(x)), d))[:10]
+        hits.append(len({v for v, _ in got[q]} & set(want.tolist())) / 10)
+        assert len(got[q]) == 10 and all(np.isfinite(s) and s == pytest.approx(d[v] * scale, rel=1e-9) for v, s in got[q])
+    assert np.mean(hits) >= 0.9
+
+
+def test_repeated_ids_keep_the_smallest_vector(spark):
+    rows = [(0, [3.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 5.0]), (1, [1.0, 1.0]), (2, [9.0, 9.0])]
+    got = run(spark, rows)
+    assert [(v, round(s, 6)) for _, v, s in got[0]] == [(1, 1.0), (2, round(float(np.hypot(8, 9)), 6))]
+
+
+def test_shards_grow_with_the_table():
+    assert [neighbours.rows_of_shard(n) for n in (0, 51_282, 10**8, 10**12)] == [2000, 2000, 31622, 50_000]
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [2.0, 0.0]), (5, [1.0, 0.0])]
     got = run(spark, rows)

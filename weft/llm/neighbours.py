@@ -1,7 +1,9 @@
 """Operator 9: approximate nearest neighbours over robust-pruned directed graphs, one per shard."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from weft.llm.shared import land, table
 from weft.session import ship_package
 
-#: Vectors in a shard, on average; edges of a node; beam while building and while searching; relaxation of the pruning.
+#: Vectors in a shard, on average and at least (see ``rows_of_shard``); edges of a node; beam while building and while searching; relaxation of the pruning.
 SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 2000, 24, 48, 128, 1.2
 NEAREST = 10
 QUERY_BLOCK = 512
@@ -133,29 +135,78 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     return graph, start
 
 
+def rows_of_shard(n: int, least: int = SHARD_ROWS, most: int = 50_000) -> int:
+    """Vectors of a shard for ``n`` in all: every query visits every shard, so shards grow with the square root of the table."""
+    return max(least, min(most, math.isqrt(10 * n)))
+
+
+def _length(diff: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of the rows of ``diff``; where squares leave the range of a double, of scaled components."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((diff**2).sum(axis=1))
+        odd = ~np.isfinite(out) | (out < 1e-140)
+        if odd.any():
+            most = np.abs(diff[odd]).max(axis=1)
+            most[most == 0] = 1
+            out[odd] = np.sqrt(((diff[odd] / most[:, None]) ** 2).sum(axis=1)) * most
+    return out
+
+
+#: Components of a query, or of a shard's vectors between themselves, further apart than this are compared one by one.
+SPREAD = 1e100
+
+
+@dataclass
+class _Shard:
+    """A shard's vectors ``x`` and its graph, in double precision and scaled by the largest component."""
+
+    x: np.ndarray
+    ids: list[list[int]]
+
+    def __post_init__(self):
+        most = np.abs(self.x).max(axis=1)
+        self.scale = float(most.max())
+        self.flat = most.min() * SPREAD > self.scale
+        self.scaled = self.x / self.scale
+        self.graph, self.start = build_graph(self.scaled) if self.flat else (None, None)
+
+    def nearest(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """Node numbers (-1: none) for each query: those of its beam, or all where squares could leave the range."""
+        most = np.abs(queries).max(axis=1)
+        fits = self.flat & (most < self.scale * SPREAD) & (most * SPREAD > self.scale)
+        out = np.full((len(queries), len(self.x) if not fits.all() else beam), -1, dtype=np.int64)
+        out[~fits] = np.arange(out.shape[1])
+        if fits.any():
+            found, _ = beam_search(self.scaled, self.graph, self.start, queries[fits] / self.scale, beam)
+            width = min(found.shape[1], out.shape[1])
+            out[np.flatnonzero(fits)[:, None], np.arange(width)] = found[:, :width]
+        return out
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), width)
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, shard_rows: int | None = None, beam: int = SEARCH_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` (key and vector, as in ``vectors``) its ``k`` nearest
     rows of ``vectors`` with another id, nearest first, ties by the smaller id.  The score is the Euclidean
-    distance of the original vectors in double precision.
+    distance of the original vectors in double precision, of any size that a double holds.
 
     Vectors that are null, empty or all zero, or hold a null or a component that is not finite, take no part; nor do rows
     without an id, and vectors of another length than most (the smallest of ties).  Copies of a vector are one
     node of a graph, with the k + 1 smallest ids (more can't be among the k nearest).  The nodes are dealt to shards
     by a hash; a task builds a shard's graph, and each block of queries is searched for in each shard.  With at
-    most ``k`` candidates all are found.  Repeated rows of an id are one row.
+    most ``k`` candidates all are found.  Of rows that repeat an id the smallest vector by components counts, among the
+    queries as among the candidates.
     """
     ship_package(vectors.sparkSession)
     good = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(c, lambda v: v != 0)
 
     def usable(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda v: v.cast("double")).alias("x"))
-        return rows.where(F.col("id").isNotNull() & good("x")).dropDuplicates(["id"])
+        return rows.where(F.col("id").isNotNull() & good("x"))
 
-    rows = land(usable(vectors), "ann-rows")
+    rows = land(usable(vectors).groupBy("id").agg(F.min("x").alias("x")), "ann-rows")
     widths = rows.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").first()
     width = widths["w"] if widths else 1
     rows = rows.where(F.size("x") == width)
@@ -163,21 +214,22 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("x").orderBy("id"))).where(F.col("n") <= k + 1)
     nodes = ranked.groupBy("x").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = land(nodes.select("node", "x", "ids"), "ann-nodes")
-    shards = max(1, round(nodes.count() / shard_rows))
-    asked = land(usable(queries).where(F.size("x") == width), "ann-queries")
-    # in each shard the nodes come first, then every query
+    n = nodes.count()
+    shards = max(1, round(n / (shard_rows or rows_of_shard(n))))
+    asked = usable(queries).groupBy("id").agg(F.min("x").alias("x"))
+    asked = land(asked.where(F.size("x") == width), "ann-queries")
+    # a partition per shard, in which the nodes come first, then every query
     left = nodes.select(F.expr(f"cast(pmod(xxhash64(node, 9), {shards}) as int)").alias("shard"), F.lit(0).alias("kind"), "node", "x", "ids")
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("id").alias("node"), "x", F.array(F.col("id")).alias("ids"))
-    both = left.union(right).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "node")
+    both = left.union(right).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         current, graph = None, None
 
-        def built():
+        def built() -> _Shard:
             t = pa.Table.from_batches(held).combine_chunks()
-            x = _matrix(t.column("x").chunk(0), width)
-            return x, t.column("ids").to_pylist(), *build_graph(x.astype(np.float32))
+            return _Shard(_matrix(t.column("x").chunk(0), width), t.column("ids").to_pylist())
 
         for batch in batches:
             shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
@@ -194,16 +246,16 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                 if not held:
                     continue  # a shard without nodes
                 graph = graph or built()
-                x, ids, edges, start = graph
+                x, ids = graph.x, graph.ids
                 q = _matrix(part.column("x"), width)
                 for p in range(0, len(q), QUERY_BLOCK):
                     own = q[p : p + QUERY_BLOCK]
-                    found, _ = beam_search(x.astype(np.float32), edges, start, own.astype(np.float32), max(beam, k + 1))
+                    found = graph.nearest(own, max(beam, k + 1))
                     names = part.column("node").slice(p, len(own)).to_pylist()
                     out_q, out_v, out_d = [], [], []
                     for name, v, nodes_of in zip(names, own, found, strict=True):
                         nodes_of = nodes_of[nodes_of >= 0]
-                        d = np.sqrt(((x[nodes_of] - v) ** 2).sum(axis=1))
+                        d = _length(x[nodes_of] - v)
                         best = sorted((float(e), i) for e, node in zip(d, nodes_of, strict=True) for i in ids[node] if i != name)[:k]
                         out_q += [name] * len(best)
                         out_v += [i for _, i in best]
