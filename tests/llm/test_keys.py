@@ -106,6 +106,33 @@ def test_mix_edges(spark):
     assert [r["taken"] for r in blank] == [0, 0]
 
 
+@pytest.mark.parametrize("empty", ["blank", None, "zz"])
+def test_mix_of_a_source_without_words(spark, empty):
+    rows = [(i, "some words here" if i % 2 else ["", None, " "][i % 3], "full" if i % 2 else empty) for i in range(40)] + [(99, "w " * 5, "other")]
+    df = docs(spark, rows, ", source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and {r["taken"] for r in got if r["size"] == 0} == {0}
+    same_rows([r for r in mixing.mix(df).drop("copies").collect()], duck(mixing.SQL, documents=df.toPandas()))
+    assert mixing.mixed(df).where("source <=> 'full'").count() > 0
+
+
+def test_many_sources(spark):
+    sizes = spark.createDataFrame([(f"host{i:05d}", 1 + i * i % 97) for i in range(3000)], "source string, size long")
+    got = {r["source"]: r for r in mixing.source_targets(sizes.repartition(7)).collect()}
+    assert sorted(r["src"] for r in got.values()) == list(range(1, 3001)) and [got[s]["src"] for s in sorted(got)] == list(range(1, 3001))
+    total = sum(r["source_size"] for r in got.values())
+    assert sum(r["target"] for r in got.values()) == pytest.approx(total) and all(r["target"] <= 3 * r["source_size"] + 1e-6 for r in got.values())
+    free = {r["target"] / r["weight"] for r in got.values() if r["target"] < 3 * r["source_size"] - 1e-6}
+    assert max(free) == pytest.approx(min(free))
+
+
+def test_a_text_of_a_third_of_all_rows_is_few_rows_to_its_owner(spark):
+    rows = [(i, "copy" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    got = exact_dedup.exact_groups(docs(spark, rows), bucket_bytes=200).collect()
+    assert {r["group_size"] for r in got} == {1, 1000} and len({r["bucket"] for r in got}) > 50
+    assert {r["keep_id"] for r in got if r["group_size"] == 1000} == {0}
+
+
 def test_size_counts_words(spark):
     text = "a\u00a0b  c\x1cd\te\x0bf\n"
     assert docs(spark, [(1, text)]).select(mixing.n_words(F.col("text"))).first()[0] == len(words(text)) == 4

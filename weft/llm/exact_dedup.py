@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weft.llm import extendible
 from weft.llm.shared import land, normalised, table
 
-BUCKET_BYTES = 64 << 20
+#: Bytes of distinct texts that the owner of a bucket compares, and the parts in which copies are combined before that.
+BUCKET_BYTES, SALTS = 2 << 20, 8
 
 
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, key_hex: int = 16) -> DataFrame:
@@ -19,11 +20,12 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", buck
     text) count in ``group_size`` and are all marked as kept, since nothing tells them apart; ``drop_copies``
     leaves one of them.  An empty table has no rows.
 
-    The rows' keys (id, digest, size) are landed once.  The groups come from a plain aggregate by key *and* text,
-    combined before the shuffle so that a group of copies arrives as one row per task; no task owns a range of keys
-    or a bucket, and different texts of one key are different groups.  The groups are landed as the index, ordered
-    by the buckets of the extendible directory, which decides nothing else, and each row looks up its own.
-    ``key_hex`` shortens the hash key, for tests of the chaining.
+    The rows' keys (id, digest, size) are landed once, and the extendible directory is built over the distinct digests: a
+    bucket is split until its texts fit ``bucket_bytes``.  Copies are combined by key and text in ``SALTS`` parts, so that a text
+    that a third of all rows hold arrives as that many rows; these are dealt to the owners of their buckets.  An owner
+    chains the texts of one key in their order and compares each with the one before it, byte by byte: equal ones are one
+    link, which is a group.  The links are landed as the index, and each row looks up its own.  ``key_hex`` shortens the
+    hash key, for tests of the chaining.
     """
     norm = normalised(F.col(text))
     rows = df.select(F.col(doc_id).alias("doc_id"), norm.alias("norm"))
@@ -31,11 +33,15 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", buck
     entries = land(entries, "dedup-entries")
     distinct = entries.groupBy("sha").agg(F.max("size").alias("size"))
     directory = extendible.build(distinct.select(extendible.hash32(F.hex("sha")).alias("h"), "size"), "h", "size", bucket_bytes)
-    key = F.substring(F.sha2("norm", 256), 1, key_hex)
-    chains = rows.groupBy(key.alias("key"), "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    chains = chains.select(F.sha2("norm", 256).alias("hex"), "keep_id", "group_size").withColumn("h", extendible.hash32(F.col("hex")))
-    placed = directory.assign(chains, "h").select(F.unhex("hex").alias("sha"), "keep_id", "group_size", F.expr("if(bucket_depth = 0, '', lpad(bin(bucket_prefix), bucket_depth, '0'))").alias("bucket"))
-    index = land(placed.repartitionByRange("bucket", "sha").sortWithinPartitions("bucket", "sha"), "dedup-index")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    held = rows.groupBy(salt, F.sha2("norm", 256).alias("hex"), "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    held = directory.assign(held.withColumn("h", extendible.hash32(F.col("hex"))), "h").withColumn("key", F.substring("hex", 1, key_hex))
+    owned = held.select("bucket_prefix", "bucket_depth", "key", "hex", "norm", "keep_id", "group_size").repartition("bucket_prefix", "bucket_depth")
+    chain = W.partitionBy("bucket_prefix", "bucket_depth", "key").orderBy("norm")
+    owned = owned.withColumn("differs", F.coalesce(F.col("norm") != F.lag("norm").over(chain), F.lit(True)).cast("int"))
+    owned = owned.withColumn("link", F.sum("differs").over(chain.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("norm")
+    groups = owned.groupBy("bucket_prefix", "bucket_depth", "key", "link").agg(F.unhex(F.first("hex")).alias("sha"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    index = land(groups.select("sha", "keep_id", "group_size", F.expr("if(bucket_depth = 0, '', lpad(bin(bucket_prefix), bucket_depth, '0'))").alias("bucket")), "dedup-index")
     return entries.join(index, "sha").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket")
 
