@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import KINDS, SMALL, base_spans, docs, groups, jaccard_links, neighbours
 from weft.llm import language, near_dups, personal, pieces, quality
@@ -136,6 +137,30 @@ def test_personal_added_spans_and_edges(spark):
     assert personal.personal_data(docs(spark, [])).count() == 0
 
 
+def test_personal_data_of_very_many_matches(spark):
+    part = "".join(f"a{i % 10}@b.com +49 30 1234567 " for i in range(500))
+    long = part * 100
+    got = personal.personal_data(docs(spark, [(1, long), (2, part)])).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert (by[1]["n_email"], by[1]["n_phone"]) == (50_000, 50_000) and by[2]["n_email"] == 500
+    for i, text in ((1, long), (2, part)):
+        assert by[i]["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    assert by[1]["spans"].startswith(by[2]["spans"])
+
+
+def test_sums_and_overlaps_in_blocks(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 10, 101):
+        values = [rng.randrange(9) for _ in range(n)]
+        ends = [sum(values[: i + 1]) for i in range(n)]
+        base = [(3 * e, 3 * e + 2) for e in sorted(set(ends))]
+        chosen = [(a, a + rng.randrange(1, 4)) for a in rng.choices(range(3 * sum(values) + 9), k=20)]
+        df = spark.createDataFrame([(values, base, chosen)], "v array<int>, b array<struct<s:int,e:int>>, c array<struct<s:int,e:int>>")
+        r = df.select(personal._sums_before(F.col("v")).alias("v"), personal._apart(F.col("c"), F.col("b")).alias("c")).first()
+        assert r["v"] == [sum(values[:i]) for i in range(n)]
+        assert [tuple(x) for x in r["c"]] == [x for x in chosen if not any(x[0] < b[1] and b[0] < x[1] for b in base)]
+
+
 def test_reliabilities_follow_agreement():
     votes = lambda **v: {"n": 100, "check": 1, "gazetteer": 1, "context": 2, "edges": 1} | v
     share, law, post = personal.reliabilities([votes(n=300), votes(n=200, check=0, gazetteer=0), votes(n=5, check=0)])

@@ -83,12 +83,49 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
     parts = F.zip_with(F.slice(parts, F.lit(1), F.size(matches)), F.slice(gaps, F.lit(2), F.size(matches)), lambda p, g: F.struct(
         p["m"].alias("m"), p["gap"].alias("gap"), p["before"].alias("before"), F.substring(g, 1, 1).alias("after")))
     none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("all"))
-    walked = F.aggregate(parts, start, lambda a, p: F.struct(
-        (a["at"] + p["gap"] + F.length(p["m"])).alias("at"),
-        F.concat(a["all"], F.array(F.struct((a["at"] + p["gap"]).alias("s"), (a["at"] + p["gap"] + F.length(p["m"])).alias("e"),
-                                            p["m"].alias("m"), p["before"].alias("before"), p["after"].alias("after")))).alias("all")))["all"]
-    return F.when(hit & (F.size(matches) > 0), walked).otherwise(none)
+    placed = _bound(parts, lambda all_parts: F.zip_with(all_parts, _sums_before(F.transform(all_parts, lambda p: p["gap"] + F.length(p["m"]))), lambda p, at: F.struct(
+        (at + p["gap"]).alias("s"), (at + p["gap"] + F.length(p["m"])).alias("e"), p["m"].alias("m"), p["before"].alias("before"), p["after"].alias("after"))))
+    return F.when(hit & (F.size(matches) > 0), placed).otherwise(none)
+
+
+def _bound(value: Column, fn) -> Column:
+    """``fn(value)`` with the value taken once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def _blocks(values: Column) -> Column:
+    """An array cut into blocks of about the square root of its length."""
+    def cut(v: Column) -> Column:
+        side = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / side).cast("int")), lambda b: F.slice(v, b * side + 1, side))).otherwise(
+            F.filter(F.array(v), lambda _: F.lit(False)))
+
+    return _bound(values, cut)
+
+
+def _sums_before(values: Column) -> Column:
+    """For each whole number of an array the sum of those before it.  A fold that appends copies what it has, so the array is
+    summed in blocks, and so are the blocks' totals: the copying stays below the length to the power 1.5."""
+    def run(v: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(v, state, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+
+    def sums(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, run(totals, F.lit(0)), run))
+
+    return _bound(_blocks(values), sums)
+
+
+def _apart(chosen: Column, base: Column) -> Column:
+    """The spans of ``chosen`` that overlap none of ``base``, which is ordered and free of overlaps: a span looks into the blocks of
+    base spans that it meets."""
+    def keep(blocks: Column) -> Column:
+        ranges = F.transform(blocks, lambda b: F.struct(b[0]["s"].alias("s"), F.element_at(b, -1)["e"].alias("e"), b.alias("b")))
+        meets = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
+        return _bound(ranges, lambda r: F.filter(chosen, lambda c: ~F.exists(r, lambda y: meets(c, y) & F.exists(y["b"], lambda z: meets(c, z)))))
+
+    return _bound(_blocks(base), keep)
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -206,7 +243,7 @@ def _joined(spans: Column) -> Column:
 
 
 def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", accept_at: float = ACCEPT_AT) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """One row per row of ``df``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans.
 
     The counts and the digest are those of the base spans; ``spans`` has the base spans and those that the
     classifier adds: candidates with a probability of ``accept_at`` or more that overlap no base span of their kind.
@@ -219,13 +256,15 @@ def personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", acc
     if weights:
         accepted = lambda c: ~c["base"] & (likely(c) >= accept_at)
         chosen = F.transform(F.filter("candidates", accepted), lambda c: F.struct(c["s"].alias("s"), number(c).alias("k"), c["e"].alias("e")))
-        added = F.filter(chosen, lambda c: ~F.exists("base", lambda b: (b["k"] == c["k"]) & (b["s"] < c["e"]) & (c["s"] < b["e"])))
+        found = found.withColumn("chosen", chosen)
+        of_kind = lambda c, i: F.filter(c, lambda x: x["k"] == i)
+        added = F.when(F.size("chosen") > 0, F.concat(*[_apart(of_kind("chosen", i), of_kind("base", i)) for i in range(len(KINDS))])).otherwise(F.col("chosen"))
     else:
         added = F.filter("base", lambda _: F.lit(False))
     count = lambda i: F.size(F.filter("base", lambda b: b["k"] == i)).cast("long")
     out = found.withColumn("added", added)
     return out.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-                      _joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+                      _joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
