@@ -41,6 +41,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def twins(spark: SparkSession, sf_dir: str, other: str, more: dict[str, str] | None = None) -> DataFrame:
+    """Every document, untouched, under the id ``2 * doc_id``, and beside it a row with the text ``other`` under ``2 * doc_id + 1``;
+    ``more``: further columns, by expressions over the document."""
+    d = table(spark, sf_dir, "documents")
+    extra = [F.expr(v).alias(k) for k, v in (more or {}).items()]
+    own = d.select((F.col("doc_id") * 2).alias("doc_id"), "text", *extra)
+    return own.unionByName(d.select((F.col("doc_id") * 2 + 1).alias("doc_id"), F.expr(other).alias("text"), *extra))
+
+
+def _twins_sql(other: str, more: dict[str, str] | None = None) -> str:
+    extra = "".join(f", {v} AS {k}" for k, v in (more or {}).items())
+    return f"(SELECT doc_id * 2 AS doc_id, text{extra} FROM documents UNION ALL SELECT doc_id * 2 + 1, {other}{extra} FROM documents)"
+
+
+def with_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and as many rows with nothing to send."""
+    return twins(spark, sf_dir, D.BLANK_TEXT)
+
+
+_DOCS = _twins_sql(D.BLANK_TEXT)
+
+
 # ---------------------------------------------------------------------------
 # flagship: documents -> clean -> prompt -> model (one row per call) -> result
 # ---------------------------------------------------------------------------
@@ -54,12 +76,11 @@ def _has_sql(col: str) -> str:
     f"""SELECT doc_id,
   CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status,
   CASE WHEN {_has_sql('text')} THEN md5({S.prompt_single(PROMPT, S.clean('text'))}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result
-FROM (SELECT doc_id, {D.MESSY_TEXT} AS text FROM documents)""",
+FROM {_DOCS}""",
 )
 def enrich_single(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
-    out = enrich(docs, spec)
+    out = enrich(with_blanks(spark, sf_dir), spec)
     return out.select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
 
 
@@ -71,7 +92,7 @@ BUCKET_WIDTH = 64
 PACK = 5
 
 
-def _pack_cte(src: str, key: str, text_sql: str, size: int = PACK, width: int | None = BUCKET_WIDTH, has_sql: str | None = None) -> str:
+def _pack_cte(src: str, key: str, text_sql: str, size: int = PACK, width: int | str | None = BUCKET_WIDTH, has_sql: str | None = None) -> str:
     """Oracle CTEs ``b`` (bucket, has), ``p`` (rank, batch_no, item_id, batch_id) for a packed table."""
     has = has_sql or f"({text_sql} IS NOT NULL AND {S.clean(text_sql)} <> '')"
     bucket = f"CAST({key} // {width} AS INTEGER)" if width else "0"
@@ -90,8 +111,7 @@ def _packed_spec(fmt: str, **kw) -> EnrichSpec:
 
 def _packed_query(fmt: str):
     def q(spark, sf_dir):
-        docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
-        out = enrich(docs, _packed_spec(fmt))
+        out = enrich(with_blanks(spark, sf_dir), _packed_spec(fmt))
         return out.select("doc_id", "batch_id", "item_id", F.col("result.status").alias("status"),
                           F.col(fixed.RESULT_COLUMN).alias("ai_result"))
     return q
@@ -102,7 +122,7 @@ def _packed_oracle(fmt: str) -> str:
     missing = {"indexed": fixed.PACK_PARSE_MISSING_SYNC, "items": fixed.PACK_PARSE_MISSING_ASYNC,
                "json": fixed.JSON_OBJECT_MISSING}[fmt]
     answer = f"""'{{"answer":"' || {h} || '"}}'""" if fmt == "json" else h
-    return f"""WITH {_pack_cte(f'(SELECT doc_id, {D.MESSY_TEXT} AS text FROM documents)', 'doc_id', 'text')},
+    return f"""WITH {_pack_cte(_DOCS, 'doc_id', 'text')},
 q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
              count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
 SELECT doc_id,
@@ -129,11 +149,10 @@ from .enrich import pack_requests  # noqa: E402
 
 
 def _messy(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("t"))
+    return twins(spark, sf_dir, D.MESSY_TEXT).withColumnRenamed("text", "t")
 
 
-_MESSY_DOCS = f"(SELECT doc_id, {D.MESSY_TEXT} AS text FROM documents)"
-_MESSY_SQL = f"(SELECT doc_id, {D.MESSY_TEXT} AS t FROM documents)"
+_MESSY_SQL = f"(SELECT doc_id, text AS t FROM {_twins_sql(D.MESSY_TEXT)})"
 
 
 @register("clean_text", f"""SELECT doc_id, md5({S.clean('t')}) AS clean_md5, CAST(length({S.clean('t')}) AS BIGINT) AS clean_len
@@ -162,17 +181,17 @@ def q_pending(spark, sf_dir):
     return _legacy(spark, sf_dir).filter(TX.pending("ai_result")).select("doc_id")
 
 
-_CONV_MESSY = """(SELECT conv_id, turn,
-  CASE WHEN conv_id % 5 = 0 THEN NULL ELSE role END AS role,
-  CASE WHEN turn % 3 = 0 THEN chr(9) || chr(10) WHEN turn % 3 = 1 THEN NULL ELSE text END AS text
-FROM conversations)"""
+_MESSY_ROLE = "CASE WHEN conv_id % 5 = 0 THEN NULL ELSE role END"
+_MESSY_TURN = "CASE WHEN turn % 3 = 0 THEN chr(9) || chr(10) WHEN turn % 3 = 1 THEN NULL ELSE text END"
+_CONV_MESSY = f"""(SELECT conv_id * 2 AS conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT conv_id * 2 + 1, turn, {_MESSY_ROLE}, {_MESSY_TURN} FROM conversations)"""
 
 
 def _conv_messy(spark, sf_dir):
+    """Every turn, untouched, and beside it (in a conversation of its own) one with columns left out or blank."""
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn",
-                    F.expr("CASE WHEN conv_id % 5 = 0 THEN NULL ELSE role END").alias("role"),
-                    F.expr("CASE WHEN turn % 3 = 0 THEN chr(9) || chr(10) WHEN turn % 3 = 1 THEN NULL ELSE text END").alias("text"))
+    own = c.select((F.col("conv_id") * 2).alias("conv_id"), "turn", "role", "text")
+    return own.unionByName(c.select((F.col("conv_id") * 2 + 1).alias("conv_id"), "turn", F.expr(_MESSY_ROLE).alias("role"), F.expr(_MESSY_TURN).alias("text")))
 
 
 @register("has_any_data", f"""SELECT conv_id, turn,
@@ -227,15 +246,15 @@ def _template_case_sql(key: str) -> str:
     return f"(CASE {whens} END)"
 
 
-@register("validate_prompt", f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN chr(32) || chr(9)
-  WHEN doc_id % 4 = 2 THEN lang || ' ok' ELSE text END AS p FROM documents)
+_ODD_PROMPT = "CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN chr(32) || chr(9) WHEN doc_id % 4 = 2 THEN lang || ' ok' ELSE source || ' long enough' END"
+
+
+@register("validate_prompt", f"""WITH c AS (SELECT doc_id, text AS p FROM {_twins_sql(_ODD_PROMPT)})
 SELECT doc_id, CASE WHEN {S.strip('p')} = '' THEN false WHEN length({S.strip('p')}) < 10 THEN false ELSE true END AS ok,
   CASE WHEN {S.strip('p')} = '' THEN {S.lit(fixed.PROMPT_EMPTY)} WHEN length({S.strip('p')}) < 10 THEN {S.lit(fixed.PROMPT_TOO_SHORT)}
   ELSE {S.lit(fixed.PROMPT_OK)} END AS message FROM c""")
 def q_validate_prompt(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(
-        "doc_id", F.expr("CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN chr(32) || chr(9) "
-                         "WHEN doc_id % 4 = 2 THEN lang || ' ok' ELSE text END").alias("p"))
+    d = twins(spark, sf_dir, _ODD_PROMPT).withColumnRenamed("text", "p")
     v = PR.validate_prompt("p")
     return d.select("doc_id", v["ok"].alias("ok"), v["message"].alias("message"))
 
@@ -295,9 +314,9 @@ def q_prompt_multi(spark, sf_dir):
 def _pack_prompt_query(fmt: str, multi: bool):
     def q(spark, sf_dir):
         if multi:
-            src = _conv_keyed(spark, sf_dir)
+            src, width = _conv_keyed(spark, sf_dir)
             spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", backend=FingerprintBackend(),
-                              pack_size=PACK, pack_format=fmt, bucket_width=CONV_WIDTH, bucket_fn="div")
+                              pack_size=PACK, pack_format=fmt, bucket_width=width, bucket_fn="div")
         else:
             src = table(spark, sf_dir, "documents").select("doc_id", "text")
             spec = _packed_spec(fmt)
@@ -307,13 +326,14 @@ def _pack_prompt_query(fmt: str, multi: bool):
 
 
 def _conv_keyed(spark, sf_dir):
-    return _conv_messy(spark, sf_dir).withColumn("row_key", F.col("conv_id") * TURNS + F.col("turn"))
+    """The turns with a key of their own: there is room for every turn of a conversation.  A bucket holds 16 conversations."""
+    turns = (table(spark, sf_dir, "conversations").agg(F.max("turn")).first()[0] or 0) + 1
+    return _conv_messy(spark, sf_dir).withColumn("row_key", F.col("conv_id") * turns + F.col("turn")), 16 * turns
 
 
-#: More than the turns of any conversation; a bucket holds the turns of 16 conversations.
-TURNS = 1000
-CONV_WIDTH = 16 * TURNS
-_CONV_KEYED_SQL = f"(SELECT *, conv_id * {TURNS} + turn AS row_key FROM {_CONV_MESSY})"
+_TURNS = "(SELECT max(turn) + 1 FROM conversations)"
+_CONV_WIDTH = f"(16 * {_TURNS})"
+_CONV_KEYED_SQL = f"(SELECT *, conv_id * {_TURNS} + turn AS row_key FROM {_CONV_MESSY})"
 
 
 def _fill_sql(text: str, n: str = "CAST(count(*) AS VARCHAR)") -> str:
@@ -332,7 +352,7 @@ def _pack_prompt_oracle(fmt: str, multi: bool) -> str:
             f"'  {j}. {c}: ' || {S.clean(f'coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})')}" for j, c in enumerate(cols, 1))
         vals_raw = " || chr(10) || ".join(f"'  {c}: ' || coalesce(CAST({c} AS VARCHAR), {S.lit(fixed.MISSING_VALUE)})" for c in cols)
         has = "(" + " OR ".join(f"({c} IS NOT NULL AND {S.strip(f'CAST({c} AS VARCHAR)')} <> '')" for c in cols) + ")"
-        cte = _pack_cte(_CONV_KEYED_SQL, "row_key", "text", width=CONV_WIDTH, has_sql=has)
+        cte = _pack_cte(_CONV_KEYED_SQL, "row_key", "text", width=_CONV_WIDTH, has_sql=has)
         block_idx = f"'[' || item_id || ']' || chr(10) || {vals_clean}"
         block_items = f"'Item ' || item_id || ':' || chr(10) || {vals_raw}"
         prompt = _MPROMPT
@@ -764,7 +784,7 @@ def q_final_report(spark, sf_dir):
     return QU.final_report(QU.processing_stats(_legacy(spark, sf_dir), "ai_result"))
 
 
-_RETRY_SRC = f"(SELECT doc_id, {D.MESSY_TEXT} AS text, {D.LEGACY_RESULT} AS ai_result FROM documents)"
+_RETRY_SRC = _twins_sql(D.BLANK_TEXT, {"ai_result": D.LEGACY_RESULT})
 _RMD5 = f"md5({S.prompt_single(PROMPT, S.clean('text'))})"
 _RETRY_SQL = f"""SELECT doc_id,
   CASE WHEN NOT {_ERR_RETRY} THEN ai_result WHEN NOT {_has_sql('text')} THEN {S.lit(fixed.NO_DATA)}
@@ -774,7 +794,7 @@ FROM {_RETRY_SRC}"""
 
 
 def _retry_run(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"), F.expr(D.LEGACY_RESULT).alias("ai_result"))
+    d = twins(spark, sf_dir, D.BLANK_TEXT, {"ai_result": D.LEGACY_RESULT})
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(dead_prefixes="a"), policy=NO_SLEEP)
     return retry_failed(d, spec, "ai_result")
 
@@ -1012,9 +1032,9 @@ def q_responses_roundtrip(spark, sf_dir):
 
 
 @register("enrich_packed", f"""SELECT doc_id, CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status,
-  CASE WHEN {_has_sql('text')} THEN md5({S.clean('text')}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM {_MESSY_DOCS}""")
+  CASE WHEN {_has_sql('text')} THEN md5({S.clean('text')}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM {_DOCS}""")
 def q_enrich_packed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
+    docs = with_blanks(spark, sf_dir)
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(),
                       pack_size=fixed.ASYNC_PACK_SIZE, policy=NO_SLEEP)
     return enrich(docs, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
@@ -1037,7 +1057,7 @@ def _multi_sync_prompt_sql() -> str:
 
 @register("enrich_multi", f"SELECT conv_id, turn, 'OK' AS status, md5({_multi_sync_prompt_sql()}) AS ai_result FROM {_CONV_MESSY}")
 def q_enrich_multi(spark, sf_dir):
-    src = _conv_keyed(spark, sf_dir)
+    src, _ = _conv_keyed(spark, sf_dir)
     spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", backend=FingerprintBackend(), policy=NO_SLEEP)
     out = enrich(src, spec)
     return out.select("conv_id", "turn", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
@@ -1045,7 +1065,7 @@ def q_enrich_multi(spark, sf_dir):
 
 def _multi_packed_oracle() -> str:
     h = f"md5({_multi_item_sql()})"
-    return f"""WITH {_pack_cte(_CONV_KEYED_SQL, 'row_key', 'text', width=CONV_WIDTH, has_sql='true')},
+    return f"""WITH {_pack_cte(_CONV_KEYED_SQL, 'row_key', 'text', width=_CONV_WIDTH, has_sql='true')},
 q AS (SELECT *, count(*) OVER (PARTITION BY bucket, has, batch_no) AS n_items,
              count(*) FILTER (WHERE {h} NOT LIKE 'f%') OVER (PARTITION BY bucket, has, batch_no) AS n_present FROM p)
 SELECT conv_id, turn, batch_id, item_id,
@@ -1057,9 +1077,9 @@ FROM q"""
 
 @register("enrich_multi_packed", _multi_packed_oracle())
 def q_enrich_multi_packed(spark, sf_dir):
-    src = _conv_keyed(spark, sf_dir)
+    src, width = _conv_keyed(spark, sf_dir)
     spec = EnrichSpec(prompt=_MPROMPT, columns=tuple(_MULTI_COLS), key="row_key", pack_size=PACK, pack_format="items",
-                      bucket_width=CONV_WIDTH, bucket_fn="div", policy=NO_SLEEP, backend=FingerprintBackend(response_format="items", omit_prefixes="f"))
+                      bucket_width=width, bucket_fn="div", policy=NO_SLEEP, backend=FingerprintBackend(response_format="items", omit_prefixes="f"))
     out = enrich(src, spec)
     return out.select("conv_id", "turn", "batch_id", "item_id", F.col("result.status").alias("status"),
                       F.col(fixed.RESULT_COLUMN).alias("ai_result"))
@@ -1075,9 +1095,9 @@ def q_enrich_multi_packed(spark, sf_dir):
        WHEN {_has_sql('text')} AND {_PMD5} LIKE 'b%' THEN {S.lit(fixed.JSON_PARSE_FAILED_PREFIX)} || '```json' || chr(10) || '```' END AS error,
   CASE WHEN NOT {_has_sql('text')} THEN {S.lit(fixed.NO_DATA)} WHEN {_PMD5} LIKE 'c%' THEN {S.lit(fixed.ERROR_AFTER_RETRIES.format(n=3))}
        WHEN {_PMD5} LIKE 'b%' THEN {S.lit(fixed.JSON_PARSE_FAILED_PREFIX)} || '```json' || chr(10) || '```'
-       ELSE substr({_PMD5}, 1, 8) || '|null|' || substr({_PMD5}, 9, 8) || '|null|' || {_PMD5} END AS ai_result FROM {_MESSY_DOCS}""")
+       ELSE substr({_PMD5}, 1, 8) || '|null|' || substr({_PMD5}, 9, 8) || '|null|' || {_PMD5} END AS ai_result FROM {_DOCS}""")
 def q_enrich_json(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
+    docs = with_blanks(spark, sf_dir)
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", use_json=True, policy=NO_SLEEP,
                       backend=FingerprintBackend(single_format="json", unreadable_prefixes="b", dead_prefixes="c"))
     out = enrich(docs, spec)
@@ -1092,8 +1112,7 @@ def q_enrich_json(spark, sf_dir):
   count(*) FILTER (WHERE status = 'NO_DATA') AS no_data, count(*) FILTER (WHERE status = 'ERROR') AS errors
 FROM ({_packed_oracle('items')})""")
 def q_result_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
-    return QU.status_stats(enrich(docs, _packed_spec("items")))
+    return QU.status_stats(enrich(with_blanks(spark, sf_dir), _packed_spec("items")))
 
 
 # raw web pages: markup and newlines through cleaning and prompting -----------------------------
@@ -1122,14 +1141,13 @@ def q_task_classify_eval(spark, sf_dir):
 
 
 @register("enrich_distinct", f"""SELECT doc_id, CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status,
-  CASE WHEN {_has_sql('text')} THEN md5({S.clean('text')}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM documents""")
+  CASE WHEN {_has_sql('text')} THEN md5({S.clean('text')}) ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM {_DOCS}""")
 def q_enrich_distinct(spark, sf_dir):
     from .enrich import enrich_distinct
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), pack_size=fixed.ASYNC_PACK_SIZE,
                       policy=NO_SLEEP)
-    return enrich_distinct(docs, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+    return enrich_distinct(with_blanks(spark, sf_dir), spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
 
 
 @register("breaker_streaks", """WITH e AS (SELECT user_id, event_type = 'error' AS f,
@@ -1146,7 +1164,8 @@ def q_breaker_streaks(spark, sf_dir):
 # the whole run: load -> enrich in packs -> retry error rows -> write -> report --------------------
 
 
-_JOB_SRC = f"(SELECT doc_id, {D.MESSY_TEXT} AS text, CASE WHEN doc_id % 5 = 0 THEN 'came with it' WHEN doc_id % 5 = 1 THEN 'Connection error: reset' ELSE '' END AS ai FROM documents)"
+_JOB_AI = "CASE WHEN doc_id % 5 = 0 THEN 'came with it' WHEN doc_id % 5 = 1 THEN 'Connection error: reset' ELSE '' END"
+_JOB_SRC = f"(SELECT doc_id, text, {_JOB_AI} AS ai FROM {_DOCS})"
 _JOB_DEAD = "substr(md5(" + S.prompt_single(PROMPT, S.clean("text")) + "), 1, 1) = 'a'"
 _JOB_SQL = f"""SELECT doc_id, CASE WHEN ai = 'came with it' THEN 'OK' WHEN NOT {_has_sql('text')} THEN 'NO_DATA' WHEN {_JOB_DEAD} THEN 'ERROR' ELSE 'OK' END AS status,
   CASE WHEN ai = 'came with it' THEN ai WHEN NOT {_has_sql('text')} THEN {S.lit(fixed.NO_DATA)}
@@ -1159,8 +1178,7 @@ def _job_out(spark, sf_dir):
     from . import job as JOB
 
     base = checkpoint_dir(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"), F.expr(
-        "CASE WHEN doc_id % 5 = 0 THEN 'came with it' WHEN doc_id % 5 = 1 THEN 'Connection error: reset' ELSE '' END").alias(fixed.RESULT_COLUMN))
+    docs = with_blanks(spark, sf_dir).withColumn(fixed.RESULT_COLUMN, F.expr(_JOB_AI))
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=FingerprintBackend(dead_prefixes="ab"))
     first = JOB.EnrichJob(input_path="", output_path=INC.fresh_path(base, "job-out"), spec=spec, state_path=INC.fresh_path(base, "job-state"), run_id="broken")
     todo = JOB.pending_rows(spark, first, docs, first.state_path)
@@ -1186,21 +1204,21 @@ def q_job_report(spark, sf_dir):
 
 
 @register("stream_shared_state", f"""SELECT doc_id, CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status, CASE WHEN {_has_sql('text')} THEN {_PMD5}
-  ELSE {S.lit(fixed.NO_DATA)} END AS ai_result, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS stream FROM {_MESSY_DOCS}""")
+  ELSE {S.lit(fixed.NO_DATA)} END AS ai_result, CASE WHEN doc_id // 2 % 2 = 0 THEN 'even' ELSE 'odd' END AS stream FROM {_DOCS}""")
 def q_stream_shared_state(spark, sf_dir):
     """Two streams, each with its own checkpoint, into one state; the second finds a part of its first batch written."""
     import uuid
 
     base = checkpoint_dir(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(D.MESSY_TEXT).alias("text"))
+    docs = with_blanks(spark, sf_dir)
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
     state, names = INC.fresh_path(base, "shared-state"), {}
     for name, rest in (("even", 0), ("odd", 1)):
         src, ckpt = INC.fresh_path(base, f"in-{name}"), INC.fresh_path(base, f"ckpt-{name}")
-        docs.filter(F.pmod("doc_id", F.lit(2)) == rest).write.parquet(src)
+        docs.filter(F.expr("doc_id div 2 % 2") == rest).write.parquet(src)
         names[name] = uuid.uuid5(uuid.NAMESPACE_URL, ckpt).hex[:12]
         if name == "odd":
-            part = docs.filter(F.pmod("doc_id", F.lit(6)) == 1)
+            part = docs.filter(F.expr("doc_id div 2 % 6") == 1)
             INC.save_state(enrich(part, spec), "doc_id", state, f"stream-{names[name]}-0")
         INC.enrich_stream(spark, src, docs.schema, spec, state, ckpt).awaitTermination()
     own = F.when(F.col("run_id").startswith(f"stream-{names['even']}-"), "even").when(F.col("run_id").startswith(f"stream-{names['odd']}-"), "odd")
@@ -1232,10 +1250,10 @@ def q_prompt_from_registry(spark, sf_dir):
         F.struct(F.concat(F.lit("tuned-"), F.col("source")).alias("model_id"), F.col("source").alias("display_name"),
                  F.lit("2025-01-01").alias("training_date"), F.expr(_REG_REQUIRES).alias("requires_context"),
                  F.struct(F.expr(_REG_TEMPLATE).alias("template")).alias("prompt_context")).alias("m"))
-    reg_json = models.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("name", "m"))).alias("fine_tuned_models")))
-                          .alias("value"))
+    # a registry file holds a map of models: here a file for each
+    reg_json = models.select("name", F.to_json(F.struct(F.create_map("name", "m").alias("fine_tuned_models"))).alias("value"))
     path = INC.fresh_path(checkpoint_dir(spark), "registry")
-    reg_json.coalesce(1).write.text(path)
+    reg_json.write.partitionBy("name").text(path)
     registry = RD.read_model_registry(spark, path)
     joined = docs.join(registry, docs["source"] == registry["name"], "left")
     p = PR.prompt_with_registry("template", "requires_context", TX.clean_text("text"), PROMPT)
