@@ -136,12 +136,19 @@ def test_pacing_spaces_calls():
 
     from weft.operators.inference import _run_batch
 
-    policy = RetryPolicy(rpm=1200, tasks=1)  # one call per 50 ms in this task
+    from weft.operators.inference import Slots
+
+    slots = Slots(_t.time(), 0.05)  # one call per 50 ms
     t0 = _t.perf_counter()
-    out = _run_batch(FingerprintBackend(), policy, ["a", "b", "c", "d"], [None] * 4)
+    out = _run_batch(FingerprintBackend(), RetryPolicy(rpm=1200), ["a", "b", "c", "d"], [None] * 4, slots)
     assert _t.perf_counter() - t0 >= 0.14 and out["error"].isna().all()
     starts = sorted(out["called_at"])
-    assert all(b - a >= 0.045 for a, b in zip(starts, starts[1:], strict=False))
+    assert len({int((x - slots.began) / 0.05 + 0.1) for x in starts}) == 4
+    # three tasks share the slots; one that was late does not catch up
+    tasks = [Slots(100.0, 1.0, i, 3) for i in range(3)]
+    assert [x.next(100.0) for x in tasks] == [100, 101, 102]
+    tasks[1].take()
+    assert tasks[1].next(100.0) == 104 and tasks[0].next(110.5) == 112 and tasks[2].next(111.0) == 111 and tasks[2].next(111.9) == 111
     # the linear policy waits longer for rate-limit errors than for other errors
     lin = RetryPolicy()
     assert lin.delay(1, True) == 120 and lin.delay(1, False) == 5
@@ -340,28 +347,62 @@ class Slow(Backend):
         return "ok"
 
 
-def test_timeouts_count_as_failed_attempts():
+def test_late_answers_are_taken_and_paid_for_once():
+    """Calls outlast their time-out: each is sent once, two at a time, and its answer is kept."""
+    import threading
+
+    from weft.operators.inference import _run_batch
+
+    class Wide(Slow):
+        most = live = 0
+
+        def generate_one(self, prompt, items, attempt=0):
+            with lock:
+                self.live += 1
+                self.most = max(self.most, self.live)
+            try:
+                return super().generate_one(prompt, items, attempt)
+            finally:
+                with lock:
+                    self.live -= 1
+
+    lock, backend = threading.Lock(), Wide(2)
+    out = _run_batch(backend, RetryPolicy(sleep=False, timeout_s=0.1, max_attempts=3), [f"0.35 {i}" for i in range(6)], [None] * 6)
+    assert list(out["text"]) == ["ok"] * 6 and len(backend.sent) == 6 and backend.most == 2 and set(out["attempts"]) == {1}
+
+
+def test_a_call_that_never_ends_is_given_up():
     from weft.operators.inference import _run_batch
 
-    out = _run_batch(Slow(), RetryPolicy(sleep=False, timeout_s=0.05, max_attempts=2), ["0.4"], [None])
-    assert out["text"][0] is None and out["attempts"][0] == 2 and "Timeout" in out["error"][0]
-    ok = _run_batch(Slow(), RetryPolicy(sleep=False, timeout_s=0.06), ["0.08"], [["a", "b"]])  # packs get 2x
+    backend = Slow(2)
+    policy = RetryPolicy(sleep=False, timeout_s=0.05, max_attempts=3, give_up_factor=4)
+    out = _run_batch(backend, policy, ["1.5 a", "0.01 b", "0.01 c"], [None] * 3)
+    assert list(out["text"]) == [None, "ok", "ok"] and "given up" in out["error"][0] and len(backend.sent) == 3
+    ok = _run_batch(Slow(), policy, ["0.3"], [["a", "b"]])  # packs get twice the time
     assert ok["error"][0] is None and ok["attempts"][0] == 1
 
 
+def test_backends_are_told_the_time_out():
+    from weft.operators.backends import CallableBackend
+    from weft.operators.inference import _opened, _run_batch
+
+    def client(prompt, timeout):
+        raise TimeoutError(f"ended after {timeout}s")
+
+    policy = RetryPolicy(sleep=False, timeout_s=7, max_attempts=2)
+    out = _run_batch(_opened(CallableBackend(client, pass_timeout=True), policy), policy, ["p"], [None])
+    assert out["error"][0] == "TimeoutError: ended after 7s" and out["attempts"][0] == 2
+
+
 def test_a_call_has_its_own_clock():
-    """Hung calls cost only themselves: others are sent, answered and timed from their own start, once each."""
+    """Slow calls cost only themselves: others are sent, answered and timed from their own start, once each."""
     from weft.operators.inference import _run_batch
 
-    backend = Slow(2)
-    prompts = ["1.5 a", "1.5 b", "0.02 c", "0.02 d", "0.02 e", "0.02 f"]
+    backend = Slow(3)
+    prompts = ["0.8 a", "0.8 b", "0.02 c", "0.02 d", "0.02 e", "0.02 f"]
     out = _run_batch(backend, RetryPolicy(sleep=False, timeout_s=0.2, max_attempts=1), prompts, [None] * 6)
-    assert list(out["text"]) == [None, None, "ok", "ok", "ok", "ok"] and sorted(backend.sent) == sorted(prompts)
+    assert list(out["text"]) == ["ok"] * 6 and sorted(backend.sent) == sorted(prompts)
     assert len(set(out["called_at"])) > 3 and all(10 <= ms < 200 for ms in out["latency_ms"][2:])
-    # an answer that comes late is taken before its prompt is paid for again
-    backend = Slow(1)
-    late = _run_batch(backend, RetryPolicy(kind="exponential", base_delay=0.3, timeout_s=0.1, max_attempts=2), ["0.25 x"], [None])
-    assert late["text"][0] == "ok" and backend.sent == ["0.25 x"]
 
 
 def test_one_limited_call_delays_no_other():
@@ -470,3 +511,103 @@ def test_packs_with_json_mode(spark):
     cleaned = _re.sub(r"\n\n\n", "\n\n", sample.text.strip()).replace("\t", " ")
     # each item's answer object is not a five-field result: written back as compact JSON, key order kept
     assert sample.AI_RESULT == '{"answer":"' + hashlib.md5(cleaned.encode()).hexdigest() + '"}'
+
+
+def dying(at):
+    """A backend that ends its task at a prompt: that is no error of a call."""
+
+    class Dying(Backend):
+        def generate_one(self, prompt, items, attempt=0):
+            if at in prompt:
+                raise KeyboardInterrupt("Killed")
+            return "answer"
+
+    return Dying()
+
+
+def test_a_killed_run_keeps_the_answers_of_its_finished_tasks(spark, tmpdir_path):
+    import pytest
+
+    from weft.plans.job import EnrichJob, run
+
+    df = spark.range(400).select(F.col("id").alias("k"), F.concat(F.lit("row "), F.col("id").cast("string"), F.lit(".")).alias("text")).repartition(1)
+    state, out = os.path.join(tmpdir_path, "state"), os.path.join(tmpdir_path, "out")
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="k", policy=NO_SLEEP, backend=dying("row 399."))
+    with pytest.raises(Exception):
+        run(spark, EnrichJob("", out, spec, state_path=state, commit_rows=20), df=df)
+    kept = INC.load_state(spark, state)
+    kept = {int(r["row_key"]) for r in kept.collect()} if kept is not None else set()
+    assert 0 < len(kept) < 400 and 399 not in kept
+    acc = spark.sparkContext.accumulator(0)
+    again = EnrichSpec(prompt=PROMPT, columns=("text",), key="k", policy=NO_SLEEP, backend=Counting(dying("never"), acc))
+    report = run(spark, EnrichJob("", out, again, state_path=state), df=df)
+    assert acc.value == 400 - len(kept) and report["processed"] == 400 and report["success_rate"] == 100
+    from weft.plans.job import report_frame
+
+    assert report_frame(spark.read.parquet(out)).first().asDict() == {k: v for k, v in report.items() if k != "keep_state"}
+    with pytest.raises(FileExistsError):  # before anything is paid for
+        run(spark, EnrichJob("", out, again, state_path=os.path.join(tmpdir_path, "other")), df=df)
+    assert acc.value == 400 - len(kept)
+
+
+def test_ledger_spares_calls_of_other_runs_and_tables(spark, tmpdir_path):
+    from weft.plans.ledger import Ledger, enrich_with_ledger, unpaid
+    from weft.plans.enrich import with_prompts
+
+    ledger = Ledger(os.path.join(tmpdir_path, "ledger"), buckets=5)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, text string")
+
+    def ask(rows, backend, key="k"):
+        acc = spark.sparkContext.accumulator(0)
+        spec = EnrichSpec(prompt=PROMPT, columns=("text",), key=key, policy=NO_SLEEP, backend=Counting(backend, acc))
+        out = enrich_with_ledger(frame(rows), spec, ledger).collect()
+        return {r["k"]: (r["result"]["status"], r["AI_RESULT"]) for r in out}, acc.value
+
+    rows = [(1, "a"), (2, "a"), (3, "b"), (4, None), (5, " ")] + [(100 + i, f"t{i}") for i in range(30)]
+    first, calls = ask(rows, FingerprintBackend())
+    assert calls == 32 and len(first) == 35 and first[4][0] == "NO_DATA" and first[1] == first[2]
+    down = FingerprintBackend(dead_prefixes="0123456789abcdef")
+    second, calls = ask([(k + 1000, t) for k, t in rows] + [(7, "new")], down)
+    assert calls == 3 and second[7][0] == "ERROR" and all(second[k + 1000] == v for k, v in first.items())  # three attempts
+    third, calls = ask([(7, "new")], FingerprintBackend())
+    assert calls == 1 and third[7][0] == "OK"
+    assert ask([(7, "new")], down)[1] == 0 and ask([], down) == ({}, 0)
+    # the ledger is neither shuffled nor sorted to be looked up
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="k", backend=down)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = unpaid(with_prompts(frame(rows), spec), ledger)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange ") == 1 and "Bucketed: true" in plan and plan.index("Exchange ") < plan.index("FileScan")
+
+
+def test_one_rate_for_all_tasks(spark):
+    rpm = 1200
+    d = spark.range(60).select(F.col("id").alias("k"), F.col("id").cast("string").alias("text"), F.lit("x").alias("more"))
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="k", backend=FingerprintBackend(), policy=RetryPolicy(rpm=rpm))
+    rows = enrich(d, spec).collect()
+    starts = sorted(r["result"]["called_at"].timestamp() for r in rows)
+    assert len(rows) == 60 and all(r["result"]["status"] == "OK" and r["more"] == "x" for r in rows)
+    assert len({r["result"]["task"] for r in rows}) > 1
+    assert starts[-1] - starts[0] >= 58 * 0.05 and max(sum(1 for x in starts if s <= x < s + 1) for s in starts) <= 21
+
+
+def test_rate_audit_slides_over_minutes(spark):
+    import datetime as dt
+
+    from weft.streaming.runlog import rate_audit
+
+    base = dt.datetime(2025, 1, 1)
+    seconds = [0, 0, 30, 59.5, 61, 89.9, 90, 90, 300, 300.000001] + [600 + i * 0.01 for i in range(500)]
+    log = spark.createDataFrame([(base + dt.timedelta(seconds=s),) for s in seconds], "ts timestamp").repartition(6)
+    got = {int((r["minute"] - base).total_seconds()): r for r in rate_audit(log, "ts", rpm=3).collect()}
+    for minute, r in got.items():
+        mine = [s for s in seconds if minute <= s < minute + 60]
+        assert r["n_requests"] == len(mine)
+        assert r["worst_window"] == max(sum(1 for x in seconds if s <= x < s + 60) for s in mine)
+        gaps = [b - a for a, b in zip(seconds, seconds[1:], strict=False) if minute <= b < minute + 60]
+        assert abs((r["min_gap_s"] if r["min_gap_s"] is not None else -1) - min(gaps, default=-1)) < 1e-6
+    assert got[0]["window_over_limit"] and not got[300]["window_over_limit"] and got[300]["too_close"]
+    assert rate_audit(log.where("false"), "ts").count() == 0

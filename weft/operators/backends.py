@@ -22,6 +22,8 @@ class Backend:
     max_concurrency: int = 1
     # whether pack requests must also ship the item texts (a live model reads only the prompt)
     needs_items: bool = False
+    # seconds after which a request should be ended by the backend itself (set by the runner before ``open``)
+    timeout_s: float | None = None
 
     def open(self) -> None:  # once per task
         pass
@@ -98,10 +100,13 @@ class FingerprintBackend(Backend):
 
 
 class CallableBackend(Backend):
-    """Wrap a user function ``prompt -> text`` (e.g. an SDK call); runs with bounded concurrency."""
+    """Wrap a user function ``prompt -> text`` (e.g. an SDK call); runs with bounded concurrency.
 
-    def __init__(self, fn: Callable[[str], str], max_concurrency: int = 10, setup: Callable[[], None] | None = None):
+    With ``pass_timeout`` the function is called as ``fn(prompt, timeout=seconds)``, so that its client ends the request."""
+
+    def __init__(self, fn: Callable[..., str], max_concurrency: int = 10, setup: Callable[[], None] | None = None, pass_timeout: bool = False):
         self.fn = fn
+        self.pass_timeout = pass_timeout
         self.max_concurrency = max_concurrency
         self.setup = setup
 
@@ -110,7 +115,7 @@ class CallableBackend(Backend):
             self.setup()
 
     def generate_one(self, prompt, items, attempt=0):
-        return self.fn(prompt)
+        return self.fn(prompt, timeout=self.timeout_s) if self.pass_timeout else self.fn(prompt)
 
 
 class CountingBackend(Backend):

@@ -13,21 +13,28 @@ downstream operators read the landed copy, so each request is paid for once per
 from __future__ import annotations
 
 import heapq
+import math
 import queue
 import threading
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..session import ship_package, state_path
 from .backends import Backend
 
 RESPONSE_T = "text string, error string, attempts int, latency_ms double, called_at double, task int"
+_ARROW = {"text": pa.string(), "error": pa.string(), "attempts": pa.int32(), "latency_ms": pa.float64(), "called_at": pa.float64(), "task": pa.int32()}
+#: Requests that a paced task holds at a time.
+PACED_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -36,7 +43,10 @@ class RetryPolicy:
 
     ``kind='linear'``: rate-limit errors wait ``rate_limit_delay*(k+1)``, others ``short_delay``.
     ``kind='exponential'``: every error waits ``base_delay * 2**k``.
-    ``rpm``/``tasks``: optional pacing, each task keeps ``60*tasks/rpm`` seconds between the starts of calls.
+    ``rpm``: calls a minute of the whole run, whatever its tasks: they share one row of start slots (``call_paced``).
+    ``timeout_s``: the backend is told it (``Backend.timeout_s``) and should end its request then.  A call that goes on all
+    the same keeps its place and is not sent again; its answer is taken whenever it comes, and after ``give_up_factor``
+    time-outs the request is an error.
     """
 
     max_attempts: int = fixed.MAX_RETRIES
@@ -46,9 +56,9 @@ class RetryPolicy:
     base_delay: float = fixed.RETRY_DELAY_EXP_BASE_S
     sleep: bool = True
     rpm: float | None = None
-    tasks: int = 1
     timeout_s: float | None = None      # per single-row request; a pack request gets pack_timeout_factor times it
     pack_timeout_factor: float = 2.0
+    give_up_factor: float = 10.0
 
     def delay(self, attempt: int, rate_limited: bool) -> float:
         if self.kind == "exponential":
@@ -84,19 +94,43 @@ class _Call(threading.Thread):
         self.started_at, self.began = time.time(), time.monotonic()
         try:
             self.outcome = backend.generate_one(prompt, items, self.attempt)
-        except Exception as e:  # noqa: BLE001 - failures are data here
+        except BaseException as e:  # noqa: BLE001 - failures are data here; what is no Exception ends the task
             self.outcome = e
         self.seconds = time.monotonic() - self.began
         self.ended.put(self)
 
 
-def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list) -> pd.DataFrame:
+@dataclass
+class Slots:
+    """The start slots of one of ``tasks`` tasks that agreed on ``began``: it may start a call in every ``tasks``-th slot from its
+    own on.  A slot lasts ``interval`` seconds and holds one call; when it has passed it is lost, so the run never catches up
+    in a burst: no 60 seconds see more than their slots, and one, begin."""
+
+    began: float
+    interval: float
+    task: int = 0
+    tasks: int = 1
+    at: int = 0
+
+    def _time(self) -> float:
+        return self.began + (self.at * self.tasks + self.task) * self.interval
+
+    def next(self, now: float) -> float:
+        """When this task's next free slot begins: now or earlier if it may be used at once."""
+        if now >= self._time() + self.interval:
+            self.at = max(self.at, math.ceil(((now - self.began) / self.interval - self.task) / self.tasks))
+        return self._time()
+
+    def take(self) -> None:
+        self.at += 1
+
+
+def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list, slots: Slots | None = None) -> pd.DataFrame:
     """Answers to a batch of prompts, up to ``backend.max_concurrency`` at a time.
 
-    Each request has its own clock and its own retries: a request that waits delays no other.  Its time-out runs
-    from the start of its call.  A call that is given up has been sent and is not sent again while it may still
-    answer: an answer that comes before the request's next attempt is taken for it.  With pacing, calls
-    start at least ``60 * tasks / rpm`` seconds apart, also from one batch of a task to the next.
+    Each request has its own clock and its own retries: a request that waits delays no other.  A call is under way until it ends;
+    until then it counts against the width, and its request is not sent again.  An answer is taken whenever it comes, unless
+    the request was given up (``RetryPolicy.give_up_factor``).  With ``slots`` (wall-clock times) a call starts in a slot.
     """
     from pyspark import TaskContext
 
@@ -105,19 +139,17 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
     n = len(prompts)
     rows = [{"text": None, "error": None, "attempts": 0, "latency_ms": 0.0, "called_at": None, "task": None} for _ in range(n)]
     width = max(1, backend.max_concurrency)
-    interval = (60.0 * policy.tasks / policy.rpm) if policy.rpm and policy.sleep else 0.0
     inline = width == 1 and not policy.timeout_s
     waiting = [(0.0, i, 0) for i in range(n) if prompts[i] is not None]  # when ready, request, attempt
     heapq.heapify(waiting)
     live: dict[int, _Call] = {}
-    given_up: dict[int, _Call] = {}
     ended: queue.SimpleQueue = queue.SimpleQueue()
 
     def limit(i: int) -> float:
         return policy.timeout_s * (policy.pack_timeout_factor if items[i] is not None else 1.0) if policy.timeout_s else float("inf")
 
-    def settle(i: int, attempt: int, outcome, retry_after=None) -> None:
-        row = rows[i]
+    def settle(i: int, attempt: int, outcome) -> None:
+        row, retry_after = rows[i], None
         if isinstance(outcome, BaseException):
             row["error"] = f"{type(outcome).__name__}: {outcome}"
             retry_after = getattr(outcome, "retry_after", None)
@@ -131,26 +163,24 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
             heapq.heappush(waiting, (time.monotonic() + (wait if policy.sleep else 0.0), i, attempt + 1))
 
     def finish(call: _Call) -> None:
-        row = rows[call.i]
-        row["latency_ms"] += call.seconds * 1000
+        rows[call.i]["latency_ms"] += call.seconds * 1000
+        if isinstance(call.outcome, BaseException) and not isinstance(call.outcome, Exception):
+            raise call.outcome
         if live.get(call.i) is call:
             del live[call.i]
             settle(call.i, call.attempt, call.outcome)
 
+    def pause(now: float) -> float:
+        """Seconds until another call may start."""
+        wait = waiting[0][0] - now
+        return max(wait, slots.next(time.time()) - time.time()) if slots else wait
+
     while waiting or live:
         now = time.monotonic()
-        while waiting and len(live) < width and waiting[0][0] <= now:
-            start = getattr(backend, "_weft_next_start", 0.0) if interval else 0.0
-            if start > now:
-                break
+        while waiting and len(live) < width and pause(now) <= 0:
             _, i, attempt = heapq.heappop(waiting)
-            late = given_up.pop(i, None)
-            if late is not None and not late.is_alive() and not isinstance(late.outcome, BaseException) and late.outcome:
-                rows[i]["latency_ms"] += late.seconds * 1000
-                settle(i, attempt, late.outcome)
-                continue
-            if interval:
-                backend._weft_next_start = max(now, start) + interval
+            if slots:
+                slots.take()
             call = _Call(backend, i, prompts[i], items[i], attempt, ended)
             rows[i]["attempts"] += 1
             rows[i]["task"] = task
@@ -165,27 +195,37 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
                 call.start()
         if not live:
             if waiting:
-                pause = max(waiting[0][0], getattr(backend, "_weft_next_start", 0.0) if interval else 0.0) - time.monotonic()
-                time.sleep(max(pause, 0.0))
+                time.sleep(max(pause(time.monotonic()), 0.0))
             continue
-        # until a call ends, one is overdue, or another may start
-        until = min([c.began + limit(i) for i, c in live.items()] + [float("inf")])
+        # until a call ends, one is given up, or another may start
+        now = time.monotonic()
+        left = min(c.began + limit(i) * policy.give_up_factor for i, c in live.items()) - now
         if waiting and len(live) < width:
-            until = min(until, max(waiting[0][0], getattr(backend, "_weft_next_start", 0.0) if interval else 0.0))
+            left = min(left, pause(now))
         try:
-            left = until - time.monotonic()
             finish(ended.get(timeout=None if left == float("inf") else max(left, 0.001)))
         except queue.Empty:
             pass
         now = time.monotonic()
-        for i, c in [(i, c) for i, c in live.items() if now - c.began >= limit(i)]:
+        for i, c in [(i, c) for i, c in live.items() if now - c.began >= limit(i) * policy.give_up_factor]:
             del live[i]
-            given_up[i] = c
             rows[i]["latency_ms"] += (now - c.began) * 1000
-            settle(i, c.attempt, TimeoutError(f"Timeout after {limit(i)}s"))
+            rows[i]["error"] = f"TimeoutError: Timeout after {limit(i)}s, given up after {limit(i) * policy.give_up_factor:g}s"
     return pd.DataFrame(rows, columns=["text", "error", "attempts", "latency_ms", "called_at", "task"])
 
 
+def _opened(backend: Backend, policy: RetryPolicy) -> Backend:
+    if not getattr(backend, "_weft_open", False):
+        backend.timeout_s = policy.timeout_s
+        backend.open()
+        backend._weft_open = True
+    return backend
+
+
+def _plain(values: list) -> list:
+    return [None if v is None or (isinstance(v, float) and pd.isna(v)) else v for v in values]
+
+
 def model_udf(backend: Backend, policy: RetryPolicy | None = None):
     """A non-deterministic Arrow UDF ``(prompt, items) -> struct<text, error, attempts, latency_ms, called_at, task>``
     (``called_at``: epoch seconds of the first attempt; ``task``: the Spark partition that made the call)."""
@@ -197,12 +237,8 @@ def model_udf(backend: Backend, policy: RetryPolicy | None = None):
 
     @F.pandas_udf(RESPONSE_T)
     def _call(prompts: pd.Series, items: pd.Series) -> pd.DataFrame:
-        if not getattr(bk, "_weft_open", False):
-            bk.open()
-            bk._weft_open = True
-        ps = [None if p is None or (isinstance(p, float) and pd.isna(p)) else p for p in prompts.tolist()]
-        its = [None if it is None or (isinstance(it, float) and pd.isna(it)) else list(it) for it in items.tolist()]
-        return _run_batch(bk, pol, ps, its)
+        its = [None if it is None else list(it) for it in _plain(items.tolist())]
+        return _run_batch(_opened(bk, pol), pol, _plain(prompts.tolist()), its)
 
     return _call.asNondeterministic()
 
@@ -212,9 +248,41 @@ def call_model(df: DataFrame, backend: Backend, prompt: str | Column = "prompt",
     """Add ``out`` = struct<text, error, attempts, latency_ms, called_at, task>; rows with a NULL prompt are not sent."""
     p = F.col(prompt) if isinstance(prompt, str) else prompt
     it = (F.col(items) if isinstance(items, str) else items) if items is not None else F.lit(None).cast("array<string>")
+    if policy is not None and policy.rpm and policy.sleep:
+        return call_paced(df, backend, p, it, policy, out)
     return df.withColumn(out, model_udf(backend, policy)(p, it))
 
 
+def call_paced(df: DataFrame, backend: Backend, prompt: Column, items: Column, policy: RetryPolicy, out: str = "response") -> DataFrame:
+    """``call_model`` at ``policy.rpm`` calls a minute over all tasks.
+
+    The calls are made in one barrier stage of as many tasks as the cluster runs at a time: they start together, agree on the
+    moment and on how many they are, and deal the start slots among themselves in turn.  No task counts on another's
+    number being right, and none waits for another afterwards.  The stage's rows travel with the requests."""
+    spark = df.sparkSession
+    ship_package(spark)
+    interval = 60.0 / policy.rpm
+    columns = df.columns
+    asked = df.select(*columns, prompt.alias("_p"), items.alias("_i")).repartition(max(1, spark.sparkContext.defaultParallelism))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StructType.fromDDL(RESPONSE_T))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        ctx = BarrierTaskContext.get()
+        began = max(map(float, ctx.allGather(repr(time.time()))))
+        slots = Slots(began, interval, ctx.partitionId(), len(ctx.getTaskInfos()))
+        for batch in batches:
+            for a in range(0, batch.num_rows, PACED_ROWS):
+                part = batch.slice(a, PACED_ROWS)
+                its = part.column("_i").to_pylist()
+                answers = _run_batch(_opened(backend, policy), policy, part.column("_p").to_pylist(), its, slots)
+                struct = pa.StructArray.from_arrays([pa.array(answers[c].astype(object).where(answers[c].notna(), None), t) for c, t in _ARROW.items()], names=list(_ARROW))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], struct], names=[*columns, out])
+
+    return asked.mapInArrow(run, schema, barrier=True)
+
+
 def land(df: DataFrame, name: str = "landed") -> DataFrame:
     """Write once as a Parquet table in the shared checkpoint folder and read it back.
 

@@ -869,9 +869,11 @@ def q_enrich_stream(spark, sf_dir):
     return INC.load_state(spark, state).select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result")
 
 
-@register("rate_audit", """WITH g AS (SELECT ts, date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) / 1000000 AS gap FROM events)
+@register("rate_audit", """WITH g AS (SELECT ts, date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) / 1000000 AS gap,
+  count(*) OVER (ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 59999999 MICROSECONDS FOLLOWING) AS held FROM events)
 SELECT date_trunc('minute', ts) AS minute, count(*) AS n_requests,
   CASE WHEN count(*) > 1 THEN date_diff('microsecond', min(ts), max(ts)) / 1000000 / (count(*) - 1) END AS mean_gap_s,
+  max(held) AS worst_window, max(held) > 1 AS window_over_limit,
   min(gap) AS min_gap_s, count(*) > 1 AS over_limit, coalesce(min(gap) < 60, false) AS too_close FROM g GROUP BY 1""")
 def q_rate_audit(spark, sf_dir):
     return RL.rate_audit(table(spark, sf_dir, "events"), "ts", rpm=1)
@@ -1173,8 +1175,8 @@ _JOB_SQL = f"""SELECT doc_id, CASE WHEN ai = 'came with it' THEN 'OK' WHEN NOT {
 
 
 def _job_out(spark, sf_dir):
-    """A job over a table with results of its own, of which some are errors: it breaks off after two of its four chunks,
-    in which many calls failed, and is run again."""
+    """A job over a table with results of its own, of which some are errors: of the first run only some tasks ended, in
+    which many calls failed, and it is run again."""
     from . import job as JOB
 
     base = checkpoint_dir(spark)
@@ -1182,8 +1184,7 @@ def _job_out(spark, sf_dir):
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=FingerprintBackend(dead_prefixes="ab"))
     first = JOB.EnrichJob(input_path="", output_path=INC.fresh_path(base, "job-out"), spec=spec, state_path=INC.fresh_path(base, "job-state"), run_id="broken")
     todo = JOB.pending_rows(spark, first, docs, first.state_path)
-    for chunk in (0, 1):
-        JOB.run_chunk(spark, first, todo, chunk, first.state_path)
+    JOB.ask_rows(spark, first, todo.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), first.state_path)
     again = JOB.EnrichJob(input_path="", output_path=first.output_path, state_path=first.state_path, run_id="again", spec=EnrichSpec(
         prompt=PROMPT, columns=("text",), key="doc_id", policy=NO_SLEEP, backend=FingerprintBackend(dead_prefixes="a")))
     JOB.run(spark, again, df=docs)
@@ -1298,3 +1299,36 @@ def q_enrich_template(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_CTX_TEMPLATE).alias("tpl"), F.expr(_CTX_REQUIRES).alias("req"))
     spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP, template="tpl", requires_context="req")
     return enrich(d, spec).select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+# answers that were paid for in another run (the ledger of requests) -------------------------------------------
+
+
+@register("enrich_ledger", f"""SELECT doc_id, CASE WHEN {_has_sql('text')} THEN 'OK' ELSE 'NO_DATA' END AS status,
+  CASE WHEN {_has_sql('text')} THEN {_PMD5} ELSE {S.lit(fixed.NO_DATA)} END AS ai_result FROM {_DOCS}""")
+def q_enrich_ledger(spark, sf_dir):
+    """The documents are asked about under one key; then again, with blank rows and under other keys, by a model that is down:
+    every answer is the ledger's."""
+    from .ledger import Ledger, enrich_with_ledger
+
+    ledger = Ledger(INC.fresh_path(checkpoint_dir(spark), "ledger"))
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
+    enrich_with_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), spec, ledger)
+    down = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(dead_prefixes="0123456789abcdef"), policy=NO_SLEEP)
+    out = enrich_with_ledger(with_blanks(spark, sf_dir), down, ledger)
+    return out.select("doc_id", F.col("result.status").alias("status"), F.col(fixed.RESULT_COLUMN).alias("ai_result"))
+
+
+# one rate for all tasks (INF7), seen in the run's own log ------------------------------------------------------
+
+
+@register("enrich_paced", f"""SELECT count(*) AS n_requests, count(DISTINCT {_PMD5}) AS n_answers, true AS within_rate FROM documents""")
+def q_enrich_paced(spark, sf_dir):
+    """The documents asked about at a fixed rate, by all tasks at once; the log of calls is audited for its worst minute."""
+    rpm = 60_000
+    spec = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=RetryPolicy(rpm=rpm))
+    out = enrich(table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
+    log = out.select(F.col("result.called_at").alias("ts"), F.col("result.value").alias("answer"))
+    worst = RL.rate_audit(log, "ts", rpm=rpm).agg(F.max("worst_window").alias("worst"))
+    return log.agg(F.count("ts").alias("n_requests"), F.countDistinct("answer").alias("n_answers")).join(worst).select(
+        "n_requests", "n_answers", (F.col("worst") <= rpm + 1).alias("within_rate"))

@@ -112,9 +112,14 @@ def enrich(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     return _enrich_packed(df, spec)
 
 
+def with_prompts(df: DataFrame, spec: EnrichSpec) -> DataFrame:
+    """``df`` with ``_prompt``, the request of each row by itself; null where there is nothing to send."""
+    return df.withColumn("_prompt", F.when(_has(spec), _single_prompt(spec, df.columns)))
+
+
 def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     cols = df.columns
-    asked = df.withColumn("_prompt", F.when(_has(spec), _single_prompt(spec, cols)))
+    asked = with_prompts(df, spec)
     if spec.call_partitions:
         asked = asked.repartition(spec.call_partitions)
     answered = call_model(asked, spec.backend, "_prompt", policy=spec.policy, out="_resp")
@@ -122,6 +127,11 @@ def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     answered = answered.select(*cols, "_resp", F.col("_prompt").isNotNull().alias("_sent"))
     if spec.land:
         answered = land(answered)
+    return read_answers(answered, spec, cols)
+
+
+def read_answers(answered: DataFrame, spec: EnrichSpec, cols: list[str]) -> DataFrame:
+    """``cols``, ``result`` and the text column from rows with ``_resp`` (an answer struct) and ``_sent``."""
     r = F.col("_resp")
     answered = P.with_parsed_response(answered, r["text"], "_val", spec.use_json, spec.json_fields)
     parsed = F.col("_val")

@@ -1,17 +1,17 @@
 """One enrichment run from a file to a file: the programmatic entry point.
 
-load -> drop rows already answered (state, or the table's own results) -> enrich chunk by chunk, each chunk's
-answers appended to the state before the next begins -> ask error rows again -> write the whole input with the
-merged answers -> report.  A run that breaks off is started again: it asks only for what the state lacks, and
-its output holds every row of the input.  What is an error is told by the status, and by words in the text only
-for results that came with the table.
+load -> drop rows already answered (state, or the table's own results) -> enrich, each task's answers appended to the state
+as the task ends -> ask error rows again -> write the whole input with the merged answers -> report.  A run that
+breaks off is started again: it asks only for what the state lacks, and its output holds every row of the input.
+What is an error is told by the status, and by words in the text only for results that came with the table.
 """
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -34,7 +34,7 @@ class EnrichJob:
     output_format: str = "parquet"
     retry_errors: bool = True
     run_id: str = "run"
-    chunks: int = 4                   # parts of the input (by a hash of the key) whose answers are made durable one by one
+    commit_rows: int = 1000           # rows of a task, about: what a crash can lose of each task under way
 
 
 _RESULTS = (fixed.RESULT_COLUMN, "result")
@@ -52,11 +52,12 @@ def pending_rows(spark: SparkSession, job: EnrichJob, data: DataFrame, path: str
     return resume(data.filter(_own_answer(data).isNull()).drop(*_RESULTS), latest_status(spark, path), job.spec.key)
 
 
-def run_chunk(spark: SparkSession, job: EnrichJob, todo: DataFrame, chunk: int, path: str) -> None:
-    """Ask for one chunk of the pending rows and append its answers to the state."""
+def ask_rows(spark: SparkSession, job: EnrichJob, todo: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Ask for the pending rows, in one job of tasks of about ``commit_rows`` rows; every task that ends has its answers in the state."""
     spec = job.spec
-    mine = todo.filter(F.pmod(F.xxhash64(F.col(spec.key).cast("string")), F.lit(job.chunks)) == chunk)
-    save_state(enrich(_asked(mine, spec), replace(spec, land=False)), spec.key, path, f"{job.run_id}-chunk{chunk}")
+    asked = _asked(todo, spec)
+    tasks = max(1, -(-asked.count() // job.commit_rows))
+    save_state(enrich(asked, replace(spec, land=False, call_partitions=spec.call_partitions or tasks)), spec.key, path, run_id or job.run_id)
 
 
 def retry_rows(spark: SparkSession, job: EnrichJob, source: DataFrame, path: str) -> None:
@@ -89,12 +90,29 @@ def merged(spark: SparkSession, job: EnrichJob, data: DataFrame, path: str) -> D
     return both.select(*columns, result.alias("result"), pick(F.col("_own"), F.col("_ai_result")).alias(fixed.RESULT_COLUMN))
 
 
+def _sums() -> list[Column]:
+    s = F.col("result.status")
+    return [F.count(F.lit(1)).alias("total"), F.count_if(s.isin("OK", "NO_DATA")).alias("processed"), F.count_if(s == "ERROR").alias("errors"), F.count_if(s.isNull()).alias("remaining")]
+
+
 def report_frame(out: DataFrame) -> DataFrame:
     """One row from a merged output: total, processed, errors, remaining, success_rate (percent)."""
-    s = F.col("result.status")
-    sums = out.agg(F.count("*").alias("total"), F.count_if(s.isin("OK", "NO_DATA")).alias("processed"), F.count_if(s == "ERROR").alias("errors"),
-                   F.count_if(s.isNull()).alias("remaining"))
-    return sums.withColumn("success_rate", F.when(F.col("total") > 0, F.col("processed") / F.col("total") * 100).otherwise(F.lit(0.0)))
+    return out.agg(*_sums()).withColumn("success_rate", F.when(F.col("total") > 0, F.col("processed") / F.col("total") * 100).otherwise(F.lit(0.0)))
+
+
+def written(out: DataFrame, write: Callable[[DataFrame], None]) -> dict:
+    """The report of an output, observed while ``write`` writes it: the output is not read again."""
+    seen = Observation()
+    write(out.observe(seen, *_sums()))
+    counts = seen.get
+    return counts | {"success_rate": counts["processed"] / counts["total"] * 100 if counts["total"] else 0.0}
+
+
+def check_free(spark: SparkSession, path: str) -> None:
+    """Fail before anything is paid for when the output is there already."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        raise FileExistsError(f"the output {path} exists")
 
 
 def run(spark: SparkSession, job: EnrichJob, df: DataFrame | None = None) -> dict:
@@ -103,13 +121,12 @@ def run(spark: SparkSession, job: EnrichJob, df: DataFrame | None = None) -> dic
     data = df if df is not None else load(spark, job.input_path)
     require_columns(data, list(spec.columns) + [spec.key])
     check_keys(data, spec.key)
+    check_free(spark, job.output_path)
     path = job.state_path or named_state(spark, f"job-{uuid.uuid4().hex}")
     todo = pending_rows(spark, job, data, path)
-    for chunk in range(job.chunks):
-        run_chunk(spark, job, todo, chunk, path)
+    ask_rows(spark, job, todo, path)
     if job.retry_errors:
         retry_rows(spark, job, data.drop(*_RESULTS), path)
     out = merged(spark, job, data, path)
-    write_result(out, job.output_path, job.output_format)
-    counts = report_frame(spark.read.parquet(job.output_path) if job.output_format == "parquet" else out).first().asDict()
+    counts = written(out, lambda seen: write_result(seen, job.output_path, job.output_format))
     return counts | {"keep_state": not finalize_state(counts)}

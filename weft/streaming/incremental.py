@@ -24,6 +24,8 @@ from ..functions import fixed
 from ..plans.enrich import EnrichSpec, enrich
 
 DONE = ("OK", "NO_DATA")
+#: The committer moves a task's output to its place as the task commits.
+PER_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 STATE_SCHEMA = ("row_key string, status string, value string, error string, raw string, attempts int, ai_result string, "
                 "written_at timestamp, run_id string")
 
@@ -46,8 +48,12 @@ def state_rows(result: DataFrame, key: str, run_id: str | int) -> DataFrame:
 
 
 def save_state(result: DataFrame, key: str, path: str, run_id: str | int) -> None:
-    """Append this run's answers under ``run_id=<id>/``; never rewrite earlier ones."""
-    state_rows(result, key, run_id).write.mode("append").partitionBy("run_id").parquet(path)
+    """Append this run's answers under ``run_id=<id>/``; never rewrite earlier ones.
+
+    A task's files are put in place when the task ends (PER_TASK), not when the whole job does: of a run that is killed after
+    some of its tasks, their answers are in the state, and a resume asks for the others'.  Rows that a broken
+    commit left twice are one row to the readers, which keep the latest by key."""
+    state_rows(result, key, run_id).write.options(**PER_TASK).mode("append").partitionBy("run_id").parquet(path)
 
 
 def _read_state(spark: SparkSession, path: str) -> DataFrame | None:
