@@ -27,8 +27,8 @@ SAMPLE_DOCS, SAMPLE_WORDS = 800, 12_000
 SAMPLE_WORD = r"[^ \t\n\x0B\f\r]{1,39}"
 HIDDEN, EPOCHS, SEED = 16, 6, 10
 MOST_BYTES = 40
-#: Words that a worker keeps; characters of text that it works on at a time.
-KEEP_WORDS, CHUNK_CHARS = 300_000, 4 << 20
+#: Words that a worker keeps, and their bytes; characters of text that it works on at a time.
+KEEP_WORDS, KEEP_BYTES, CHUNK_CHARS = 300_000, 16 << 20, 4 << 20
 
 
 def _sequences(words: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -198,10 +198,10 @@ class _Scorer:
     """A worker's network and the words whose sums it keeps."""
 
     def __init__(self, net: ByteGRU):
-        self.net, self.rows, self.sums = net, {}, np.zeros((0, len(net.labels) + 1), dtype=np.float32)
+        self.net, self.rows, self.sums, self.held = net, {}, np.zeros((0, len(net.labels) + 1), dtype=np.float32), 0
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        if len(self.rows) > KEEP_WORDS:
+        if len(self.rows) > KEEP_WORDS or self.held > KEEP_BYTES:
             self.__init__(self.net)
         rows, ids, ends, known = self.rows, [], [], len(self.rows)
         for t in texts:
@@ -209,6 +209,7 @@ class _Scorer:
             ends.append(len(ids))
         if len(rows) > known:
             new = list(rows)[known:]
+            self.held += sum(map(len, new))
             self.sums = np.concatenate([self.sums, self.net.word_sums(new)])
         offsets = np.concatenate([[0], ends]).astype(np.int64)
         full = np.flatnonzero(np.diff(offsets) > 0)
@@ -250,6 +251,25 @@ def identify(df: DataFrame, net: ByteGRU, text: str = "text", name: str = "") ->
     return df.select(*keep).mapInArrow(run, schema)
 
 
+#: Of the labelled texts that the network was not trained on and whose language it finds, such a share may score below the floor;
+#: the texts that are looked at, about, and the number of texts by which the floor is drawn towards chance.
+DOUBTED, FLOOR_TEXTS, DRAWN = 0.001, 2_000, 100
+
+
+def least_score(labelled: DataFrame, net: ByteGRU) -> float:
+    """A floor for scores: the DOUBTED quantile of the scores of right predictions for ``labelled`` texts (text, lang), drawn
+    towards one over the number of labels when these are few.  It tells texts without a clear language, not those in
+    foreign letters, which the network can be sure of."""
+    chance = 1 / len(net.labels)
+    held = labelled.where(F.col("lang").isNotNull())
+    part = int(min(1.0, FLOOR_TEXTS / max(held.count(), 1)) * (1 << 30))
+    some = held.where(F.pmod(F.xxhash64("text", F.lit("floor")), F.lit(1 << 30)) < part).select("text", "lang").distinct()
+    right = identify(some, net).where(F.col("lang_pred") == F.col("lang"))
+    scores = sorted(r["score"] for r in right.select("score").collect())
+    low = scores[int(DOUBTED * len(scores))] if scores else chance
+    return chance + (low - chance) * len(scores) / (len(scores) + DRAWN) - 1e-6  # scores have six digits
+
+
 def remainder(doc_id: str, n: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
