@@ -32,6 +32,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
     out = ["doc_id", "size", "shard", "depth", *["row"] * carry]
     placed = extendible.build(rows, "h", "size", limit).assign(rows, "h").withColumnRenamed("bucket_depth", "depth")
     placed = placed.withColumn("shard", F.expr("if(depth = 0, '', lpad(bin(bucket_prefix), depth, '0'))"))
+    placed = land(placed, "shard-placed")  # looked up once, and read by the sums, the chains and the result
     # Links of a chain: rows over half the limit stand alone; the others are cut wherever their running sum
     # passes a multiple of half the limit, so that a link holds less than half plus one row.
     half = max(limit // 2, 1)
