@@ -44,6 +44,40 @@ def test_repair_leaves_strings_alone(spark):
     assert got[2:6] == [None] * 4 and json.loads(got[6]) == {"Null": None, "deep": {"x": [False, {"y": 1}]}}
 
 
+def _within(part, whole):
+    """Whether a closed object holds nothing but what the whole one holds, in its place; strings may be shorter."""
+    if isinstance(part, dict):
+        return isinstance(whole, dict) and all(k in whole and _within(v, whole[k]) for k, v in part.items())
+    if isinstance(part, list):
+        return isinstance(whole, list) and len(part) <= len(whole) and all(_within(p, w) for p, w in zip(part, whole))
+    return whole.startswith(part) if isinstance(part, str) else part == whole
+
+
+def test_cut_answers_are_closed_at_every_place(spark):
+    whole = '{"a": {"b": [1, {"t": "x, \\"y\\" {z}\\u00e9\\n"}, true, -2.5e3], "c": null}, "url": "http://a//b", "d": [[], {"e": "end"}]}'
+    df = spark.createDataFrame([(i, whole[:i]) for i in range(1, len(whole) + 1)], "i int, t string")
+    sizes = []
+    for r in df.select("i", PA.close_cut("t").alias("c")).select("i", "c.*").orderBy("i").collect():
+        got = json.loads(r.text)
+        assert _within(got, json.loads(whole)) and r.cut == (r.i < len(whole)), r
+        sizes.append(len(json.dumps(got)))
+    assert sizes == sorted(sizes) and got == json.loads(whole)  # no prefix reads less than a shorter one
+
+
+def test_cut_loose_answers(spark):
+    cases = [("{a: 'it", '{"a":"it"}', True), ("{'a': True, // note\n 'b': [1, 2, {x: 'y", '{"a":true,"b":[1,2,{"x":"y"}]}', True),
+             ('{"a": 1]', None, False), ("no", None, False), ("", None, False), (None, None, False), ('{"a": "b\\', '{"a": "b"}', True),
+             ('so: {"a": "b } c', '{"a": "b } c"}', True), ('{"a": 12', "{}", True), ('{"a": [1, 2', '{"a": [1]}', True), ('{"k": "v"} and {"z": ', '{"k": "v"}', False)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    got = PA.with_json_object(df, "t", "o", "cut").orderBy("i").collect()
+    assert [(r.o, r.cut) for r in got] == [c[1:] for c in cases]
+    read = PA.with_parsed_response(df, "t", "p", use_json=True, accept_cut=True).orderBy("i").select("p.method").collect()
+    assert [r.method for r in read][:3] == ["json_cut", "json_cut", "text_fallback"] and read[8].method == "text_fallback"
+    long = '{"a": "' + "x y, " * 50_000
+    r = one_col(spark, [long]).select(PA.close_cut("t").alias("c")).first().c
+    assert r.cut and r.text == long + '"}'
+
+
 def _answers(spark, text, n):
     df = PA.with_pack_answers(one_col(spark, [text]), "t", n, out="p")
     row = df.select("p.method", *[PA.answer_for(F.col("p.answers"), F.lit(i)).alias(f"a{i}") for i in range(1, n + 1)]).first()

@@ -109,3 +109,30 @@ def test_templates_registry():
 def test_templates_frame(spark):
     rows = {r.name: r.prompt for r in PR.templates_frame(spark).collect()}
     assert rows == fixed.TEMPLATES
+
+
+def test_summary_by_document_frequency(spark):
+    import re
+
+    from weft.operators.tasks import summarize_by_frequency
+
+    texts = ["Alpha beta. Gamma beta delta! Nothing here at all? Gamma.", "gamma gamma gamma. beta", "1 2 3. 4 5.", "", None, "one sentence only", "Alpha beta. Alpha beta. Alpha beta.",
+             " . a. Delta", "É été été. ete beta"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.k: r.summary for r in summarize_by_frequency(spark.createDataFrame(rows, "k int, t string"), "k", "t", k=2).collect()}
+
+    def sentences(t):
+        return [s for s in re.sub(r"([.!?])[ \t\n\r]+", "\\1\x01", t).split("\x01") if s]
+
+    def terms(s):
+        return {w for w in re.findall(r"[^\W\d_]+", s.lower()) if len(w) >= 4}
+
+    seen = [set().union(*map(terms, sentences(t))) if t else set() for t in texts]
+    for i, t in rows:
+        if t is None:
+            assert got[i] is None
+            continue
+        sents = sentences(t)
+        order = sorted(range(len(sents)), key=lambda n: (-sum(sum(w in d for d in seen) for w in terms(sents[n])), n))
+        assert got[i] == " ".join(sents[n] for n in sorted(order[:2])), (i, t)
+    assert len(got) == len(texts)

@@ -30,6 +30,11 @@ def _ns(*pairs) -> Column:
     return F.named_struct(*args)
 
 
+def _once_of(value: Column, fn) -> Column:
+    """``fn(value)`` with the value bound to a variable, so that it is evaluated once."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def _empty_answers() -> Column:
     return F.expr(f"cast(array() as {ANSWER_T})")
 
@@ -283,6 +288,65 @@ def repair_json(text: str | Column) -> Column:
     return F.when(whole, F.to_json(read["o"]))
 
 
+#: Tokens of a JSON text that may stop anywhere: comments, strings (the last may be open), white space, punctuation, bare words.
+_CUT = r"""//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|"(?s:[^"\\]|\\.)*+(?:"|\\?\z)|'(?s:[^'\\]|\\.)*+(?:'|\\?\z)|\s++|[{}\[\],:]|[^\s{}\[\],:"'/]++|/"""
+_OPEN_STRING = r"""(?s)^(["'](?:[^\\]|\\u[0-9a-fA-F]{4}|\\u(?![0-9a-fA-F]{0,3}\z)|\\[^u])*+).*$"""
+
+
+def close_cut(text: str | Column) -> Column:
+    """struct<text, cut>: a JSON text that a token limit cut off, closed; ``cut`` tells whether it had to be.
+
+    A fold over the tokens keeps the stack of brackets that are open and the last place at which the text could end
+    soundly.  A string value that was being written is closed and kept; a name without its value, and a number or
+    word that the cut may have shortened, go.  What follows a closed object stays as it is.  Text whose brackets
+    don't match, or without a bracket at its start, is given back unchanged.
+    """
+    t = _col(text)
+    acc0 = _ns(("n", F.lit(0)), ("open", F.lit("")), ("want", F.lit("value")), ("safe", F.lit(0)), ("close", F.lit("")),
+               ("tail", F.lit("")), ("end", F.lit("")))
+
+    def step(a: Column, k: Column) -> Column:
+        first, n = F.substring(k, 1, 1), a["n"] + F.length(k)
+        name, value = a["want"] == "name", a["want"] == "value"
+        top = F.substring(a["open"], 1, 1)
+
+        def state(**new: Column) -> Column:
+            return _ns(*[(f, new.get(f, a[f])) for f in ("n", "open", "want", "safe", "close", "tail", "end")])
+
+        def sound(at: Column, stack: Column, want, tail: Column | None = None) -> Column:
+            return state(n=n, open=stack, want=F.lit(want) if isinstance(want, str) else want, safe=at, close=stack, tail=F.lit("") if tail is None else tail)
+
+        blank = first.rlike(r"\s") | k.startswith("//") | k.startswith("/*")
+        whole = k.rlike(r"""(?s)^"(?:[^"\\]|\\.)*+"$|^'(?:[^'\\]|\\.)*+'$""")
+        bad = state(end=F.lit("bad"))
+        closed = F.substr(a["open"], F.lit(2))
+        return (
+            F.when(a["end"] != "", a)
+            # a bare word is known to be whole once something follows it
+            .when(blank, F.when(a["want"] == "more", sound(a["n"], a["open"], "done")).otherwise(state(n=n)))
+            .when(first.isin("{", "["), F.when(~value, bad).otherwise(_once_of(F.concat(F.when(first == "{", F.lit("}")).otherwise(F.lit("]")), a["open"]), lambda st: sound(
+                n, st, F.when(first == "{", F.lit("name")).otherwise(F.lit("value"))))))
+            .when(first.isin("}", "]"), F.when(top != first, bad).when(closed == "", state(end=F.lit("whole"))).otherwise(sound(n, closed, "done")))
+            .when(first == ",", F.when(top == "", bad).when(a["want"].isin("more", "done"), sound(
+                a["n"], a["open"], F.when(top == "}", F.lit("name")).otherwise(F.lit("value")))).otherwise(state(n=n)))
+            .when(first == ":", F.when(a["want"] == "colon", state(n=n, want=F.lit("value"))).otherwise(bad))
+            .when(top == "", bad)
+            .when(name, state(n=n, want=F.lit("colon")))
+            .when(~value, bad)
+            .when(~first.isin('"', "'"), F.when(k.isin("true", "false", "null"), sound(n, a["open"], "done")).otherwise(state(n=n, want=F.lit("more"))))
+            .when(whole, sound(n, a["open"], "done"))
+            .otherwise(sound(a["n"], a["open"], "done", F.concat(F.regexp_replace(k, _OPEN_STRING, "$1"), first)))
+        )
+
+    done = F.aggregate(F.regexp_extract_all(t, F.lit(_CUT), F.lit(0)), acc0, step)
+
+    def result(a: Column) -> Column:
+        cut = (a["end"] == "") & (a["close"] != "")
+        return _ns(("text", F.when(cut, F.concat(F.substr(t, F.lit(1), a["safe"]), a["tail"], a["close"])).otherwise(t)), ("cut", F.coalesce(cut, F.lit(False))))
+
+    return _once_of(done, result)
+
+
 def schema_applies(obj_json: str | Column, fields=tuple(fixed.RESULT_FIELDS)) -> Column:
     """Any of the result keys present and none of the other schema's keys."""
     keys = F.map_keys(F.from_json(_col(obj_json), "map<string,string>"))
@@ -373,9 +437,17 @@ def response_text(body: str | Column, provider: str = "gemini") -> Column:
 # PAR10 / PAR13 / PAR15  one JSON or text answer, staged
 # ---------------------------------------------------------------------------
 
-def with_json_object(df, text: str | Column, out: str = "_obj"):
-    """Add ``out``: the JSON object text found in ``text`` (as it is if valid, else mended), or NULL."""
+def with_json_object(df, text: str | Column, out: str = "_obj", cut: str | None = None):
+    """Add ``out``: the JSON object text found in ``text`` (as it is if valid, else mended), or NULL.
+
+    With ``cut`` an object that the token limit cut off is closed first (``close_cut``), and that column tells so.
+    """
     df = df.withColumn("_js_span", extract_json(text))
+    if cut:
+        # the fold is for the texts that need it: what is valid as it stands was not cut; braces in an open string end no span
+        df = df.withColumn("_js_closed", F.when(~_json_valid(F.col("_js_span")), close_cut(F.substr(_col(text), F.instr(_col(text), "{")))))
+        df = df.withColumn(cut, F.coalesce(F.col("_js_closed.cut"), F.lit(False)))
+        df = df.withColumn("_js_span", F.when(F.col(cut), F.col("_js_closed.text")).otherwise(F.col("_js_span"))).drop("_js_closed")
     df = df.withColumn(out, F.when(_json_valid(F.col("_js_span")), F.col("_js_span")).otherwise(repair_json("_js_span")))
     return df.drop("_js_span")
 
@@ -406,24 +478,26 @@ def parse_text(text: str | Column) -> Column:
     return _ns(("value", F.when(empty, F.lit(fixed.NO_RESPONSE)).otherwise(py_strip(_col(text)))), ("method", F.when(empty, F.lit("empty")).otherwise(F.lit("text"))))
 
 
-def with_parsed_response(df, text: str | Column, out: str = "_parsed", use_json: bool = False, fields=tuple(fixed.RESULT_FIELDS)):
+def with_parsed_response(df, text: str | Column, out: str = "_parsed", use_json: bool = False, fields=tuple(fixed.RESULT_FIELDS), accept_cut: bool = False):
     """Add ``out`` = struct<value, method>.
 
     In JSON mode the object's text, else the meaningful text.  Methods ``empty`` and ``failed`` are no answers:
-    their value says why, with the whole answer that couldn't be read.
+    their value says why, with the whole answer that couldn't be read.  With ``accept_cut`` an object that the token
+    limit cut off is closed and read; its method is ``json_cut``.
     """
     if not use_json:
         return df.withColumn(out, parse_text(text))
     df = df.withColumn("_pr_raw", _col(text))
-    df = with_json_object(df, "_pr_raw", "_pr_obj")
+    df = with_json_object(df, "_pr_raw", "_pr_obj", "_pr_cut" if accept_cut else None)
+    read = F.when(F.col("_pr_cut"), F.lit("json_cut")).otherwise(F.lit("json")) if accept_cut else F.lit("json")
     df = df.withColumn("_pr_usable", F.col("_pr_obj").isNotNull() & (F.to_json(F.try_parse_json("_pr_obj")) != F.lit("{}")))
     df = with_json_text(df, "_pr_obj", "_pr_jt", fields=fields)
     df = df.withColumn("_pr_mt", meaningful_text(F.col("_pr_raw")))
     raw, mt = F.col("_pr_raw"), F.col("_pr_mt")
     res = (
         F.when(F.coalesce(raw, F.lit("")) == "", _ns(("value", F.lit(fixed.NO_RESPONSE)), ("method", F.lit("empty"))))
-        .when(F.col("_pr_usable"), _ns(("value", F.col("_pr_jt")), ("method", F.lit("json"))))
+        .when(F.col("_pr_usable"), _ns(("value", F.col("_pr_jt")), ("method", read)))
         .when(mt.isNotNull(), _ns(("value", mt), ("method", F.lit("text_fallback"))))
         .otherwise(_ns(("value", F.concat(F.lit(fixed.JSON_PARSE_FAILED_PREFIX), raw)), ("method", F.lit("failed"))))
     )
-    return df.withColumn(out, res).drop("_pr_raw", "_pr_obj", "_pr_usable", "_pr_jt", "_pr_mt")
+    return df.withColumn(out, res).drop("_pr_raw", "_pr_obj", "_pr_cut", "_pr_usable", "_pr_jt", "_pr_mt")

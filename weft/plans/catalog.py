@@ -572,6 +572,27 @@ def q_repair_json(spark, sf_dir):
     return _derived(spark, sf_dir, D.REPAIR_TEXT).select("doc_id", PA.repair_json("r").alias("repaired"))
 
 
+_CLOSED = [
+    f"""'{{"k": "' || lang || '", "h": "' || {D.H} || '"}}'""",
+    f"""'{{"k": {{"h": "a }} b ' || {D.H} || '"}}}}'""",
+    """'{"k": [{"h": [' || CAST(doc_id AS STRING) || ']}]}'""",
+    """'{"k": "' || lang || '"}'""",
+    """'{"k": "' || lang || '"}'""",
+    """'{"k":"' || lang || '","n":null}'""",
+    """'{"k":"' || lang || '","l":[1,2]}'""",
+    """'{"k": "' || lang || '"}'""",
+    "NULL",
+]
+
+
+_CLOSED_DEEP = f"""repeat('{{"k":[', CAST(1 + doc_id % 20 AS INTEGER)) || '"' || {D.H} || '"' || repeat(']}}', CAST(1 + doc_id % 20 AS INTEGER))"""
+
+
+@register("repair_cut", f"SELECT doc_id, {_by_case(10, _CLOSED, _CLOSED_DEEP)} AS repaired, doc_id % 10 NOT IN (7, 8) AS cut FROM documents")
+def q_repair_cut(spark, sf_dir):
+    return PA.with_json_object(_derived(spark, sf_dir, D.CUT_TEXT), "r", "repaired", "cut").select("doc_id", "repaired", "cut")
+
+
 _REQ = "; ".join(f"'{f}' is a required property" for f in fixed.RESULT_FIELDS)
 
 
@@ -964,6 +985,19 @@ def q_task_summarize(spark, sf_dir):
     return d.select("doc_id", TK.summarize_extractive("text", k=2).alias("summary"))
 
 
+@register("task_summarize_frequency", rf"""WITH s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM
+  (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l
+   FROM documents)),
+w AS (SELECT doc_id, pos, unnest(list_distinct(list_filter(regexp_extract_all(lower(s), '\p{{L}}+'), lambda w: length(w) >= 4))) AS term FROM s),
+dq AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term),
+sc AS (SELECT doc_id, pos, sum(df) AS score FROM w JOIN dq USING (term) GROUP BY doc_id, pos),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(score, 0) DESC, s.pos) AS rk FROM s LEFT JOIN sc ON s.doc_id = sc.doc_id AND s.pos = sc.pos)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(s, ' ' ORDER BY pos), '') END AS summary
+FROM documents d LEFT JOIN (SELECT * FROM r WHERE rk <= 2) r ON d.doc_id = r.doc_id GROUP BY d.doc_id, d.text""")
+def q_task_summarize_frequency(spark, sf_dir):
+    return TK.summarize_by_frequency(table(spark, sf_dir, "documents"), "doc_id", "text", k=2)
+
+
 @register("task_json_classify", f"""SELECT doc_id, {_classify_sql()} || '|' || source || '|null|' || lang || '|null' AS ai_result FROM documents""")
 def q_task_json_classify(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

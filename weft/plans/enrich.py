@@ -44,6 +44,7 @@ class EnrichSpec:
     bucket_width: int = 64
     use_json: bool = False
     json_fields: tuple[str, ...] = tuple(fixed.RESULT_FIELDS)
+    accept_cut: bool = False            # read JSON answers that the token limit cut off (method 'json_cut'), rather than leave them unread
     template: str | None = None         # a tuned model's prompt: a column with the template, or the template itself
     requires_context: str | bool = True  # whether the template applies: a boolean column, or a constant
     multi_style: str = "sync"           # multi-column single-row prompt: 'sync' (definitions, cleaned) or 'async'
@@ -133,7 +134,7 @@ def _enrich_single(df: DataFrame, spec: EnrichSpec) -> DataFrame:
 def read_answers(answered: DataFrame, spec: EnrichSpec, cols: list[str]) -> DataFrame:
     """``cols``, ``result`` and the text column from rows with ``_resp`` (an answer struct) and ``_sent``."""
     r = F.col("_resp")
-    answered = P.with_parsed_response(answered, r["text"], "_val", spec.use_json, spec.json_fields)
+    answered = P.with_parsed_response(answered, r["text"], "_val", spec.use_json, spec.json_fields, spec.accept_cut)
     parsed = F.col("_val")
     failed = r["error"].isNotNull()
     status = F.when(~F.col("_sent"), F.lit("NO_DATA")).when(failed | _unread(parsed), F.lit("ERROR")).otherwise(F.lit("OK"))
@@ -224,7 +225,7 @@ def _enrich_packed(df: DataFrame, spec: EnrichSpec) -> DataFrame:
             F.lit("_answer"), P.answer_for(F.col("_parsed.answers"), x["item_id"]))))
     )
     if spec.use_json:
-        exploded = P.with_parsed_response(exploded, "_answer", "_val", True, spec.json_fields)
+        exploded = P.with_parsed_response(exploded, "_answer", "_val", True, spec.json_fields, spec.accept_cut)
     ans = F.col("_answer")
     value = F.col("_val.value") if spec.use_json else ans
     failed = r["error"].isNotNull()
