@@ -136,3 +136,30 @@ def test_summary_by_document_frequency(spark):
         order = sorted(range(len(sents)), key=lambda n: (-sum(sum(w in d for d in seen) for w in terms(sents[n])), n))
         assert got[i] == " ".join(sents[n] for n in sorted(order[:2])), (i, t)
     assert len(got) == len(texts)
+
+
+def test_phrases_of_a_large_dictionary(spark):
+    import re
+    from collections import Counter
+
+    from weft.operators.phrases import classify_by_phrases, sentiment_by_phrases
+
+    names = ["".join(chr(97 + (i // 26 ** p) % 26) for p in range(4)) for i in range(100_000)]
+    known = [(f"{n} {n}x" if i % 2 else n, f"c{i % 7}", i % 5 - 2) for i, n in enumerate(names)]
+    small = [("New  York", "city", 2), ("york", "name", -3), ("york", "name", -3), ("the new york", "phrase", 1), ("new", "city", 1), ("", "none", 9), ("12", "none", 9), ("same", "b", 1), ("same", "a", 1)]
+    texts = ["The New York. new york york", "york", "same", "12 nothing", "", None, " ".join(f"{n} {n}x" for n in names[:3000]), "york " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    table = spark.createDataFrame(known + small, "phrase string, category string, weight int")
+    rows = {(" ".join(re.findall(r"[a-z]+", p.lower())), c, w) for p, c, w in known + small}
+    found = {r.k: (r.category, r.hits) for r in classify_by_phrases(df, "k", "t", table).collect()}
+    feel = {r.k: (r.score, r.sentiment) for r in sentiment_by_phrases(df, "k", "t", table).collect()}
+    for k, t in enumerate(texts):
+        w = re.findall(r"[a-z]+", (t or "").lower())
+        runs = Counter(" ".join(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+        hits, score = Counter(), 0
+        for p, c in {(p, c) for p, c, _ in rows if p}:
+            hits[c] += runs[p]
+        score = sum(runs[p] * x for p, x in {(p, x) for p, _, x in rows if p})
+        best = min(((-n, c) for c, n in hits.items() if n), default=(0, "other"))
+        assert found[k] == (best[1], -best[0]) and feel[k] == (score, "positive" if score > 0 else "negative" if score < 0 else "neutral"), (k, t)
+    assert [r.category for r in classify_by_phrases(df, "k", "t", table.limit(0)).collect()] == ["other"] * len(texts)

@@ -928,6 +928,7 @@ def q_backoff(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # tasks (TSK): template + backend, and native baselines
 # ---------------------------------------------------------------------------
+from ..operators import phrases as PH  # noqa: E402
 from ..operators import tasks as TK  # noqa: E402
 from ..sources import readers as RD  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
@@ -998,6 +999,36 @@ def q_task_summarize_frequency(spark, sf_dir):
     return TK.summarize_by_frequency(table(spark, sf_dir, "documents"), "doc_id", "text", k=2)
 
 
+# a dictionary that grows with the tables: every run of two and of four words of the benchmark's items
+_RUNS = "flatten([list_transform(range(1, CAST(len(w) AS BIGINT) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')) for n in [2, 4]])"
+_PHRASES_SQL = f"""b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+ph AS (SELECT DISTINCT unnest({_RUNS}) AS run, 'g' || (item_id % 5) AS category, item_id % 3 - 1 AS weight FROM b),
+d AS (SELECT doc_id, unnest({_RUNS}) AS run FROM (SELECT doc_id, {_WORDS_SQL} AS w FROM documents)),
+tf AS (SELECT doc_id, run, count(*) AS tf FROM d GROUP BY ALL)"""
+
+
+def _benchmark_phrases(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    runs = F.explode(PH.word_runs(TK.words("text"), [2, 4])).alias("phrase")
+    return b.select(runs, F.concat(F.lit("g"), (F.col("item_id") % 5).cast("string")).alias("category"), (F.col("item_id") % 3 - 1).alias("weight"))
+
+
+@register("task_classify_phrases", f"""WITH {_PHRASES_SQL},
+h AS (SELECT doc_id, category, CAST(sum(tf) AS BIGINT) AS hits FROM tf JOIN (SELECT DISTINCT run, category FROM ph) USING (run) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, category) AS rk FROM h)
+SELECT d.doc_id, coalesce(category, 'other') AS category, coalesce(hits, 0) AS hits FROM documents d LEFT JOIN (SELECT * FROM r WHERE rk = 1) r ON d.doc_id = r.doc_id""")
+def q_task_classify_phrases(spark, sf_dir):
+    return PH.classify_by_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", _benchmark_phrases(spark, sf_dir))
+
+
+@register("task_sentiment_phrases", f"""WITH {_PHRASES_SQL},
+h AS (SELECT doc_id, CAST(sum(tf * weight) AS BIGINT) AS score FROM tf JOIN (SELECT DISTINCT run, weight FROM ph) USING (run) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(score, 0) AS score, CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative' ELSE 'neutral' END AS sentiment
+FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id""")
+def q_task_sentiment_phrases(spark, sf_dir):
+    return PH.sentiment_by_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", _benchmark_phrases(spark, sf_dir))
+
+
 @register("task_json_classify", f"""SELECT doc_id, {_classify_sql()} || '|' || source || '|null|' || lang || '|null' AS ai_result FROM documents""")
 def q_task_json_classify(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
