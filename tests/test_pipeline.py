@@ -611,3 +611,90 @@ def test_rate_audit_slides_over_minutes(spark):
         assert abs((r["min_gap_s"] if r["min_gap_s"] is not None else -1) - min(gaps, default=-1)) < 1e-6
     assert got[0]["window_over_limit"] and not got[300]["window_over_limit"] and got[300]["too_close"]
     assert rate_audit(log.where("false"), "ts").count() == 0
+
+
+# compacted state ------------------------------------------------------------------------------------------
+
+
+def _state_rows(spark, rows):
+    """State rows (key, answer, second of writing, run) as ``save_state`` lays them out."""
+    from datetime import datetime, timedelta, timezone
+
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    full = [(k, "OK", v, None, None, 1, v, at + timedelta(seconds=s), run) for k, v, s, run in rows]
+    return spark.createDataFrame(full, INC.STATE_SCHEMA)
+
+
+def _append(spark, path, rows):
+    _state_rows(spark, rows).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def _brute(rows):
+    best = {}
+    for k, v, s, run in rows:
+        if k not in best or (s, run) > best[k][1:]:
+            best[k] = (v, s, run)
+    return {k: (v, run) for k, (v, s, run) in best.items()}
+
+
+def test_compacted_state_equals_the_whole_log(spark, tmpdir_path):
+    import random
+
+    dice, path, rows = random.Random(5), f"{tmpdir_path}/state", []
+    for turn in range(6):
+        # run names that need escaping; keys that repeat, keys below the first slice, and write times that go back
+        run = f"run {turn}/é:{turn}"
+        new = [(f"{dice.choice(['k', 'a', 'zß'])}{k}", f"v{turn}-{k}", dice.randrange(1000), run) for k in dice.sample(range(300), 120)]
+        new = list({k: (k, *rest) for k, *rest in new}.values())
+        rows += new
+        _append(spark, path, new)
+        if turn % 2:
+            INC.compact_state(spark, path, slice_rows=40)
+        got = {r["row_key"]: (r["value"], r["run_id"]) for r in INC.load_state(spark, path).collect()}
+        assert got == _brute(rows)
+        status = INC.latest_status(spark, path)
+        assert status.columns == ["row_key", "status"] and status.count() == len(got)
+
+
+def test_compaction_writes_only_slices_with_new_rows(spark, tmpdir_path):
+    from weft.streaming import generations as G
+
+    names = lambda files: {f.rsplit("/", 1)[1] for f in files}
+    path = f"{tmpdir_path}/state"
+    _append(spark, path, [(f"{i:05d}", f"v{i}", 0, "1") for i in range(1000)])
+    first = INC.compact_state(spark, path, slice_rows=100)
+    assert len(first.slices) >= 8 and sum(s[2] for s in first.slices) == 1000
+    lows = [s[1] for s in first.slices]
+    assert lows == sorted(lows) and INC.compact_state(spark, path) == first  # nothing new: no generation
+    # all covered: the slices are read as they lie, and the log is not read at all
+    seen = INC.load_state(spark, path)
+    assert "Exchange" not in seen._jdf.queryExecution().executedPlan().toString()
+    assert names(seen.inputFiles()) == names(s[0] for s in first.slices)
+    # a few keys in one slice: the others' files stay, and readers of the old snapshot are not disturbed
+    _append(spark, path, [("00005", "new", 9, "2"), ("00007", "old", -9, "2")])
+    reader = INC.load_state(spark, path)
+    second = INC.compact_state(spark, path, slice_rows=100)
+    assert len(set(first.slices) - set(second.slices)) == 1
+    for state in (reader, INC.load_state(spark, path)):
+        got = {r["row_key"]: r["value"] for r in state.collect()}
+        assert len(got) == 1000 and got["00005"] == "new" and got["00007"] == "v7"
+    # more slices than allowed: all keys are dealt anew
+    _append(spark, path, [("x", "x", 1, "3")])
+    third = G.compact(INC._read_state(spark, path), path, slice_rows=1, max_slices=4)
+    assert not set(third.slices) & set(second.slices) and len(third.slices) <= 6
+    assert INC.load_state(spark, path).count() == 1001
+
+
+def test_compaction_that_breaks_off_changes_nothing(spark, tmpdir_path):
+    path = f"{tmpdir_path}/state"
+    assert INC.compact_state(spark, path) is None  # no state yet
+    _append(spark, path, [("a", "1", 0, "1")])
+    first = INC.compact_state(spark, path)
+    _append(spark, path, [("a", "2", 1, "2")])
+    # a generation whose manifest was never written: its files are there, and nobody reads them
+    _state_rows(spark, [("a", "half", 5, "9"), ("b", "half", 5, "9")]).write.parquet(f"{path}-generations/data/generation=2-half/slice=0")
+    got = INC.load_state(spark, path).collect()
+    assert [(r["row_key"], r["value"]) for r in got] == [("a", "2")]
+    second = INC.compact_state(spark, path)
+    assert second.number == first.number + 1
+    assert [(r["row_key"], r["value"], r["run_id"]) for r in INC.load_state(spark, path).collect()] == [("a", "2", "2")]

@@ -873,6 +873,27 @@ def q_resume_run(spark, sf_dir):
     return state.select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result", "run_id")
 
 
+@register("resume_compacted", f"""SELECT doc_id, 'OK' AS status, {_PMD5} AS ai_result,
+  CASE WHEN {_PMD5} LIKE 'a%' THEN '2' ELSE '1' END AS run_id, true AS later_slices_kept FROM documents""")
+def q_resume_compacted(spark, sf_dir):
+    """The state is compacted between runs and once more in the end, and then read without its log; the second run's answers touch
+    slices all over, a third run's one row touches one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = INC.fresh_path(checkpoint_dir(spark), "compacted-state")
+    flaky = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(dead_prefixes="a"), policy=NO_SLEEP)
+    healthy = EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(), policy=NO_SLEEP)
+    INC.run_incremental(docs, flaky, path, run_id=1)
+    INC.compact_state(spark, path, slice_rows=100)
+    INC.run_incremental(docs, healthy, path, run_id=2)
+    second = INC.compact_state(spark, path, slice_rows=100)
+    extra = docs.agg(F.lit(-1).cast("long").alias("doc_id"), F.max("text").alias("text"))
+    INC.run_incremental(extra, healthy, path, run_id=3)
+    third = INC.compact_state(spark, path, slice_rows=100)
+    kept = set(second.slices[1:]) <= set(third.slices)
+    state = INC.load_state(spark, path).where(F.col("row_key") != "-1")
+    return state.select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result", "run_id", F.lit(kept).alias("later_slices_kept"))
+
+
 @register("enrich_stream", f"SELECT doc_id, 'OK' AS status, {_PMD5} AS ai_result FROM documents")
 def q_enrich_stream(spark, sf_dir):
     base = checkpoint_dir(spark)

@@ -3,7 +3,7 @@
 State is an append-only Parquet table of ``(row_key, status, value, error, raw, attempts,
 ai_result, written_at, run_id)`` rows under the shared checkpoint folder.  Reading it keeps the
 latest row per key (``max_by`` aggregate: partial aggregation, so a key written many
-times cannot make a hot task).  A resume is a ``left_anti`` join of the current
+times cannot make a hot task); ``compact_state`` spares readers the history.  A resume is a ``left_anti`` join of the current
 input with the keys already answered: new input rows are kept (the original
 tool would have lost them by reloading its checkpoint file instead of the input).
 What is done is told by keys, never by a run's name: a run that broke off half-way
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..plans.enrich import EnrichSpec, enrich
+from . import generations
 
 DONE = ("OK", "NO_DATA")
 #: The committer moves a task's output to its place as the task commits.
@@ -70,9 +71,7 @@ def load_state(spark: SparkSession, path: str) -> DataFrame | None:
     raw = _read_state(spark, path)
     if raw is None:
         return None
-    rest = [c for c in raw.columns if c != "row_key"]
-    latest = raw.groupBy("row_key").agg(F.max_by(F.struct(*rest), F.struct("written_at", "run_id")).alias("s"))
-    return latest.select("row_key", "s.*")
+    return generations.latest(raw, path)
 
 
 def latest_status(spark: SparkSession, path: str) -> DataFrame | None:
@@ -80,7 +79,13 @@ def latest_status(spark: SparkSession, path: str) -> DataFrame | None:
     raw = _read_state(spark, path)
     if raw is None:
         return None
-    return raw.groupBy("row_key").agg(F.max_by("status", F.struct("written_at", "run_id")).alias("status"))
+    return generations.latest(raw, path, ("row_key", "status"))
+
+
+def compact_state(spark: SparkSession, path: str, slice_rows: int = 1_000_000) -> generations.Snapshot | None:
+    """Fold what was written since the last time into a new generation, so that reading the state need not go through its history."""
+    raw = _read_state(spark, path)
+    return None if raw is None else generations.compact(raw, path, slice_rows)
 
 
 def resume(df: DataFrame, state: DataFrame | None, key: str) -> DataFrame:
