@@ -1,4 +1,5 @@
 """Packing invariants, paid-call accounting, plan shape, retries, resume and streaming."""
+import hashlib
 import os
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from weft.functions import fixed
 from weft.operators import packing as PK
-from weft.operators.backends import Backend, FingerprintBackend
+from weft.operators.backends import Backend, CallableBackend, FingerprintBackend
 from weft.operators.backends import CountingBackend as Counting
 from weft.operators.inference import RetryPolicy
 from weft.plans.catalog import PROMPT, table
@@ -698,3 +699,56 @@ def test_compaction_that_breaks_off_changes_nothing(spark, tmpdir_path):
     second = INC.compact_state(spark, path)
     assert second.number == first.number + 1
     assert [(r["row_key"], r["value"], r["run_id"]) for r in INC.load_state(spark, path).collect()] == [("a", "2", "2")]
+
+
+# failed rows under timers ---------------------------------------------------------------------------------
+
+
+def test_failed_rows_wait_under_timers_and_are_asked_in_later_batches(spark, tmpdir_path):
+    """The waits are kept, a row never gets more calls than allowed, and template columns and blanks reach the second call."""
+    import time
+
+    from weft.streaming.retries import retry_stream, stop_when_settled
+
+    calls = f"{tmpdir_path}/calls"
+    os.makedirs(calls)
+
+    def flaky(prompt):
+        with open(f"{calls}/{hashlib.md5(prompt.encode()).hexdigest()}", "a") as f:
+            f.write(f"{time.time()}\n")
+            seen = f.tell()
+        if "never" in prompt or ("later" in prompt and seen < 40):
+            raise RuntimeError("service unavailable")
+        return prompt.upper()
+
+    src, state = f"{tmpdir_path}/in", f"{tmpdir_path}/state"
+    texts = ["fine", "later \"quoted\"\n{x}", "later b", "never", None, ""]
+    docs = spark.createDataFrame([(i, t, f"T{i} {{input_text}}", True) for i, t in enumerate(texts)], "id int, text string, tpl string, needs boolean")
+    docs.write.parquet(src)
+    spec = EnrichSpec(prompt="p:", columns=("text",), key="id", backend=CallableBackend(flaky), template="tpl", requires_context="needs",
+                      policy=RetryPolicy(max_attempts=1, kind="exponential", base_delay=3.0))
+    INC.enrich_stream(spark, src, docs.schema, spec, state, f"{tmpdir_path}/c1", keep_asked=True).awaitTermination()
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    again = retry_stream(spark, state, spec, f"{tmpdir_path}/c2", max_attempts=3, settings=("tpl", "needs"), trigger="3 seconds")
+    assert stop_when_settled(again, spark, state, 3, timeout_s=120)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+    got = {r["row_key"]: (r["status"], r["attempts"], r["ai_result"]) for r in INC.load_state(spark, state).collect()}
+    assert len(got) == 6 and got["0"][:2] == ("OK", 1) and got["4"][0] == got["5"][0] == "NO_DATA"
+    assert got["3"][:2] == ("ERROR", 3) and got["3"][2].startswith(fixed.RETRY_FAILED_PREFIX) and got["3"][2].count(fixed.RETRY_FAILED_PREFIX) == 1
+    assert got["1"][:2] == got["2"][:2] == ("OK", 3) and "T1 LATER \"QUOTED\"" in got["1"][2]
+    times = [[float(t) for t in open(f"{calls}/{f}").read().split()] for f in os.listdir(calls)]
+    assert sorted(len(t) for t in times) == [1, 3, 3, 3]
+    for t in times:
+        assert len(t) == 1 or (t[1] - t[0] >= 2 and t[2] - t[1] >= 5)  # written_at is the batch's start: a little before the call
+
+
+def test_retry_stream_asks_only_for_what_a_broken_batch_had_not_written(spark, tmpdir_path):
+    state = f"{tmpdir_path}/state"
+    from weft.streaming.retries import ask_due
+
+    due = spark.createDataFrame([("a", '{"text":"x"}', "old", 1), ("b", '{"text":"y"}', "old", 1)], "row_key string, asked string, old string, attempts int")
+    spec = EnrichSpec(prompt="p:", columns=("text",), key="id", backend=FingerprintBackend())
+    INC.save_state(ask_due(due.where("row_key = 'a'"), spec), "row_key", state, "retry-n-0", F.lit(None).cast("string"))
+    left = due.join(INC.read_run(spark, state, "retry-n-0").select("row_key"), "row_key", "left_anti")
+    assert [r["row_key"] for r in left.collect()] == ["b"] and INC.read_run(spark, state, "retry-n-1") is None
+    assert [(r["attempts"], r["status"]) for r in INC.load_state(spark, state).collect()] == [(2, "OK")]

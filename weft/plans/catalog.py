@@ -911,6 +911,26 @@ def q_enrich_stream(spark, sf_dir):
     return INC.load_state(spark, state).select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result")
 
 
+@register("stream_retry", f"""SELECT doc_id, CASE WHEN {_PMD5} LIKE 'aa%' THEN 'ERROR' ELSE 'OK' END AS status,
+  CASE WHEN {_PMD5} LIKE 'aa%' THEN {S.lit(fixed.RETRY_FAILED_PREFIX + fixed.ERROR_AFTER_RETRIES.format(n=1))} ELSE {_PMD5} END AS ai_result,
+  CASE WHEN {_PMD5} LIKE 'aa%' THEN 3 WHEN {_PMD5} LIKE 'a%' THEN 2 ELSE 1 END AS attempts FROM documents""")
+def q_stream_retry(spark, sf_dir):
+    """A stream whose model fails for some documents; a second stream asks those again when their wait is over, of a model that
+    still fails for a few."""
+    from ..streaming.retries import retry_stream, stop_when_settled
+
+    base = checkpoint_dir(spark)
+    src, state = INC.fresh_path(base, "retry-input"), INC.fresh_path(base, "retry-state")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.write.parquet(src)
+    once = RetryPolicy(max_attempts=1, kind="exponential", base_delay=0.5)
+    ask = lambda dead: EnrichSpec(prompt=PROMPT, columns=("text",), key="doc_id", backend=FingerprintBackend(dead_prefixes=dead), policy=once)
+    INC.enrich_stream(spark, src, docs.schema, ask(["a"]), state, INC.fresh_path(base, "retry-ckpt1"), keep_asked=True).awaitTermination()
+    again = retry_stream(spark, state, ask(["aa"]), INC.fresh_path(base, "retry-ckpt2"), max_attempts=3, trigger="4 seconds")
+    stop_when_settled(again, spark, state, 3)
+    return INC.load_state(spark, state).select(F.col("row_key").cast("long").alias("doc_id"), "status", "ai_result", "attempts")
+
+
 @register("rate_audit", """WITH g AS (SELECT ts, date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) / 1000000 AS gap,
   count(*) OVER (ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 59999999 MICROSECONDS FOLLOWING) AS held FROM events)
 SELECT date_trunc('minute', ts) AS minute, count(*) AS n_requests,

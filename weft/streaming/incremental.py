@@ -17,7 +17,7 @@ import uuid
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -39,22 +39,23 @@ def check_keys(df: DataFrame, key: str) -> None:
                          "(with_row_key adds a stable key)")
 
 
-def state_rows(result: DataFrame, key: str, run_id: str | int) -> DataFrame:
-    """The state columns of an enriched frame (the key is kept as text)."""
+def state_rows(result: DataFrame, key: str, run_id: str | int, asked: Column | None = None) -> DataFrame:
+    """The state columns of an enriched frame (the key is kept as text), and ``asked`` where it is given."""
     return result.select(
+        *([] if asked is None else [asked.alias("asked")]),
         F.col(key).cast("string").alias("row_key"), F.col("result.status").alias("status"), F.col("result.value").alias("value"),
         F.col("result.error").alias("error"), F.col("result.raw").alias("raw"), F.col("result.attempts").alias("attempts"),
         F.col(fixed.RESULT_COLUMN).alias("ai_result"), F.lit(str(run_id)).alias("run_id"), F.current_timestamp().alias("written_at"),
     )
 
 
-def save_state(result: DataFrame, key: str, path: str, run_id: str | int) -> None:
-    """Append this run's answers under ``run_id=<id>/``; never rewrite earlier ones.
+def save_state(result: DataFrame, key: str, path: str, run_id: str | int, asked: Column | None = None) -> None:
+    """Append this run's answers under ``run_id=<id>/``; never rewrite earlier ones.  ``asked`` tells ``retries.retry_stream`` what to ask again.
 
     A task's files are put in place when the task ends (PER_TASK), not when the whole job does: of a run that is killed after
     some of its tasks, their answers are in the state, and a resume asks for the others'.  Rows that a broken
     commit left twice are one row to the readers, which keep the latest by key."""
-    state_rows(result, key, run_id).write.options(**PER_TASK).mode("append").partitionBy("run_id").parquet(path)
+    state_rows(result, key, run_id, asked).write.options(**PER_TASK).mode("append").partitionBy("run_id").parquet(path)
 
 
 def _read_state(spark: SparkSession, path: str) -> DataFrame | None:
@@ -66,6 +67,11 @@ def _read_state(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """What one run has written, from its own folder; None where it has none."""
+    return _read_state(spark, f"{path.rstrip('/')}/run_id={run_id}")
+
+
 def load_state(spark: SparkSession, path: str) -> DataFrame | None:
     """Latest row per key (by write time), or None when no state exists yet."""
     raw = _read_state(spark, path)
@@ -96,12 +102,23 @@ def resume(df: DataFrame, state: DataFrame | None, key: str) -> DataFrame:
     return df.join(done, F.col(key).cast("string") == F.col("_done"), how="left_anti")
 
 
+def asked_settings(spec: EnrichSpec) -> list[str]:
+    """The names that the spec has for a template and whether it applies: columns, or a template itself."""
+    return [c for c in (spec.template, spec.requires_context) if isinstance(c, str)]
+
+
 def _asked(df: DataFrame, spec: EnrichSpec) -> DataFrame:
     """Only the key and what is sent: other columns stay out of shuffles and state."""
-    more = [c for c in (spec.template, spec.requires_context) if isinstance(c, str) and c in df.columns]
+    more = [c for c in asked_settings(spec) if c in df.columns]
     return df.select(*dict.fromkeys([spec.key, *spec.columns, *more]))
 
 
+def _asked_text(sent: DataFrame, spec: EnrichSpec) -> Column:
+    """What a failed row was asked about, as a JSON object of texts; null for other rows."""
+    names = [c for c in sent.columns if c in (*spec.columns, *asked_settings(spec))]
+    return F.when(F.col("result.status") == "ERROR", F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in names])))
+
+
 def finalize_state(stats: dict) -> bool:
     """Whether the state has served its purpose: nothing failed and nothing is left.  It is never removed here."""
     return stats.get("errors", 0) + stats.get("remaining", 0) == 0
@@ -119,7 +136,8 @@ def run_incremental(df: DataFrame, spec: EnrichSpec, state_path: str, run_id: st
 
 
 def enrich_stream(spark: SparkSession, source_path: str, schema, spec: EnrichSpec, state_path: str, checkpoint: str,
-                  max_files_per_trigger: int | None = None, available_now: bool = True, skip_answered_keys: bool = False):
+                  max_files_per_trigger: int | None = None, available_now: bool = True, skip_answered_keys: bool = False,
+                  keep_asked: bool = False):
     """Structured Streaming run: new files under ``source_path`` are enriched micro-batch by micro-batch.
 
     The streaming checkpoint records which files were done, so each file is read
@@ -128,7 +146,8 @@ def enrich_stream(spark: SparkSession, source_path: str, schema, spec: EnrichSpe
     its rows are found by the stream's and the batch's number, so streams that share a state
     don't take each other's batches for their own. With ``skip_answered_keys`` each
     micro-batch also drops keys answered by other runs (a join with the whole state: only
-    for inputs that re-deliver rows). A batch with null or repeated keys fails.
+    for inputs that re-deliver rows). A batch with null or repeated keys fails. With ``keep_asked``
+    failed rows are written with what they were asked about, for ``retries.retry_stream``.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -146,7 +165,8 @@ def enrich_stream(spark: SparkSession, source_path: str, schema, spec: EnrichSpe
         else:
             raw = _read_state(batch.sparkSession, state_path)
             todo = resume(batch, raw.filter(F.col("run_id") == run) if raw is not None else None, spec.key)
-        save_state(enrich(_asked(todo, spec), once), spec.key, state_path, run)
+        sent = _asked(todo, spec)
+        save_state(enrich(sent, once), spec.key, state_path, run, _asked_text(sent, spec) if keep_asked else None)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
