@@ -1,13 +1,15 @@
 """Near duplicates, pieces, personal data, language and quality: against plain versions, and at the edges."""
 import hashlib
+import math
 import random
+import string
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import KINDS, SMALL, base_spans, docs, groups, jaccard_links, neighbours
+from tests.llm.helpers import KINDS, SMALL, base_spans, docs, groups, jaccard_links, neighbours, words
 from weft.llm import language, near_dups, personal, pieces, quality
 from weft.llm.components import components
 
@@ -254,3 +256,94 @@ def test_quality_counts():
     n, letters, upper, digits, symbols, pipes, bangs, stops, lines, short, repeats, again = quality.counts(["Ab ab ab! 12 x|y\n$$. É"])[0]
     assert (n, letters, upper, digits, symbols, pipes, bangs, stops, lines, short, repeats) == (7, 9, 1, 2, 2, 1, 1, 1, 1, 7, 0)
     assert quality.counts(["a a a b", None, ""])[:, [0, 10]].tolist() == [[4, 2], [0, 0], [0, 0]]
+
+
+def _plain_counts(text):
+    """The counts of a text, said again by patterns and loops."""
+    t = text or ""
+    w = words(t)
+    ascii_letters = string.ascii_letters
+    letters = sum(c in ascii_letters or ord(c) > 127 for c in t)  # a letter beyond ASCII is told by its first byte
+    symbols = sum(ord(c) < 128 and not c.isalnum() and c not in ".,;:'\"()-?! \n\t\r\x0b\x0c|" for c in t)
+    again = max(len(w) - len(set(w)) - len(w) * math.log10(max(len(w), 1)) / 8, 0)
+    return [len(w), letters, sum(c in string.ascii_uppercase for c in t), sum(c in string.digits for c in t), symbols, t.count("|"), t.count("!"),
+            t.count(".") + t.count(","), t.count("\n"), sum(len(x.encode()) <= 3 for x in w), sum(a == b for a, b in zip(w, w[1:])), again]
+
+
+def test_quality_matches_a_plain_version(spark):
+    """The whole query: counts by loops, covariances and densities by their formulas, the calibration by bisection of its slopes."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r["quality"] is not None}
+    ids = [r["doc_id"] for r in rows]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    c = np.array([_plain_counts(r["text"]) for r in rows])
+    learnt = np.array([i in labels and not held(i) for i in ids])
+    usual = c[learnt, 1:].sum(axis=0) / c[learnt, 0].sum()
+    damped = (c[:, 1:] + 30 * usual) / (c[:, :1] + 30)
+    x = np.column_stack([np.sqrt(damped[:, 1:]), np.log(damped[:, 0] + 0.1)])
+    y = np.array([labels.get(i, -1) for i in ids])
+    parts = [x[learnt & (y == k)] for k in (0, 1)]
+    covs = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(len(p) * v for p, v in zip(parts, covs)) / sum(map(len, parts))
+    logs = []
+    for p, v in zip(parts, covs):
+        v = 0.95 * (0.7 * v + 0.3 * pooled) + 0.05 * np.diag(np.diag(pooled) + 1e-4)
+        off = x - p.mean(axis=0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", off, np.linalg.inv(v), off) + np.linalg.slogdet(v)[1]))
+    margin = np.arcsinh((logs[1] - logs[0]) / 2)
+    m, t = margin[learnt], y[learnt]
+    # the penalised fit: at its end both slopes are nought
+    a, b = 1.0, 0.0
+    for _ in range(200_000):
+        r = 1 / (1 + np.exp(-(a * m + b))) - t
+        da, db = (r * m).sum() + 0.01 * (a - 1), r.sum() + 0.01 * b
+        if max(abs(da), abs(db)) < 1e-7:
+            break
+        a, b = a - 2e-3 * da, b - 2e-3 * db
+    expect = dict(zip(ids, 1 / (1 + np.exp(-(a * margin + b)))))
+    got = quality.op8_quality(spark, SMALL).collect()
+    assert len(got) == len(ids) and 10 < learnt.sum() < len(ids)
+    for g in got:
+        assert g["score"] == pytest.approx(expect[g["doc_id"]], abs=2e-3)
+        assert g["held_out"] == held(g["doc_id"]) and g["predicted"] == int(g["score"] >= 0.7)
+
+
+def _plain_gru(net, data, d):
+    """States of one direction at every position, one byte after the other, in double precision."""
+    x, u = net.params["x" + d].astype(float), net.params["u" + d].astype(float)
+    size, h, out = u.shape[0], np.zeros(u.shape[0]), {}
+    s = lambda v: 1 / (1 + np.exp(-v))
+    for t in range(len(data)) if d == "f" else reversed(range(len(data))):
+        a, g = x[data[t]], h @ u
+        z, r = s(a[:size] + g[:size]), s(a[size : 2 * size] + g[size : 2 * size])
+        h = (1 - z) * np.tanh(a[2 * size :] + r * g[2 * size :]) + z * h
+        out[t] = h
+    return out
+
+
+def test_language_matches_a_plain_version(spark):
+    """The whole query: each document by itself, word by word and byte by byte, without what batches share or keep."""
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    net = language.train(language.training_sample(df.where(language.remainder("doc_id", 3) != 1)))
+    got = {r["doc_id"]: r for r in language.op10_language(spark, SMALL).collect()}
+    rows = df.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    checked = 0
+    for r in sorted(rows, key=lambda r: len(r["text"] or ""))[:60]:
+        text, g = r["text"] or "", got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in text):
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+            continue
+        probs = []
+        for w in text.encode().split():
+            w = b" " + w
+            for piece in (w[i : i + 40] for i in range(0, len(w), 40)):
+                f, b = _plain_gru(net, piece, "f"), _plain_gru(net, piece, "b")
+                for t in range(len(piece)):
+                    e = np.exp(np.concatenate([f[t], b[t]]) @ net.params["v"] + net.params["b"])
+                    probs.append(e / e.sum())
+        mean = np.mean(probs, axis=0)
+        assert g["score"] == pytest.approx(mean.max(), abs=1e-4) and mean[net.labels.index(g["lang_pred"])] == pytest.approx(mean.max(), abs=1e-4)
+        checked += 1
+    assert checked > 40

@@ -40,6 +40,21 @@ def test_rules(spark):
     assert np.mean(decided) > 0.9
 
 
+def test_trees_on_urls_they_have_not_seen(spark):
+    """A third of the distinct URLs, by a hash, is neither in the trees' rows nor in the suffix and folder statistics."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    held = F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(3)) == 0
+    ids = {r["page_id"] for r in pages.where(held).collect()}
+    every = urls.judge(pages, learn_from=~held).collect()
+    unseen = [r for r in every if r["rule"] and r["page_id"] in ids]
+    blocked = np.mean([r["verdict"] == "block" for r in unseen])
+    right = np.mean([(r["score"] >= 0.5) == (r["verdict"] == "block") for r in unseen])
+    print("unseen", len(unseen), "blocked", blocked, "right", right)
+    assert len(unseen) > 100 and right > 0.9 and right > max(blocked, 1 - blocked) + 0.05
+    # nothing to learn from: scores are those of a table without rules
+    assert {r["score"] for r in urls.judge(pages, learn_from=F.lit(None).cast("boolean")).collect()} == {0.0}
+
+
 def test_undecidable_tables(spark):
     frame = lambda *u: spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
     assert urls.judge(frame()).count() == 0

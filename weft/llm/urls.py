@@ -174,9 +174,12 @@ def training_sample(labelled: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).drop("rows", "priority")
 
 
-def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, learn_from: Column | None = None) -> DataFrame:
     """One row per row of ``df``: page_id (the key), host, path, rule, verdict, score.
 
+    Of the rows that a rule decides, those for which ``learn_from`` is true (all by default) are learnt from; the others' scores
+    tell how well the trees do on URLs that they have not seen.
+
     The URLs that a rule decides are the labelled ones.  For the others the trees give the probability of "block",
     ``score``, and the verdict is "block" from 0.5 on.  The suffix and folder statistics (share of blocked URLs, and
     number of labelled URLs, by the last label of the host and by the first folder of the path) are taken over
@@ -185,12 +188,13 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence
     """
     ship_package(df.sparkSession)
     host, path = host_and_path(F.col(url))
-    rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
+    rows = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"),
+                     F.coalesce(F.lit(True) if learn_from is None else learn_from, F.lit(False)).alias("learnt"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     keys = {"suffix": suffix(F.col("host")), "folder": first_folder(F.col("path"))}
     rows = land(rows.withColumns({"rule": rule, "decided": verdict, **keys}), "url-rows")
     label = (F.col("decided") == "block").cast("int")
-    labelled = rows.where("decided is not null").withColumn("label", label)
+    labelled = rows.where("decided is not null and learnt").withColumn("label", label)
     whole = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     n, blocked = whole["n"], whole["blocked"] or 0
     share = blocked / n if n else 0.0
