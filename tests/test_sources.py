@@ -77,6 +77,29 @@ def test_workbooks_with_columns_in_another_order(spark, tmpdir_path):
     assert sorted((r.ID, r.MESSAGE, r.NOTE) for r in got.collect()) == [("1", "one", None), ("2", "two", "n")]
 
 
+def test_workbooks_keep_repeated_headers_and_take_the_first_sheet(spark, tmpdir_path):
+    assert RD.distinct_names(["a", "a", None, "a.1", "a", None]) == ["a", "a.1", "col2", "a.1.1", "a.2", "col5"]
+    folder = os.path.join(tmpdir_path, "books")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.xlsx"), make_xlsx([["ID", "NOTE", "NOTE"], [1, "first", "second"]]))
+    # the workbook shows its tenth part first; by name the second would come before it
+    book = io.BytesIO(make_xlsx([["ID"], [7]]))
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = f'<worksheet xmlns="{ns}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>ID</t></is></c></row><row r="2"><c r="A2"><v>{{}}</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(book, "a") as z:
+        z.writestr("xl/worksheets/sheet2.xml", cell.format(2))
+        z.writestr("xl/worksheets/sheet10.xml", cell.format(10))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="Chart" r:id="x"/><sheet name="Z" r:id="t"/><sheet name="A" r:id="o"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="x" Target="chartsheets/sheet1.xml"/><Relationship Id="o" Target="worksheets/sheet2.xml"/><Relationship Id="t" Target="/xl/worksheets/sheet10.xml"/></Relationships>')
+    write(os.path.join(folder, "b.xlsx"), book.getvalue())
+    got = RD.read_workbooks(spark, folder)
+    assert got.columns == ["path", "row_idx", "ID", "NOTE", "NOTE.1"]
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [("1", "first", "second"), ("10", None, None)]
+    os.makedirs(os.path.join(tmpdir_path, "none"))
+    assert RD.read_workbooks(spark, os.path.join(tmpdir_path, "none")).columns == ["path", "row_idx"]
+
+
 def test_csv_names_with_blanks_kinds_and_empty_files(spark, tmpdir_path):
     folder = os.path.join(tmpdir_path, "dữ liệu + 100%")
     os.makedirs(folder)
@@ -169,3 +192,7 @@ def test_detect_text_column_on_csv(spark, tmpdir_path):
     # with the sampled schema ID is numeric; a date-looking column stays text, as in a pandas read -> DATE
     assert detect_text_column(df, RD.sample_schema(spark, p, ratio=1.0)) == "DATE"
     assert RD.load(spark, p).filter("NOTE IS NULL").count() == 0
+    # a quoted field over two lines, whose second line alone would make NOTE a number
+    q = os.path.join(tmpdir_path, "q.csv")
+    write(q, b'ID,NOTE\n1,"a\n2,3"\n4,5\n')
+    assert [f.dataType.simpleString() for f in RD.sample_schema(spark, q)] == ["int", "string"]

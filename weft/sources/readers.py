@@ -22,6 +22,7 @@ from ..functions import fixed
 from ..functions.parsing import response_text
 from ..functions.prompts import validate_prompt
 from ..functions.text import py_strip
+from ..operators.inference import land
 
 DEFAULT_NA_VALUES = fixed.PANDAS_MISSING
 
@@ -98,8 +99,11 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], na_values: Sequenc
 
 
 def sample_schema(spark: SparkSession, paths: str | Sequence[str], ratio: float = 1.0) -> T.StructType:
-    """Column types inferred from all rows, or a share of them (for text-column detection on all-string CSV input)."""
-    return (spark.read.options(header=True, multiLine=True, quote='"', escape='"', inferSchema=True, samplingRatio=ratio)
+    """Column types inferred from all rows, or a share of them (for text-column detection on all-string CSV input).
+
+    Files are split among tasks unless a quoted field of some file spans lines."""
+    spans = _file_facts(spark, paths).agg(F.max("spans")).first()[0]
+    return (spark.read.options(header=True, multiLine=bool(spans), quote='"', escape='"', inferSchema=True, samplingRatio=ratio)
             .csv(_paths(paths)).schema)
 
 
@@ -182,6 +186,7 @@ def load(spark: SparkSession, path: str, **kw) -> DataFrame:
 # workbooks: one task per file, decoded with the standard library (zip + XML)
 # ---------------------------------------------------------------------------
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def _col_index(ref: str) -> int:
@@ -194,6 +199,32 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+def _first_sheet(z: zipfile.ZipFile) -> str | None:
+    """The part that holds the first worksheet in the workbook's own order; by the parts' numbers where it tells none."""
+    parts = sorted((n for n in z.namelist() if n.startswith("xl/worksheets/sheet") and n.endswith(".xml")), key=lambda n: (len(n), n))
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(z.namelist()):
+        targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ET.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS):
+            target = targets.get(sheet.get(_REL_ID), "")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part in parts:
+                return part
+    return parts[0] if parts else None
+
+
+def distinct_names(header: list[str | None]) -> list[str]:
+    """Column names of a header row: ``col<i>`` where it is blank, and ``.1``, ``.2`` ... behind a name that came before."""
+    out: list[str] = []
+    for i, name in enumerate(header):
+        name = own = name if name is not None else f"col{i}"
+        n = 0
+        while own in out:
+            n += 1
+            own = f"{name}.{n}"
+        out.append(own)
+    return out
+
+
 def decode_first_sheet(data: bytes) -> list[list[str | None]]:
     """Rows of the first worksheet as text (shared strings, inline strings, numbers, booleans)."""
     z = zipfile.ZipFile(io.BytesIO(data))
@@ -202,10 +233,10 @@ def decode_first_sheet(data: bytes) -> list[list[str | None]]:
         root = ET.fromstring(z.read("xl/sharedStrings.xml"))
         for si in root.findall("m:si", _NS):
             shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    sheets = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet") and n.endswith(".xml"))
-    if not sheets:
+    sheet = _first_sheet(z)
+    if sheet is None:
         return []
-    root = ET.fromstring(z.read(sheets[0]))
+    root = ET.fromstring(z.read(sheet))
     rows = []
     for row in root.iter(f"{{{_NS['m']}}}row"):
         cells: dict[int, str | None] = {}
@@ -228,7 +259,9 @@ def decode_first_sheet(data: bytes) -> list[list[str | None]]:
 
 
 def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder of .xlsx workbooks -> one DataFrame (header from each file's first row, all columns text)."""
+    """A folder of .xlsx workbooks -> one DataFrame (header from each file's first row, all columns text).
+
+    The files are decoded once, into the shared folder; repeated names of a header are told apart (``distinct_names``)."""
     from ..session import ship_package
 
     ship_package(spark)  # the decoder runs in executor Python workers
@@ -241,13 +274,14 @@ def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
                 rows = decode_first_sheet(bytes(content))
                 if not rows:
                     continue
-                header = [h if h is not None else f"col{i}" for i, h in enumerate(rows[0])]
+                header = distinct_names(rows[0])
                 for r_i, r in enumerate(rows[1:], 1):
                     vals = (r + [None] * len(header))[: len(header)]
                     out.append((path, r_i, header, vals))
             yield pd.DataFrame(out, columns=["path", "row_idx", "header", "cells"])
 
     long = files.select("path", "content").mapInPandas(decode, "path string, row_idx long, header array<string>, cells array<string>")
+    long = land(long, "workbooks")
     # a file's cells are named by its own header; the frame has the columns of all files
     seen = long.select("header").distinct().select(F.posexplode("header").alias("at", "name"))
     names = [r["name"] for r in seen.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
