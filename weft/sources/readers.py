@@ -156,7 +156,9 @@ def validate_file_path(spark: SparkSession, path: str | None) -> tuple[bool, str
     try:
         # resolving the path lists it on its file system (local, HDFS, object store); no content is read
         spark.read.format("binaryFile").load(path).schema
-    except Exception:  # noqa: BLE001 - path not found
+    except AnalysisException as e:  # any other trouble than a missing path is the caller's to see
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False, fixed.PATH_MISSING.format(path=path)
     if os.path.splitext(path.rstrip("/"))[1].lower() not in fixed.SUPPORTED_SUFFIXES:
         return False, fixed.PATH_UNSUPPORTED.format(formats=", ".join(fixed.SUPPORTED_SUFFIXES))
