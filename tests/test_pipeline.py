@@ -752,3 +752,31 @@ def test_retry_stream_asks_only_for_what_a_broken_batch_had_not_written(spark, t
     left = due.join(INC.read_run(spark, state, "retry-n-0").select("row_key"), "row_key", "left_anti")
     assert [r["row_key"] for r in left.collect()] == ["b"] and INC.read_run(spark, state, "retry-n-1") is None
     assert [(r["attempts"], r["status"]) for r in INC.load_state(spark, state).collect()] == [(2, "OK")]
+
+
+# what a Python worker holds of the requests ----------------------------------------------------------------
+
+
+def test_worker_holds_a_bounded_number_of_bytes_of_requests(spark):
+    """Long texts: the batches are bounded in bytes, for rows and for packs alike, and a smaller limit of the session stays."""
+    from weft.operators.inference import BATCH_BYTES, _Values, bound_batches, call_model
+
+    def held(prompt):
+        import pyarrow as pa
+
+        return str(pa.total_allocated_bytes())
+
+    docs = spark.range(0, 600, 1, 1).select(F.concat(F.col("id").cast("string"), F.lit(" x" * 50_000)).alias("prompt"))  # 60 MB
+    for items in (None, F.array("prompt")):
+        out = call_model(docs, CallableBackend(held, max_concurrency=1), "prompt", items, RetryPolicy(), "r")
+        assert max(int(r[0]) for r in out.select("r.text").collect()) < 4 * BATCH_BYTES
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1m")
+    bound_batches(spark)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.set(name, before)
+    import pyarrow as pa
+
+    lazy = _Values(pa.array([["a", "b"], None]))
+    assert len(lazy) == 2 and lazy[0] == ["a", "b"] and lazy[1] is None

@@ -1,8 +1,9 @@
 """Applying a model backend to a DataFrame.
 
-The backend runs inside an Arrow-batched ``pandas_udf`` that only receives
+The backend runs inside an Arrow UDF that only receives
 the prompt (and, for packs, the item texts): every other column stays in
-the JVM, so single-row enrichment needs no join and no shuffle.  Retries run
+the JVM, so single-row enrichment needs no join and no shuffle.  Its batches are
+bounded in bytes, and a request becomes Python text only for its call.  Retries run
 inside the task (the backend is not re-called by Spark task retry for
 successful rows of a landed result); NULL prompts are never sent.
 
@@ -18,7 +19,7 @@ import queue
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -35,6 +36,9 @@ RESPONSE_T = "text string, error string, attempts int, latency_ms double, called
 _ARROW = {"text": pa.string(), "error": pa.string(), "attempts": pa.int32(), "latency_ms": pa.float64(), "called_at": pa.float64(), "task": pa.int32()}
 #: Requests that a paced task holds at a time.
 PACED_ROWS = 256
+#: Bytes of requests that Spark hands to a Python worker at a time, whatever their number.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @dataclass(frozen=True)
@@ -125,7 +129,24 @@ class Slots:
         self.at += 1
 
 
-def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list, slots: Slots | None = None) -> pd.DataFrame:
+class _Values(Sequence):
+    """An Arrow array as a sequence whose values become Python objects one at a time, each when it is asked for."""
+
+    def __init__(self, array: pa.Array):
+        self.array = array
+
+    def __len__(self) -> int:
+        return len(self.array)
+
+    def __getitem__(self, i: int):
+        return self.array[i].as_py()
+
+
+def _nulls(values: Sequence) -> list[bool]:
+    return values.array.is_null().to_pylist() if isinstance(values, _Values) else [v is None for v in values]
+
+
+def _run_batch(backend: Backend, policy: RetryPolicy, prompts: Sequence, items: Sequence, slots: Slots | None = None) -> pd.DataFrame:
     """Answers to a batch of prompts, up to ``backend.max_concurrency`` at a time.
 
     Each request has its own clock and its own retries: a request that waits delays no other.  A call is under way until it ends;
@@ -140,13 +161,14 @@ def _run_batch(backend: Backend, policy: RetryPolicy, prompts: list, items: list
     rows = [{"text": None, "error": None, "attempts": 0, "latency_ms": 0.0, "called_at": None, "task": None} for _ in range(n)]
     width = max(1, backend.max_concurrency)
     inline = width == 1 and not policy.timeout_s
-    waiting = [(0.0, i, 0) for i in range(n) if prompts[i] is not None]  # when ready, request, attempt
+    waiting = [(0.0, i, 0) for i, null in enumerate(_nulls(prompts)) if not null]  # when ready, request, attempt
+    single = _nulls(items)
     heapq.heapify(waiting)
     live: dict[int, _Call] = {}
     ended: queue.SimpleQueue = queue.SimpleQueue()
 
     def limit(i: int) -> float:
-        return policy.timeout_s * (policy.pack_timeout_factor if items[i] is not None else 1.0) if policy.timeout_s else float("inf")
+        return policy.timeout_s * (1.0 if single[i] else policy.pack_timeout_factor) if policy.timeout_s else float("inf")
 
     def settle(i: int, attempt: int, outcome) -> None:
         row, retry_after = rows[i], None
@@ -222,8 +244,15 @@ def _opened(backend: Backend, policy: RetryPolicy) -> Backend:
     return backend
 
 
-def _plain(values: list) -> list:
-    return [None if v is None or (isinstance(v, float) and pd.isna(v)) else v for v in values]
+def _answers(answers: pd.DataFrame) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(answers[c].astype(object).where(answers[c].notna(), None), t) for c, t in _ARROW.items()], names=list(_ARROW))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches have BATCH_BYTES at most; a smaller limit of its own stays."""
+    own = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if own <= 0 or own > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def model_udf(backend: Backend, policy: RetryPolicy | None = None):
@@ -235,10 +264,9 @@ def model_udf(backend: Backend, policy: RetryPolicy | None = None):
     if active is not None:
         ship_package(active)
 
-    @F.pandas_udf(RESPONSE_T)
-    def _call(prompts: pd.Series, items: pd.Series) -> pd.DataFrame:
-        its = [None if it is None else list(it) for it in _plain(items.tolist())]
-        return _run_batch(_opened(bk, pol), pol, _plain(prompts.tolist()), its)
+    @F.arrow_udf(RESPONSE_T)
+    def _call(prompts: pa.Array, items: pa.Array) -> pa.Array:
+        return _answers(_run_batch(_opened(bk, pol), pol, _Values(prompts), _Values(items)))
 
     return _call.asNondeterministic()
 
@@ -248,6 +276,7 @@ def call_model(df: DataFrame, backend: Backend, prompt: str | Column = "prompt",
     """Add ``out`` = struct<text, error, attempts, latency_ms, called_at, task>; rows with a NULL prompt are not sent."""
     p = F.col(prompt) if isinstance(prompt, str) else prompt
     it = (F.col(items) if isinstance(items, str) else items) if items is not None else F.lit(None).cast("array<string>")
+    bound_batches(df.sparkSession)
     if policy is not None and policy.rpm and policy.sleep:
         return call_paced(df, backend, p, it, policy, out)
     return df.withColumn(out, model_udf(backend, policy)(p, it))
@@ -275,10 +304,8 @@ def call_paced(df: DataFrame, backend: Backend, prompt: Column, items: Column, p
         for batch in batches:
             for a in range(0, batch.num_rows, PACED_ROWS):
                 part = batch.slice(a, PACED_ROWS)
-                its = part.column("_i").to_pylist()
-                answers = _run_batch(_opened(backend, policy), policy, part.column("_p").to_pylist(), its, slots)
-                struct = pa.StructArray.from_arrays([pa.array(answers[c].astype(object).where(answers[c].notna(), None), t) for c, t in _ARROW.items()], names=list(_ARROW))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], struct], names=[*columns, out])
+                answers = _run_batch(_opened(backend, policy), policy, _Values(part.column("_p")), _Values(part.column("_i")), slots)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], _answers(answers)], names=[*columns, out])
 
     return asked.mapInArrow(run, schema, barrier=True)
 
