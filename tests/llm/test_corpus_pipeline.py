@@ -58,6 +58,28 @@ def test_language_stage_drops_foreign_and_garbled_texts(spark):
     assert not kept & {-1, -2} and len(kept) >= 0.99 * docs.count()
 
 
+def test_floor_counts_every_text(spark, monkeypatch):
+    """5 in 5 000 right predictions score low: the floor is the exact quantile of all texts; copies and wrong predictions don't count."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from weft.llm import language
+
+    n = 5_000
+    low = F.when(F.col("id") < 5, 0.3 + F.col("id") / 1000)
+    rows = spark.range(n).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.coalesce(low, 0.9 + F.col("id") / 1e6).alias("score"))
+    copies = rows.where("text = 'text 0'").crossJoin(spark.range(50)).drop("id")
+    wrong = rows.where("text like 'text 1%'").withColumns({"lang": F.lit("fr"), "score": F.lit(0.1)})
+    scores = rows.select("text", F.col("lang").alias("lang_pred"), "score")
+    monkeypatch.setattr(language, "identify", lambda df, net: df.join(scores, "text"))
+    labelled = rows.unionByName(copies).unionByName(wrong).select("text", "lang")
+    floor = language.least_score(labelled, SimpleNamespace(labels=["en", "fr"]))
+    every = sorted([0.3 + i / 1000 for i in range(5)] + [round(0.9 + i / 1e6, 6) for i in range(5, n)])
+    low = every[int(language.DOUBTED * n)]
+    assert abs(floor - (0.5 + (low - 0.5) * n / (n + language.DRAWN) - 1e-6)) < 1e-9
+
+
 def test_pieces_are_decoded(spark):
     import sentencepiece
 
