@@ -780,3 +780,46 @@ def test_worker_holds_a_bounded_number_of_bytes_of_requests(spark):
 
     lazy = _Values(pa.array([["a", "b"], None]))
     assert len(lazy) == 2 and lazy[0] == ["a", "b"] and lazy[1] is None
+
+
+def test_waiting_for_settled_rows_reads_no_texts_and_goes_on_while_rows_settle(spark, tmpdir_path):
+    from pyspark.sql.types import StringType
+
+    from weft.streaming.retries import stop_when_settled, unsettled
+
+    state = f"{tmpdir_path}/state"
+    log = [("a", "ERROR", 1, 1), ("a", "OK", 2, 2), ("b", "ERROR", 1, 1), ("b", "ERROR", 3, 2), ("c", "ERROR", 2, 1), ("d", "OK", 1, 1)]
+    rows = spark.createDataFrame(log, "row_key string, status string, attempts int, t int")
+    texts = {c: F.lit(None).cast(StringType()) for c in ("value", "error", "raw", "ai_result")}
+    put = lambda df, run: df.select("row_key", "status", "attempts", F.timestamp_seconds("t").alias("written_at"), *[v.alias(c) for c, v in texts.items()]).write.parquet(f"{state}/run_id={run}")
+    put(rows, "1")
+    left = unsettled(spark, state, 3)
+    assert [tuple(r) for r in left.collect()] == [("c", "ERROR", 2)]
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "ai_result" not in plan and "raw" not in plan.replace("Draw", "")
+
+    class Query:
+        """A stream whose row c settles after longer than the time-out, while others' calls go on."""
+
+        isActive, status, looks, stopped = True, {"isTriggerActive": False}, 0, False
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            self.stopped = True
+
+    class Stepping(Query):
+        @property
+        def isActive(self):
+            self.looks += 1
+            if self.looks == 2:
+                put(spark.createDataFrame([("e", "ERROR", 1, 3)], rows.schema), "2")
+            if self.looks == 4:
+                put(spark.createDataFrame([("c", "OK", 3, 4), ("e", "ERROR", 3, 4)], rows.schema), "3")
+            return True
+
+    query = Stepping()
+    assert stop_when_settled(query, spark, state, 3, timeout_s=30) and query.stopped
+    put(spark.createDataFrame([("f", "ERROR", 1, 5)], rows.schema), "4")
+    assert not stop_when_settled(Query(), spark, state, 3, timeout_s=1)
