@@ -163,3 +163,22 @@ def test_phrases_of_a_large_dictionary(spark):
         best = min(((-n, c) for c, n in hits.items() if n), default=(0, "other"))
         assert found[k] == (best[1], -best[0]) and feel[k] == (score, "positive" if score > 0 else "negative" if score < 0 else "neutral"), (k, t)
     assert [r.category for r in classify_by_phrases(df, "k", "t", table.limit(0)).collect()] == ["other"] * len(texts)
+
+
+def test_summary_by_document_frequency_hashes_the_vocabulary(spark):
+    """Texts are dealt to tasks by their key before they are cut into words, and the words are joined without a sort."""
+    from weft.operators.tasks import distinct_words, summarize_by_frequency
+
+    rows = [(i, f"Word{'a' * (i % 7)} alpha. ΟΔΟΣ beta\x01gamma word! Gamma\u00e9 x{i}y zz alpha? end") for i in range(40)] + [(40, None), (None, "Alpha beta. Gamma")]
+    df = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+    out = summarize_by_frequency(df, "k", "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [term" in plan and "SortMergeJoin [term" not in plan
+    cuts = plan.split("Generate explode")[1:]
+    assert len(cuts) == 2 and all("REPARTITION_BY_COL" in c for c in cuts)
+    got = {r.k: r.summary for r in out.collect()}
+    assert len(got) == 42 and got[40] is None and got[None] == "Alpha beta. Gamma"
+    assert got[0] == "Word alpha. ΟΔΟΣ beta" and got[1] == "ΟΔΟΣ beta gamma word!"
+    words = spark.createDataFrame([("Ab abc\u00c9d ABCD abcd a1bcde x",)], "t string")
+    assert words.select(distinct_words("t", 4)).first()[0] == ["abc\u00e9d", "abcd", "bcde"]
+    assert words.select(distinct_words("t", 0)).first()[0] == ["ab", "abc\u00e9d", "abcd", "a", "bcde", "x"]

@@ -13,8 +13,8 @@ same tasks without a model so a job can run offline and be checked:
 * ``summarize_extractive``: the k sentences with the most distinct content words,
   in their original order, chosen inside the row;
 * ``summarize_by_frequency``: the k sentences whose distinct content words are in the
-  most documents.  Only words move for the statistic; the texts stay where they are
-  until the few chosen sentence numbers are joined to them.
+  most documents.  Texts move by their key; for the statistic only words move, and the
+  numbers of the sentences go back to their key, where they are ranked.
 """
 from __future__ import annotations
 
@@ -114,19 +114,9 @@ def summarize_extractive(text: str | Column, k: int = 2, min_len: int = 4) -> Co
     return F.array_join(F.transform(ordered, lambda x: x["s"]), " ")
 
 
-def sentence_terms(text: str | Column, min_len: int = 4) -> Column:
-    """array<struct<term, at>>: the distinct words of ``min_len``+ letters of a text, each with the numbers of its sentences (from 0)."""
-
-    def pairs(sents: Column) -> Column:
-        found = F.transform(sents, lambda s, i: F.transform(F.array_distinct(F.filter(words(s), lambda w: F.length(w) >= min_len)), lambda w: F.struct(w.alias("term"), i.alias("at"))))
-        return F.flatten(found)
-
-    def grouped(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i)), lambda i: i.isNotNull())
-        return _once(starts, lambda at: F.transform(at, lambda i, n: F.struct(F.get(s, i)["term"].alias("term"), F.transform(
-            F.slice(s, i + 1, F.coalesce(F.get(at, n + 1), F.size(s)) - i), lambda x: x["at"]).alias("at"))))
-
-    return _once(F.sort_array(pairs(split_sentences(text))), grouped)
+def distinct_words(text: str | Column, min_len: int) -> Column:
+    """The distinct words of ``min_len``+ letters of a text; the pattern leaves out the shorter ones."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(rf"\p{{L}}{{{max(1, min_len)},}}"), F.lit(0)))
 
 
 def summarize_by_frequency(df: DataFrame, key: str, text: str, k: int = 2, min_len: int = 4) -> DataFrame:
@@ -135,10 +125,15 @@ def summarize_by_frequency(df: DataFrame, key: str, text: str, k: int = 2, min_l
     Rows: key, summary, one for each row of ``df`` (keys are unique row keys).  Ties go to the earlier sentence, and sentences
     without such words count 0; a null text has a null summary, a text without sentences an empty one.
     """
-    terms = df.select(key, F.explode(sentence_terms(text, min_len)).alias("t")).select(key, "t.term", "t.at")
-    freq = terms.groupBy("term").agg(F.count("*").alias("df"))
-    # a sentence's sum is partial in each task of the join and bounded by its text afterwards; no text is in these rows
-    scores = terms.join(freq, "term").select(key, F.explode("at").alias("at"), "df").groupBy(key, "at").agg(F.sum("df").alias("score"))
+    # whole texts move once, for the statistic, the sentences and the summaries; no sentence ends inside a word
+    docs = df.select(key, text).repartition(F.col(key))
+    freq = docs.select(F.explode(distinct_words(text, min_len)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    sentences = docs.select(key, F.posexplode(split_sentences(text)).alias("at", "s"))
+    terms = sentences.select(key, "at", F.explode(distinct_words("s", min_len)).alias("term"))
+    # a task's part of the vocabulary has one row for each term, so it is hashed and the many words need no sort
+    found = terms.join(freq.hint("shuffle_hash"), "term").select(key, "at", "df").repartition(F.col(key))
+    # all of a key's numbers are in one task from here on; no text is in these rows
+    scores = found.groupBy(key, "at").agg(F.sum("df").alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "at"))).where(F.col("rank") <= k)
     best = ranked.groupBy(key).agg(F.collect_list("at").alias("_best"))
 
@@ -150,5 +145,5 @@ def summarize_by_frequency(df: DataFrame, key: str, text: str, k: int = 2, min_l
         return F.when(F.size(sents) == 0, F.lit("")).otherwise(F.array_join(F.transform(taken, lambda i: F.get(sents, i)), " "))
 
     chosen = F.coalesce(F.col("_best"), F.array().cast("array<int>"))
-    joined = df.select(key, text).join(best, key, "left")
+    joined = docs.join(best, key, "left")
     return joined.select(key, F.when(F.col(text).isNotNull(), _once(split_sentences(text), summary)).alias("summary"))
