@@ -595,6 +595,37 @@ def test_one_rate_for_all_tasks(spark):
     assert starts[-1] - starts[0] >= 58 * 0.05 and max(sum(1 for x in starts if s <= x < s + 1) for s in starts) <= 21
 
 
+def test_paced_calls_that_start_late_keep_their_slots():
+    """Tasks that wake up to 5 ms late use the slots of 1 ms, and no 60 seconds see more than the rate and one call."""
+    from bisect import bisect_left
+
+    from weft.operators.inference import PACED_LATE_S, Slots
+
+    rpm, tasks, seconds = 60_000, 12, 90
+    starts = []
+    for task in range(tasks):
+        slots, now = Slots.of_rate(0.0, rpm, task, tasks), 0.0
+        while now < seconds:
+            begins = slots.next(now)
+            if begins > now:
+                now = begins + len(starts) % 6 * 0.001
+                continue
+            starts.append(now)
+            slots.take()
+    starts.sort()
+    assert len(starts) >= 0.99 * rpm * seconds / 60
+    assert max(bisect_left(starts, t + 60) - i for i, t in enumerate(starts)) <= rpm + 1
+    # a task that was away for longer loses its slots but for those of the last PACED_LATE_S
+    slots = Slots.of_rate(0.0, rpm, 0, 1)
+    free = 0
+    while slots.next(10.0) <= 10.0:
+        slots.take()
+        free += 1
+    assert free <= PACED_LATE_S * rpm / 60 + 1
+    # slow rates are as they were: a slot is an interval long
+    assert Slots.of_rate(0.0, 1200).late == 0.05 and abs(Slots.of_rate(0.0, 1200).interval - 0.05) < 1e-9
+
+
 def test_rate_audit_slides_over_minutes(spark):
     import datetime as dt
 
